@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phredloom.llm import html_extract, packing, quality, token_count, topk, warc
+from phredloom.llm import decontaminate, html_extract, packing, pii, quality, token_count, topk, warc
 from phredloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), pieces)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolve_revisits(warc.records_from_pages(table(spark, sf_dir, "pages")))
     pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(":", e["key"], e["value"])))
