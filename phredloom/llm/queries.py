@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phredloom.llm import decontaminate, html_extract, packing, pii, quality, token_count, topk, warc
+from phredloom.llm import decontaminate, html_extract, near_dedup, packing, pii, quality, token_count, topk, warc
 from phredloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def queries() -> dict[str, Query]:
     own = globals()
     return {name: own[name] for name in sorted(own) if name.startswith("op") and "_" in name and callable(own[name])}
