@@ -72,7 +72,7 @@ class Shingler:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        for w in set(tokens) - known.keys():
+        for w in [x for x in set(tokens) if x not in known]:
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.array(list(map(known.__getitem__, tokens)), dtype=np.uint64)
         n = len(h)

@@ -70,7 +70,7 @@ class Features:
         known = self.known
         if len(known) > 400_000:
             known.clear()
-        for t in set(tokens) - known.keys():
+        for t in [x for x in set(tokens) if x not in known]:
             shape = _shape(t)
             known[t] = (_code(t.lower()), _code("shape " + shape), 1 if shape[0] in "9xAa" else 0)
         a = np.array(list(map(known.__getitem__, tokens)), dtype=np.int64)

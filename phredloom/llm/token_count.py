@@ -119,7 +119,7 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
             rows = []
             for text in b["text"]:
                 words = _WORD.findall(text)
-                for w in set(words) - known.keys():
+                for w in [x for x in set(words) if x not in known]:
                     known[w] = count(w)
                 sizes = list(map(known.__getitem__, words))
                 bad = sizes.count(-1)
