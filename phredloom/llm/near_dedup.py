@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phredloom.llm.bytescan import chunks, mix, runs
 from phredloom.llm.common import documents, materialize
 from phredloom.llm.components import components
 
@@ -54,34 +55,33 @@ _PLACE = _RNG.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
 _FOLD = _RNG.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-class Shingler:
-    """Sorted distinct shingle hashes of a text; remembers word hashes in a table of bounded size."""
-
-    def __init__(self, words: int):
-        self.k, self.known = words, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        tokens = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, white space \x20 and \x09-\x0D only
-        if not tokens:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in [x for x in set(tokens) if x not in known]:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array(list(map(known.__getitem__, tokens)), dtype=np.uint64)
-        n = len(h)
-        if n < self.k:
-            return _mix(np.array([(h * _PLACE[:n]).sum(dtype=np.uint64) + np.uint64(n)], dtype=np.uint64))
-        s = h[: n - self.k + 1] * _PLACE[0]
-        for j in range(1, self.k):
-            s = s + h[j : n - self.k + 1 + j] * _PLACE[j]
-        return np.unique(_mix(s))
+# White space by the contract, and A-Z in lower case.
+_SPACE = [0x20, *range(0x09, 0x0E)]
+_IN_WORD = np.ones(256, dtype=np.uint8)
+_IN_WORD[_SPACE] = 0
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
+
+
+def shingle_sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, in order."""
+    for chunk in chunks(texts):
+        data = _LOWER[chunk.data]
+        start, end = runs(_IN_WORD[data])
+        total, down = chunk.sums(data)
+        h = mix((total[end] - total[start]) * down[start])
+        whole = h[: max(0, len(h) - words + 1)] * _PLACE[0]
+        for j in range(1, words):
+            whole = whole + h[j : len(h) - words + 1 + j] * _PLACE[j]
+        whole = mix(whole)
+        first = chunk.owners(start).tolist()
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            n = b - a
+            if n >= words:
+                yield np.unique(whole[a : b - words + 1])
+            elif n:
+                yield mix(np.array([(h[a:b] * _PLACE[:n]).sum(dtype=np.uint64) + np.uint64(n)], dtype=np.uint64))
+            else:
+                yield np.empty(0, np.uint64)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    return _mix((sig.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
+    return mix((sig.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
@@ -125,11 +125,9 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id``, ``n`` (set size), ``key`` (digest of the set), ``bands``, ``sig`` (16 bits a hash)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler(words)
         for b in batches:
             n, keys, bands, sigs = [], [], [], []
-            for text in b["text"]:
-                s = shingles(text)
+            for s in shingle_sets(b["text"].tolist(), words):
                 n.append(len(s))
                 if not len(s):
                     keys.append(None), bands.append(None), sigs.append(None)
@@ -168,9 +166,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler(words)
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "s": [shingles(t).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"id": b["doc_id"], "s": [s.tobytes() for s in shingle_sets(b["text"].tolist(), words)]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

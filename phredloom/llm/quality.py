@@ -19,7 +19,7 @@ each for itself; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,82 +28,93 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phredloom.llm.bytescan import chunks, mix, runs
 from phredloom.llm.common import crc_mod, documents
 
-BITS = 18
+BITS = 16
 SAMPLE = 8000
 EPOCHS = 12
 COST = 0.1
 ALPHA = 1.0
 ACCEPT = 0.3
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MASK = (1 << BITS) - 1
 _BACK = 8
+# Byte kinds: 0 white space, 1 word, 2 punctuation; and flags of letters and digits.
+_KIND = np.full(256, 2, dtype=np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_FLAG = np.zeros(256, dtype=np.uint8)
+for _b in range(256):
+    _c = chr(_b)
+    if _b >= 0x80 or _c.isalnum() or _c == "_":
+        _KIND[_b] = 1
+        _FLAG[_b] = 1 if _b < 0x80 and _c.isupper() else 4 if _b < 0x80 and _c.isdigit() else 0 if _b >= 0x80 else 2
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
 
 def _code(s: str) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass"))
-
-
-def _shape(token: str) -> str:
-    if not (token[0].isalnum() or token[0] == "_"):
-        return token[:4]
-    if token.isdigit():
-        return "9"
-    if any(map(str.isdigit, token)):
-        return "x9"
-    if token.isupper() and len(token) > 1:
-        return "A"
-    return "Aa" if token[0].isupper() else "a"
-
-
-class Features:
-    """Indicator numbers of a text; remembers codes of tokens in a table of bounded size."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int, int]] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        tokens = _TOKEN.findall(text)
-        if not tokens:
-            return np.empty(0, np.int64)
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        for t in [x for x in set(tokens) if x not in known]:
-            shape = _shape(t)
-            known[t] = (_code(t.lower()), _code("shape " + shape), 1 if shape[0] in "9xAa" else 0)
-        a = np.array(list(map(known.__getitem__, tokens)), dtype=np.int64)
-        word, shape, is_word = a[:, 0], a[:, 1], a[:, 2]
-        found = [word]
-        with np.errstate(over="ignore"):
-            if len(word) > 1:
-                found.append(word[:-1] * 0x9E3779B1 + word[1:] * 0x85EBCA77 + 1)
-            gram = shape
-            for n in (2, 3, 4):
-                if len(shape) >= n:
-                    gram = gram[: len(shape) - n + 1] * 0xC2B2AE3D + shape[n - 1 :] * 0x27D4EB2F + n
-                    found.append(gram)
-            w = word[is_word == 1]
-            again = np.zeros(len(w), dtype=np.int64)
-            for lag in range(1, _BACK + 1):
-                if len(w) > lag:
-                    again[lag:] |= w[lag:] == w[:-lag]
-            sums = np.concatenate([[0], np.cumsum(again)])
+    return zlib.crc32(s.encode()) >> (32 - BITS)
+
+
+def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray, is_word: np.ndarray, total: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Words: 1 digits, 2 with digits, 3 capitals, 4 capitalised, 5 other. Punctuation: its first four bytes as a number from 16."""
+    bounds = np.stack([start, end], axis=1).ravel()
+    flags = np.bitwise_or.reduceat(_FLAG[data], bounds)[::2]
+    capital = (flags == 1) & (end - start > 1)
+    word = np.select([flags == 4, (flags & 4) > 0, capital, (_FLAG[data[start]] == 1)], [1, 2, 3, 4], 5)
+    head = np.minimum(end, start + 4)
+    mark = ((total[head] - total[start]) * down[start] >> np.uint64(48)).astype(np.int64) + 16
+    return np.where(is_word, word, mark)
+
+
+def features(texts: list[str]) -> Iterator[np.ndarray]:
+    """Indicator numbers of each text, in order."""
+    flags = np.zeros(1 << BITS, dtype=bool)
+    for chunk in chunks(texts):
+        data = _LOWER[chunk.data]
+        kind = _KIND[data]
+        start, end = runs(kind)
+        if not len(start):
+            yield from (np.empty(0, np.int64) for _ in range(chunk.n))
+            continue
+        is_word = kind[start] == 1
+        total, down = chunk.sums(data)
+        word = ((total[end] - total[start]) * down[start]).view(np.int64)
+        shape = _shapes(chunk.data, start, end, is_word, total, down)
+        grams = [word, word[:-1] * 3 + word[1:] * 5 + 1]
+        gram = shape
+        for n in (2, 3, 4):
+            gram = gram[:-1] * 0x2C1B3C6D + shape[n - 1 :] * 0x297A2D39 + n if len(shape) >= n else shape[:0]
+            grams.append(gram)
+        grams = [(mix(g.view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64) for g in grams]
+        first = chunk.owners(start)
+        w, w_first = word[is_word], np.concatenate([[0], np.cumsum(is_word)])[first]
+        owner = np.repeat(np.arange(chunk.n), np.diff(w_first))
+        again = np.zeros(len(w), dtype=bool)
+        for lag in range(1, _BACK + 1):
+            again[lag:] |= (w[lag:] == w[:-lag]) & (owner[lag:] == owner[:-lag])
+        sums = np.concatenate([[0], np.cumsum(again)])
+        for i in range(chunk.n):
+            a, b, wa, wb = int(first[i]), int(first[i + 1]), int(w_first[i]), int(w_first[i + 1])
+            if a == b:
+                yield np.empty(0, np.int64)
+                continue
+            few, n_words = [], wb - wa
             for n in (4, 8, 16):
-                if len(w) >= n:
-                    run = int((sums[n:] - sums[:-n]).max())
-                    found.append(np.array([_code(f"again {n} {(run * 4) // n}")]))
-            shares = []
-            kinds, counts = np.unique(shape, return_counts=True)
-            for kind, c in zip(kinds.tolist(), counts.tolist(), strict=True):
-                shares.append(kind * 31 + int(np.log2(c / len(shape)) * 1.5) * 0x165667B1 + 7)
-            shares.append(_code(f"again share {int(10 * again.mean()) if len(w) else 0}"))
-            shares.append(_code(f"distinct {int(10 * len(np.unique(w)) / len(w)) if len(w) else 0} {len(w).bit_length()}"))
-            found.append(np.array(shares, dtype=np.int64))
-            all_ = np.concatenate(found).astype(np.uint64)
-            all_ = (all_ ^ (all_ >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique((all_ >> np.uint64(64 - BITS)).astype(np.int64) & _MASK)
+                if n_words >= n:
+                    run = int((sums[wa + n : wb + 1] - sums[wa : wb + 1 - n]).max())
+                    few.append(_code(f"again {n} {(run * 4) // n}"))
+            own = shape[a:b]
+            for s, c in enumerate(np.bincount(np.minimum(own, 6), minlength=7).tolist()):
+                if c:
+                    few.append(_code(f"share {s} {int(math.log2(c / (b - a)) * 1.5)}"))
+            if n_words:
+                few.append(_code(f"again share {int(10 * (sums[wb] - sums[wa]) / n_words)}"))
+                few.append(_code(f"distinct {int(10 * len(np.unique(w[wa:wb])) / n_words)} {n_words.bit_length()}"))
+            for n, g in zip((1, 2, 2, 3, 4), grams, strict=True):
+                flags[g[a : max(a, b - n + 1)]] = True
+            flags[few] = True
+            out = np.flatnonzero(flags)
+            flags[out] = False
+            yield out
 
 
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -186,9 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", "y"), "doc_id", "y").limit(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "r": [features(t).astype(np.int32).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "r": [r.astype(np.int32).tobytes() for r in features(b["text"].tolist())]})
 
     # a bounded side: at most ``sample`` rows of two numbers
     joined = documents(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
@@ -203,9 +213,9 @@ def score(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, m = Features(), shared.value
+        m = shared.value
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": [m.score(features(t)) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": [m.score(r) for r in features(b["text"].tolist())]})
 
     rows = documents(docs).selectExpr("cast(doc_id as string) doc_id", "text")
     got = rows.mapInPandas(run, "doc_id string, score double").select(F.col("doc_id").cast("long").alias("doc_id"), "score")
@@ -219,9 +229,9 @@ def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
 
-        features, m = Features(), shared.value
+        m = shared.value
         for b in batches:
-            keep = [m.score(features(t or "")) >= accept for t in b.column("text").to_pylist()]
+            keep = [m.score(r) >= accept for r in features([t or "" for t in b.column("text").to_pylist()])]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
