@@ -14,8 +14,9 @@ cover at least ``LEAST`` different windows of the item (13 tokens), or all of
 an item with fewer. Items shorter than a window are one window of their own
 length.
 
-Only the benchmark's window hashes are broadcast, and only while their counted
-number is within ``BROADCAST_ROWS``; else the join shuffles.
+Only the benchmark's window hashes and the keys of documents whose slots must
+be read are broadcast, each only while its counted number of rows is within
+``BROADCAST_ROWS``; else the join shuffles.
 
 Defined results: null and empty texts and items match nothing; rows with equal
 doc_id and different texts are compared each for itself and reported once per
@@ -102,8 +103,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # slot values only for the documents that have a window with placeholders
     slotted = hits.filter("n_slots > 0")
-    owners = slotted.select("doc_id", "row").distinct()
-    texts = rows.join(owners, (rows["row"] == owners["row"]) & rows["doc_id"].eqNullSafe(owners["doc_id"]), "left_semi")
+    owners = materialize(slotted.select(F.col("doc_id").alias("d"), F.col("row").alias("r")).distinct())
+    owners = small(owners, owners.count(), BROADCAST_ROWS)
+    texts = rows.join(owners, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     raw = texts.distinct().select(F.col("doc_id").alias("d"), F.col("row").alias("r"), raw_tokens(F.col("text")).alias("raw"))
     pairs = (
         slotted.join(bench.select("item_id", "at", "slots").filter(F.size("slots") > 0), ["item_id", "at"])
