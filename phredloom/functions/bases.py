@@ -11,8 +11,8 @@ COMPLEMENTS = "TVGHCDMKNYSABWR-"
 
 
 def normalise(seq: Column) -> Column:
-    """Upper case; everything but A, C, G, T becomes N."""
-    return F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
+    """a, c, g, t in upper case; everything but A, C, G, T becomes N (one for each character)."""
+    return F.regexp_replace(F.translate(seq, "acgt", "ACGT"), "[^ACGT]", "N")
 
 
 def reverse_complement(seq: Column) -> Column:

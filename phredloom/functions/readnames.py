@@ -39,7 +39,7 @@ def _wgsim_correct(qname: Column, flag: Column, rname: Column, pos: Column, wigg
     shape = F.concat(F.lit("^"), _quoted(rname), F.lit(tail))
 
     def part(i: int) -> Column:
-        return F.regexp_extract(qname, shape, i).try_cast("long")
+        return F.call_function("regexp_extract", qname, shape, F.lit(i)).try_cast("long")
 
     first = mate_flag(flag) != "2"
     length = F.when(first, part(3)).otherwise(part(4))

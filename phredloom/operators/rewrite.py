@@ -21,7 +21,7 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
 def rewritten(raw: Column, mapq: Column, keep_features: bool = False, orig_flag: str | None = None, precise_flag: str | None = None) -> Column:
     """A SAM line with its quality replaced (half up), features removed, original and precise values appended on demand."""
     f = F.split(raw, "\t")
-    extra = F.slice(f, 12, 2147483647)
+    extra = F.slice(f, F.lit(12), F.greatest(F.lit(0), F.size(f) - 11))
     if not keep_features:
         extra = tags.drop(extra, tags.FEATURES)
     added = []
