@@ -3,10 +3,11 @@
 Vectors are quantised to integers, dealt to blocks of bounded size, and each
 block is indexed: for every dimension, its rows form posting segments by
 quantised value. A query adds up segments score-at-a-time, those of the highest
-impact first. After each stride it holds, for every row, a sum that its true
-score is not below, and one bound on all that could still be added. It stops
-when the rows whose bound reaches the k-th best sum are few (or no segment is
-left), and rescores exactly these rows.
+impact first, which gives a sum that a row's true score is not below. After
+each stride of segments one bound holds for all that could still be added (the
+highest segments left and the width of a level). A query is settled when the
+rows whose bound reaches the k-th best sum are few, or no segment is left; just
+these rows are rescored exactly. Queries are handled in batches.
 
 Query blocks meet index blocks by an equi-join on block numbers, both packed to
 one row a block; the k best of each pair of blocks go to a final ranking.
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from phredloom.llm.common import materialize
 
-LEVELS = 16
-STRIDE = 128
+LEVELS = 32
+STRIDE = 512
+BATCH = 64
 BLOCK_ROWS = 16384
 QUERY_ROWS = 512
 _MAX = np.iinfo(np.int64).max
@@ -67,36 +69,44 @@ class Block:
         self.docs = np.argsort(level, axis=0, kind="stable").T.astype(np.int32)
         self.start = np.stack([np.searchsorted(np.sort(level[:, j]), np.arange(LEVELS + 1)) for j in range(level.shape[1])])
 
-    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, exact scores) of a superset of the block's k best rows."""
+    def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (row numbers, exact scores) of a superset of the block's k best rows.
+
+        The queries share the order of segments (by the highest impact that any
+        of them gives a segment); bounds and possible members are each query's own.
+        """
         n, d = self.rows.shape
-        q = np.concatenate([q, np.zeros(max(0, d - len(q)), np.int64)])[:d]
-        if self.peak * max(1, int(np.abs(q).max())) * d >= 2**62 or self.peak >= 2**31:
-            scores = [max(-_MAX - 1, min(_MAX, sum(int(a) * int(b) for a, b in zip(row, q, strict=True)))) for row in self.rows]
-            return np.arange(n), np.array(scores, dtype=np.int64)
+        q = np.zeros((len(queries), d), dtype=np.int64)
+        q[:, : min(d, queries.shape[1])] = queries[:, :d]
+        if self.peak >= 2**31 or self.peak * max(1, int(np.abs(q).max())) * d >= 2**62:
+            return [(np.arange(n), np.array([_saturated(row, x) for row in self.rows], dtype=np.int64)) for x in q]
         edge = self.low[:, None] + np.arange(LEVELS)[None, :] * self.width[:, None]
-        least = np.minimum(q[:, None] * edge, q[:, None] * (edge + self.width[:, None] - 1))
-        base = least.min(axis=1)
-        impact = least - base[:, None]
-        slack = int((np.abs(q) * (self.width - 1)).sum())
-        acc = np.full(n, int(base.sum()), dtype=np.int64)
-        order = np.argsort(-impact, axis=None, kind="stable")
-        flat = impact.ravel()
-        few = max(4 * k, 64)
+        least = np.minimum(q[:, :, None] * edge, q[:, :, None] * (edge + self.width[:, None] - 1))
+        base = least.min(axis=2)
+        impact = np.ascontiguousarray((least - base[:, :, None]).transpose(1, 2, 0)).reshape(d * LEVELS, len(q))
+        slack = (np.abs(q) * (self.width - 1)).sum(axis=1)
+        acc = np.tile(base.sum(axis=1), (n, 1))
+        order = np.argsort(-impact.max(axis=1), kind="stable")
+        ahead = impact.copy()
+        few = max(4 * k, 64, n // 64)
         for at in range(0, len(order), STRIDE):
-            for seg in order[at : at + STRIDE].tolist():
-                j, lv = divmod(seg, LEVELS)
-                a, b = self.start[j, lv], self.start[j, lv + 1]
-                if a < b and flat[seg]:
-                    acc[self.docs[j, a:b]] += flat[seg]
-            left = order[at + STRIDE :]
-            ahead = np.zeros(d, dtype=np.int64)
-            np.maximum.at(ahead, left // LEVELS, flat[left])
-            kth = np.partition(acc, n - k)[n - k] if n > k else acc.min()
-            possible = np.flatnonzero(acc >= kth - (int(ahead.sum()) + slack))
-            if len(possible) <= few or not len(left):
+            part = order[at : at + STRIDE]
+            for seg in part.tolist():
+                j, level = divmod(seg, LEVELS)
+                a, b = self.start[j, level], self.start[j, level + 1]
+                if a < b:
+                    acc[self.docs[j, a:b]] += impact[seg]
+            ahead[part] = 0
+            kth = np.partition(acc, max(0, n - k), axis=0)[max(0, n - k)]
+            possible = acc >= kth - (ahead.reshape(d, LEVELS, -1).max(axis=1).sum(axis=0) + slack)
+            if possible.sum(axis=0).max() <= few:
                 break
-        return possible, self.rows[possible] @ q
+        members = [np.flatnonzero(possible[:, i]) for i in range(len(q))]
+        return [(m, self.rows[m] @ x) for m, x in zip(members, q, strict=True)]
+
+
+def _saturated(a: np.ndarray, b: np.ndarray) -> int:
+    return max(-_MAX - 1, min(_MAX, sum(int(x) * int(y) for x, y in zip(a, b, strict=True))))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -124,13 +134,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
                     index = {r.x: Block(np.frombuffer(r.x_ids, np.int64), np.frombuffer(r.x_rows, np.int64).reshape(-1, r.x_dim))}
                 block, out = index[r.x], []
                 queries = np.frombuffer(r.y_rows, np.int64).reshape(-1, r.y_dim)
-                for qid, q in zip(np.frombuffer(r.y_ids, np.int64).tolist(), queries, strict=True):
-                    own = int(np.searchsorted(block.ids, qid, "right") - np.searchsorted(block.ids, qid, "left"))
-                    at, scores = block.search(q, min(k + own, len(block.ids)))
-                    ids = block.ids[at]
-                    at = np.lexsort((ids, -scores.astype(np.float64), -scores))
-                    at = [i for i in at.tolist() if ids[i] != qid][:k]
-                    out += [(qid, int(ids[i]), int(scores[i])) for i in at]
+                qids = np.frombuffer(r.y_ids, np.int64)
+                own = np.searchsorted(block.ids, qids, "right") - np.searchsorted(block.ids, qids, "left")
+                for x in range(0, len(qids), BATCH):
+                    wanted = min(k + int(own[x : x + BATCH].max()), len(block.ids))
+                    for qid, (at, scores) in zip(qids[x : x + BATCH].tolist(), block.search(queries[x : x + BATCH], wanted), strict=True):
+                        ids = block.ids[at]
+                        best = [i for i in np.lexsort((ids, ~scores)).tolist() if ids[i] != qid][:k]
+                        out += [(qid, int(ids[i]), int(scores[i])) for i in best]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     x = materialize(packed(rows, blocks, "x"))
