@@ -43,7 +43,8 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-_TOKEN = re.compile(r"<!--|<(?:[!?][^>]*>)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_QUOTED = r"\"[^\"]{0,10000}\"|'[^']{0,10000}'"  # bounded, so that a quote left open costs no scan of the page
+_TOKEN = re.compile(rf"<!--|<(?:[!?][^>]*>)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|{_QUOTED}|[\"'])*?)>")
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -62,11 +63,18 @@ def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and not BOILERPLATE.isdisjoint(_WORDS.findall(value)):
+        if name in ("class", "id") and not (BOILERPLATE - {"header"} if in_main else BOILERPLATE).isdisjoint(_WORDS.findall(value)):
             return True
     return False
 
 
+def _text_end(page: str, at: int) -> int:
+    """Where the text after the last tag ends: before a tag that the end of the page cuts off."""
+    cut = page.rfind("<", at)
+    broken = cut >= 0 and page.find(">", cut) < 0 and (page[cut + 1 : cut + 2].isalpha() or page[cut + 1 : cut + 2] in ("/", "!"))
+    return cut if broken else len(page)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters of link text, inside the marked article) of each non-empty line."""
     out: list[tuple[str, int, bool]] = []
@@ -94,7 +102,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
-        end = m.start() if m else n
+        end = m.start() if m else _text_end(page, at)
         if end > at and skip_at < 0:
             text = htmllib.unescape(page[at:end])
             parts.append(text)

@@ -89,7 +89,7 @@ def marks(docs: DataFrame) -> DataFrame:
     end = F.sum(F.col("m.gap") + F.coalesce(F.length("m.match"), F.lit(0))).over(along)
     rows = rows.select("doc_id", "row", "copies", "pos", "m.kind", "m.match", "m.context", end.alias("end"))
     # a candidate is the token without punctuation at its ends
-    core = F.regexp_extract("match", r"^[^\p{L}\p{N}]*+(.*?)[^\p{L}\p{N}]*+$", 1)
+    core = F.regexp_replace(F.regexp_replace("match", r"^[^\p{L}\p{N}]++", ""), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
     lead = F.length(F.regexp_extract("match", r"^[^\p{L}\p{N}]*+", 0))
     start = F.col("end") - F.length("match")
     is_candidate = F.col("kind") == 5
@@ -160,11 +160,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in square brackets, and ``n_chars`` made to fit. Overlapping spans become one."""
-    s = spans(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "spans")
+    s = spans(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__pii_d"), F.col("row").alias("__pii_r"), "spans")
     by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    s = s.select("_d", "_r", by_start.alias("_s"))
+    s = s.select("__pii_d", "__pii_r", by_start.alias("__pii_s"))
     row = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.withColumn("_row", row).join(s, (F.col("_row") == F.col("_r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")
+    joined = docs.withColumn("__pii_row", row).join(s, (F.col("__pii_row") == F.col("__pii_r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__pii_d")), "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -174,7 +174,7 @@ def redact(docs: DataFrame) -> DataFrame:
             F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
         )
 
-    text = F.aggregate("_s", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    out = joined.withColumn("_t", F.when(F.col("_s").isNull(), F.col("text")).otherwise(text))
-    cols = [F.col("_t").alias("text") if c == "text" else F.when(F.col("_s").isNull(), F.col(c)).otherwise(F.length("_t").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    text = F.aggregate("__pii_s", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    out = joined.withColumn("__pii_t", F.when(F.col("__pii_s").isNull(), F.col("text")).otherwise(text))
+    cols = [F.col("__pii_t").alias("text") if c == "text" else F.when(F.col("__pii_s").isNull(), F.col(c)).otherwise(F.length("__pii_t").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)
