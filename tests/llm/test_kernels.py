@@ -1,0 +1,218 @@
+"""Kernels without Spark: against defining rules."""
+
+import random
+
+import numpy as np
+import pytest
+
+from phredloom.llm import bytescan, html_extract, near_dedup, packing, quality, suffix_dedup, token_count, topk
+
+
+def test_suffix_array_equals_sorted_suffixes():
+    rng = random.Random(5)
+    for _ in range(1500):
+        text = [rng.randint(1, rng.randint(1, 5)) for _ in range(rng.randint(0, 40))] + [0]
+        order = suffix_dedup.suffix_array(text)
+        assert order == sorted(range(len(text)), key=lambda i: text[i:])
+        shared = suffix_dedup.common_prefixes(text, order)
+        for r in range(1, len(order)):
+            a, b = text[order[r - 1] :], text[order[r] :]
+            assert shared[r] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("word", ["a" * 60 + "b", "ab" * 40, "abacabadabacaba" * 4])
+def test_suffix_array_of_repetitive_texts(word):
+    text = [ord(c) for c in word] + [0]
+    assert suffix_dedup.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_repeated_windows_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(200):
+        length = rng.randint(4, 9)
+        core = bytes(rng.choices(b"ab", k=length - 3))
+        segments = []
+        for _ in range(rng.randint(1, 6)):
+            left, right = bytes(rng.choices(b"ab", k=rng.randint(0, 3))), bytes(rng.choices(b"ab", k=rng.randint(0, 3)))
+            if len(left + core + right) >= length:
+                segments.append((left + core + right, len(left)))
+        segments = list(dict.fromkeys(segments))
+        if not segments:
+            continue
+        found = suffix_dedup.repeated_windows(segments, length)
+        for i, (s, a) in enumerate(segments):
+            got = {x for lo, hi in found[i] for x in range(lo, hi + 1)}
+            want = set()
+            for x in range(0, min(a, len(s) - length) + 1):
+                for j, (t, b) in enumerate(segments):
+                    y = b - (a - x)  # the same place relative to the anchor
+                    if j != i and 0 <= y <= len(t) - length and t[y : y + length] == s[x : x + length]:
+                        want.add(x)
+            assert got == want, (segments, i, got, want)
+
+
+def test_windows_are_owned_once_and_by_content():
+    rng = np.random.default_rng(3)
+    block = rng.integers(97, 101, 2000).astype(np.uint8)
+    data = np.concatenate([rng.integers(97, 101, 700).astype(np.uint8), block, rng.integers(97, 101, 333).astype(np.uint8), block])
+    a, b, p, core, seg = suffix_dedup.owned(data)
+    cover = np.zeros(len(data) - suffix_dedup.LENGTH + 1, int)
+    for x, y in zip(a, b):
+        cover[x : y + 1] += 1
+    assert (cover == 1).all()
+    key = {x: (c, p_ - x) for x0, y0, p_, c in zip(a, b, p, core) for x in range(x0, y0 + 1)}
+    for i in range(2000 - suffix_dedup.LENGTH + 1):
+        assert key[700 + i] == key[700 + 2000 + 333 + i]
+
+
+def test_sliding_min():
+    v = np.random.default_rng(1).integers(0, 1000, 500).astype(np.uint64)
+    for w in (1, 2, 7, 64, 385):
+        assert (suffix_dedup._sliding_min(v, w) == [v[i : i + w].min() for i in range(500 - w + 1)]).all()
+
+
+def test_automaton_equals_greedy_longest_match():
+    rng = random.Random(2)
+    for _ in range(100):
+        pieces = {"▁", *("▁" * (rng.random() < 0.5) + "".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 12)))}
+        machine = token_count.Automaton(pieces)
+        for _ in range(60):
+            word = "".join(rng.choices("abcd", k=rng.randint(1, 9)))
+            assert machine.count(word) == token_count.greedy_count(word, pieces)
+
+
+def test_automaton_with_a_public_vocabulary():
+    pieces = token_count.piece_vocabulary(token_count.default_vocabulary_path())
+    machine, known = token_count.Automaton(pieces), set(pieces)
+    for word in ["the", "unbelievable", "Zürich", "x", "antidisestablishmentarianism", "12345", "—", "日本語", "ᚠ"]:
+        assert machine.count(word) == token_count.greedy_count(word, known)
+
+
+def brute_buckets(lengths, k):
+    values = sorted(set(lengths))
+    best = float("inf")
+
+    def go(i, left, cost):
+        nonlocal best
+        if i == len(values):
+            best = min(best, cost)
+            return
+        if left:
+            for j in range(i, len(values)):
+                go(j + 1, left - 1, cost + sum(values[j] - x for x in lengths if values[i] <= x <= values[j]))
+
+    go(0, k, 0)
+    return best
+
+
+def test_bucket_boundaries_have_least_padding():
+    rng = random.Random(4)
+    for _ in range(60):
+        lengths = [rng.randint(0, 30) for _ in range(rng.randint(1, 25))]
+        k = rng.randint(1, 4)
+        v, n = np.unique(lengths, return_counts=True)
+        bounds = packing.boundaries(v, n, v * n, k)
+        padding = sum(min(b for b in bounds if b >= x) - x for x in lengths)
+        assert len(bounds) <= k and padding == brute_buckets(lengths, k)
+    assert packing.boundaries(np.array([], int), np.array([], int), np.array([], int), 3) == []
+
+
+def test_word_arrays_equal_split():
+    texts = ["", "  a  b\tc\n", "Ä ö\x0bß", "x" * 5000, "the cat THE Cat", "\x1c\x85 nbsp joined", "lone \ud800 surrogate"]
+    rows = []
+    for chunk in bytescan.chunks(texts):
+        data = near_dedup._LOWER[chunk.data]
+        start, end = bytescan.runs(near_dedup._IN_WORD[data])
+        first = chunk.owners(start)
+        for i in range(chunk.n):
+            rows.append([bytes(data[a:b]) for a, b in zip(start[first[i] : first[i + 1]], end[first[i] : first[i + 1]])])
+    assert rows == [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+
+
+def test_shingle_sets_have_the_size_of_word_tuples():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["a", "b", "c", "D"], k=rng.randint(0, 30))) for _ in range(200)]
+    for text, s in zip(texts, near_dedup.shingle_sets(texts, 4)):
+        w = text.lower().split()
+        want = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+        assert len(s) == len(want)
+
+
+def test_pruning_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(0)
+    kept = 0
+    for _ in range(200):
+        same = rng.random(near_dedup._N) < 0.8
+        a = rng.integers(0, 2**16, near_dedup._N).astype(np.uint16)
+        b = np.where(same, a, a ^ 1).astype(np.uint16)
+        kept += len(near_dedup._survive(a[None], b[None], 0.8))
+        low = np.where(rng.random(near_dedup._N) < 0.3, a, a ^ 1).astype(np.uint16)
+        assert len(near_dedup._survive(a[None], low[None], 0.8)) == 0
+    assert kept == 200
+
+
+def test_block_search_is_exact():
+    rng = np.random.default_rng(6)
+    rows = rng.integers(-200, 200, (500, 12))
+    rows[100:160] = rows[0]
+    block = topk.Block(np.arange(500), rows)
+    queries = rng.integers(-200, 200, (20, 12))
+    for q, (at, scores) in zip(queries, block.search(queries, 5)):
+        want = np.lexsort((np.arange(500), -(block.rows @ q)))[:5]
+        best = at[np.lexsort((block.ids[at], -scores))[:5]]
+        assert (block.ids[best] == block.ids[want]).all()
+
+
+def test_block_search_with_huge_values_saturates():
+    rows = np.array([[2**61, 2**61], [1, 1], [-(2**61), 0]])
+    [(at, scores)] = topk.Block(np.arange(3), rows).search(np.array([[2**40, 2**40]]), 2)
+    assert dict(zip(at.tolist(), scores.tolist()))[0] == 2**63 - 1
+
+
+def test_descent_separates():
+    rng = np.random.default_rng(1)
+    y = np.where(rng.random(400) < 0.5, 1, 0)
+    texts = [("good fine nice " if v else "bad!! ugly!! poor!! ") * 3 + " ".join(rng.choice(list("abcdefgh"), 20)) for v in y]
+    rows = list(quality.features(texts))
+    m = quality.fit(rows, y)
+    assert np.mean([(m.score(r) >= 0.5) == v for r, v in zip(rows, y)]) > 0.99
+    assert 0 <= m.score(np.empty(0, np.int64)) <= 1
+
+
+def test_features_do_not_depend_on_neighbours():
+    texts = ["One two three.", "", "a", "x !! y !! z", "of of of of of of of of of"]
+    together = [r.tolist() for r in quality.features(texts)]
+    assert together == [next(quality.features([t])).tolist() for t in texts]
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script></head><body>
+<nav><a href=/x>menu entry</a></nav><div class="ad">buy this now {junk}</div>
+<article><h1>Title &amp; more</h1><p>First   para<b>graph</b>
+text.<br><p>Short.<aside>side</aside><p class="comment">reader</p><form>name <input></form></article>
+<footer>&copy; foot</footer></body></html>"""
+
+
+def test_main_text_of_a_marked_article():
+    assert html_extract.main_text(PAGE) == "Title & more\nFirst paragraph text.\nShort."
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<!-- open", "<script>x", "<<<>>>", "</p></div>", "<a href='", "&#0; &bogus; &amp"])
+def test_main_text_of_broken_pages(page):
+    assert isinstance(html_extract.main_text(page), str)
+
+
+def test_main_text_without_marks_is_between_surge_and_dive():
+    links = "".join(f"<li><a href=#>link number {i}</a></li>" for i in range(9))
+    body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(4))
+    got = html_extract.main_text(f"<body><ul>{links}</ul>{body}<div><a href=#>about</a></div></body>")
+    assert got == "\n".join("word " * 30 + str(i) for i in range(4))
+    assert html_extract.main_text("<p>too short</p>") == ""
+
+
+def test_cut_off_tag_is_no_text():
+    assert html_extract.main_text("<article><p>kept</p><p cla").endswith("kept")
+
+
+def test_long_page_is_linear():
+    page = "<article>" + "<p title=\"open>" * 3000 + "<p>end</article>"
+    assert "end" in html_extract.main_text(page)

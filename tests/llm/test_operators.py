@@ -1,0 +1,414 @@
+"""Operators on Spark: brute force over the smallest tables, and tables of awkward rows."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from phredloom.llm import decontaminate, html_extract, near_dedup, packing, pii, quality, queries, suffix_dedup, token_count, topk, warc
+from phredloom.llm.common import materialize, table
+from phredloom.llm.components import components
+
+DIR = "/root/testdata/sf0.001"
+CLASH = ["row", "key", "n", "sig", "bands", "spans", "a", "b", "h", "pos", "m", "rep", "score", "label", "d", "r", "y", "q", "core", "seg", "match", "id", "bucket", "shard"]
+PARA = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon "
+
+
+def awkward(spark, texts):
+    """documents with extra columns whose names are used inside operators."""
+    rows = [(i, t, None if k % 3 else "en", None, None) for k, (i, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASH:
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = "x1@ " + "word " * 60_000 + "9" * 5000 + " " + "." * 5000 + "1"
+    return awkward(spark, [(1, PARA * 9), (1, PARA * 9), (2, None), (3, ""), (None, PARA * 3), (None, None), (4, long), (5, " \n\t "), (6, "one two"), (7, PARA * 9 + "more")])
+
+
+def docs_of(spark, d=DIR):
+    return table(spark, d, "documents")
+
+
+def test_scratch_tables_are_in_the_shared_folder(spark):
+    got = materialize(spark.range(3))
+    assert got.count() == 3
+    assert spark.conf.get("spark.checkpoint.dir") in got.inputFiles()[0]
+
+
+def test_components(spark):
+    edges = [(5, 9), (9, 2), (2, 7), (10, 11), (3, 3)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {2: 2, 5: 2, 7: 2, 9: 2, 10: 10, 11: 10}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ------------------------------------------------------------ html
+def test_html_on_odd_rows(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>x</p></article>"), (2, None, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = html_extract.extract(df).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "x", 1), (1, "", 0), (2, "", 0), (2, "", 0)]
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_html_equals_a_plain_parser(spark):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag in ("p", "h1", "br"):
+                self.out.append("")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = False
+            if tag in ("p", "h1"):
+                self.out.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.out[-1] += data
+
+    pages = table(spark, DIR, "pages")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    for r in pages.collect():
+        p = Plain()
+        p.feed(r["html"])
+        assert got[r["page_id"]] == "\n".join(t for t in (" ".join(x.split()) for x in p.out) if t)
+
+
+# ------------------------------------------------------------ quality
+def test_quality_held_out_accuracy(spark):
+    docs, labels = docs_of(spark, "/root/testdata/sf0.1"), table(spark, "/root/testdata/sf0.1", "labels")
+    s = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").filter("held_out").toPandas()
+    good, bad = s[s.quality == 1].score.to_numpy(), s[s.quality == 0].score.to_numpy()
+    assert (good[:, None] > bad[None, :]).mean() > 0.99
+    assert (s.predicted == s.quality).mean() > 0.98
+    assert s.score.between(0, 1).all()
+
+
+def test_quality_on_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1, None), (6, 0, 0), (None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    got = quality.score(odd, quality.train(odd, labels)).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    none = quality.score(odd, quality.train(odd, labels.limit(0))).collect()
+    assert {r["score"] for r in none} == {0.5}
+    assert quality.score(odd.limit(0), quality.train(odd.limit(0), labels)).count() == 0
+    assert quality.keep_good(odd, quality.train(odd, labels.limit(0))).columns == odd.columns
+
+
+# ------------------------------------------------------------ packing
+def test_packing_is_whole_and_within_budget(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([None, 0, 5, 5, 9000, 120, 3, -2, 40] * 50)], "doc_id long, n long").withColumn("bucket", F.lit(1))
+    got = packing.pack(df, "doc_id", "n", n_buckets=4, token_budget=500, rows_per_shard=20).toPandas()
+    assert sorted(got.doc_id) == list(range(450)) and (got.padding >= 0).all()
+    for (b, k), g in got.groupby(["bucket", "batch_no"]):
+        assert len(g) <= g.capacity.iloc[0] and sorted(g.slot) == list(range(len(g)))
+        assert len(g) == 1 or g.bucket_len.iloc[0] * len(g) <= 500
+    for _, g in got.groupby("bucket"):
+        assert sorted(set(g.batch_no)) == list(range(g.batch_no.max() + 1))
+        assert len(g) > (g.batch_no.max()) * g.capacity.iloc[0]
+    v, c = np.unique(got.n_tokens, return_counts=True)
+    bounds = packing.boundaries(v, c, v * c, 4)
+    assert got.padding.sum() <= sum(min(b for b in bounds if b >= x) - x for x in got.n_tokens) + 9000 // 2048 * 50 + 50 * 8
+    assert packing.pack(df.limit(0), "doc_id", "n").count() == 0
+
+
+def test_word_tokens(spark, odd):
+    got = odd.select("doc_id", packing.word_tokens(F.col("text")).alias("n"), "text").collect()
+    for r in got:
+        assert r["n"] == len(re.findall(r"[^ \t\n\x0b\f\r]+", r["text"] or ""))
+
+
+# ------------------------------------------------------------ token counts
+def test_token_counts_equal_greedy(spark, odd):
+    pieces = token_count.piece_vocabulary(token_count.default_vocabulary_path())
+    known = set(pieces)
+    docs = docs_of(spark).limit(20).select("doc_id", "text").union(odd.filter("length(text) < 1000 or text is null").select("doc_id", "text"))
+    got = sorted(((r["doc_id"] or -1), r["n_words"], r["n_tokens"], r["n_unknown"]) for r in token_count.count_tokens(docs, pieces).collect())
+    want = []
+    for r in docs.collect():
+        words = re.findall(r"\w+|[^\w\s]", r["text"] or "")
+        sizes = [token_count.greedy_count(w, known) for w in words]
+        want.append((-1 if r["doc_id"] is None else r["doc_id"] or -1, len(words), sum(1 if s < 0 else s for s in sizes), sum(s < 0 for s in sizes)))
+    assert got == sorted(want)
+
+
+# ------------------------------------------------------------ decontamination
+BENCH = ["A train leaves the station at 9 with 120 passengers and Maria counts 15 kg of mail before the bridge.", "short item here", "", None]
+
+
+def test_decontamination_cases(spark, odd):
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(BENCH)], "item_id long, text string").withColumn("h", F.lit(1))
+    texts = [
+        (1, "Intro. " + BENCH[0] + " The end."),
+        (2, BENCH[0].replace("9", "7").replace("120", "88").replace("Maria", "Peter").replace("15", "4")),
+        (3, "A train leaves the station. Nothing else matches the rest of that."),
+        (4, "well short item here again"),
+        (5, BENCH[0].upper()),
+        (6, None),
+        (None, BENCH[0]),
+        (7, BENCH[0].replace("with 120 passengers", "with 33 visitors")),
+    ]
+    docs = awkward(spark, texts)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {k for k in got} >= {(1, 0), (2, 0), (None, 0), (4, 1)}
+    assert not {k for k in got if k[0] in (3, 6)}
+    assert got[2, 0]["reparameterised"] and not got[1, 0]["reparameterised"]
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {3, 6, None} | ({5, 7} - {k[0] for k in got})
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontaminate.contaminated(odd, bench).count() == 0
+
+
+def test_inconsistent_slots_do_not_count(spark):
+    item = "take 5 apples and 5 pears and then 5 plums and again 5 figs from the old basket today"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = awkward(spark, [(1, item.replace("5", "8")), (2, "take 1 apples and 2 pears and then 3 plums and again 4 figs from the old basket today")])
+    got = {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {1}
+
+
+def test_decontamination_equals_brute_force_on_verbatim_items(spark):
+    docs, bench = docs_of(spark), table(spark, DIR, "benchmark")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    norm = lambda s: " ".join(re.sub(r"[^\w\s]", "", s.lower()).split())
+    items = [(r["item_id"], norm(r["text"])) for r in bench.collect()]
+    want = {(r["doc_id"], i) for r in docs.collect() for i, t in items if f" {t} " in f" {norm(r['text'])} "}
+    assert want and want == got
+
+
+# ------------------------------------------------------------ personal data
+KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in KINDS:
+        for m in re.finditer(pattern, text):
+            g = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 13 <= len(g) <= 19 and luhn(g), "phone": 9 <= len(g) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+PERSONAL = [
+    "mail a.b@c.d, x@y, a@b.c_d@e.f.g and é@x.yz @@ q@w.e",
+    "ip 1.2.3.4 300.1.1.1 1.2.3.4.5.6.7.8 0001.2.3.255 12.34 1.2.3",
+    "card 4111 1111 1111 1111, 4111-1111-1111-1112 0000000000000 12 3",
+    "phone +1 (017) 555-7713 +12 +1234567890123456 +49 30 123456 x",
+    "ü" * 5 + " 10.0.0.1+1 555 555 5555 4111111111111111",
+    "",
+    "no data at all",
+]
+
+
+def test_personal_data_equals_plain_expressions(spark, odd):
+    docs = docs_of(spark).select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(PERSONAL)], "doc_id long, text string"))
+    docs = docs.union(odd.select((F.coalesce("doc_id", F.lit(99)) + 20_000), "text"))
+    got = pii.digest(docs).collect()
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    want = sorted((r["doc_id"], ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(r["text"] or ""))) for r in rows)
+    assert sorted((r["doc_id"], ",".join(s for s in r["spans"].split(",") if s and not s.startswith("id:"))) for r in got) == want
+    for r in got:
+        spans = [s for s in r["spans"].split(",") if s]
+        base = [s for s in spans if not s.startswith("id:")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k, _ in KINDS] == [sum(s.startswith(k + ":") for s in base) for k, _ in KINDS]
+
+
+def test_bootstrap_discovers_identifiers_of_trusted_contexts(spark):
+    texts = [(i, f"Note. account owner {n}x please") for i, n in enumerate(["4111111111111111 ", "4012888888881881 ", "5500005555555559 ", "6011000990139424 "])]
+    texts += [(10, "then account owner AB-99817-77 left"), (11, "we saw 2024-11-05 there"), (12, "we saw 2023-11-05 there"), (13, "we saw item-12345 there")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(awkward(spark, texts)).collect()}
+    start = texts[4][1].index("AB-99817-77")
+    assert got[10] == f"id:{start}:{start + 11}"
+    assert not any("id:" in got[i] for i in (11, 12, 13))
+
+
+def test_redaction(spark, odd):
+    docs = awkward(spark, [(1, "x a@b.cd y 1.2.3.4"), (2, None), (3, "clean"), (None, "é +1 (017) 555-7713!"), (1, "x a@b.cd y 1.2.3.4")])
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in got.filter("text is not null").collect()) == [(0, "é [PHONE]!", 10), (1, "x [EMAIL] y [IP]", 16), (1, "x [EMAIL] y [IP]", 16), (3, "clean", None)]
+    assert got.filter("text is null").count() == 1
+    assert pii.redact(docs.limit(0)).count() == 0 and pii.redact(odd).count() == odd.count()
+
+
+# ------------------------------------------------------------ revisits
+def test_revisits(spark):
+    def rec(i, kind, uri, t, etag=None, lm=None, headers=None, digest=None):
+        return (i, kind, uri, t, etag, lm, headers, digest)
+
+    rows = [
+        rec(1, "response", "http://A.com:80/x/?b=2&a=1#f", 10, '"e1"', None, {"content-type": "t", "expires": "1"}, "d1"),
+        rec(2, "response", "https://www.a.com/x?a=1&b=2", 20, '"e2"', "m2", None, "d2"),
+        rec(3, "revisit", "http://a.com/x?a=1&b=2&utm_source=z", 15, 'W/"e1"', None, {"expires": "9", "content-type": "no"}),
+        rec(4, "revisit", "http://a.com/x?b=2&a=1", 30, '"e1"', None, None),
+        rec(5, "revisit", "http://a.com/x?b=2&a=1", 10, '"e1"', None, None),
+        rec(6, "revisit", "http://a.com/x?b=2&a=1", 30, None, "m2", None),
+        rec(7, "revisit", "http://a.com/x?b=2&a=1", 30, None, None, None),
+        rec(8, "revisit", None, 30, None, None, None),
+        rec(9, "revisit", "http://a.com/x?b=2&a=1", None, None, None, None),
+        rec(6, "revisit", "http://a.com/x?b=2&a=1", 30, None, "m2", None),
+        rec(10, "response", "http://a.com/x?b=2&a=1", 20, '"e3"', None, None, "d3"),
+    ]
+    schema = "record_id long, record_type string, uri string, t long, etag string, last_modified string, headers map<string,string>, digest string"
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("t")).withColumn("full", F.lit(1)).withColumn("bucket", F.lit(2))
+    got = sorted((r["record_id"], r["status"], r["response_id"]) for r in warc.resolve_revisits(df).collect())
+    assert got == [(3, "resolved", 1), (4, "mismatch", None), (5, "orphan", None), (6, "unverified", 10), (6, "unverified", 10), (7, "unverified", 10), (8, "orphan", None), (9, "orphan", None)]
+    headers = {r["record_id"]: r["headers"] for r in warc.resolve_revisits(df).collect()}
+    assert headers[3] == {"content-type": "t", "expires": "9"}
+    assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------ repeated strings
+def test_repeats_equal_brute_force(spark):
+    docs = docs_of(spark)
+    check_repeats(docs)
+
+
+def check_repeats(docs):
+    got = suffix_dedup.remove(docs, with_text=True).collect()
+    rows = [(r["doc_id"], (r["text"] or "").encode("utf-8", "surrogatepass")) for r in docs.collect()]
+    want = []
+    for (i, t), gone in zip(rows, suffix_dedup.brute_force([t for _, t in rows]), strict=True):
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        want.append((i is None, i or 0, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(want)
+
+
+def test_repeats_on_odd_rows(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    words = [("".join(rng.choices("abcdeü", k=rng.randint(2, 8)))) for _ in range(400)]
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    passage, texts = make(120), []
+    for i in range(30):
+        texts.append((i, make(rng.randint(0, 80)) + passage + make(rng.randint(0, 80))))
+    for i in range(30, 45):  # near copies
+        p = list(passage)
+        p[rng.randrange(len(p))] = "Z"
+        texts.append((i, "".join(p)))
+    texts += [(50, None), (51, ""), (52, "a" * 1500), (53, "ab" * 300), (None, passage[:450]), (None, passage[:399]), (54, make(300)), (54, texts[0][1]), (0, texts[0][1])]
+    docs = awkward(spark, texts)
+    check_repeats(docs)
+    monkeypatch.setattr(suffix_dedup, "MOST", 4)  # forces halving of buckets
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_KEYS", 0)
+    check_repeats(docs)
+    assert suffix_dedup.remove(docs.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------ top k
+def test_topk_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    rows += [(300 + i, rows[0][1]) for i in range(40)] + [(400, None), (401, [float("nan")] * 6), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [float("inf")] + [0.0] * 5), (404, []), (None, rows[1][1]), (7, rows[7][1]), (405, rows[2][1][:3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit(1)).withColumn("label", F.lit(None))
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    got = topk.search(df, F.col("vec_id") % 50 == 0).collect()
+    good = {i: [int(np.floor(256 * x)) for x in v] + [0] * (6 - len(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for q in (i for i in good if i % 50 == 0):
+        scores = sorted((-int(np.dot(good[q], v)), i) for i, v in good.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+    assert topk.search(df.limit(0), F.lit(True)).count() == 0
+
+
+# ------------------------------------------------------------ near duplicates
+def test_links_equal_brute_force(spark):
+    for words in (4, 5):
+        docs = docs_of(spark)
+        got = {r["doc_id"]: r for r in near_dedup.link(docs, words, 80).collect()}
+        want = near_dedup.exact_components({r["doc_id"]: r["text"] for r in docs.collect()}, words, 80)
+        assert {i: r["component_id"] for i, r in got.items()} == want
+        assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_links_on_odd_rows_and_large_groups(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):  # a chain of near copies: neighbours link, ends do not
+        texts.append((i, " ".join(base)))
+        for _ in range(2):
+            base[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+    common = " ".join(f"c{i}" for i in range(60))
+    texts += [(100 + i, common + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for i in range(40)]
+    texts += [(200 + i, "same text in all of these rows") for i in range(20)] + [(300, "a b"), (301, "A\tB"), (302, "a b c"), (303, None), (304, ""), (305, " \n"), (None, "a b"), (306, "x" * 200_000)]
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    docs = awkward(spark, texts)
+    got = near_dedup.link(docs, 4, 80).collect()
+    assert len(got) == len(texts)
+    want = near_dedup.exact_components({i: t or "" for i, t in texts if i is not None}, 4, 80)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
+    assert {r["doc_id"] for r in got if r["n_shingles"] == 0} == {303, 304, 305}
+    kept = near_dedup.keep_first(docs, 4, 80)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(want.values()))
+    assert near_dedup.link(docs.limit(0)).count() == 0
+    twice = near_dedup.keep_first(docs.union(docs.filter("doc_id = 300")), 4, 80)
+    assert twice.filter("doc_id = 300").count() == 1
+
+
+# ------------------------------------------------------------ pipeline and registration
+def test_pipeline_stages(spark, tmp_path):
+    docs = docs_of(spark)
+    before = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, before, DIR)
+        out.write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        if k < 4:
+            assert after.columns == docs.columns and dict(after.dtypes) == dict(docs.dtypes)
+        if name == "quality":
+            m = quality.train(before, table(spark, DIR, "labels"))
+            want = {r["doc_id"] for r in quality.score(before, m).filter("predicted = 1").collect()}
+            assert {r["doc_id"] for r in after.collect()} == want
+        if name == "near_duplicates":
+            want = set(near_dedup.exact_components({r["doc_id"]: r["text"] for r in before.collect()}, 5, 80).values())
+            assert {r["doc_id"] for r in after.collect()} == want
+        if name == "personal_data":
+            assert not [r["doc_id"] for r in after.collect() if base_spans(r["text"])]
+            assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
+        before = after
+    assert before.count() == spark.read.parquet(str(tmp_path / "personal_data")).count()
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, odd, stage):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    assert stage(spark, docs, DIR).count() <= docs.count()
+    assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_all_queries_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+    assert set(queries.oracle_sql()) <= set(queries.queries())
