@@ -28,12 +28,16 @@ def impute(df: DataFrame, cols: list[str], by: str = "category", chunk_rows: int
 
 def varying_columns(df: DataFrame, cols: list[str]) -> list[str]:
     """Columns with more than one value: one aggregate of minima and maxima."""
+    if not cols:
+        return []
     row = df.agg(*(F.min(c).alias(f"a{i}") for i, c in enumerate(cols)), *(F.max(c).alias(f"b{i}") for i, c in enumerate(cols))).first()
     return [c for i, c in enumerate(cols) if row[f"a{i}"] is not None and row[f"a{i}"] != row[f"b{i}"]]
 
 
 def duplicate_columns(df: DataFrame, cols: list[str]) -> set[str]:
     """Columns equal to an earlier one in every row. Only columns of equal signature are compared in full."""
+    if len(cols) < 2:
+        return set()
     sig = df.agg(*(F.struct(F.min(c), F.max(c), F.count(c), F.bit_xor(F.xxhash64(F.col(c)))).alias(c) for c in cols)).first()
     alike = [(x, y) for x, y in itertools.combinations(cols, 2) if sig[x] == sig[y]]
     if not alike:

@@ -36,8 +36,8 @@ def fields(lines: DataFrame) -> DataFrame:
     t = lines.filter(~F.col("is_header")).withColumn("_f", f)
     col = lambda i: F.get("_f", F.lit(i))
     return t.select(
-        "file", "line", col(0).alias("qname"), col(1).cast("int").alias("flag"), col(2).alias("rname"), col(3).cast("long").alias("pos"), col(4).cast("int").alias("mapq"),
-        col(5).alias("cigar"), col(6).alias("rnext"), col(7).cast("int").alias("pnext"), col(9).alias("seq"), F.length(col(9)).alias("len"), col(10).alias("qual"),
+        "file", "line", col(0).alias("qname"), col(1).try_cast("int").alias("flag"), col(2).alias("rname"), col(3).try_cast("long").alias("pos"), col(4).try_cast("int").alias("mapq"),
+        col(5).alias("cigar"), col(6).alias("rnext"), col(7).try_cast("int").alias("pnext"), col(9).alias("seq"), F.length(col(9)).alias("len"), col(10).alias("qual"),
         F.slice("_f", F.lit(12), F.greatest(F.lit(0), F.size("_f") - 11)).alias("tags"),
     )
 
