@@ -126,3 +126,14 @@ def paired_templates(pairs: DataFrame, most: int = 100_000) -> DataFrame:
     return pairs.select(
         "category", F.col("a1.file").alias("file"), F.col("a1.line").alias("line"), (F.col("a1.best_score") + F.col("a2.best_score")).alias("score_12"), mate("a1").alias("m1"), mate("a2").alias("m2"), upstream.alias("upstream1"), pair_fragment(most).alias("fraglen"),
     )
+
+
+def template_rows(templates: DataFrame) -> DataFrame:
+    """Templates with the two mates' fields side by side, for a CSV sink."""
+    flat = []
+    for name, kind in templates.dtypes:
+        if kind.startswith("struct"):
+            flat += [F.col(f"{name}.{f.name}").alias(f"{name}_{f.name}") for f in templates.schema[name].dataType.fields]
+        else:
+            flat.append(F.col(name))
+    return templates.select(*flat)

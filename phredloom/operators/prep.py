@@ -86,11 +86,24 @@ def sample_order(seed: int, *ids: str):
 
 
 def subsample(df: DataFrame, fraction: float, seed: int, ids: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Exactly round(n * fraction) rows, those of the smallest seeded hash."""
+    """Exactly round(n * fraction) rows, those of the smallest seeded hash.
+
+    Counts by the first four digits of the hash (65,536 at most) tell which
+    rows are in for certain; only the digits at the limit are sorted.
+    """
     if fraction >= 1:
         return df
-    k = round(df.count() * fraction)
-    return df.orderBy(sample_order(seed, *ids), *ids).limit(k)
+    d = df.withColumn("_h", sample_order(seed, *ids)).withColumn("_p", F.substring("_h", 1, 4))
+    counts = sorted((r["_p"], r["count"]) for r in d.groupBy("_p").count().collect())
+    left = round(sum(n for _, n in counts) * fraction)
+    edge = ""
+    for edge, n in counts:
+        if n > left:
+            break
+        left -= n
+    else:
+        return df
+    return d.filter(F.col("_p") < edge).unionByName(d.filter(F.col("_p") == edge).orderBy("_h", *ids).limit(left)).select(*df.columns)
 
 
 def reservoir(df: DataFrame, k: int, seed: int, by: str = "category", ids: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phredloom.functions import tags
+from phredloom.operators.pairing import template_rows
 
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
@@ -58,3 +59,8 @@ def interleave(one: DataFrame, two: DataFrame) -> DataFrame:
         return df.select("ordinal", F.lit(mate).alias("mate"), name.alias("name"), "seq", "qual")
 
     return marked(one, 1).unionByName(marked(two, 2)).orderBy("ordinal", "mate")
+
+
+def write_templates(templates: DataFrame, path: str) -> None:
+    """Templates as CSV text, one folder."""
+    template_rows(templates).write.mode("overwrite").csv(path, header=True)

@@ -6,7 +6,7 @@ the same reads.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phredloom.functions.bases import reverse_complement
@@ -39,26 +39,26 @@ def usable_chunks(chunks: DataFrame, overlap: int, most_n: float = 0.9) -> DataF
 
 
 def allocate(chunks: DataFrame, targets: DataFrame, overlap: int) -> DataFrame:
-    """``category``, chunk columns, ``n_reads``: each category's target shared by length.
+    """``category``, chunk columns, ``first``, ``n_reads``: each category's target shared by length.
 
-    Every read is dealt by its number: the share of the running total of start
-    places before and after the chunk, floored, so the shares add up to the
-    target exactly.
+    Chunks stand in a fixed order (three hash digits of the sequence's name,
+    name, offset). A chunk gets the target times the share of start places up
+    to its end, floored, less the same up to its start: the shares add up to
+    the target exactly. Running totals are kept inside the 4,096 values of the
+    hash digits, and shifted by the totals of earlier values.
     """
-    from pyspark.sql import Window
-
-    places = F.greatest(F.col("retsz") - overlap + 1, F.lit(0))
-    order = Window.partitionBy("refid").orderBy("refoff").rowsBetween(Window.unboundedPreceding, -1)
-    c = chunks.withColumn("places", places).withColumn("_in", F.coalesce(F.sum("places").over(order), F.lit(0)))
-    per_ref = c.groupBy("refid").agg(F.sum("places").alias("_ref"))
-    before = Window.orderBy("refid").rowsBetween(Window.unboundedPreceding, -1)  # one row a sequence
-    per_ref = per_ref.select("refid", F.coalesce(F.sum("_ref").over(before), F.lit(0)).alias("_start"))
+    c = chunks.withColumn("_g", F.substring(F.md5("refid"), 1, 3)).withColumn("places", F.greatest(F.col("retsz") - overlap + 1, F.lit(0)).cast("long"))
+    within = Window.partitionBy("_g").orderBy("refid", "refoff").rowsBetween(Window.unboundedPreceding, -1)
+    groups = c.groupBy("_g").agg(F.sum("places").alias("_sum"))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 rows
+    groups = groups.select("_g", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     total = c.agg(F.sum("places").alias("_total"))
-    dealt = c.join(per_ref, "refid").withColumn("_before", F.col("_start") + F.col("_in"))
-    # one total, and at most one target a category
-    dealt = dealt.join(F.broadcast(total)).withColumn("_t", F.explode(F.array(*[F.struct(F.lit(r["category"]).alias("category"), F.lit(r["target"]).cast("long").alias("target")) for r in targets.collect()])))
-    lo = F.floor(F.col("_t.target") * F.col("_before") / F.col("_total"))
-    hi = F.floor(F.col("_t.target") * (F.col("_before") + F.col("places")) / F.col("_total"))
+    asked = targets.agg(F.collect_list(F.struct("category", "target")).alias("_asked"))  # one row a category
+    dealt = c.withColumn("_in", F.coalesce(F.sum("places").over(within), F.lit(0))).join(F.broadcast(groups), "_g")
+    dealt = dealt.join(F.broadcast(total)).join(F.broadcast(asked)).withColumn("_t", F.explode("_asked"))  # one row each
+    start = F.col("_start") + F.col("_in")
+    lo = F.floor(F.col("_t.target") * start / F.col("_total"))
+    hi = F.floor(F.col("_t.target") * (start + F.col("places")) / F.col("_total"))
     return dealt.select(F.col("_t.category").alias("category"), *chunks.columns, lo.alias("first"), (hi - lo).alias("n_reads")).filter("n_reads > 0")
 
 

@@ -374,7 +374,7 @@ def _doc_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_CHUNKS},
 pl AS (SELECT refid, refoff, greatest(length(piece) - 64 + 1, 0) AS places FROM ch),
-b AS (SELECT *, coalesce(sum(places) OVER (ORDER BY refid, refoff ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, sum(places) OVER () AS total FROM pl),
+b AS (SELECT *, coalesce(sum(places) OVER (ORDER BY substr(md5(refid), 1, 3), refid, refoff ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, sum(places) OVER () AS total FROM pl),
 t AS (SELECT 'u' AS category, 5000 AS target UNION ALL SELECT 'c', 777)
 SELECT category, refid, refoff, CAST(floor(CAST(target * bf AS DOUBLE) / CAST(total AS DOUBLE)) AS BIGINT) AS "first", CAST(floor(CAST(target * (bf + places) AS DOUBLE) / CAST(total AS DOUBLE)) - floor(CAST(target * bf AS DOUBLE) / CAST(total AS DOUBLE)) AS BIGINT) AS n_reads
 FROM b, t WHERE floor(CAST(target * (bf + places) AS DOUBLE) / CAST(total AS DOUBLE)) > floor(CAST(target * bf AS DOUBLE) / CAST(total AS DOUBLE))""")

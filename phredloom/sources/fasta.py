@@ -26,17 +26,28 @@ def chunks_of(records: DataFrame, chunk: int = CHUNK, overlap: int = 0) -> DataF
 
 
 def lines_with_offsets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Sequence lines with their record and offset in it. The window runs per file over line lengths only."""
-    lines = numbered_lines(spark, paths).withColumn("raw", F.trim("raw")).filter("raw <> ''")
+    """Sequence lines with their record and offset in it.
+
+    Running sums of line lengths are kept per file block; the totals of earlier
+    blocks, and the record that is open where a block starts, come from one
+    summary row a block. So no task holds a file.
+    """
+    lines = numbered_lines(spark, paths, with_block=True).withColumn("raw", F.trim("raw")).filter("raw <> ''")
     header = F.col("raw").startswith(">")
-    along = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.select(
-        "file", "line", "raw", F.last(F.when(header, F.substring("raw", 2, 2147483647)), ignorenulls=True).over(along).alias("refid_full"),
-        F.last(F.when(header, F.col("line")), ignorenulls=True).over(along).alias("record"), F.sum(F.when(header, 0).otherwise(F.length("raw"))).over(along).alias("end"),
-    )
-    first = F.first("end").over(Window.partitionBy("file", "record").orderBy("line"))
-    return marked.withColumn("start", first).filter(~header & F.col("record").isNotNull()).select(
-        "file", "record", "refid_full", F.regexp_extract("refid_full", r"^(\S*)", 1).alias("refid"), (F.col("end") - F.col("start") - F.length("raw")).alias("off"), "raw"
+    along = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    inside = lines.select("file", "block", "line", "raw", header.alias("header"), F.sum(F.when(header, 0).otherwise(F.length("raw"))).over(along).alias("end"))
+    opened = F.when(F.col("header"), F.struct(F.col("line").alias("record"), F.substring("raw", 2, 2147483647).alias("refid_full"), F.col("end").alias("at")))
+    inside = inside.withColumn("open", F.last(opened, ignorenulls=True).over(along))
+    last = inside.groupBy("file", "block").agg(F.max("end").alias("total"), F.max_by("open", "line").alias("open"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    placed = F.when(F.col("open").isNotNull(), F.struct("open.record", "open.refid_full", (F.col("start") + F.col("open.at")).alias("at")))
+    carried = last.withColumn("placed", placed).select("file", "block", "start", F.last("placed", ignorenulls=True).over(before).alias("carry"))
+    out = inside.join(carried, ["file", "block"]).filter(~F.col("header"))
+    own = F.when(F.col("open").isNotNull(), F.struct("open.record", "open.refid_full", (F.col("start") + F.col("open.at")).alias("at"))).otherwise(F.col("carry"))
+    out = out.withColumn("r", own).filter("r is not null")
+    return out.select(
+        "file", "r.record", "r.refid_full", F.regexp_extract("r.refid_full", r"^(\S*)", 1).alias("refid"), (F.col("start") + F.col("end") - F.length("raw") - F.col("r.at")).alias("off"), "raw"
     )
 
 

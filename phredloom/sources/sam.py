@@ -9,8 +9,8 @@ from phredloom.functions import cigar as C
 from phredloom.functions import flags, readnames, tags
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file``, ``line`` (from 1 in each file), ``raw``: without gathering a file anywhere.
+def numbered_lines(spark: SparkSession, paths: str | list[str], with_block: bool = False) -> DataFrame:
+    """``file``, ``line`` (from 1 in each file), ``raw`` (and ``block``, the start of the file block): without gathering a file anywhere.
 
     Lines are counted per file block; a block's offset is the running sum of the
     counts before it. Rows of a block are consecutive in one task, so the row id
@@ -22,7 +22,8 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return raw.join(offsets, ["file", "block"]).select("file", (F.col("m") - F.col("first") + F.col("offset") + 1).alias("line"), "raw")
+    kept = ["file", "block"] if with_block else ["file"]
+    return raw.join(offsets, ["file", "block"]).select(*kept, (F.col("m") - F.col("first") + F.col("offset") + 1).alias("line"), "raw")
 
 
 def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -89,6 +89,31 @@ def test_fasta_chunks(spark, tmp_path):
     assert fasta.size_estimate(spark, [str(tmp_path / "a.fa")]).first()["bytes"] == os.path.getsize(tmp_path / "a.fa")
 
 
+def test_fasta_over_blocks(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    seqs = {f"r{i}": "".join(rng.choices("ACGT", k=rng.randint(0, 900))) for i in range(40)}
+    (tmp_path / "x.fa").write_text("".join(f">{n} d\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) for n, s in seqs.items()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = fasta.read_fasta(spark, str(tmp_path / "x.fa"), chunk=100, overlap=20).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {r["refid"] for r in got} == {n for n, s in seqs.items() if s}
+    for r in got:
+        assert r["seq"] == seqs[r["refid"]][r["refoff"] : r["refoff"] + 100]
+    for n, s in seqs.items():
+        assert sorted(r["refoff"] for r in got if r["refid"] == n) == [k for k in range(0, len(s), 80) if k == 0 or k + 20 < len(s)]
+
+
+def test_templates_sink(spark, tmp_path):
+    t = spark.createDataFrame([("c", (1, "I"), 5)], "category string, m1 struct<score:int,qual:string>, fraglen long")
+    rewrite.write_templates(t, str(tmp_path / "t"))
+    assert spark.read.csv(str(tmp_path / "t"), header=True).columns == ["category", "m1_score", "m1_qual", "fraglen"]
+
+
 def test_line_numbers_over_blocks(spark, tmp_path):
     for name in "ab":
         (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(1, 3001)))
