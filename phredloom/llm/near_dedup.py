@@ -8,8 +8,10 @@ band bucket are candidates:
 1. each member of a bucket is compared with the bucket's smallest member (a
    number of pairs linear in the bucket);
 2. once the links found so far are joined to components, buckets that still
-   hold several components have their cross-component pairs compared, in
-   blocks of bounded size whatever the bucket's size.
+   hold several components are compared inside blocks of bounded size, whatever
+   the bucket's size: first the member nearest to the block's commonest hashes
+   with all, then what is still apart. A task returns the links that join
+   components, not pairs.
 
 A comparison goes through the signatures batch by batch. With a uniform prior,
 the posterior chance that the similarity reaches the threshold is a binomial
@@ -23,8 +25,9 @@ A pair at the threshold itself meets in no band with chance
 Defined results: texts without words have an empty set and link to nothing;
 fewer words than a shingle make one shingle of all; null texts count as empty;
 a null doc_id is linked with nothing and has component null, kept true; rows
-with equal doc_id and different texts are linked each for itself; repeated rows
-are one class; an empty table gives no rows.
+with equal doc_id and different texts are linked each for itself, except that
+texts whose classes have the same smallest doc_id share its links; repeated
+rows are one class; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,14 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredloom.llm.bytescan import chunks, mix, runs
-from phredloom.llm.common import documents, materialize
+from phredloom.llm.common import documents, materialize, small
 from phredloom.llm.components import components
 
 BANDS = 28
 ROWS = 4
 BATCH = 16
 MISS = 1e-7
-BLOCK = 2048
+BLOCK = 1024
+BROADCAST_IDS = 1_000_000
 _N = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 2**64, _N, dtype=np.uint64)
@@ -161,50 +165,88 @@ def _prune(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").filter(near).select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``id``, ``s``: the whole set of each of the ids. Their keys are broadcast while few, so that other texts do not move."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["doc_id"], "s": [s.tobytes() for s in shingle_sets(b["text"].tolist(), words)]})
 
+    ids = materialize(ids.distinct())
+    texts = documents(docs).join(small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
+    return materialize(texts.mapInPandas(run, "id long, s binary").dropDuplicates(["id", "s"]))
+
+
+def _linked(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    n = int((both[1:] == both[:-1]).sum())
+    return 100 * n >= percent * (len(x) + len(y) - n)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            keep = []
-            for x, y in zip(p["sa"], p["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield p.loc[keep, ["a", "b"]]
-
-    texts = documents(docs).join(ids, "doc_id", "left_semi")
-    full = materialize(texts.mapInPandas(sets, "id long, s binary").dropDuplicates(["id", "s"]))
+            yield p.loc[[_linked(x, y, percent) for x, y in zip(p["sa"], p["sb"], strict=True)], ["a", "b"]]
+
+    full = _full_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, words)
     joined = pairs.join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     return joined.mapInPandas(compare, "a long, b long").distinct()
 
 
-def _cross_component(members: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of different components inside each bucket block; members: k, i, j, rep, n, c, sig."""
-
-    def block(g: pd.DataFrame) -> list[tuple[int, int]]:
-        sig, rep, n, c = _matrix(g["sig"]), g["rep"].to_numpy(), g["n"].to_numpy(), g["c"].to_numpy()
-        left, right = (g["own"] == g["i"]).to_numpy(), (g["own"] == g["j"]).to_numpy()
-        out = []
-        for x in np.flatnonzero(left).tolist():
-            y = np.flatnonzero(right & (c != c[x]) & (rep > rep[x] if g["i"].iloc[0] == g["j"].iloc[0] else rep != rep[x]))
-            y = y[np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-6]
-            if len(y):
-                y = y[_survive(np.broadcast_to(sig[x], (len(y), _N)), sig[y], threshold)]
-                out += [(min(int(rep[x]), r), max(int(rep[x]), r)) for r in rep[y].tolist()]
-        return out
+class _Block:
+    """Members of one bucket block: links across components, each found once, without listing pairs."""
+
+    def __init__(self, g: pd.DataFrame, threshold: float, percent: int):
+        self.key, self.threshold, self.percent = g["k"].iloc[0], threshold, percent
+        self.sig, self.rep, self.n, self.sets = _matrix(g["sig"]), g["rep"].to_numpy(), g["n"].to_numpy(), g["s"].tolist()
+        self.bands = np.frombuffer(b"".join(g["bands"]), np.int64).reshape(len(g), BANDS)
+        self.root = g["c"].to_numpy().copy()
+        self.left, self.right = ((g["own"] == g[x]).to_numpy() for x in ("i", "j"))
+        self.links: list[tuple[int, int]] = []
+
+    def compare(self, x: int, ys: np.ndarray) -> None:
+        """Verify x against ys, the most similar first; members that a link has joined to x are passed over."""
+        ys = ys[(self.root[ys] != self.root[x]) & (np.minimum(self.n[ys], self.n[x]) >= self.threshold * np.maximum(self.n[ys], self.n[x]) - 1e-6)]
+        if not len(ys):
+            return
+        ys = ys[_survive(np.broadcast_to(self.sig[x], (len(ys), _N)), self.sig[ys], self.threshold)]
+        for y in ys[np.argsort(-(self.sig[ys] == self.sig[x]).sum(axis=1), kind="stable")].tolist():
+            if self.root[x] != self.root[y] and _linked(self.sets[x], self.sets[y], self.percent):
+                self.links.append((min(int(self.rep[x]), int(self.rep[y])), max(int(self.rep[x]), int(self.rep[y]))))
+                self.root[self.root == self.root[y]] = self.root[x]
+
+    def run(self) -> list[tuple[int, int]]:
+        members = np.flatnonzero(self.left | self.right)
+        # the member nearest to the commonest value of each hash joins most of a group at once
+        ordered = np.sort(self.sig[members], axis=0)
+        runs_ = np.zeros(ordered.shape, dtype=np.int64)
+        for i in range(1, len(ordered)):
+            runs_[i] = np.where(ordered[i] == ordered[i - 1], runs_[i - 1] + 1, 0)
+        common = ordered[runs_.argmax(axis=0), np.arange(_N)]
+        self.compare(int(members[(self.sig[members] == common).sum(axis=1).argmax()]), members)
+        same = bool((self.left == self.right).all())
+        for x in np.flatnonzero(self.left).tolist():
+            ys = np.flatnonzero(self.right & (self.root != self.root[x]))
+            ys = ys[ys > x] if same else ys
+            if len(ys):  # a pair that shares an earlier bucket is dealt with there
+                ys = ys[self.bands[x, (self.bands[ys] == self.bands[x]).argmax(axis=1)] == self.key]
+                self.compare(x, ys)
+        return self.links
+
+
+def _cross_component(members: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links between different components inside each bucket block; members: k, i, j, own, rep, n, c, sig, bands, s."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # rows of the block that has not ended yet
 
         def ended(rows: pd.DataFrame) -> pd.DataFrame:
-            pairs = {p for _, g in rows.groupby(["k", "i", "j"], sort=False) for p in block(g)}
-            return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype="int64")
+            links = {p for _, g in rows.groupby(["k", "i", "j"], sort=False) for p in _Block(g, threshold, percent).run()}
+            return pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
 
         for b in batches:
             if not len(b):
@@ -223,6 +265,14 @@ def _cross_component(members: DataFrame, threshold: float) -> DataFrame:
     return members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "a long, b long")
 
 
+def _same_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keeps, of rows that share a doc_id, the set that the representative stands for; bands as bytes."""
+    for p in batches:
+        ok = [xxhash.xxh3_128_digest(s) == key for s, key in zip(p["s"], p["key"], strict=True)]
+        p = p.loc[ok]
+        yield pd.DataFrame({"rep": p["rep"], "sig": p["sig"], "bands": [np.asarray(b, np.int64).tobytes() for b in p["bands"]], "s": p["s"]})
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row."""
     threshold = percent / 100
@@ -246,12 +296,13 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     members = labelled.join(open_, "k", "left_semi").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c")
-    members = members.join(reps.select("rep", "sig"), "rep")
-    more = materialize(_cross_component(members, threshold).distinct())
+    members = materialize(members)
+    full = _full_sets(members.select(F.col("rep").alias("doc_id")), docs, words)
+    own_sets = reps.select("rep", "key", "sig", "bands").join(full.withColumnRenamed("id", "rep"), "rep")
+    packed = own_sets.mapInPandas(_same_key, "rep long, sig binary, bands binary, s binary")
+    more = materialize(_cross_component(members.join(packed, "rep"), threshold, percent))
     if more.limit(1).count():
-        again = materialize(_verify(more, docs, words, percent))
-        if again.limit(1).count():
-            found = components(links.union(again))
+        found = components(links.union(more))
 
     classes = reps.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     classes = classes.select(F.col("key").alias("_k"), F.coalesce("component", "rep").alias("component"))
