@@ -108,10 +108,28 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' ')) END) AS s
+  FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b WHERE 100 * n >= 80 * (len(ga.s) + len(gb.s) - n)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT t.b, r.root FROM r JOIN t ON r.doc_id = t.a),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, g.doc_id = component_id AS kept FROM g JOIN m ON g.doc_id = m.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     own = globals()
     return {name: own[name] for name in sorted(own) if name.startswith("op") and "_" in name and callable(own[name])}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_revisits": OP7_SQL, "op9_topk": OP9_SQL}
+    return {"op7_revisits": OP7_SQL, "op9_topk": OP9_SQL, "op10_near_dedup": OP10_SQL}
