@@ -138,5 +138,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in no contaminated pair; rows without a doc_id go by themselves (kept)."""
-    bad = contaminated(docs, benchmark).select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = materialize(contaminated(docs, benchmark).select("doc_id").filter("doc_id is not null").distinct())
+    return docs.join(small(bad, bad.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)

@@ -37,12 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredloom.llm.bytescan import chunks, mix, runs
-from phredloom.llm.common import documents, materialize, small
+from phredloom.llm.common import documents, materialize, slices, small, tidy
 from phredloom.llm.components import components
 
 BANDS = 28
@@ -128,10 +129,10 @@ def _survive(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 def signed(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id``, ``n`` (set size), ``key`` (digest of the set), ``bands``, ``sig`` (16 bits a hash)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
             n, keys, bands, sigs = [], [], [], []
-            for s in shingle_sets(b["text"].tolist(), words):
+            for s in shingle_sets(b.column("text").to_pylist(), words):
                 n.append(len(s))
                 if not len(s):
                     keys.append(None), bands.append(None), sigs.append(None)
@@ -140,10 +141,11 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(band_keys(sig))
                 sigs.append((sig >> np.uint64(40)).astype(np.uint16).tobytes())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "key": keys, "bands": bands, "sig": sigs})
+            columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "bands", "sig"])
 
     rows = documents(docs).selectExpr("cast(doc_id as string) doc_id", "text")
-    out = rows.mapInPandas(run, "doc_id string, n long, key binary, bands array<long>, sig binary")
+    out = rows.mapInArrow(tidy(run), "doc_id string, n long, key binary, bands array<long>, sig binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -162,19 +164,20 @@ def _prune(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     a = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     b = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6
-    return pairs.join(b, "b").join(a, "a").filter(near).select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").filter(near).select("a", "b", "sig_a", "sig_b").mapInPandas(tidy(run), "a long, b long")
 
 
 def _full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """``id``, ``s``: the whole set of each of the ids. Their keys are broadcast while few, so that other texts do not move."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "s": [s.tobytes() for s in shingle_sets(b["text"].tolist(), words)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["id", "s"])
 
     ids = materialize(ids.distinct())
     texts = documents(docs).join(small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    return materialize(texts.mapInPandas(run, "id long, s binary").dropDuplicates(["id", "s"]))
+    return materialize(texts.mapInArrow(tidy(run), "id long, s binary").dropDuplicates(["id", "s"]))
 
 
 def _linked(x: bytes, y: bytes, percent: int) -> bool:
@@ -194,7 +197,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
     full = _full_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, words)
     joined = pairs.join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return joined.mapInPandas(compare, "a long, b long").distinct()
+    return joined.mapInPandas(tidy(compare), "a long, b long").distinct()
 
 
 class _Block:
@@ -262,7 +265,7 @@ def _cross_component(members: DataFrame, threshold: float, percent: int) -> Data
         if held:
             yield ended(pd.concat(held))
 
-    return members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(run, "a long, b long")
+    return members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(tidy(run), "a long, b long")
 
 
 def _same_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,7 +302,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     members = materialize(members)
     full = _full_sets(members.select(F.col("rep").alias("doc_id")), docs, words)
     own_sets = reps.select("rep", "key", "sig", "bands").join(full.withColumnRenamed("id", "rep"), "rep")
-    packed = own_sets.mapInPandas(_same_key, "rep long, sig binary, bands binary, s binary")
+    packed = own_sets.mapInPandas(tidy(_same_key), "rep long, sig binary, bands binary, s binary")
     more = materialize(_cross_component(members.join(packed, "rep"), threshold, percent))
     if more.limit(1).count():
         found = components(links.union(more))
@@ -315,7 +318,8 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` for each component (that of the smallest doc_id), with all columns; rows without a doc_id stay."""
     linked = materialize(link(docs, words, percent))
     keep = linked.filter("kept and doc_id is not null").select("doc_id")
-    out = docs.join(keep.distinct(), "doc_id", "left_semi")
+    ids = materialize(keep.distinct())
+    out = docs.join(small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
     if keep.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated ids
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phredloom.llm.common import documents, materialize
+from phredloom.llm.common import documents, materialize, small
 
 # The kinds in order, and the base expressions (in linear-time form).
 KINDS = ["email", "ip", "card", "phone", "id"]
@@ -36,6 +36,7 @@ _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])?"
 ROUNDS = 3
 LEAST_CONFIDENCE = 0.7
 LEAST_SEEDS = 3
+BROADCAST_SPANS = 500_000
 
 
 def _left_words(gap: Column) -> Column:
@@ -162,7 +163,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in square brackets, and ``n_chars`` made to fit. Overlapping spans become one."""
     s = spans(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__pii_d"), F.col("row").alias("__pii_r"), "spans")
     by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    s = s.select("__pii_d", "__pii_r", by_start.alias("__pii_s"))
+    s = materialize(s.select("__pii_d", "__pii_r", by_start.alias("__pii_s")))
+    s = small(s, s.agg(F.coalesce(F.sum(F.size("__pii_s")), F.lit(0))).first()[0], BROADCAST_SPANS)
     row = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     joined = docs.withColumn("__pii_row", row).join(s, (F.col("__pii_row") == F.col("__pii_r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__pii_d")), "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))

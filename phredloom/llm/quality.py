@@ -24,12 +24,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phredloom.llm.bytescan import chunks, mix, runs
-from phredloom.llm.common import crc_mod, documents
+from phredloom.llm.common import crc_mod, documents, slices, tidy
 
 BITS = 16
 SAMPLE = 8000
@@ -196,13 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y is not null")
     picked = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", "y"), "doc_id", "y").limit(sample)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "r": [r.astype(np.int32).tobytes() for r in features(b["text"].tolist())]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            r = [r.astype(np.int32).tobytes() for r in features(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(r, pa.binary())], ["doc_id", "y", "r"])
 
     # a bounded side: at most ``sample`` rows of two numbers
     joined = documents(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
-    got = joined.mapInPandas(run, "doc_id long, y int, r binary").collect()
+    got = joined.mapInArrow(tidy(run), "doc_id long, y int, r binary").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["y"], bytes(r["r"])))
     got = got[:sample]
     return fit([np.frombuffer(r["r"], np.int32).astype(np.int64) for r in got], np.array([r["y"] for r in got], dtype=np.int64))
@@ -212,13 +213,14 @@ def score(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": [m.score(r) for r in features(b["text"].tolist())]})
+        for b in slices(batches):
+            score = [m.score(r) for r in features(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     rows = documents(docs).selectExpr("cast(doc_id as string) doc_id", "text")
-    got = rows.mapInPandas(run, "doc_id string, score double").select(F.col("doc_id").cast("long").alias("doc_id"), "score")
+    got = rows.mapInArrow(tidy(run), "doc_id string, score double").select(F.col("doc_id").cast("long").alias("doc_id"), "score")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
@@ -226,12 +228,10 @@ def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFram
     """The rows of ``docs`` with all their columns whose score reaches ``accept``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             keep = [m.score(r) >= accept for r in features([t or "" for t in b.column("text").to_pylist()])]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
