@@ -3,7 +3,9 @@
 Numbers, names and units of a text become typed placeholders, punctuation and
 case go, and what is left is a token template that stays aligned with the raw
 tokens. Windows of ``WINDOW`` template tokens of documents are hash-joined to
-those of benchmark items. Windows that hold placeholders are then checked: along
+those of benchmark items. Whether a word counts as a name depends on what stands
+before it, so windows with names are also joined with their names as plain
+words: a copy is found whatever precedes it. Windows that hold placeholders are then checked: along
 one alignment (document position minus item position), a benchmark slot value
 must always stand for the same document value; alignments that break this do
 not count. So a question asked again with other numbers or names is found, and
@@ -53,9 +55,9 @@ def raw_tokens(text: Column) -> Column:
     return _tokens(_clean(text))
 
 
-def template(text: Column) -> Column:
-    """Lower-case tokens with numbers, names (capitalised inside a sentence) and units replaced by placeholders."""
-    named = F.regexp_replace(_clean(text), r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
+def template(text: Column, names: bool = True) -> Column:
+    """Lower-case tokens with numbers, units and (if ``names``) names, capitalised inside a sentence, replaced by placeholders."""
+    named = F.regexp_replace(_clean(text), r"(?<=[\p{Ll},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME) if names else _clean(text)
     numbered = F.regexp_replace(named, r"[+-]?\p{Nd}[\p{Nd}.,:/]*", NUMBER)
     unit = F.regexp_replace(numbered, rf"({NUMBER}\s?)(?:{'|'.join(UNITS)})(?!\p{{L}})", f"$1{UNIT}")
     return _tokens(F.lower(F.when(text.rlike(r"\p{Nd}"), unit).otherwise(named)))
@@ -65,23 +67,39 @@ def _windows(tokens: Column, hashes: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice(hashes, i, n))))
 
 
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
+
+
+def _places(n: int) -> Column:
+    """(pos, h) of every window of ``t``, and of every window of ``u`` that differs from it by a name."""
+
+    def at(hashes: str, starts: Column) -> Column:
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.lit(n), F.slice(hashes, i, n)).alias("h")))
+
+    starts = F.sequence(F.lit(1), F.size("th") - n + 1)
+    named = F.filter(starts, lambda i: F.slice("th", i, n) != F.slice("uh", i, n))
+    return F.when(F.size("th") >= n, F.when(F.col("uh").isNull(), at("th", starts)).otherwise(F.concat(at("th", starts), at("uh", named))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``matched``, ``item_windows``, ``n_slots``, ``reparameterised`` of every contaminated pair."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    items = items.select("item_id", template(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("raw")).filter("size(t) > 1 or t[0] <> ''")
+    items = items.select("item_id", template(F.col("text")).alias("t"), template(F.col("text"), False).alias("u"), raw_tokens(F.col("text")).alias("raw")).filter("size(t) > 1 or t[0] <> ''")
     sizes = sorted(r[0] for r in items.select(F.least(F.size("t"), F.lit(WINDOW)).alias("n")).distinct().collect())  # at most WINDOW values
 
-    def hashed(df: DataFrame) -> DataFrame:
-        return df.withColumn("th", F.transform("t", lambda x: F.xxhash64(x)))
-
     def of_items(n: int) -> DataFrame:
-        own = hashed(items.filter(F.least(F.size("t"), F.lit(WINDOW)) == n))
-        w = own.select("item_id", "t", "raw", F.size("t").alias("size"), F.posexplode(_windows(F.col("t"), F.col("th"), n)).alias("at", "h"))
+        own = items.filter(F.least(F.size("t"), F.lit(WINDOW)) == n).withColumn("th", _hashes(F.col("t"))).withColumn("uh", _hashes(F.col("u")))
+        both = F.arrays_zip(_windows(F.col("t"), F.col("th"), n).alias("a"), _windows(F.col("u"), F.col("uh"), n).alias("b"))
+        w = own.select("item_id", "t", "u", "raw", F.size("t").alias("size"), F.posexplode(both).alias("at", "w"))
+        templated, plain = F.struct(F.lit(True).alias("names"), F.col("w.a").alias("h"), "t"), F.struct(F.lit(False).alias("names"), F.col("w.b").alias("h"), F.col("u").alias("t"))
+        kinds = F.when(F.col("w.a") == F.col("w.b"), F.array(templated)).otherwise(F.array(templated, plain))
+        w = w.withColumn("k", F.explode(kinds)).select("item_id", "raw", "size", "at", "k.names", "k.h", "k.t")
         here = F.filter(
             F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.struct(j.alias("j"), F.lower(F.element_at("raw", F.col("at") + j)).alias("value"), F.element_at("t", F.col("at") + j).alias("kind"))),
             lambda s: s["kind"].rlike(f"[{NUMBER}-{UNIT}]"),
         )
-        return w.select("item_id", "at", "h", (F.col("size") - n + 1).alias("item_windows"), here.alias("slots"))
+        return w.select("item_id", "at", "names", "h", (F.col("size") - n + 1).alias("item_windows"), here.alias("slots"))
 
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched int, item_windows int, n_slots long, reparameterised boolean")
@@ -92,14 +110,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_windows = bench.count()
 
     rows = documents(docs).withColumn("row", F.xxhash64("text"))
-    keys = small(bench.select("h", "item_id", "at", F.size("slots").alias("n_slots"), "item_windows"), n_windows, BROADCAST_ROWS)
+    keys = small(bench.select("h", "item_id", "at", "names", F.size("slots").alias("n_slots"), "item_windows"), n_windows, BROADCAST_ROWS)
     found = None
     for n in sizes:
-        h = hashed(rows.select("doc_id", "row", template(F.col("text")).alias("t")))
-        exploded = h.select("doc_id", "row", F.posexplode(_windows(F.col("t"), F.col("th"), n)).alias("pos", "h"))
+        t = F.col("t")
+        h = rows.select("doc_id", "row", template(F.col("text")).alias("t"), template(F.col("text"), False).alias("u"))
+        h = h.select("doc_id", "row", _hashes(t).alias("th"), F.when(F.exists(t, lambda x: x.contains(NAME)), _hashes(F.col("u"))).alias("uh"))
+        exploded = h.select("doc_id", "row", F.inline(_places(n)))
         hits = exploded.join(keys, "h")
         found = hits if found is None else found.unionByName(hits)
-    hits = materialize(found.select("doc_id", "row", "pos", "item_id", "at", "n_slots", "item_windows").distinct())
+    hits = materialize(found.select("doc_id", "row", "pos", "item_id", "at", "names", "n_slots", "item_windows").distinct())
 
     # slot values only for the documents that have a window with placeholders
     slotted = hits.filter("n_slots > 0")
@@ -108,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = rows.join(owners, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     raw = texts.distinct().select(F.col("doc_id").alias("d"), F.col("row").alias("r"), raw_tokens(F.col("text")).alias("raw"))
     pairs = (
-        slotted.join(bench.select("item_id", "at", "slots").filter(F.size("slots") > 0), ["item_id", "at"])
+        slotted.join(bench.select("item_id", "at", "names", "slots").filter(F.size("slots") > 0), ["item_id", "at", "names"])
         .join(raw, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
         .select("doc_id", "row", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "pos", "raw", F.explode("slots").alias("s"))
         .select("doc_id", "row", "item_id", "shift", F.col("s.value").alias("asked"), F.lower(F.element_at("raw", F.col("pos") + F.col("s.j"))).alias("given"))

@@ -175,6 +175,13 @@ def test_decontamination_cases(spark, odd):
     assert decontaminate.contaminated(odd, bench).count() == 0
 
 
+def test_copies_are_found_whatever_stands_before_their_words(spark):
+    short, long = "Does Rome lie north of Naples today", "Please tell me how often the old ferry and Maria cross the wide river in one summer."
+    bench = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    docs = awkward(spark, [(1, "we ask " + short + " or not"), (2, "First. " + long.replace(" Maria", "\nMaria")), (3, "so " + long), (4, "we ask Does Rome lie south of Naples today or not")])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 1), (2, 2), (3, 2)}
+
+
 def test_inconsistent_slots_do_not_count(spark):
     item = "take 5 apples and 5 pears and then 5 plums and again 5 figs from the old basket today"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
