@@ -4,8 +4,8 @@ Numbers, names and units of a text become typed placeholders, punctuation and
 case go, and what is left is a token template that stays aligned with the raw
 tokens. Windows of ``WINDOW`` template tokens of documents are hash-joined to
 those of benchmark items. Whether a word counts as a name depends on what stands
-before it, so windows with names are also joined with their names as plain
-words: a copy is found whatever precedes it. Windows that hold placeholders are then checked: along
+before it and on its case, so windows with names are also joined with their
+names as plain words: a copy is found whatever precedes it and in any case. Windows that hold placeholders are then checked: along
 one alignment (document position minus item position), a benchmark slot value
 must always stand for the same document value; alignments that break this do
 not count. So a question asked again with other numbers or names is found, and
@@ -50,6 +50,11 @@ def _clean(text: Column) -> Column:
     return F.translate(text, NUMBER + NAME + UNIT, "")
 
 
+def _fold(s: Column) -> Column:
+    """Lower case by way of upper case, so that letters with two lower-case forms, or none in upper case, meet."""
+    return F.lower(F.upper(s))
+
+
 def raw_tokens(text: Column) -> Column:
     """The tokens that ``template`` describes, position by position."""
     return _tokens(_clean(text))
@@ -59,8 +64,8 @@ def template(text: Column, names: bool = True) -> Column:
     """Lower-case tokens with numbers, units and (if ``names``) names, capitalised inside a sentence, replaced by placeholders."""
     named = F.regexp_replace(_clean(text), r"(?<=[\p{Ll},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME) if names else _clean(text)
     numbered = F.regexp_replace(named, r"[+-]?\p{Nd}[\p{Nd}.,:/]*", NUMBER)
-    unit = F.regexp_replace(numbered, rf"({NUMBER}\s?)(?:{'|'.join(UNITS)})(?!\p{{L}})", f"$1{UNIT}")
-    return _tokens(F.lower(F.when(text.rlike(r"\p{Nd}"), unit).otherwise(named)))
+    unit = F.regexp_replace(numbered, rf"({NUMBER}\s?)(?i:{'|'.join(UNITS)})(?!\p{{L}})", f"$1{UNIT}")
+    return _tokens(_fold(F.when(text.rlike(r"\p{Nd}"), unit).otherwise(named)))
 
 
 def _windows(tokens: Column, hashes: Column, n: int) -> Column:
@@ -96,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         kinds = F.when(F.col("w.a") == F.col("w.b"), F.array(templated)).otherwise(F.array(templated, plain))
         w = w.withColumn("k", F.explode(kinds)).select("item_id", "raw", "size", "at", "k.names", "k.h", "k.t")
         here = F.filter(
-            F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.struct(j.alias("j"), F.lower(F.element_at("raw", F.col("at") + j)).alias("value"), F.element_at("t", F.col("at") + j).alias("kind"))),
+            F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.struct(j.alias("j"), _fold(F.element_at("raw", F.col("at") + j)).alias("value"), F.element_at("t", F.col("at") + j).alias("kind"))),
             lambda s: s["kind"].rlike(f"[{NUMBER}-{UNIT}]"),
         )
         return w.select("item_id", "at", "names", "h", (F.col("size") - n + 1).alias("item_windows"), here.alias("slots"))
@@ -131,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         slotted.join(bench.select("item_id", "at", "names", "slots").filter(F.size("slots") > 0), ["item_id", "at", "names"])
         .join(raw, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
         .select("doc_id", "row", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "pos", "raw", F.explode("slots").alias("s"))
-        .select("doc_id", "row", "item_id", "shift", F.col("s.value").alias("asked"), F.lower(F.element_at("raw", F.col("pos") + F.col("s.j"))).alias("given"))
+        .select("doc_id", "row", "item_id", "shift", F.col("s.value").alias("asked"), _fold(F.element_at("raw", F.col("pos") + F.col("s.j"))).alias("given"))
     )
     alignment = ["doc_id", "row", "item_id", "shift"]
     slots = (

@@ -182,6 +182,16 @@ def test_copies_are_found_whatever_stands_before_their_words(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 1), (2, 2), (3, 2)}
 
 
+def test_copies_are_found_in_any_case(spark):
+    short = "Does Maria see 15 kg"
+    bench = spark.createDataFrame([(0, BENCH[0]), (1, short)], "item_id long, text string")
+    texts = [(5, BENCH[0].upper()), (6, BENCH[0].lower()), (7, BENCH[0].replace("15 kg", "15 KG")), (8, BENCH[0].upper().replace("120", "88")), (9, short.upper()), (10, "now " + short.lower())]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(awkward(spark, texts), bench).collect()}
+    assert set(got) == {(5, 0), (6, 0), (7, 0), (8, 0), (9, 1), (10, 1)}
+    assert [k for k, r in got.items() if r["reparameterised"]] == [(8, 0)]
+    assert all(got[i, 0]["matched"] == 13 for i in (5, 6, 7))
+
+
 def test_inconsistent_slots_do_not_count(spark):
     item = "take 5 apples and 5 pears and then 5 plums and again 5 figs from the old basket today"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
