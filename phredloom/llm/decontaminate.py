@@ -7,12 +7,11 @@ those of benchmark items. Whether a word counts as a name depends on what stands
 before it and on its case, so windows with names are also joined with their
 names as plain words: a copy is found whatever precedes it and in any case. Windows that hold placeholders are then checked: along
 one alignment (document position minus item position), a benchmark slot value
-must always stand for the same document value; alignments that break this do
-not count. So a question asked again with other numbers or names is found, and
+must always stand for the same document value; where one stands for several,
+windows that hold a changed one of these do not count, and the others do. So a question asked again with other numbers or names is found, and
 a chance meeting of placeholders is not.
 
-A document is contaminated by an item if the windows of consistent alignments
-cover at least ``LEAST`` different windows of the item (13 tokens), or all of
+A document is contaminated by an item if its counted windows cover at least ``LEAST`` different windows of the item (13 tokens), or all of
 an item with fewer. Items shorter than a window are one window of their own
 length.
 
@@ -132,28 +131,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     owners = small(owners, owners.count(), BROADCAST_ROWS)
     texts = rows.join(owners, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     raw = texts.distinct().select(F.col("doc_id").alias("d"), F.col("row").alias("r"), raw_tokens(F.col("text")).alias("raw"))
-    pairs = (
+    alignment = ["doc_id", "row", "item_id", "shift"]
+    shift = (F.col("pos") - F.col("at")).alias("shift")
+    values = F.transform("slots", lambda s: F.struct(s["value"].alias("asked"), _fold(F.element_at("raw", F.col("pos") + s["j"])).alias("given")))
+    slots = materialize(
         slotted.join(bench.select("item_id", "at", "names", "slots").filter(F.size("slots") > 0), ["item_id", "at", "names"])
         .join(raw, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
-        .select("doc_id", "row", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "pos", "raw", F.explode("slots").alias("s"))
-        .select("doc_id", "row", "item_id", "shift", F.col("s.value").alias("asked"), _fold(F.element_at("raw", F.col("pos") + F.col("s.j"))).alias("given"))
+        .select("doc_id", "row", "item_id", shift, "at", "item_windows", values.alias("values"))
     )
-    alignment = ["doc_id", "row", "item_id", "shift"]
-    slots = (
-        pairs.groupBy(*alignment, "asked")
-        .agg(F.min("given").alias("lo"), F.max("given").alias("hi"))
+    torn = (
+        slots.select(*alignment, F.explode("values").alias("v"))
+        .groupBy(*alignment, F.col("v.asked").alias("asked"))
+        .agg(F.min("v.given").alias("lo"), F.max("v.given").alias("hi"))
+        .filter("lo <> hi")
         .groupBy(*alignment)
-        .agg(F.count(F.lit(1)).alias("n_slots"), F.every(F.col("lo") == F.col("hi")).alias("consistent"), F.some(F.col("lo") != F.col("asked")).alias("changed"))
+        .agg(F.collect_set("asked").alias("torn"))
+        .select(*(F.col(c).alias(f"_{c}") for c in alignment), "torn")
     )
-    aligned = hits.groupBy("doc_id", "row", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("at"), F.first("item_windows").alias("item_windows"))
-    same = [aligned[c].eqNullSafe(slots[c]) if c == "doc_id" else aligned[c] == slots[c] for c in alignment]
-    judged = aligned.join(slots, same, "left").select(aligned["doc_id"], aligned["row"], aligned["item_id"], "at", "item_windows", "n_slots", "consistent", "changed")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "doc_id" else F.col(c) == F.col(f"_{c}") for c in alignment]
+    broken = F.exists("values", lambda v: (v["given"] != v["asked"]) & F.array_contains("torn", v["asked"]))
+    held = slots.join(torn, same, "left").filter(F.col("torn").isNull() | ~broken).select(*slots.columns)
+    bare = hits.filter("n_slots = 0").select("doc_id", "row", "item_id", shift, "at", "item_windows").withColumn("values", F.array().cast(slots.schema["values"].dataType))
+    aligned = held.unionByName(bare).groupBy(*alignment).agg(
+        F.collect_set("at").alias("at"), F.first("item_windows").alias("item_windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("values.asked")))).alias("n_slots"), F.bool_or(F.exists("values", lambda v: v["given"] != v["asked"])).alias("changed"),
+    )
     per_row = (
-        judged.filter(F.coalesce("consistent", F.lit(True)))
+        aligned
         .groupBy("doc_id", "row", "item_id")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"), F.first("item_windows").alias("item_windows"),
-            F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.bool_or("changed"), F.lit(False)).alias("reparameterised"),
+            F.max("n_slots").cast("long").alias("n_slots"), F.bool_or("changed").alias("reparameterised"),
         )
         .filter(F.col("matched") >= F.least(F.col("item_windows"), F.lit(LEAST)))
     )

@@ -200,6 +200,15 @@ def test_inconsistent_slots_do_not_count(spark):
     assert got == {1}
 
 
+def test_an_edited_repeat_leaves_the_other_windows(spark):
+    item = "a farmer has 5 cows in the barn and walks along the river every day before noon to feed them while the neighbour who owns 5 sheep stays at home with the dog"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = awkward(spark, [(1, item.replace("5 sheep", "6 sheep")), (2, item.replace("5 cows", "7 cows").replace("5 sheep", "6 sheep")), (3, item.replace("5", "8"))])
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(docs, bench).collect()}
+    n = len(item.split())
+    assert {i: (r["matched"], r["item_windows"], r["reparameterised"]) for i, r in got.items()} == {1: (n - 7 - 8, n - 7, False), 2: (n - 7 - 8 - 4, n - 7, False), 3: (n - 7, n - 7, True)}
+
+
 def test_decontamination_equals_brute_force_on_verbatim_items(spark):
     docs, bench = docs_of(spark), table(spark, DIR, "benchmark")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
