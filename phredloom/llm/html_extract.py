@@ -43,9 +43,9 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-_QUOTED = r"\"[^\"]{0,10000}\"|'[^']{0,10000}'"  # bounded, so that a quote left open costs no scan of the page
-_TOKEN = re.compile(rf"<!--|<(?:[!?][^>]*>)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|{_QUOTED}|[\"'])*?)>")
-_ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_VALUE = re.compile(r">|=\s*(?:([\"'])|[^\s>\"'][^\s>]*)")
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _WORDS = re.compile(r"[A-Za-z]+")
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
@@ -68,6 +68,37 @@ def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+class _Tags:
+    """Tags and comments of a page in turn; a quoted value may hold ``>`` and be of any length.
+
+    A quote without a partner before the page's last ``>`` opens nothing, and
+    is looked up once, so that quotes left open cost no repeated scans.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.open = page, page.rfind(">"), set[str]()
+
+    def after(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """Start, end, name (None: a comment or declaration), whether it closes, and attributes of the first tag from ``at``."""
+        m = _OPEN.search(self.page, at)
+        while m and m[0] != "<!--" and m.start() > self.last:
+            m = _OPEN.search(self.page, m.end())
+        if not m or m[0] == "<!--":
+            return m and (m.start(), m.end(), None, False, "")
+        if m[2] is None:
+            return m.start(), self.page.index(">", m.end()) + 1, None, False, ""
+        end = m.end()
+        while (v := _VALUE.search(self.page, end)) and v[0] != ">":
+            end = v.end()
+            if v[1] and v[1] not in self.open:
+                close = self.page.find(v[1], end)
+                if 0 <= close < self.last:
+                    end = close + 1
+                else:
+                    self.open.add(v[1])
+        return m.start(), v.end(), m[2], bool(m[1]), self.page[m.end() : v.start()]
+
+
 def _text_end(page: str, at: int) -> int:
     """Where the text after the last tag ends: before a tag that the end of the page cuts off."""
     cut = page.rfind("<", at)
@@ -99,28 +130,27 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if main_at >= depth:
             main_at = -1
 
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _Tags(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else _text_end(page, at)
+        found = tags.after(at)
+        end = found[0] if found else _text_end(page, at)
         if end > at and skip_at < 0:
             text = htmllib.unescape(page[at:end])
             parts.append(text)
             if link_at >= 0:
                 linked += len(" ".join(text.split()))
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = m[2]
+        start, at, tag, closing, attrs = found
         if tag is None:
-            if m[0] == "<!--":
+            if page.startswith("<!--", start):
                 at = page.find("-->", at)
                 at = n if at < 0 else at + 3
             continue
         tag = tag.lower()
         if tag not in INLINE:
             flush()
-        if m[1]:
+        if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth] == tag:
                     close_to(depth)
@@ -135,9 +165,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     break
                 if stack[depth] not in INLINE:
                     break
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attrs.endswith("/"):
             continue
-        attrs = m[3]
         if skip_at < 0:
             if _boilerplate(tag, attrs, main_at >= 0):
                 flush()

@@ -89,6 +89,19 @@ def test_html_equals_a_plain_parser(spark):
         assert got[r["page_id"]] == "\n".join(t for t in (" ".join(x.split()) for x in p.out) if t)
 
 
+def test_long_quoted_values_stay_in_their_tag():
+    import time
+
+    for q, inner in (("'", '"'), ('"', "'")):
+        value = f"<div class={inner}ad{inner}>gone</article> > " * 2000
+        page = f"<article><p data-props={q}{value}{q}>First line.</p><p>Second line.</p></article><p>Outside.</p>"
+        assert html_extract.main_text(page) == "First line.\nSecond line."
+    t = time.time()
+    assert html_extract.main_text("<article>" + "<p title=\"a title='b>x</p>" * 50_000).count("x") > 0
+    assert html_extract.main_text("<article><p>x</p>" + "<a b=\"" * 50_000).startswith("x")
+    assert time.time() - t < 20
+
+
 # ------------------------------------------------------------ quality
 def test_quality_held_out_accuracy(spark):
     docs, labels = docs_of(spark, "/root/testdata/sf0.1"), table(spark, "/root/testdata/sf0.1", "labels")
