@@ -12,6 +12,12 @@ no lines at all. Where the page marks its article (``article``, ``main`` or
 outside give none, so the surge and the dive fall on the article's own edges
 and its short first or last lines stay.
 
+A class or id names such an element by its head word (``site-header``,
+``related-posts``; not ``has-sidebar`` or ``related-work``). ``main`` or
+``articleBody`` inside an element known by class or id alone is the article all
+the same. So is ``article`` there, unless the element holds comments, teasers or
+adverts, if it gives more text than the page without it.
+
 Defined results: null or empty html gives ''; an unclosed element ends where an
 enclosing one ends or at the end of the page; an unclosed comment or script
 swallows the rest; ``br`` and block tags end a line; a page without any surge
@@ -41,6 +47,10 @@ ROOTS = frozenset(["html", "body", "article", "main"])
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets comment comments respond disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toc skip".split()
 )
+OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond disqus reply replies related recommended".split())
+# Words after the head word that name a part or place, and words before it that say where it is not.
+PARTS = frozenset("area articles bar block body bottom box button buttons card cards center column container content desktop feed form group icon icons info inner item items label law left link links list main message mobile outer panel pane post posts primary right secondary section slot slots sticky thread title top unit wrap wrapper zone".split())
+AWAY = frozenset("has no not with without hide content article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -50,22 +60,37 @@ _WORDS = re.compile(r"[A-Za-z]+")
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
 
-def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
+def _head(token: str) -> str:
+    """The word of a class or id that says what the element is; '' if it only says what is near it."""
+    words = [w for w in _WORDS.findall(token) if len(w) > 1]
+    while len(words) > 1 and words[-1] in PARTS:
+        words.pop()
+    return words[-1] if words and AWAY.isdisjoint(words[:-1]) else ""
+
+
+def _boilerplate(tag: str, attrs: str, in_main: bool) -> str:
+    """Why an element goes: 'sure', 'class', 'others' (a class of comments, teasers or adverts), or '' (it stays)."""
     if tag in SKIP or tag == "header" and not in_main:
-        return True
+        return "sure"
     if not attrs or tag in ROOTS:
-        return False
+        return ""
+    why = ""
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "sure"
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return "sure"
         if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not (BOILERPLATE - {"header"} if in_main else BOILERPLATE).isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+            return "sure"
+        if name in ("class", "id"):
+            heads = BOILERPLATE.intersection(map(_head, value.split())) - ({"header"} if in_main else set())
+            why = "others" if why == "others" or not OTHERS.isdisjoint(heads) else "class" if heads else why
+    return why
+
+
+def _article_body(attrs: str) -> bool:
+    return "articleBody" in attrs and any(n.lower() == "itemprop" and "articleBody" in (a or b or c).split() for n, a, b, c in _ATTR.findall(attrs))
 
 
 class _Tags:
@@ -106,29 +131,36 @@ def _text_end(page: str, at: int) -> int:
     return cut if broken else len(page)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of link text, inside the marked article) of each non-empty line."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters of link text, kind) of each non-empty line; kind is 1 inside the marked article, 2 inside an article of a skipped element, else 0."""
+    out: list[tuple[str, int, int]] = []
     stack: list[str] = []  # open elements
     parts: list[str] = []
     linked = 0
     skip_at = main_at = link_at = -1  # stack depth at which such an element opened
+    why, outer, kind = "", (-1, ""), 1  # of the skipped element, of the one around the article, of the article
+    deep = -1, ""  # an element in a skipped one that goes for a stronger reason
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, linked, main_at >= 0))
+                out.append((text, linked, kind if main_at >= 0 else 0))
             parts.clear()
         linked = 0
 
     def close_to(depth: int) -> None:
-        nonlocal skip_at, main_at, link_at
+        nonlocal skip_at, main_at, link_at, why, outer, deep
         del stack[depth:]
         skip_at, link_at = (-1 if skip_at >= depth else skip_at), (-1 if link_at >= depth else link_at)
+        if deep[0] >= depth:
+            deep = -1, ""
         if main_at >= depth:
             main_at = -1
+            if 0 <= outer[0] < depth:
+                skip_at, why = outer
+            outer = -1, ""
 
     at, n, tags = 0, len(page), _Tags(page)
     while at < n:
@@ -167,13 +199,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     break
         if tag in VOID or attrs.endswith("/"):
             continue
-        if skip_at < 0:
-            if _boilerplate(tag, attrs, main_at >= 0):
+        body = main_at < 0 and (skip_at < 0 or "sure" not in (why, deep[1])) and (tag in MAIN or _article_body(attrs))
+        if skip_at >= 0 and body and (tag != "article" or why == "class" and not deep[1]) and not _boilerplate(tag, attrs, False):
+            flush()
+            outer, kind = (skip_at, why), 2 if tag == "article" else 1
+            skip_at, main_at = -1, len(stack)
+        elif skip_at >= 0 and why != "sure" and not deep[1]:
+            if tag not in RAW and (reason := _boilerplate(tag, attrs, False)) in ("sure", "others"):
+                deep = len(stack), reason
+        elif skip_at < 0:
+            if reason := _boilerplate(tag, attrs, main_at >= 0):
                 flush()
-                skip_at = len(stack)
-            elif main_at < 0 and (tag in MAIN or "articleBody" in attrs):
+                skip_at, why = len(stack), reason
+            elif body:
                 flush()
-                main_at = len(stack)
+                main_at, kind = len(stack), 1
             elif tag == "a":
                 link_at = len(stack)
         if tag in RAW:
@@ -190,6 +230,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> str:
     """The main text of one page: the lines between surge and dive, joined by newlines."""
     lines = lines_of(page or "")
+    if any(k == 2 for _, _, k in lines):
+        own = [x for x in lines if x[2] != 2]
+        inside = [(t, n, 1) for t, n, k in lines if k == 2]
+        text = _between(own)
+        return text if any(k for _, _, k in own) else max(text, _between(inside), key=len)
+    return _between(lines)
+
+
+def _between(lines: list[tuple[str, int, int]]) -> str:
     marked = any(m for _, _, m in lines)
     length = [(max(len(t), SURGE) if m else 0) if marked else max(0, len(t) - k) for t, k, m in lines]
     n, half = len(lines), WINDOW // 2

@@ -102,6 +102,20 @@ def test_long_quoted_values_stay_in_their_tag():
     assert time.time() - t < 20
 
 
+def test_articles_inside_elements_known_by_class():
+    p, long = "<p>Some text.</p>", "<p>" + "words of a long teaser " * 9 + "</p>"
+    for c in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-header", "sidebar", "page widget"):
+        for tag in ("main", "article", "section itemprop='articleBody'"):
+            page = f"<div class='{c}'><{tag}>{p}</{tag.split()[0]}><p>Aside.</p></div><p>Foot.</p>"
+            assert html_extract.main_text(page) == "Some text.", (c, tag)
+    inside = "<article><p>a</p><div class='related-work'>b</div><section class='social-history'>c</section><div class='related-posts'>d</div><div id='comment-list'>e</div></article>"
+    assert html_extract.main_text(inside) == "a\nb\nc"
+    assert html_extract.main_text(f"<article>{p}</article><div class='sidebar'><article>{long}</article></div>") == "Some text."
+    assert html_extract.main_text(f"<div>{long}</div><div id='comments'><article>{long * 3}</article></div>").count("\n") == 0
+    assert html_extract.main_text(f"<div class='sidebar'><div hidden><article>{p}</article></div><nav><main>{p}</main></nav></div>") == ""
+    assert html_extract.main_text(f"<div hidden><article>{long}</article></div>") == ""
+
+
 # ------------------------------------------------------------ quality
 def test_quality_held_out_accuracy(spark):
     docs, labels = docs_of(spark, "/root/testdata/sf0.1"), table(spark, "/root/testdata/sf0.1", "labels")
