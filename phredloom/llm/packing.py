@@ -1,9 +1,8 @@
 """Length buckets of least padding, and token-budget batches inside them.
 
-The global length histogram (a partial-aggregated count per length) is reduced
-to a grid whose size has a fixed bound: lengths to ``EXACT`` stand for
-themselves, longer ones are rounded up to 1 part in ``EXACT / 2``. Dynamic
-programming over the grid picks the bucket boundaries that minimise the total
+The global length histogram (a partial-aggregated count per length) has one row
+a different length, at most the square root of twice all tokens. Dynamic
+programming over it picks the bucket boundaries that minimise the total
 padding; its cost is Monge, so each layer is solved by divide and conquer.
 
 Batches: rows of a bucket are numbered without gathering the bucket anywhere.
@@ -23,19 +22,10 @@ from pyspark.sql import functions as F
 
 from phredloom.llm.common import materialize
 
-EXACT = 4096
-
-
-def grid(length: Column) -> Column:
-    """``length`` itself up to EXACT, else rounded up to a multiple that keeps 11 or 12 leading bits."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(length)) - 12)).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, n_buckets: int) -> list[int]:
     """Upper bounds of at most ``n_buckets`` buckets with the least total padding.
 
-    ``lengths`` ascending; ``tokens`` the true sum of lengths at each grid point.
+    ``lengths`` ascending; ``tokens`` the sum of lengths at each of them.
     """
     n = len(lengths)
     if n == 0:
@@ -72,14 +62,13 @@ def pack(df: DataFrame, id_col: str, length_col: str, n_buckets: int = 16, token
     """Per row: id, n_tokens, bucket (from 0), bucket_len, capacity, batch_no (in its bucket), slot, padding."""
     length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long")
     rows = materialize(df.select(F.col(id_col).alias("id"), length.alias("n_tokens")))
-    hist = rows.groupBy(grid(F.col("n_tokens")).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).orderBy("g").collect()
+    hist = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"), (F.col("n_tokens") * F.count(F.lit(1))).alias("t")).orderBy("n_tokens").collect()
     bounds = boundaries(*(np.array([r[i] for r in hist], dtype=np.int64) for i in range(3)), n_buckets)
     total = sum(r["n"] for r in hist)
     shards = max(1, -(-total // rows_per_shard))
-    g = grid(F.col("n_tokens"))
     bucket = F.lit(0)
     for b in bounds[:-1]:
-        bucket = bucket + (g > b).cast("int")
+        bucket = bucket + (F.col("n_tokens") > b).cast("int")
     dealt = rows.select(
         "id", "n_tokens", bucket.alias("bucket"), F.pmod(F.xxhash64("id", "n_tokens"), F.lit(shards)).cast("int").alias("shard")
     )

@@ -153,6 +153,18 @@ def test_packing_is_whole_and_within_budget(spark):
     assert packing.pack(df.limit(0), "doc_id", "n").count() == 0
 
 
+def test_packing_of_long_texts_has_the_least_padding(spark):
+    from itertools import combinations
+
+    n = [5461, 5461, 5459, 5001, 4999, 4999, 4999, 20_020, 20_011, 20_011, 7, 7, 4097]
+    got = packing.pack(spark.createDataFrame(list(enumerate(n)), "doc_id long, n long"), "doc_id", "n", n_buckets=4).toPandas()
+    *rest, top = sorted(set(n))
+    want = min(sum(min(b for b in (*bounds, top) if b >= x) - x for x in n) for bounds in combinations(rest, 3))
+    assert got.padding.sum() == want
+    assert (got.groupby("bucket").n_tokens.max() == got.groupby("bucket").bucket_len.first()).all()
+    assert set(got[got.bucket_len == 5461].capacity) == {3} and got.bucket_len.max() == 20_020
+
+
 def test_word_tokens(spark, odd):
     got = odd.select("doc_id", packing.word_tokens(F.col("text")).alias("n"), "text").collect()
     for r in got:
