@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from phredloom.functions.confidence import mapq_to_pcor, pcor_to_mapq
 
+RANKS = 100_000  # ranks that one row expands to
+
 
 def tally(df: DataFrame, mapq: Column, correct: Column, decimals: int | None = None) -> DataFrame:
     """``stratum``, ``cor``, ``incor``; values are rounded half to even first. Partial sums: one row a value and task."""
@@ -38,8 +40,13 @@ def auc_and_sse(table: DataFrame) -> DataFrame:
 
 
 def curves(table: DataFrame) -> DataFrame:
-    """``rank`` (from 0), ``ci``, ``ce``: cumulative incorrect and squared error for each alignment, averaged inside a stratum."""
-    t = table.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    """``rank`` (from 0), ``ci``, ``ce``: cumulative incorrect and squared error for each alignment, averaged inside a stratum.
+
+    A stratum's ranks are made in blocks of ``RANKS``, dealt over all tasks.
+    """
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = table.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RANKS)))).repartition(parts, "cum", "block")
+    t = blocks.withColumn("i", F.explode(F.sequence(F.col("block") * RANKS + 1, F.least(F.col("n"), (F.col("block") + 1) * RANKS))))
     step = F.col("i") / F.col("n")
     rows = t.select(
         (F.col("cum") - F.col("n") + F.col("i")).alias("rank"), (F.col("cum_incor") - F.col("incor") + step * F.col("incor")).alias("ci"), (F.col("cum_se") - F.col("se") + step * F.col("se")).alias("ce"),

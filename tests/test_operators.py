@@ -395,3 +395,11 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["mapq"], r["n"]) for r in spark.table("tail_counts").collect()] == [(7, 2)]
+
+
+def test_curves_of_a_hot_stratum_are_made_in_many_tasks(spark):
+    counts = spark.createDataFrame([(30.0, 1_500_000, 500_001), (10.0, 3, 1)], "stratum double, cor long, incor long")
+    got = calibration.curves(calibration.roc(counts)).withColumn("task", F.spark_partition_id())
+    r = got.agg(F.count("rank"), F.countDistinct("rank"), F.min("rank"), F.max("rank"), F.max("ci")).first()
+    assert tuple(r) == (2_000_006, 2_000_006, 0, 2_000_005, 500_002.0)
+    assert got.filter("rank between 1 and 2000001").select("task").distinct().count() > 2
