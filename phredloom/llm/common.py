@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,11 +15,11 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) a folder under
-    the local temp folder stands in.
+    Where the session leaves it unset, a folder in the warehouse stands in,
+    which a cluster shares as well.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    return where.rstrip("/") if where else os.path.join(tempfile.gettempdir(), "phredloom-scratch")
+    return where.rstrip("/") if where else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ FROM s
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"), with_text=True)
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

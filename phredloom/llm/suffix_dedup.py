@@ -329,7 +329,8 @@ def _resolve(rows: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """``doc_id`` (as string), ``row``, ``a``, ``b``: ranges of window starts that occur elsewhere too."""
     found = materialize(_occurrences(docs))
-    often = found.groupBy("core").count().filter("count > 1").select("core")
+    # a table of its own: a join of two plain tables can split a hot core, one that follows its aggregate cannot
+    often = materialize(found.groupBy("core").count().filter("count > 1").select("core"))
     shared = materialize(found.join(often, "core", "left_semi"))
     first = F.min(F.struct("doc_id", "row", "a", "b", "p")).alias("one")
     segments = materialize(shared.groupBy("core", "seg").agg(F.count(F.lit(1)).alias("w"), first))
@@ -356,12 +357,16 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every row (and ``kept``, the bytes left)."""
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every row.
+
+    With ``with_text`` also ``text``: the bytes left, read as UTF-8 (a character
+    that a cut runs through is shown as U+FFFD).
+    """
     rows = documents(docs).withColumn("row", F.xxhash64("text"))
     ranges = repeated(rows).groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     ranges = materialize(ranges).withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r")
     joined = rows.join(ranges, (F.col("row") == F.col("r")) & F.col("doc_id").cast("string").eqNullSafe(F.col("d")), "left")
-    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -377,7 +382,7 @@ def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 row = (doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
-                out.append((*row, kept) if with_text else row)
+                out.append((*row, kept.decode("utf-8", "replace")) if with_text else row)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     out = joined.selectExpr("cast(doc_id as string) doc_id", "text", "ranges").mapInPandas(run, schema)
