@@ -5,29 +5,42 @@ effective length (its text without link text), lengths are summed over a
 sliding window of lines, and the text between a surge and the following dive
 of these sums is kept.
 
+The surge level is ``SURGE`` characters, or the page's highest sum where no sum
+is that high, so that a page of short paragraphs keeps them; a dive is a sum of
+zero.
+
 Two kinds of markup knowledge enter before the sums. Elements that never hold
 article text (scripts, menus, forms, footers, adverts, comment lists, ...) give
 no lines at all. Where the page marks its article (``article``, ``main`` or
-``itemprop=articleBody``), a line inside it counts at least ``SURGE`` and lines
-outside give none, so the surge and the dive fall on the article's own edges
-and its short first or last lines stay.
+``itemprop=articleBody``), the mark is a weight of the line lengths: a line
+inside counts ``SURGE`` more, and one outside counts the less, the more of the
+page's text the mark holds. So the surge and the dive fall on the article's own
+edges and its short first or last lines stay, while a mark around a teaser does
+not hide a long text beside it: a line outside stays if it still counts
+``OUTSIDE`` and lies between surge and dive.
 
 A class or id names such an element by its head word (``site-header``,
 ``related-posts``; not ``has-sidebar`` or ``related-work``). ``main`` or
 ``articleBody`` inside an element known by class or id alone is the article all
 the same. So is ``article`` there, unless the element holds comments, teasers or
-adverts, if it gives more text than the page without it.
+adverts, if it gives more text than the page without it. A class that names a
+place in the layout (header, sidebar, ...) does not drop an element that holds
+most of the text of a page without a mark. After a heading that announces
+readers' comments, the rest of the heading's parent element goes.
 
 Defined results: null or empty html gives ''; an unclosed element ends where an
 enclosing one ends or at the end of the page; an unclosed comment or script
-swallows the rest; ``br`` and block tags end a line; a page without any surge
-gives ''. Row order, repeats and extra columns do not matter.
+swallows the rest; ``br`` and block tags end a line; a page with link text only
+gives ''. A null page_id or url is returned as null. Row order, repeats and
+extra columns do not matter. Every scan is linear in the page, whatever quotes,
+tags or comments it leaves open.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +49,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 86
+OUTSIDE = SURGE // 2
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +62,7 @@ BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets comment comments respond disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toc skip".split()
 )
 OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond disqus reply replies related recommended".split())
+LAYOUT = frozenset("header masthead topbar sidebar aside widget widgets nav navigation navbar menu skip".split())
 # Words after the head word that name a part or place, and words before it that say where it is not.
 PARTS = frozenset("area articles bar block body bottom box button buttons card cards center column container content desktop feed form group icon icons info inner item items label law left link links list main message mobile outer panel pane post posts primary right secondary section slot slots sticky thread title top unit wrap wrapper zone".split())
 AWAY = frozenset("has no not with without hide content article".split())
@@ -57,6 +72,9 @@ _OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _VALUE = re.compile(r">|=\s*(?:([\"'])|[^\s>\"'][^\s>]*)")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _WORDS = re.compile(r"[A-Za-z]+")
+# Headings above readers' comments.
+_COMMENTS = re.compile(r"(?:[0-9]+ |(?:the |all |reader |readers[’'] |reader[’']s |user )?)comments?(?: ?\([0-9]+\))?:?|(?:leave|post|write|add) (?:a|your) (?:comment|reply)", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
 
@@ -69,7 +87,7 @@ def _head(token: str) -> str:
 
 
 def _boilerplate(tag: str, attrs: str, in_main: bool) -> str:
-    """Why an element goes: 'sure', 'class', 'others' (a class of comments, teasers or adverts), or '' (it stays)."""
+    """Why an element goes: 'sure', 'layout' or 'class' (by a class), 'others' (a class of comments, teasers or adverts), or '' (it stays)."""
     if tag in SKIP or tag == "header" and not in_main:
         return "sure"
     if not attrs or tag in ROOTS:
@@ -85,7 +103,10 @@ def _boilerplate(tag: str, attrs: str, in_main: bool) -> str:
             return "sure"
         if name in ("class", "id"):
             heads = BOILERPLATE.intersection(map(_head, value.split())) - ({"header"} if in_main else set())
-            why = "others" if why == "others" or not OTHERS.isdisjoint(heads) else "class" if heads else why
+            if not OTHERS.isdisjoint(heads):
+                why = "others"
+            elif heads and why != "others":
+                why = "layout" if heads <= LAYOUT and why != "class" else "class"
     return why
 
 
@@ -132,28 +153,40 @@ def _text_end(page: str, at: int) -> int:
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters of link text, kind) of each non-empty line; kind is 1 inside the marked article, 2 inside an article of a skipped element, else 0."""
+    """(text, characters of link text, kind) of each non-empty line.
+
+    Kind is 1 inside the marked article, 2 inside an article of a skipped
+    element, from 3 on in an element skipped for its place in the layout (one
+    number each), else 0.
+    """
     out: list[tuple[str, int, int]] = []
     stack: list[str] = []  # open elements
+    n_open: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
-    skip_at = main_at = link_at = -1  # stack depth at which such an element opened
-    why, outer, kind = "", (-1, ""), 1  # of the skipped element, of the one around the article, of the article
+    skip_at = main_at = link_at = mute_at = -1  # stack depth at which such an element opened
+    why, outer, kind, place = "", (-1, ""), 1, 2  # of the skipped element, of the one around the article, of the article, of the layout
     deep = -1, ""  # an element in a skipped one that goes for a stronger reason
 
-    def flush() -> None:
+    def flush() -> str:
         nonlocal linked
+        text = ""
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, linked, kind if main_at >= 0 else 0))
+                out.append((text, linked, kind if main_at >= 0 else place if skip_at >= 0 else 0))
             parts.clear()
         linked = 0
+        return text
 
     def close_to(depth: int) -> None:
-        nonlocal skip_at, main_at, link_at, why, outer, deep
+        nonlocal skip_at, main_at, link_at, mute_at, why, outer, deep
+        if skip_at >= depth or 0 <= mute_at >= depth:
+            flush()
+        for name in stack[depth:]:
+            n_open[name] -= 1
         del stack[depth:]
-        skip_at, link_at = (-1 if skip_at >= depth else skip_at), (-1 if link_at >= depth else link_at)
+        skip_at, link_at, mute_at = (-1 if x >= depth else x for x in (skip_at, link_at, mute_at))
         if deep[0] >= depth:
             deep = -1, ""
         if main_at >= depth:
@@ -166,7 +199,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     while at < n:
         found = tags.after(at)
         end = found[0] if found else _text_end(page, at)
-        if end > at and skip_at < 0:
+        if end > at and (skip_at < 0 or why == "layout" and mute_at < 0):
             text = htmllib.unescape(page[at:end])
             parts.append(text)
             if link_at >= 0:
@@ -180,49 +213,58 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 at = n if at < 0 else at + 3
             continue
         tag = tag.lower()
-        if tag not in INLINE:
-            flush()
+        line = "" if tag in INLINE else flush()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth] == tag:
-                    close_to(depth)
-                    break
+            if not n_open[tag]:
+                continue
+            depth = len(stack) - 1
+            while stack[depth] != tag:
+                depth -= 1
+            close_to(depth)
+            if tag in _HEADINGS and line and skip_at < 0 and _COMMENTS.fullmatch(line):
+                out.pop()
+                skip_at, why = max(0, depth - 1), "others"
             continue
-        if tag in _CLOSES_P and stack and stack[-1] == "p":
-            close_to(len(stack) - 1)
-        elif tag == "p" or tag in _CLOSES_P:  # a paragraph left open around inline elements
-            for depth in range(len(stack) - 1, -1, -1):
+        if n_open["p"]:
+            if tag in _CLOSES_P and stack[-1] == "p":
+                close_to(len(stack) - 1)
+            elif tag == "p" or tag in _CLOSES_P:  # a paragraph left open around inline elements
+                depth = len(stack) - 1
+                while depth and stack[depth] != "p" and stack[depth] in INLINE:
+                    depth -= 1
                 if stack[depth] == "p":
                     close_to(depth)
-                    break
-                if stack[depth] not in INLINE:
-                    break
         if tag in VOID or attrs.endswith("/"):
             continue
         body = main_at < 0 and (skip_at < 0 or "sure" not in (why, deep[1])) and (tag in MAIN or _article_body(attrs))
-        if skip_at >= 0 and body and (tag != "article" or why == "class" and not deep[1]) and not _boilerplate(tag, attrs, False):
+        if skip_at >= 0 and body and (tag != "article" or why in ("class", "layout") and not deep[1]) and not _boilerplate(tag, attrs, False):
             flush()
             outer, kind = (skip_at, why), 2 if tag == "article" else 1
             skip_at, main_at = -1, len(stack)
-        elif skip_at >= 0 and why != "sure" and not deep[1]:
-            if tag not in RAW and (reason := _boilerplate(tag, attrs, False)) in ("sure", "others"):
+        elif skip_at >= 0:
+            reason = "" if why == "sure" or tag in RAW else _boilerplate(tag, attrs, False)
+            if reason in ("sure", "others") and not deep[1]:
                 deep = len(stack), reason
-        elif skip_at < 0:
-            if reason := _boilerplate(tag, attrs, main_at >= 0):
-                flush()
-                skip_at, why = len(stack), reason
-            elif body:
+            if why == "layout" and mute_at < 0 and (reason or tag in RAW):
                 flush()
-                main_at, kind = len(stack), 1
-            elif tag == "a":
+                mute_at = len(stack)
+            elif tag == "a" and link_at < 0:
                 link_at = len(stack)
+        elif reason := _boilerplate(tag, attrs, main_at >= 0):
+            flush()
+            skip_at, why, place = len(stack), reason, place + (reason == "layout")
+        elif body:
+            flush()
+            main_at, kind = len(stack), 1
+        elif tag == "a" and link_at < 0:
+            link_at = len(stack)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, tags.last + 1)
             at = close.end() if close else n
-            if skip_at == len(stack):
-                skip_at = -1
+            skip_at, mute_at = (-1 if x == len(stack) else x for x in (skip_at, mute_at))
             continue
         stack.append(tag)
+        n_open[tag] += 1
     flush()
     return out
 
@@ -230,19 +272,33 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None) -> str:
     """The main text of one page: the lines between surge and dive, joined by newlines."""
     lines = lines_of(page or "")
-    if any(k == 2 for _, _, k in lines):
-        own = [x for x in lines if x[2] != 2]
-        inside = [(t, n, 1) for t, n, k in lines if k == 2]
-        text = _between(own)
-        return text if any(k for _, _, k in own) else max(text, _between(inside), key=len)
-    return _between(lines)
+    own = [x for x in lines if x[2] < 2]
+    if any(k == 1 for _, _, k in own):
+        return _between(own)
+    mass = Counter()
+    for t, linked, k in lines:
+        mass[k] += max(0, len(t) - linked)
+    most = max((k for k in mass if k > 2), key=mass.__getitem__, default=0)
+    if most and 2 * mass[most] > mass.total():
+        own = [(t, linked, 0) for t, linked, k in lines if k in (0, most)]
+    return max(_between(own), _between([(t, linked, 1) for t, linked, k in lines if k == 2]), key=len)
+
+
+def effective_lengths(lines: list[tuple[str, int, int]]) -> list[int]:
+    """What each line counts: its text without link text, weighted by the mark."""
+    raw = [max(0, len(t) - linked) for t, linked, _ in lines]
+    inside = sum(n for n, (_, _, m) in zip(raw, lines, strict=True) if m)
+    if not any(m for _, _, m in lines):
+        return raw
+    weight = (1 - inside / max(1, sum(raw))) ** 4
+    return [n + SURGE if m else int(n * weight) for n, (_, _, m) in zip(raw, lines, strict=True)]
 
 
 def _between(lines: list[tuple[str, int, int]]) -> str:
-    marked = any(m for _, _, m in lines)
-    length = [(max(len(t), SURGE) if m else 0) if marked else max(0, len(t) - k) for t, k, m in lines]
+    marked, length = any(m for _, _, m in lines), effective_lengths(lines)
     n, half = len(lines), WINDOW // 2
     block = [sum(length[max(0, i - half) : i + half + 1]) for i in range(n)]
+    surge = min(SURGE, max(block, default=0))
     keep: list[str] = []
     i = 0
     while i < n:
@@ -252,13 +308,13 @@ def _between(lines: list[tuple[str, int, int]]) -> str:
         dive = i
         while dive < n and block[dive]:
             dive += 1
-        if max(block[i:dive]) >= SURGE:
+        if max(block[i:dive]) >= surge:
             first, last = i, dive - 1
             while first <= last and not length[first]:
                 first += 1
             while last >= first and not length[last]:
                 last -= 1
-            keep += [t for t, _, m in lines[first : last + 1] if m or not marked]
+            keep += [t for j, (t, _, m) in enumerate(lines[first : last + 1], first) if m or not marked or length[j] >= OUTSIDE]
         i = dive
     return "\n".join(keep)
 

@@ -206,7 +206,7 @@ def test_main_text_without_marks_is_between_surge_and_dive():
     body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(4))
     got = html_extract.main_text(f"<body><ul>{links}</ul>{body}<div><a href=#>about</a></div></body>")
     assert got == "\n".join("word " * 30 + str(i) for i in range(4))
-    assert html_extract.main_text("<p>too short</p>") == ""
+    assert html_extract.main_text("<p>short</p><p>texts too</p>") == "short\ntexts too"
 
 
 def test_cut_off_tag_is_no_text():
@@ -216,3 +216,78 @@ def test_cut_off_tag_is_no_text():
 def test_long_page_is_linear():
     page = "<article>" + "<p title=\"open>" * 3000 + "<p>end</article>"
     assert "end" in html_extract.main_text(page)
+
+
+def by_windows(lines):
+    """Surge and dive by their definition, window by window: lines are (text, linked, inside the mark)."""
+    raw = [max(0, len(t) - n) for t, n, _ in lines]
+    mark = [m for _, _, m in lines]
+    if any(mark):
+        share = sum(r for r, m in zip(raw, mark, strict=True) if m) / max(1, sum(raw))
+        raw = [r + html_extract.SURGE if m else int(r * (1 - share) ** 4) for r, m in zip(raw, mark, strict=True)]
+    sums = [sum(raw[max(0, i - 1) : i + 2]) for i in range(len(raw))]
+    level = min(html_extract.SURGE, max(sums, default=0))
+    out = []
+    for i, (t, _, m) in enumerate(lines):
+        left = right = i
+        while left > 0 and sums[left - 1]:
+            left -= 1
+        while right < len(sums) - 1 and sums[right + 1]:
+            right += 1
+        surges = sums[i] and max(sums[left : right + 1]) >= level
+        if surges and any(raw[left : i + 1]) and any(raw[i : right + 1]) and (m or not any(mark) or raw[i] >= html_extract.OUTSIDE):
+            out.append(t)
+    return "\n".join(out)
+
+
+def test_main_text_equals_windows_on_marked_and_unmarked_pages():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(600):
+        lines, marked = [], rng.random() < 0.5
+        a, b = sorted(rng.choices(range(13), k=2))
+        for i in range(12):
+            text = "".join(rng.choices("abc ", k=rng.choice([1, 5, 30, 90, 300]))).strip() or "x"
+            linked = rng.random() < 0.4
+            lines.append((" ".join(text.split()), linked, int(marked and a <= i < b)))
+        page = ""
+        for i, (t, linked, m) in enumerate(lines):
+            page += "<main>" * (m and (i == 0 or not lines[i - 1][2])) + (f"<p><a href=#>{t}</a></p>" if linked else f"<p>{t}</p>") + "</main>" * (m and (i == 11 or not lines[i + 1][2]))
+        assert html_extract.main_text(page) == by_windows([(t, len(t) * linked, m) for t, linked, m in lines])
+
+
+def test_scans_are_linear():
+    import time
+
+    t = time.time()
+    for page in ["<p>x" + "<a b=\"' c='\" " * 10_000, "<p>x<a " + "b='" * 10_001, "<p>x</p><script>" + "</script " * 50_000, "<div>" * 50_000 + "</x>" * 50_000, "<p>" + "<b>" * 50_000 + "<p>x</p>" * 50_000]:
+        html_extract.main_text(page)
+    assert time.time() - t < 5
+    t = time.time()
+    html_extract.main_text("<article><p>x</p>" + "<a b=\"" * 5_000 + "'" * 5_000)
+    assert time.time() - t < 0.1
+
+
+def test_classes_marks_and_comments():
+    long = "<p>" + "word " * 60 + "</p>"
+    text = ("word " * 60).strip()
+    assert html_extract.main_text(f'<div class="content no-sidebar">{long}</div>') == text
+    assert html_extract.main_text('<article><h1>T</h1><p data-id="share">hello</p></article>') == "T\nhello"
+    assert html_extract.main_text(f"<main><h1>T</h1>{long}</main><section><h2>Comments</h2><article>Reader says hi</article></section>") == "T\n" + text
+    assert html_extract.main_text(f"<article>{long}<section><h3>3 Comments</h3><article>Reader says hi</article></section><p>end</p></article>") == text + "\nend"
+    assert html_extract.main_text(f'<div class="page-header">{long * 2}</div><p>x</p>') == f"{text}\n{text}\nx"
+    assert html_extract.main_text(f"<article>teaser</article><div>{long * 4}</div>") == "\n".join(["teaser", *[text] * 4])
+    assert html_extract.main_text(f"<article>{long * 4}</article><div>{long}</div>") == "\n".join([text] * 4)
+    assert html_extract.main_text(f'<span class="sidebar">gone</span>{long}') == text
+
+
+def test_topk_stops_on_proof_before_the_last_segment():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 4
+    rows = np.floor(256 * (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.1)).astype(np.int64)
+    block = topk.Block(np.arange(4000), rows)
+    for x, (at, scores) in zip(rows[:70], block.search(rows[:70], 6), strict=True):
+        full = rows @ x
+        assert (full[at] == scores).all() and set(np.flatnonzero(full >= np.sort(full)[-6])) <= set(at.tolist())
+    assert len(block.added) == 70 and np.mean(block.added) < 1
