@@ -8,13 +8,17 @@ linear hinge-loss model is fitted to them by dual coordinate descent. A
 logistic curve fitted on a part of the sample left out of the descent turns
 margins into scores.
 
-The model is fitted on at most ``SAMPLE`` labelled rows (a bounded sample: the
-rows with the smallest hash of their id); every row is scored.
+The model is fitted on at most ``SAMPLE`` labelled rows with at most
+``SAMPLE_BYTES`` of indicators in all (a bounded sample: the rows with the
+smallest hash of their id and text); only these reach the driver, however many
+texts a labelled id has. Every row is scored.
 
 Defined results: a null or empty text gets the score of a text without any
 indicator; labels that are null take no part; without any label every score is
-0.5, with one class only every score is that class; repeated rows are scored
-each for itself; an empty table gives no rows.
+0.5, with one class only every score is that class; rows of one doc_id with
+different texts all carry its label, and equal ones teach once; repeated rows
+are scored each for itself; a very long text has at most 2**BITS indicators and
+is read in whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phredloom.llm.bytescan import chunks, mix, runs
-from phredloom.llm.common import crc_mod, documents, slices, tidy
+from phredloom.llm.common import crc_mod, documents, materialize, slices, tidy
 
 BITS = 16
 SAMPLE = 8000
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 12
 COST = 0.1
 ALPHA = 1.0
@@ -191,21 +196,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_mod(doc_id, 5) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fifth."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``sample`` labelled rows outside the held-out fifth, of at most ``most_bytes`` (one row at least)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y is not null")
     picked = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", "y"), "doc_id", "y").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             r = [r.astype(np.int32).tobytes() for r in features(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(r, pa.binary())], ["doc_id", "y", "r"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("k"), pa.array(r, pa.binary())], ["doc_id", "y", "k", "r"])
 
     # a bounded side: at most ``sample`` rows of two numbers
-    joined = documents(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
-    got = joined.mapInArrow(tidy(run), "doc_id long, y int, r binary").collect()
+    joined = documents(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y", F.xxhash64("doc_id", "y", "text").alias("k"))
+    rows = materialize(joined.mapInArrow(tidy(run), "doc_id long, y int, k long, r binary"))
+    rows = rows.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.first("y").alias("y"), F.first("r").alias("r"))
+    sizes = rows.select("k", F.length("r").alias("size")).orderBy("k").limit(sample).collect()
+    fits = np.cumsum([r["size"] for r in sizes]) <= most_bytes
+    if not sizes:
+        return fit([], np.empty(0, np.int64))
+    got = rows.filter(F.col("k") <= sizes[max(0, int(fits.sum()) - 1)]["k"]).collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["y"], bytes(r["r"])))
-    got = got[:sample]
     return fit([np.frombuffer(r["r"], np.int32).astype(np.int64) for r in got], np.array([r["y"] for r in got], dtype=np.int64))
 
 

@@ -136,6 +136,42 @@ def test_quality_on_odd_rows(spark, odd):
     assert quality.keep_good(odd, quality.train(odd, labels.limit(0))).columns == odd.columns
 
 
+def test_training_rows_are_bounded_for_a_repeated_id(spark, monkeypatch):
+    docs = spark.range(3000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text")).union(spark.createDataFrame([(8, "bad bad bad")] * 500, "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y: seen.append((len(rows), sum(r.nbytes for r in rows))) or len(rows))
+    assert quality.train(docs, labels, sample=100) == 100
+    assert 1 <= quality.train(docs, labels, sample=100, most_bytes=2000) < 100 and seen[-1][1] <= 2 * 2000
+    assert quality.train(docs, labels, sample=10, most_bytes=0) == 1
+    assert quality.train(docs.filter("doc_id = 8"), labels) == 1
+
+
+def dual_by_projected_gradient(x, y, upper, steps=40_000):
+    """Another solver of the same dual (boxed quadratic program over unit rows and a constant), for comparison."""
+    z = np.hstack([x, np.ones((len(x), 1))]) * y[:, None]
+    q = z @ z.T
+    a, rate = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(steps):
+        a = np.clip(a - rate * (q @ a - 1), 0, upper)
+    return a @ q @ a / 2 - a.sum(), z.T @ a
+
+
+def test_dual_descent_solves_the_dual():
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(30) < 0.3) for _ in range(60)]
+    y = np.where([(3 in r) ^ (rng.random() < 0.1) for r in rows], 1.0, -1.0)
+    scale = rng.normal(size=30)
+    x = np.zeros((60, 30))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / max(1e-9, np.sqrt((scale[r] ** 2).sum()))
+    upper = np.where(y > 0, 0.1 * 60 / (2 * (y > 0).sum()), 0.1 * 60 / (2 * (y < 0).sum()))
+    best, w = dual_by_projected_gradient(x, y, upper)
+    got, b = quality.dual_descent(rows, y, scale, cost=0.1, epochs=400)
+    assert np.allclose(np.append(got, b), w, atol=1e-3)
+    assert best < 0
+
+
 # ------------------------------------------------------------ packing
 def test_packing_is_whole_and_within_budget(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([None, 0, 5, 5, 9000, 120, 3, -2, 40] * 50)], "doc_id long, n long").withColumn("bucket", F.lit(1))
