@@ -4,13 +4,16 @@ Vectors are quantised to integers, dealt to blocks of bounded size, and each
 block is indexed: for every dimension, its rows form posting segments by
 quantised value. A query adds up segments score-at-a-time, those of the highest
 impact first, which gives a sum that a row's true score is not below. After
-each stride of segments one bound holds for all that could still be added (the
-highest segments left and the width of a level). A query is settled when the
-rows whose bound reaches the k-th best sum are few, or no segment is left; just
-these rows are rescored exactly. Queries are handled in batches.
+certain shares of the segments, each row's score is bounded from above: a
+dimension whose segment was added can exceed its share by a level's
+width, any other by the highest segment of that dimension still left. A query
+is settled, and leaves its batch, when the rows whose bound reaches the k-th
+best sum are few, or no segment is left; just these rows are rescored exactly.
 
-Query blocks meet index blocks by an equi-join on block numbers, both packed to
-one row a block; the k best of each pair of blocks go to a final ranking.
+Query blocks meet index blocks by an equi-join on both block numbers, each
+packed to one row a block, of the same size, so that a task's input is as small
+as its work allows; while the queries fill one block, nothing is copied. The k
+best of each pair of blocks go to a final ranking.
 
 Defined results: a vector that is null, empty, or holds a null or non-finite
 component takes no part; rows with equal vec_id and vector count once; a null
@@ -30,11 +33,12 @@ from pyspark.sql import functions as F
 
 from phredloom.llm.common import materialize
 
-LEVELS = 32
-STRIDE = 512
+LEVELS = 64
+CHECKS = (0.9, 0.95, 0.975, 1.0)  # shares of the segments after which bounds are worked out
+FEW = 4  # a query is settled when one row in so many is possible: then exact scores cost less than more segments
 BATCH = 64
-BLOCK_ROWS = 16384
-QUERY_ROWS = 512
+BLOCK_ROWS = 8192
+QUERY_ROWS = 8192
 _MAX = np.iinfo(np.int64).max
 
 
@@ -65,43 +69,53 @@ class Block:
         if self.peak >= 2**31:
             return
         self.width = (high - self.low) // LEVELS + 1
-        level = (self.rows - self.low) // self.width
-        self.docs = np.argsort(level, axis=0, kind="stable").T.astype(np.int32)
-        self.start = np.stack([np.searchsorted(np.sort(level[:, j]), np.arange(LEVELS + 1)) for j in range(level.shape[1])])
+        self.level = ((self.rows - self.low) // self.width).astype(np.int16)
+        self.docs = np.argsort(self.level, axis=0, kind="stable").T.astype(np.int32)
+        self.start = np.stack([np.searchsorted(np.sort(self.level[:, j]), np.arange(LEVELS + 1)) for j in range(self.level.shape[1])])
+        self.added: list[float] = []  # of each query settled: the share of segments added by then
 
     def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (row numbers, exact scores) of a superset of the block's k best rows.
 
         The queries share the order of segments (by the highest impact that any
-        of them gives a segment); bounds and possible members are each query's own.
+        of them gives a segment); bounds, possible members and the stop are each
+        query's own.
         """
         n, d = self.rows.shape
         q = np.zeros((len(queries), d), dtype=np.int64)
         q[:, : min(d, queries.shape[1])] = queries[:, :d]
-        if self.peak >= 2**31 or self.peak * max(1, int(np.abs(q).max())) * d >= 2**62:
+        if self.peak >= 2**31 or self.peak * max(1, int(np.abs(q).max())) * d >= 2**50:
             return [(np.arange(n), np.array([_saturated(row, x) for row in self.rows], dtype=np.int64)) for x in q]
         edge = self.low[:, None] + np.arange(LEVELS)[None, :] * self.width[:, None]
         least = np.minimum(q[:, :, None] * edge, q[:, :, None] * (edge + self.width[:, None] - 1))
         base = least.min(axis=2)
-        impact = np.ascontiguousarray((least - base[:, :, None]).transpose(1, 2, 0)).reshape(d * LEVELS, len(q))
-        slack = (np.abs(q) * (self.width - 1)).sum(axis=1)
+        impact = np.ascontiguousarray((least - base[:, :, None]).transpose(1, 2, 0))
+        gap = (np.abs(q) * (self.width - 1)).sum(axis=1)
         acc = np.tile(base.sum(axis=1), (n, 1))
-        order = np.argsort(-impact.max(axis=1), kind="stable")
-        ahead = impact.copy()
-        few = max(4 * k, 64, n // 64)
-        for at in range(0, len(order), STRIDE):
-            part = order[at : at + STRIDE]
-            for seg in part.tolist():
-                j, level = divmod(seg, LEVELS)
+        order = np.argsort(-impact.max(axis=2).ravel(), kind="stable")
+        done = np.zeros((d, LEVELS), dtype=bool)
+        few, at = max(4 * k, 64, n // FEW), 0
+        alive, members = np.arange(len(q)), [np.empty(0, np.int64)] * len(q)
+        for share in CHECKS:
+            part = order[at : int(share * len(order))]
+            at += len(part)
+            for j, level in zip(*(x.tolist() for x in np.divmod(part, LEVELS)), strict=True):
                 a, b = self.start[j, level], self.start[j, level + 1]
                 if a < b:
-                    acc[self.docs[j, a:b]] += impact[seg]
-            ahead[part] = 0
+                    acc[self.docs[j, a:b]] += impact[j, level]
+            done.ravel()[part] = True
+            left = np.where(done[:, :, None], 0, impact).max(axis=1).astype(np.float64)  # below 2**50: exact
+            seen = done[np.arange(d), self.level].astype(np.float64)
             kth = np.partition(acc, max(0, n - k), axis=0)[max(0, n - k)]
-            possible = acc >= kth - (ahead.reshape(d, LEVELS, -1).max(axis=1).sum(axis=0) + slack)
-            if possible.sum(axis=0).max() <= few:
-                break
-        members = [np.flatnonzero(possible[:, i]) for i in range(len(q))]
+            possible = acc + (gap + left.sum(axis=0)) - seen @ left >= kth
+            settled = (possible.sum(axis=0) <= few) | (at == len(order))
+            for i in np.flatnonzero(settled).tolist():
+                members[alive[i]] = np.flatnonzero(possible[:, i])
+                self.added.append(share)
+            if settled.any():
+                alive, gap, acc, impact = alive[~settled], gap[~settled], np.ascontiguousarray(acc[:, ~settled]), np.ascontiguousarray(impact[:, :, ~settled])
+                if not len(alive):
+                    break
         return [(m, self.rows[m] @ x) for m, x in zip(members, q, strict=True)]
 
 
@@ -144,9 +158,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
                         out += [(qid, int(ids[i]), int(scores[i])) for i in best]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
-    x = materialize(packed(rows, blocks, "x"))
-    y = packed(rows.filter("q"), asks, "y")
-    pairs = x.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(asks - 1)))).join(y, "y")
-    best = pairs.repartition(max(1, blocks * asks), "x", "y").mapInPandas(pair, "query_id long, vec_id long, score long")
+    x = packed(rows, blocks, "x").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    y = packed(rows.filter("q"), asks, "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = x.repartition(4 * blocks * asks, "x", "y").join(F.broadcast(y) if asks == 1 else y, ["x", "y"])  # one block of queries: bounded
+    best = pairs.mapInPandas(pair, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
