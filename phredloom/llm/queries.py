@@ -31,6 +31,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", packing.word_tokens(F.col("text")).alias("n")), "doc_id", "n")
 
 
+# For tables of at most 100,000 rows, which are one shard; more shards are dealt by a hash that SQL does not have.
+OP3_SQL = r"""
+WITH RECURSIVE r AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS n_tokens FROM documents),
+h AS (SELECT n_tokens AS len, row_number() OVER (ORDER BY n_tokens) AS j, sum(count(*)) OVER (ORDER BY n_tokens) AS c, sum(n_tokens * count(*)) OVER (ORDER BY n_tokens) AS s FROM r GROUP BY n_tokens),
+e AS (SELECT j, len, c, s FROM h UNION ALL SELECT 0, 0, 0, 0),
+best AS (
+  SELECT 0 AS layer, CAST(0 AS BIGINT) AS j, CAST(0 AS HUGEINT) AS cost, CAST(NULL AS BIGINT) AS i
+  UNION ALL
+  SELECT b.layer + 1, y.j, min(b.cost + y.len * (y.c - x.c) - (y.s - x.s)), arg_min(x.j, struct_pack(v := b.cost + y.len * (y.c - x.c) - (y.s - x.s), i := x.j))
+  FROM best b JOIN e x ON x.j = b.j JOIN e y ON y.j > x.j
+  WHERE b.layer < least(16, (SELECT max(j) FROM e)) GROUP BY b.layer, y.j),
+walk AS (
+  SELECT layer, j, i FROM best WHERE layer = least(16, (SELECT max(j) FROM e)) AND j = (SELECT max(j) FROM e)
+  UNION ALL SELECT b.layer, b.j, b.i FROM walk w JOIN best b ON b.layer = w.layer - 1 AND b.j = w.i WHERE w.layer > 1),
+k AS (SELECT CAST(w.layer - 1 AS INTEGER) AS bucket, a.len AS low, z.len AS bucket_len, CAST(greatest(1, 16384 // greatest(1, z.len)) AS BIGINT) AS capacity FROM walk w JOIN e a ON a.j = w.i JOIN e z ON z.j = w.j),
+p AS (SELECT r.doc_id, r.n_tokens, k.bucket, k.bucket_len, k.capacity, row_number() OVER (PARTITION BY k.bucket ORDER BY r.n_tokens, r.doc_id) - 1 AS place
+  FROM r JOIN k ON r.n_tokens <= k.bucket_len AND (r.n_tokens > k.low OR k.bucket = 0))
+SELECT doc_id, n_tokens, bucket, bucket_len, capacity, CAST(place // capacity AS BIGINT) AS batch_no, CAST(place % capacity AS BIGINT) AS slot, bucket_len - n_tokens AS padding FROM p
+"""
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_count.piece_vocabulary(token_count.default_vocabulary_path())
     return token_count.count_tokens(table(spark, sf_dir, "documents"), pieces)
@@ -87,6 +108,27 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(table(spark, sf_dir, "documents"), with_text=True)
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+n AS (SELECT r, doc_id, x, octet_length(x) AS n FROM d),
+w AS (SELECT r, i, md5(x[i + 1 : i + 400]) AS h FROM (SELECT r, x, unnest(range(0, n - 399)) AS i FROM n)),
+m AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span
+  FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM m)),
+s AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, span),
+p AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x0, a AS x1 FROM s
+  UNION ALL SELECT n.r, n.n, coalesce(max(s.b), 0), n.n FROM n LEFT JOIN s ON n.r = s.r GROUP BY n.r, n.n),
+k AS (SELECT p.r, p.a, hex(n.x[p.x0 + 1 : p.x1]) AS piece FROM p JOIN n ON p.r = n.r WHERE p.x1 > p.x0),
+t AS (SELECT r, string_agg(piece, '' ORDER BY a) AS kept,
+    string_agg(regexp_replace(regexp_replace(piece, '^([89AB].)+', ''), '^((?:..)*)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$', '\1'), '' ORDER BY a) AS chars
+  FROM k GROUP BY r),
+c AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed FROM s GROUP BY r)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(t.kept, ''))) AS kept_sha256, decode(unhex(coalesce(t.chars, ''))) AS text
+FROM n LEFT JOIN t ON n.r = t.r LEFT JOIN c ON n.r = c.r
+"""
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -132,4 +174,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_revisits": OP7_SQL, "op9_topk": OP9_SQL, "op10_near_dedup": OP10_SQL}
+    return {"op3_packing": OP3_SQL, "op7_revisits": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_topk": OP9_SQL, "op10_near_dedup": OP10_SQL}

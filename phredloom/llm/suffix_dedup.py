@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredloom.llm.bytescan import _power_tables, _BYTE, mix
-from phredloom.llm.common import documents, materialize
+from phredloom.llm.common import documents, materialize, small
 
 LENGTH = 400
 GRAM = 16
@@ -334,7 +334,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     shared = materialize(found.join(often, "core", "left_semi"))
     first = F.min(F.struct("doc_id", "row", "a", "b", "p")).alias("one")
     segments = materialize(shared.groupBy("core", "seg").agg(F.count(F.lit(1)).alias("w"), first))
-    marks = shared.join(segments.filter("w > 1").select("core", "seg"), ["core", "seg"], "left_semi").select("doc_id", "row", "a", "b")
+    twice = segments.filter("w > 1").select("core", "seg")
+    marks = shared.join(small(twice, twice.count(), BROADCAST_KEYS), ["core", "seg"], "left_semi").select("doc_id", "row", "a", "b")
     mixed = segments.groupBy("core").agg(F.count(F.lit(1)).alias("d"), F.min("w").alias("least")).filter("d > 1 and least = 1")
     need = segments.join(mixed.select("core"), "core", "left_semi").select("one.*", "core", "w")
     rows = materialize(_with_bytes(need, docs))
@@ -359,8 +360,8 @@ def repeated(docs: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every row.
 
-    With ``with_text`` also ``text``: the bytes left, read as UTF-8 (a character
-    that a cut runs through is shown as U+FFFD).
+    With ``with_text`` also ``text``: the stretches left, read as UTF-8, without
+    characters that a cut runs through.
     """
     rows = documents(docs).withColumn("row", F.xxhash64("text"))
     ranges = repeated(rows).groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
@@ -380,9 +381,10 @@ def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
                     else:
                         spans.append([a, b])
                 edges = [0, *(x for s in spans for x in s), len(data)]
-                kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                pieces = [data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]
+                kept = b"".join(pieces)
                 row = (doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
-                out.append((*row, kept.decode("utf-8", "replace")) if with_text else row)
+                out.append((*row, "".join(x.decode("utf-8", "ignore") for x in pieces)) if with_text else row)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     out = joined.selectExpr("cast(doc_id as string) doc_id", "text", "ranges").mapInPandas(run, schema)

@@ -346,6 +346,29 @@ def test_bootstrap_discovers_identifiers_of_trusted_contexts(spark):
     assert not any("id:" in got[i] for i in (11, 12, 13))
 
 
+def test_bootstrap_precision_and_recall_on_planted_identifiers(spark):
+    """Half of the identifiers stand in contexts that they share with base spans, in prose full of other numbers."""
+    import random
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["river", "the", "stone", "of", "garden", "in", "walked", "seven", "a"]) for _ in range(n))
+    frames = [("reach me at ", " thanks"), ("mobile: ", ""), ("my account ", " is open"), ("averyveryveryverylongfieldnameofacontactform:" * 3 + " ", " end")]
+    docs, planted = [], set()
+    for i in range(240):
+        a, b = frames[i % 4]
+        if i % 3:
+            value = rng.choice([f"u{i}@mail{i}.org", f"+1 555 {rng.randint(100, 999)} {rng.randint(1000, 9999)}", f"10.{i}.3.4"])
+        else:
+            value = f"ZX-{rng.randint(10**5, 10**6)}-{i}"
+        text = f"{prose(rng.randint(3, 30))} {a}{value}{b} {prose(rng.randint(3, 30))} item {rng.randint(10**6, 10**7)} of the {rng.randint(10**5, 10**6)}"
+        docs.append((i, text))
+        if not i % 3:
+            planted.add((i, text.index(value), text.index(value) + len(value)))
+    got = {(r["doc_id"], *map(int, x.split(":")[1:])) for r in pii.digest(awkward(spark, docs)).collect() for x in r["spans"].split(",") if x.startswith("id:")}
+    assert len(got & planted) >= 0.95 * len(planted)
+    assert len(got & planted) >= 0.95 * len(got)
+
+
 def test_redaction(spark, odd):
     docs = awkward(spark, [(1, "x a@b.cd y 1.2.3.4"), (2, None), (3, "clean"), (None, "é +1 (017) 555-7713!"), (1, "x a@b.cd y 1.2.3.4")])
     got = pii.redact(docs)
@@ -510,6 +533,20 @@ def test_stages_take_odd_and_empty_tables(spark, odd, stage):
     assert stage(spark, docs.limit(0), DIR).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        c.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    df = queries.queries()[name](spark, DIR)
+    got = c.execute(queries.oracle_sql()[name])
+    cols = [d[0] for d in got.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted(map(repr, got.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*cols).collect())
+
+
 def test_all_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
