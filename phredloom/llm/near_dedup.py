@@ -9,9 +9,11 @@ band bucket are candidates:
    number of pairs linear in the bucket);
 2. once the links found so far are joined to components, buckets that still
    hold several components are compared inside blocks of bounded size, whatever
-   the bucket's size: first the member nearest to the block's commonest hashes
-   with all, then what is still apart. A task returns the links that join
-   components, not pairs.
+   the bucket's size. Signatures alone go first and name the members that have
+   an unpruned partner in another component; only their full sets follow. Of
+   these, first the member nearest to the block's commonest hashes is compared
+   with all, then what is still apart. A task returns members or the links that
+   join components, not pairs.
 
 A comparison goes through the signatures batch by batch. With a uniform prior,
 the posterior chance that the similarity reaches the threshold is a binomial
@@ -33,7 +35,7 @@ rows are one class; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -205,18 +207,27 @@ class _Block:
 
     def __init__(self, g: pd.DataFrame, threshold: float, percent: int):
         self.key, self.threshold, self.percent = g["k"].iloc[0], threshold, percent
-        self.sig, self.rep, self.n, self.sets = _matrix(g["sig"]), g["rep"].to_numpy(), g["n"].to_numpy(), g["s"].tolist()
+        self.sig, self.rep, self.n, self.sets = _matrix(g["sig"]), g["rep"].to_numpy(), g["n"].to_numpy(), g["s"].tolist() if "s" in g else []
         self.bands = np.frombuffer(b"".join(g["bands"]), np.int64).reshape(len(g), BANDS)
         self.root = g["c"].to_numpy().copy()
         self.left, self.right = ((g["own"] == g[x]).to_numpy() for x in ("i", "j"))
+        self.same = bool((self.left == self.right).all())
         self.links: list[tuple[int, int]] = []
 
+    def unpruned(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Members of ys in another component than x that neither set sizes nor signature batches rule out."""
+        ys = ys[(self.root[ys] != self.root[x]) & (np.minimum(self.n[ys], self.n[x]) >= self.threshold * np.maximum(self.n[ys], self.n[x]) - 1e-6)]
+        return ys[_survive(np.broadcast_to(self.sig[x], (len(ys), _N)), self.sig[ys], self.threshold)] if len(ys) else ys
+
+    def partners(self, x: int) -> np.ndarray:
+        """Members to compare x with: a pair that shares an earlier bucket is dealt with there."""
+        ys = np.flatnonzero(self.right & (self.root != self.root[x]))
+        ys = ys[ys > x] if self.same else ys
+        return ys[self.bands[x, (self.bands[ys] == self.bands[x]).argmax(axis=1)] == self.key] if len(ys) else ys
+
     def compare(self, x: int, ys: np.ndarray) -> None:
         """Verify x against ys, the most similar first; members that a link has joined to x are passed over."""
-        ys = ys[(self.root[ys] != self.root[x]) & (np.minimum(self.n[ys], self.n[x]) >= self.threshold * np.maximum(self.n[ys], self.n[x]) - 1e-6)]
-        if not len(ys):
-            return
-        ys = ys[_survive(np.broadcast_to(self.sig[x], (len(ys), _N)), self.sig[ys], self.threshold)]
+        ys = self.unpruned(x, ys)
         for y in ys[np.argsort(-(self.sig[ys] == self.sig[x]).sum(axis=1), kind="stable")].tolist():
             if self.root[x] != self.root[y] and _linked(self.sets[x], self.sets[y], self.percent):
                 self.links.append((min(int(self.rep[x]), int(self.rep[y])), max(int(self.rep[x]), int(self.rep[y]))))
@@ -231,49 +242,77 @@ class _Block:
             runs_[i] = np.where(ordered[i] == ordered[i - 1], runs_[i - 1] + 1, 0)
         common = ordered[runs_.argmax(axis=0), np.arange(_N)]
         self.compare(int(members[(self.sig[members] == common).sum(axis=1).argmax()]), members)
-        same = bool((self.left == self.right).all())
         for x in np.flatnonzero(self.left).tolist():
-            ys = np.flatnonzero(self.right & (self.root != self.root[x]))
-            ys = ys[ys > x] if same else ys
-            if len(ys):  # a pair that shares an earlier bucket is dealt with there
-                ys = ys[self.bands[x, (self.bands[ys] == self.bands[x]).argmax(axis=1)] == self.key]
-                self.compare(x, ys)
+            self.compare(x, self.partners(x))
         return self.links
 
+    def hopeful(self) -> np.ndarray:
+        """Which members have an unpruned partner in another component."""
+        out = np.zeros(len(self.rep), dtype=bool)
+        for x in np.flatnonzero(self.left).tolist():
+            ys = self.partners(x)
+            ys = self.unpruned(x, ys[~out[ys]] if out[x] else ys)  # what is known to have a partner needs no other
+            out[ys] = True
+            out[x] |= len(ys) > 0
+        return out
+
+
+_PLACE_OF = ["k", "i", "j"]
 
-def _cross_component(members: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """Links between different components inside each bucket block; members: k, i, j, own, rep, n, c, sig, bands, s."""
+
+def _blockwise(members: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on the members of each block; a block is held whole, a bucket is not."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # rows of the block that has not ended yet
 
-        def ended(rows: pd.DataFrame) -> pd.DataFrame:
-            links = {p for _, g in rows.groupby(["k", "i", "j"], sort=False) for p in _Block(g, threshold, percent).run()}
-            return pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
+        def ended(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for _, g in rows.groupby(_PLACE_OF, sort=False):
+                yield work(g)
 
         for b in batches:
             if not len(b):
                 continue
             held.append(b)
-            last = b[["k", "i", "j"]].iloc[-1]
-            if held[0][["k", "i", "j"]].iloc[0].equals(last):
+            last = b[_PLACE_OF].iloc[-1]
+            if held[0][_PLACE_OF].iloc[0].equals(last):
                 continue
             rows = pd.concat(held)
-            open_ = (rows[["k", "i", "j"]] == last).all(axis=1)
-            yield ended(rows[~open_])
+            open_ = (rows[_PLACE_OF] == last).all(axis=1)
+            yield from ended(rows[~open_])
             held = [rows[open_]]
         if held:
-            yield ended(pd.concat(held))
+            yield from ended(pd.concat(held))
+
+    return members.repartition(*_PLACE_OF).sortWithinPartitions(*_PLACE_OF).mapInPandas(tidy(run), schema)
 
-    return members.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInPandas(tidy(run), "a long, b long")
+
+def _hopeful(members: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """The members (k, i, j, own, rep, n, c) that signatures leave an open partner; members also carry sig and bands."""
+    kept = ["k", "i", "j", "own", "rep", "n", "c"]
+    schema = "k long, i int, j int, own int, rep long, n long, c long"
+    return _blockwise(members, lambda g: g.loc[_Block(g, threshold, percent).hopeful(), kept], schema)
+
+
+def _cross_component(members: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links between different components inside each bucket block; members: k, i, j, own, rep, n, c, sig, bands, s."""
+
+    def links(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(sorted(set(_Block(g, threshold, percent).run())), columns=["a", "b"], dtype="int64")
+
+    return _blockwise(members, links, "a long, b long").distinct()
+
+
+def _band_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in batches:
+        yield p.assign(bands=[np.asarray(b, np.int64).tobytes() for b in p["bands"]])
 
 
 def _same_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keeps, of rows that share a doc_id, the set that the representative stands for; bands as bytes."""
+    """Keeps, of rows that share a doc_id, the set that the representative stands for."""
     for p in batches:
         ok = [xxhash.xxh3_128_digest(s) == key for s, key in zip(p["s"], p["key"], strict=True)]
-        p = p.loc[ok]
-        yield pd.DataFrame({"rep": p["rep"], "sig": p["sig"], "bands": [np.asarray(b, np.int64).tobytes() for b in p["bands"]], "s": p["s"]})
+        yield p.loc[ok, ["rep", "sig", "bands", "s"]]
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -285,7 +324,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
     bands = reps.select(F.explode("bands").alias("k"), "rep", "n")
-    buckets = bands.groupBy("k").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # tables of their own: a join of two plain tables can split a hot key, one that follows an aggregate of the key cannot
+    buckets = materialize(bands.groupBy("k").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
     shared = materialize(bands.join(buckets, "k"))
     star = shared.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     links = materialize(_verify(materialize(_prune(star, reps, threshold)), docs, words, percent))
@@ -294,21 +334,25 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # buckets of more than two members that still hold several components
     of = found.select(F.col("node").alias("rep"), F.col("component").alias("c"))
     labelled = shared.filter("m > 2").join(of, "rep", "left").select("k", "rep", "n", "m", F.coalesce("c", "rep").alias("c"))
-    open_ = labelled.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k")
+    labelled = materialize(labelled)
+    open_ = materialize(labelled.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k"))
+    open_ = small(open_, open_.count(), BROADCAST_IDS)
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     members = labelled.join(open_, "k", "left_semi").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c")
-    members = materialize(members)
+    signs = reps.select("rep", "key", "sig", "bands")
+    as_bytes = signs.join(members.select("rep").distinct(), "rep", "left_semi").mapInPandas(tidy(_band_bytes), "rep long, key binary, sig binary, bands binary")
+    members = materialize(_hopeful(members.join(as_bytes.drop("key"), "rep"), threshold, percent))
     full = _full_sets(members.select(F.col("rep").alias("doc_id")), docs, words)
-    own_sets = reps.select("rep", "key", "sig", "bands").join(full.withColumnRenamed("id", "rep"), "rep")
+    own_sets = as_bytes.join(full.withColumnRenamed("id", "rep"), "rep")
     packed = own_sets.mapInPandas(tidy(_same_key), "rep long, sig binary, bands binary, s binary")
     more = materialize(_cross_component(members.join(packed, "rep"), threshold, percent))
     if more.limit(1).count():
         found = components(links.union(more))
 
     classes = reps.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    classes = classes.select(F.col("key").alias("_k"), F.coalesce("component", "rep").alias("component"))
+    classes = materialize(classes.select(F.col("key").alias("_k"), F.coalesce("component", "rep").alias("component")))
     out = rows.join(classes, rows["key"] == classes["_k"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
