@@ -63,10 +63,11 @@ def split_by_type(single: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataF
 
 
 def unpaired_features(single: DataFrame, width: int) -> DataFrame:
-    """category, id, len, clip, alqual, clipqual, olen, ztz0.., mapq, correct."""
+    """category, file (if known), id, len, clip, alqual, clipqual, olen, ztz0.., mapq, correct."""
+    file = ["file"] if "file" in single.columns else []
     z = [F.get("ztz", F.lit(i)).alias(f"ztz{i}") for i in range(width)]
     return single.select(
-        "category", F.col("line").alias("id"), F.col("len").cast("double").alias("len"), (F.col("left_clip") + F.col("right_clip")).cast("double").alias("clip"),
+        "category", *file, F.col("line").alias("id"), F.col("len").cast("double").alias("len"), (F.col("left_clip") + F.col("right_clip")).cast("double").alias("clip"),
         F.col("avg_aligned_qual").alias("alqual"), F.col("avg_clipped_qual").alias("clipqual"), F.col("opp_len").cast("double").alias("olen"), *z, "mapq", "correct",
     )
 
@@ -91,8 +92,9 @@ def unpivot_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def paired_features(pairs: DataFrame, width: int, most: int = 100_000) -> DataFrame:
-    """category, id, own fields, opposite fields, fraglen, mapq, correct; two rows a pair."""
+    """category, file (if known), id, own fields, opposite fields, fraglen, mapq, correct; two rows a pair."""
     rows = unpivot_pairs(pairs.withColumn("fraglen", pair_fragment(most)))
+    file = ["a.file"] if "file" in rows.schema["a"].dataType.names else []
 
     def side(a: str, p: str) -> list[Column]:
         clip = F.col(f"{a}.left_clip") + F.col(f"{a}.right_clip")
@@ -104,7 +106,7 @@ def paired_features(pairs: DataFrame, width: int, most: int = 100_000) -> DataFr
         return [F.get(f"{a}.ztz", F.lit(i)).alias(f"{p}ztz_{i}") for i in range(width)]
 
     return rows.select(
-        "category", F.col("a.line").alias("id"), *side("a", ""), *z("a", ""), *side("o", "o"), F.col("fraglen").cast("double").alias("fraglen"), *z("o", "o"), F.col("a.mapq").alias("mapq"), F.col("a.correct").alias("correct"),
+        "category", *file, F.col("a.line").alias("id"), *side("a", ""), *z("a", ""), *side("o", "o"), F.col("fraglen").cast("double").alias("fraglen"), *z("o", "o"), F.col("a.mapq").alias("mapq"), F.col("a.correct").alias("correct"),
     )
 
 

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NOT_FEATURES = ["id", "correct", "rname", "category"]
+NOT_FEATURES = ["id", "file", "correct", "rname", "category"]
 
 
 def impute(df: DataFrame, cols: list[str], by: str = "category", chunk_rows: int = 0) -> DataFrame:

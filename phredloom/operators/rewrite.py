@@ -10,13 +10,14 @@ from phredloom.operators.pairing import template_rows
 
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    """Prediction runs (line, mapq) as one; a line twice, or a quality outside [0, 100], is an error."""
+    """Prediction runs ((file,) line, mapq) as one; a line of a file twice, or a quality outside [0, 100], is an error."""
+    on = ["file", "line"] if "file" in runs[0].columns else ["line"]
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)
-    out = out.groupBy("line").agg(F.max("mapq").alias("mapq"), F.count(F.lit(1)).alias("_n"))
+    out = out.groupBy(*on).agg(F.max("mapq").alias("mapq"), F.count(F.lit(1)).alias("_n"))
     bad = (F.col("_n") > 1) | ~F.col("mapq").between(0, 100)
-    return out.select("line", F.when(bad, F.raise_error(F.lit("a line twice, or a quality out of range")).cast("double")).otherwise(F.col("mapq")).alias("mapq"))
+    return out.select(*on, F.when(bad, F.raise_error(F.lit("a line twice, or a quality out of range")).cast("double")).otherwise(F.col("mapq")).alias("mapq"))
 
 
 def rewritten(raw: Column, mapq: Column, keep_features: bool = False, orig_flag: str | None = None, precise_flag: str | None = None) -> Column:

@@ -14,6 +14,7 @@ from phredloom.functions.cigar import ref_length
 from phredloom.functions.readnames import PREFIX
 
 DRAWS = 10
+BROADCAST_SLOTS = 1_000_000
 
 
 def model_stats(templates: DataFrame, length: str) -> DataFrame:
@@ -67,19 +68,24 @@ def draw(allocated: DataFrame, templates: DataFrame, overlap: int, seed: int) ->
 
     A template is drawn with replacement by its number (``slot`` from 0,
     ``n_slots`` of its category). Of ``DRAWS`` places the first whose window
-    has only A, C, G, T is taken; a read without one is left out.
+    has only A, C, G, T is taken; a read without one is left out. A read takes
+    its window out of the chunk before it meets its template: only the
+    templates' spans (two numbers each) are broadcast, while they are within
+    ``BROADCAST_SLOTS``, and no chunk is shuffled.
     """
     reads = allocated.withColumn("read", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_reads") - 1)))
     sizes = templates.groupBy("category").agg(F.count(F.lit(1)).alias("n_slots"))
     reads = reads.join(F.broadcast(sizes), "category")
     reads = reads.withColumn("slot", F.floor(uniform(seed, F.col("category"), F.col("read"), F.lit("slot")) * F.col("n_slots")).cast("long"))
-    t = templates.withColumn("span", F.greatest(F.coalesce("fraglen", F.lit(0)), ref_length(F.col("xscript1")), F.coalesce(ref_length(F.col("xscript2")), F.lit(0))))
-    r = reads.join(t, ["category", "slot"])
+    span = F.greatest(F.coalesce("fraglen", F.lit(0)), ref_length(F.col("xscript1")), F.coalesce(ref_length(F.col("xscript2")), F.lit(0)))
+    spans = templates.select("category", "slot", span.alias("span"))
+    r = reads.join(F.broadcast(spans) if templates.count() <= BROADCAST_SLOTS else spans, ["category", "slot"])
     room = F.greatest(F.col("retsz") - overlap + 1, F.lit(1))
     places = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: F.floor(uniform(seed, F.col("category"), F.col("read"), i) * room).cast("int"))
     good = F.filter(places, lambda o: ~F.substring(F.col("seq"), o + 1, F.col("span").cast("int")).rlike("[^ACGT]") & (o + F.col("span") <= F.col("retsz")))
     r = r.withColumn("_o", F.get(good, F.lit(0))).filter("_o is not null")
-    return r.withColumn("window", F.substring("seq", F.col("_o") + 1, F.col("span").cast("int"))).withColumn("off", F.col("refoff") + F.col("_o")).drop("_o", "seq")
+    r = r.withColumn("window", F.substring("seq", F.col("_o") + 1, F.col("span").cast("int"))).withColumn("off", F.col("refoff") + F.col("_o")).drop("_o", "seq")
+    return r.join(templates, ["category", "slot"])
 
 
 def mutate(ref: Column, xscript: Column, seed: int, *key: Column) -> Column:

@@ -47,8 +47,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--reweight-mapq-offset", type=float, default=10.0)
     p.add_argument("--subsampling-series", type=numbers(float), default=[1.0])
     p.add_argument("--trials", type=int, default=1)
-    p.add_argument("--max-rows", type=int, default=250_000)
-    p.add_argument("--temp-directory", default=None)
+    p.add_argument("--max-rows", type=int, default=0, help="rows that share imputation constants (0: all of a category)")
+    p.add_argument("--temp-directory", default=None, help="root of intermediate tables")
     p.add_argument("--vanilla-output", default=None, help="write only the rewritten SAM, here")
     p.add_argument("--sim-function", default="sqrt", choices=["sqrt", "linear", "const"])
     p.add_argument("--orig-mapq-flag", default="Zm:Z")
@@ -58,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
     ints = {"seed": 99099, "max-allowed-fraglen": 100_000, "input-model-size": 30_000, "sim-unp-min": 30_000, "sim-conc-min": 30_000, "sim-disc-min": 10_000, "sim-bad-end-min": 10_000, "wiggle": 30, "assess-limit": 100_000_000}
     for name, value in ints.items():
         p.add_argument(f"--{name}", type=int, default=value)
-    for name in ("write-orig-mapq", "write-precise-mapq", "keep-ztz", "reweight-mapq", "collapse", "no-oob", "skip-rewrite", "predict-for-training", "try-include-mapq", "assess-accuracy", "keep-intermediates", "verbose", "version", "print-commands"):
+    for name in ("write-orig-mapq", "write-precise-mapq", "keep-ztz", "reweight-mapq", "collapse", "no-oob", "skip-rewrite", "predict-for-training", "try-include-mapq", "assess-accuracy", "keep-intermediates", "resume", "version", "print-commands"):
         p.add_argument(f"--{name}", action="store_true")
     return p
 
@@ -103,8 +103,6 @@ def main(argv: list[str]) -> int:
         for c in commands(a, extra):
             print(" ".join(c))
         return 0
-    if a.vanilla_output:
-        a.output_directory = a.vanilla_output
     spark = session()
     base = options(a)
     for i, seed in enumerate(run.trials(a.trials, a.seed)):

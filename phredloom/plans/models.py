@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from phredloom.functions.confidence import MOST, clamp, pcor_to_mapq
 from phredloom.operators import prep, trees
 from phredloom.schemas import FIT_ORDER
+from phredloom.session import Scratch
 
 
 class HillClimb:
@@ -116,14 +117,15 @@ class ExtraTreesModel:
 
     def fit(self, df: DataFrame, weight: str | None = None) -> ExtraTreesModel:
         cols, (n, features, leaves), seed = self.cols, self.params, self.s.seed
+        key = [x for x in ("file", "id") if x in df.columns]
 
         def one(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(["id"], kind="stable")
+            g = g.sort_values(key, kind="stable")
             w = g["w"].to_numpy() if weight else None
             forest, oob = trees.fit_forest(g[cols].to_numpy(dtype=float), g["correct"].to_numpy(dtype=float), w, n, features, leaves, seed, True)
             return pd.DataFrame({"model": [pickle.dumps(forest)], "oob": [oob]})
 
-        rows = df.select("id", *cols, "correct", (F.col(weight) if weight else F.lit(1.0)).alias("w"))
+        rows = df.select(*key, *cols, "correct", (F.col(weight) if weight else F.lit(1.0)).alias("w"))
         got = rows.groupBy(F.lit(1).alias("all")).applyInPandas(one, "model binary, oob double").first()
         self.forest, self.oob = pickle.loads(bytes(got["model"])), got["oob"]
         return self
@@ -185,8 +187,8 @@ class Fitted:
     rows: int
 
 
-def fit(features: DataFrame, s: Settings) -> dict[str, Fitted]:
-    """A model for each category that has rows; ``features`` holds category, id, features, mapq, correct."""
+def fit(features: DataFrame, s: Settings, chunk_rows: int = 0) -> dict[str, Fitted]:
+    """A model for each category that has rows; ``features`` holds category, id, features, mapq, correct (and file)."""
     out = {}
     for c in FIT_ORDER:
         df = features.filter(F.col("category") == c)
@@ -194,7 +196,7 @@ def fit(features: DataFrame, s: Settings) -> dict[str, Fitted]:
         if df.isEmpty():
             continue
         present = [x for x in df.columns if x not in (*prep.NOT_FEATURES, "mapq")]
-        df = prep.impute(df, present)
+        df = prep.impute(df, present, chunk_rows=chunk_rows)
         cols = prep.feature_columns(df, s.try_include_mapq)
         df = prep.check_columns(df, cols).cache()
 
@@ -214,27 +216,35 @@ def fit(features: DataFrame, s: Settings) -> dict[str, Fitted]:
 
 
 def postprocess(df: DataFrame) -> DataFrame:
-    """Certain predictions drop to just above the largest uncertain one (all certain: the cap), then all are clamped."""
-    top = df.agg(F.max(F.when(F.col("pcor") < 1, F.col("pcor"))).alias("_top"))
+    """By category: certain predictions drop to just above the largest uncertain one (all certain: the cap), then all are clamped."""
+    by = ["category"] if "category" in df.columns else []
+    top = df.groupBy(*by).agg(F.max(F.when(F.col("pcor") < 1, F.col("pcor"))).alias("_top"))
     below = F.when(F.col("pcor") >= 1, F.coalesce(F.col("_top") + 1e-6, F.lit(MOST))).otherwise(F.col("pcor"))
-    return df.join(F.broadcast(top)).withColumn("pcor", clamp(below)).drop("_top")  # one row
+    return df.join(F.broadcast(top), by or None).withColumn("pcor", clamp(below)).drop("_top")  # a row a category
 
 
-def predict(features: DataFrame, models: dict[str, Fitted], collapse: bool = False) -> DataFrame:
-    """``category``, ``id``, ``pcor``, ``mapq``, ``mapq_orig``, ``correct``; categories without a model give no rows."""
+def raw_predictions(features: DataFrame, models: dict[str, Fitted], collapse: bool = False, chunk_rows: int = 0) -> DataFrame:
+    """``category``, ``file`` (if known), ``id``, ``pcor`` as the models give it, ``mapq``, ``correct``."""
     out = None
     for c, m in models.items():
         df = features.filter(F.col("category") == c)
-        df = prep.check_columns(prep.impute(df, [x for x in df.columns if x not in (*prep.NOT_FEATURES, "mapq")]), m.cols)
-        if collapse:
-            df = prep.expand(df, m.model.predict(prep.collapse(df, m.cols)), m.cols)
-        else:
-            df = m.model.predict(df)
-        p = postprocess(df).select("category", "id", "pcor", pcor_to_mapq(F.col("pcor")).alias("mapq"), F.col("mapq").alias("mapq_orig"), "correct")
+        df = prep.check_columns(prep.impute(df, [x for x in df.columns if x not in (*prep.NOT_FEATURES, "mapq")], chunk_rows=chunk_rows), m.cols)
+        df = prep.expand(df, m.model.predict(prep.collapse(df, m.cols)), m.cols) if collapse else m.model.predict(df)
+        p = df.select("category", *(x for x in ("file",) if x in df.columns), "id", "pcor", "mapq", "correct")
         out = p if out is None else out.unionByName(p)
     return out
 
 
+def predict(features: DataFrame, models: dict[str, Fitted], collapse: bool = False, chunk_rows: int = 0, scratch: Scratch | None = None) -> DataFrame:
+    """``category``, ``file`` (if known), ``id``, ``pcor``, ``mapq``, ``mapq_orig``, ``correct``; categories without a model give no rows.
+
+    The models run once: their predictions are a table before the largest uncertain one is looked up.
+    """
+    raw = (scratch or Scratch(features.sparkSession)).keep(raw_predictions(features, models, collapse, chunk_rows))
+    file = [x for x in ("file",) if x in raw.columns]
+    return postprocess(raw).select("category", *file, "id", "pcor", pcor_to_mapq(F.col("pcor")).alias("mapq"), F.col("mapq").alias("mapq_orig"), "correct")
+
+
 def importances(f: Fitted, df: DataFrame) -> DataFrame:
     """``feature``, ``importance``, ``rank`` (1: the most important)."""
     pairs = sorted(zip(f.cols, f.model.importances(df), strict=True), key=lambda p: (-p[1], p[0]))
@@ -245,5 +255,3 @@ def parameters(models: dict[str, Fitted], spark) -> DataFrame:
     """One row a category: parameters, rows, columns, score."""
     rows = [(c, str(m.params), m.rows, len(m.cols), None if m.score != m.score else m.score) for c, m in models.items()]
     return spark.createDataFrame(rows, "category string, params string, n_rows long, n_cols int, score double")
-
-

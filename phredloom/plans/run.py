@@ -3,11 +3,12 @@
 Aligners run outside. Step ``simulate`` writes reads; align them with the
 command of ``sources.aligners`` and give the result to step ``finish``.
 Each step leaves a marker and is skipped if its output exists (``resume``).
+Every path may be on any file system that Spark reads and writes.
 """
 
 from __future__ import annotations
 
-import os
+import resource
 import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from phredloom.functions import readnames
 from phredloom.operators import calibration, pairing, prep, rewrite, simulate
 from phredloom.plans import models
+from phredloom.session import Scratch, exists, size
 from phredloom.sources import fasta, sam
 
 
@@ -49,6 +51,10 @@ class Options:
     skip_rewrite: bool = False
     predict_for_training: bool = False
     resume: bool = False
+    max_rows: int = 0  # rows that share imputation constants; 0: a whole category
+    temp_directory: str | None = None
+    keep_intermediates: bool = False
+    vanilla_output: str | None = None  # write only the rewritten SAM, here
     models: models.Settings = field(default_factory=models.Settings)
 
     def least(self, category: str) -> int:
@@ -65,9 +71,10 @@ class Timers:
         yield
         self.rows.append((name, time.time() - t))
 
-    def write(self, path: str) -> None:
-        with open(path, "w") as f:
-            f.writelines(f"{n}\t{s:.3f}\n" for n, s in self.rows)
+    def write(self, spark: SparkSession, path: str, more: list[tuple[str, float]]) -> None:
+        """Seconds of each step, then ``more`` figures, as one text part."""
+        rows = [(f"{n}\t{v:.3f}",) for n, v in [*self.rows, *more]]
+        spark.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def parsed(spark: SparkSession, paths: list[str], o: Options) -> tuple[DataFrame, DataFrame]:
@@ -116,43 +123,54 @@ def simulated(spark: SparkSession, single: DataFrame, pairs: DataFrame, o: Optio
     return one, two.unionByName(simulate.bad_end_reads(drawn.filter("category = 'b'"), o.seed, o.prefix))
 
 
-def done(path: str, o: Options) -> bool:
-    return o.resume and os.path.exists(os.path.join(path, "_SUCCESS"))
+def done(spark: SparkSession, path: str, o: Options) -> bool:
+    return o.resume and exists(spark, f"{path}/_SUCCESS")
 
 
 def finish(spark: SparkSession, input_sam: list[str], training_sam: list[str], o: Options) -> DataFrame:
-    """Fit on the aligned simulated reads, predict for the input, assess and rewrite; returns the predictions."""
-    timers, out = Timers(), o.output_directory
-    os.makedirs(out, exist_ok=True)
+    """Fit on the aligned simulated reads, predict for the input, assess and rewrite; returns the predictions.
+
+    With ``vanilla_output`` only the rewritten SAM stays, else features stay
+    with ``keep_intermediates``, and the other results always do.
+    """
+    timers, scratch = Timers(), Scratch(spark, o.temp_directory)
+    out = scratch.path("out") if o.vanilla_output else o.output_directory
+    inner = out if (o.keep_intermediates or o.resume) and not o.vanilla_output else scratch.path("features")
     with timers.step("parsing tandem alignments"):
-        train_single, train_pairs = parsed(spark, training_sam, o)
-        if not done(f"{out}/training_features", o):
-            rewrite.write_features(features(train_single, train_pairs, o), f"{out}/training_features")
-        training = spark.read.parquet(f"{out}/training_features")
+        if not done(spark, f"{inner}/training_features", o):
+            rewrite.write_features(features(*parsed(spark, training_sam, o), o), f"{inner}/training_features")
+        training = spark.read.parquet(f"{inner}/training_features")
     with timers.step("parsing input alignments"):
-        single, pairs = parsed(spark, input_sam, o)
-        if not done(f"{out}/input_features", o):
-            rewrite.write_features(features(single, pairs, o), f"{out}/input_features")
-        test = spark.read.parquet(f"{out}/input_features")
+        if not done(spark, f"{inner}/input_features", o):
+            rewrite.write_features(features(*parsed(spark, input_sam, o), o), f"{inner}/input_features")
+        test = spark.read.parquet(f"{inner}/input_features")
     with timers.step("predictions"):
-        fitted = models.fit(training, o.models)
-        if not done(f"{out}/predictions", o):
-            models.predict(test, fitted, o.collapse).write.mode("overwrite").parquet(f"{out}/predictions")
+        fitted = models.fit(training, o.models, o.max_rows)
+        if not done(spark, f"{out}/predictions", o):
+            models.predict(test, fitted, o.collapse, o.max_rows, scratch).write.mode("overwrite").parquet(f"{out}/predictions")
         predictions = spark.read.parquet(f"{out}/predictions")
         models.parameters(fitted, spark).coalesce(1).write.mode("overwrite").csv(f"{out}/params.csv", header=True)
         for c, f in fitted.items():
             models.importances(f, training).coalesce(1).write.mode("overwrite").csv(f"{out}/featimport_{c}.csv", header=True)
         if o.predict_for_training:
-            models.predict(training, fitted, o.collapse).write.mode("overwrite").parquet(f"{out}/training_predictions")
+            models.predict(training, fitted, o.collapse, o.max_rows, scratch).write.mode("overwrite").parquet(f"{out}/training_predictions")
         if o.assess_accuracy and calibration.assessable(predictions, o.assess_limit):
             calibration.write_tables(predictions, out)
+    final = o.vanilla_output or f"{out}/final.sam"
     if not o.skip_rewrite:
         with timers.step("rewriting SAM"):
             lines = sam.read_sam(spark, input_sam)
-            p = predictions.select(F.col("id").alias("line"), "mapq")
+            p = predictions.select("file", F.col("id").alias("line"), "mapq")
             flags = {"keep_features": o.keep_ztz, "orig_flag": o.orig_mapq_flag if o.write_orig_mapq else None, "precise_flag": o.precise_mapq_flag if o.write_precise_mapq else None}
-            rewrite.write_sam(rewrite.rewrite(lines, p, **flags), f"{out}/final.sam")
-    timers.write(f"{out}/timing.tsv")
+            rewrite.write_sam(rewrite.rewrite(lines, p, **flags), final)
+    if o.vanilla_output:
+        predictions = spark.createDataFrame(predictions.limit(0).collect(), predictions.schema)
+    else:
+        used = max(scratch.peak, size(spark, scratch.root))
+        written = size(spark, final)
+        peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+        timers.write(spark, f"{out}/timing.tsv", [("peak temporary MB", used / 1e6), ("temporary % of output SAM", 100 * used / max(1, written)), ("peak MB of the driver's Python", peak)])
+    scratch.purge()
     return predictions
 
 

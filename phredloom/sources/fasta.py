@@ -20,9 +20,10 @@ def chunk_starts(length: Column, chunk: int, overlap: int) -> Column:
 def chunks_of(records: DataFrame, chunk: int = CHUNK, overlap: int = 0) -> DataFrame:
     """Chunks of a table (refid, refid_full, seq) of whole sequences."""
     chunk = max(chunk, 2 * overlap)
-    starts = records.filter(F.length("seq") > 0).select("refid", "refid_full", "seq", F.explode(chunk_starts(F.length("seq"), chunk, overlap)).alias("refoff"))
-    piece = F.substring("seq", (F.col("refoff") + 1).cast("int"), F.lit(chunk))
-    return starts.select("refid", "refid_full", "refoff", F.length(piece).alias("retsz"), normalise(piece).alias("seq"))
+    starts = chunk_starts(F.length("seq"), chunk, overlap)
+    pieces = F.transform(starts, lambda at: F.struct(at.alias("refoff"), F.substring("seq", (at + 1).cast("int"), F.lit(chunk)).alias("piece")))
+    rows = records.filter(F.length("seq") > 0).select("refid", "refid_full", F.inline(pieces))  # the pieces leave, the sequence does not
+    return rows.select("refid", "refid_full", "refoff", F.length("piece").alias("retsz"), normalise(F.col("piece")).alias("seq"))
 
 
 def lines_with_offsets(spark: SparkSession, paths: str | list[str]) -> DataFrame:

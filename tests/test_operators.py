@@ -319,7 +319,7 @@ def test_whole_run(spark, tmp_path):
     genome = "".join(rng.choices("ACGT", k=4000))
     (tmp_path / "g.fa").write_text(">chr1 test\n" + "\n".join(genome[i : i + 60] for i in range(0, 4000, 60)) + "\n")
     lines, _ = write_sam(tmp_path / "in.sam", genome, rng, 200)
-    o = run.Options(ref=[str(tmp_path / "g.fa")], output_directory=str(tmp_path / "out"), sim_unp_min=300, sim_conc_min=200, sim_disc_min=100, sim_bad_end_min=100, sim_factor=1.0, write_orig_mapq=True, write_precise_mapq=True, assess_accuracy=True)
+    o = run.Options(ref=[str(tmp_path / "g.fa")], output_directory=str(tmp_path / "out"), sim_unp_min=300, sim_conc_min=200, sim_disc_min=100, sim_bad_end_min=100, sim_factor=1.0, write_orig_mapq=True, write_precise_mapq=True, assess_accuracy=True, keep_intermediates=True)
     o.models = models.Settings(num_trees=[5], max_features=[0.5], max_leaf_nodes=[8])
 
     single, pairs = run.parsed(spark, [str(tmp_path / "in.sam")], o)
