@@ -6,45 +6,26 @@ views of them. Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phredloom.functions import bases, cigar, confidence, flags, readnames, tags
 from phredloom.operators import calibration, pairing, prep, rewrite, simulate, truth
-from phredloom.plans import models
+from phredloom.plans import registry
+from phredloom.plans.registry import Query, query, read, rounded
 from phredloom.sources import fasta, sam
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    """Every registered query, those over files and of fitted models included."""
+    from phredloom.plans import catalog_files, catalog_models  # noqa: F401  they register themselves
 
+    return dict(registry.QUERIES)
 
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
 
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(registry.SQL)
 
 
 c = F.col
@@ -320,7 +301,12 @@ def q_impute(spark: SparkSession, d: str) -> DataFrame:
     return prep.impute(j, ["quality", "toxic"])
 
 
-@query("""SELECT unnest(list_filter(['x0', 'x1', 'x2', 'x3', 'k'], lambda n: n <> 'k')) AS feature""")
+@query("""WITH v AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT j, CASE j WHEN 5 THEN 7.0 WHEN 6 THEN e[3] ELSE e[j] END AS x, row_number() OVER () AS r FROM v, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS j)),
+s AS (SELECT j, count(DISTINCT x) AS n FROM u GROUP BY j),
+d AS (SELECT DISTINCT b.j FROM (SELECT unnest([1, 2, 3, 4, 5, 6]) AS j) a, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS j) b
+  WHERE a.j < b.j AND (SELECT count(*) FROM v WHERE (CASE a.j WHEN 5 THEN 7.0 WHEN 6 THEN e[3] ELSE e[a.j] END) IS DISTINCT FROM (CASE b.j WHEN 5 THEN 7.0 WHEN 6 THEN e[3] ELSE e[b.j] END)) = 0)
+SELECT CASE j WHEN 5 THEN 'k' WHEN 6 THEN 'again' ELSE 'x' || (j - 1) END AS feature FROM s WHERE n > 1 AND j NOT IN (SELECT j FROM d)""")
 def q_const_dup_cols(spark: SparkSession, d: str) -> DataFrame:
     e = c("embedding")
     v = read(spark, d, "embeddings").select(c("vec_id").alias("id"), *(F.get(e, F.lit(i)).cast("double").alias(f"x{i}") for i in range(4)), F.lit(7.0).alias("k"), F.get(e, F.lit(2)).cast("double").alias("again"))
@@ -452,44 +438,3 @@ def q_interleave(spark: SparkSession, d: str) -> DataFrame:
         return read(spark, d, "part").select(c("p_partkey").alias("ordinal"), name.alias("name"), F.substring("p_name", mate, 5).alias("seq"), F.lit("I").alias("qual"))
 
     return rewrite.interleave(reads(1), reads(2)).drop("qual")
-
-
-# ---------------------------------------------------------------- models (no SQL form)
-def _training(spark: SparkSession, d: str) -> DataFrame:
-    e = c("embedding")
-    cols = [F.get(e, F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)]
-    return read(spark, d, "embeddings").select(F.lit("u").alias("category"), c("vec_id").alias("id"), *cols, (c("label") * 5).cast("int").alias("mapq"), (c("label") >= 5).cast("int").alias("correct"))
-
-
-def _predicted(spark: SparkSession, d: str, **settings) -> DataFrame:
-    t = _training(spark, d)
-    s = models.Settings(max_features=[0.5], max_leaf_nodes=[16], learning_rate=[0.3], **settings)
-    return models.predict(t, models.fit(t, s))
-
-
-@query()
-def q_random_forest(spark: SparkSession, d: str) -> DataFrame:
-    return _predicted(spark, d, num_trees=[10])
-
-
-@query()
-def q_gradient_boosting(spark: SparkSession, d: str) -> DataFrame:
-    return _predicted(spark, d, model_family="GradientBoosting", num_trees=[5], reweight_ratio=2.0)
-
-
-@query()
-def q_extra_trees(spark: SparkSession, d: str) -> DataFrame:
-    return _predicted(spark, d, model_family="ExtraTrees", num_trees=[10])
-
-
-@query()
-def q_importance(spark: SparkSession, d: str) -> DataFrame:
-    t = _training(spark, d)
-    m = models.fit(t, models.Settings(num_trees=[10], max_features=[0.5], max_leaf_nodes=[16]))
-    return models.importances(m["u"], t)
-
-
-@query()
-def q_search(spark: SparkSession, d: str) -> DataFrame:
-    t = _training(spark, d)
-    return models.parameters(models.fit(t, models.Settings(model_family="ExtraTrees", num_trees=[5], max_features=[0.2, 0.4, 0.6], max_leaf_nodes=[8])), spark)

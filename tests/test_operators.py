@@ -403,3 +403,43 @@ def test_curves_of_a_hot_stratum_are_made_in_many_tasks(spark):
     r = got.agg(F.count("rank"), F.countDistinct("rank"), F.min("rank"), F.max("rank"), F.max("ci")).first()
     assert tuple(r) == (2_000_006, 2_000_006, 0, 2_000_005, 500_002.0)
     assert got.filter("rank between 1 and 2000001").select("task").distinct().count() > 2
+
+
+def test_features_of_two_files_meet_their_own_lines(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    genome = "".join(rng.choices("ACGT", k=3000))
+    for x in "ab":
+        write_sam(tmp_path / f"{x}.sam", genome, rng, 40)
+    o = run.Options()
+    paths = [str(tmp_path / f"{x}.sam") for x in "ab"]
+    f = run.features(*run.parsed(spark, paths, o), o)
+    assert f.select("file", "id").distinct().count() == f.count() == 2 * f.select("id").distinct().count()
+    p = f.select("file", F.col("id").alias("line"), F.when(F.col("file").endswith("a.sam"), 1.0).otherwise(2.0).alias("mapq"))
+    merged = rewrite.merge_runs([p.filter("line % 2 = 0"), p.filter("line % 2 = 1")])
+    lines = sam.read_sam(spark, paths)
+    got = rewrite.rewrite(lines, merged).join(p, ["file", "line"])
+    assert rewrite.rewrite(lines, merged).count() == lines.count()
+    assert got.filter(F.get(F.split("raw", "\t"), F.lit(4)).cast("double") != F.col("mapq")).count() == 0
+
+
+def test_vanilla_output_leaves_the_rewritten_lines_alone(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    genome = "".join(rng.choices("ACGT", k=3000))
+    write_sam(tmp_path / "in.sam", genome, rng, 60)
+    write_sam(tmp_path / "tandem.sam", genome, rng, 200, sim=True)
+    argv = ["--input-sam", str(tmp_path / "in.sam"), "--tandem-sam", str(tmp_path / "tandem.sam"), "--vanilla-output", str(tmp_path / "final"), "--temp-directory", str(tmp_path / "tmp"), "--max-rows", "50", "--num-trees", "2", "--max-features", "0.5", "--max-leaf-nodes", "4"]
+    assert cli.main(argv) == 0
+    assert sorted(os.listdir(tmp_path)) == ["final", "in.sam", "tandem.sam", "tmp"] and os.listdir(tmp_path / "tmp") == []
+    assert sam.read_sam(spark, str(tmp_path / "final")).count() == sam.read_sam(spark, str(tmp_path / "in.sam")).count()
+
+
+def test_predictions_are_calibrated_on_rows_left_out(spark):
+    from phredloom.plans import catalog_models
+
+    p = catalog_models.calibrated(spark, "/root/testdata/sf0.1").toPandas()
+    assert len(p) == 400 and p.pcor.between(0, 1).all()
+    assert abs(p.pcor.mean() - p.correct.mean()) < 0.1
