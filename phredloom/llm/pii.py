@@ -1,13 +1,19 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts (built-in functions only).
 
 Base spans are regular-expression matches that pass their kind's test. They
-seed the bootstrap: the two words to the left of a span are its lexical
-pattern. Other identifier-like tokens (long, with many digits, not overlapping
-a base span) are candidate instances. On the graph of patterns and instances,
-a pattern's confidence is the scored share of its instances, an instance's
-score grows with its patterns' confidences, and both are worked out in turn
-``ROUNDS`` times. Candidates in the context of a pattern of high confidence
-become spans of the kind ``id``.
+seed the bootstrap: the words around a span make its lexical patterns (``a b _``,
+``a _ c``, ``a _``, ``_ c``; lower case, digits as 0, of any length). Other
+identifier-like tokens (long, with many digits, not overlapping a base span) are
+candidate instances. On the graph of patterns and instances, a pattern's
+confidence is the scored share of its instances, an instance's score grows with
+its patterns' confidences, and both are worked out in turn ``ROUNDS`` times. A
+pattern of one word is trusted only if identifiers follow (or precede) at least
+``LEAST_SHARE`` of all occurrences of that word in the corpus, so that ``the _``
+proves nothing. Candidates in the context of a trusted pattern become spans of
+the kind ``id``.
+
+Only patterns with a candidate and ``LEAST_SEEDS`` different instances enter the
+graph: no other can be trusted or lift an instance.
 
 Matching once gives the matches and the gaps between them; running sums of
 their lengths give the positions, so no text is searched twice for a position.
@@ -36,21 +42,36 @@ _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])?"
 ROUNDS = 3
 LEAST_CONFIDENCE = 0.7
 LEAST_SEEDS = 3
+LEAST_SHARE = 0.5
+BROADCAST_PATTERNS = 100_000
 BROADCAST_SPANS = 500_000
 
 
-def _left_words(gap: Column) -> Column:
-    """Up to two words before a match, lower-case, digits as 0."""
-    tail = F.regexp_extract(F.right(gap, F.lit(48)), r"((?:\S{1,20}\s+)?\S{1,20}\s*)$", 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(tail), "[0-9]", "0"), r"\s+", " "))
+def _plain(words: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]", "0"), r"\s+", " "))
 
 
-def _found(text: Column, kind: int, pattern: str, only_if: Column) -> Column:
-    parts = F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0),
-        lambda gap, m: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), m.alias("match"), F.when(m.isNotNull(), _left_words(gap)).alias("context")),
+def _contexts(before: Column, after: Column) -> Column:
+    """The lexical patterns of a match between two gaps; read from the near end of each gap, so a long gap costs one pass."""
+    left = _plain(F.reverse(F.regexp_extract(F.reverse(before), r"^\s*+(\S++(?:\s++\S++)?)", 1)))
+    right = _plain(F.regexp_extract(after, r"^\s*+(\S++)", 1))
+    near = F.substring_index(left, " ", -1)
+    here = F.lit(" _")
+    return F.array(
+        F.when(left != near, F.concat(left, here)), F.when((near != "") & (right != ""), F.concat(near, here, F.lit(" "), right)),
+        F.when(near != "", F.concat(near, here)), F.when(right != "", F.concat(F.lit("_ "), right)),
     )
-    return F.when(only_if, parts).otherwise(F.expr("cast(array() as array<struct<kind:int,gap:int,match:string,context:string>>)"))
+
+
+def _found(kind: int, only_if: Column) -> Column:
+    """The matches of one kind (columns ``g<kind>``, the gaps, and ``m<kind>``, the matches) with their contexts."""
+    gaps, matches = f"g{kind}", f"m{kind}"
+    zipped = F.arrays_zip(F.col(gaps).alias("gap"), F.col(matches).alias("match"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("after"))
+    parts = F.transform(
+        F.filter(zipped, lambda x: x["match"].isNotNull()),
+        lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["gap"]).alias("gap"), x["match"].alias("match"), F.array_compact(_contexts(x["gap"], x["after"])).alias("contexts")),
+    )
+    return F.when(only_if, parts).otherwise(F.expr("cast(array() as array<struct<kind:int,gap:int,match:string,contexts:array<string>>>)"))
 
 
 def _digits(match: Column) -> Column:
@@ -73,33 +94,31 @@ def _valid(kind: Column, match: Column) -> Column:
 def marks(docs: DataFrame) -> DataFrame:
     """All base spans and candidates with their positions, and one row without a match for every text.
 
-    Columns: doc_id, row (hash of the text), copies, kind, start, end, match, context.
+    Columns: doc_id, row (hash of the text), copies, kind, start, end, match, contexts.
     """
-    d = documents(docs)
-    text, digit = F.col("text"), F.col("text").rlike("[0-9]")
-    found = F.concat(
-        _found(text, 1, EMAIL, F.contains(text, F.lit("@"))),
-        _found(text, 2, IP, text.rlike(r"[0-9]\.[0-9]")),
-        _found(text, 3, CARD, digit),
-        _found(text, 4, PHONE, text.rlike(r"\+[0-9]")),
-        _found(text, 5, CANDIDATE, digit),
-    )
-    rows = d.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode_outer(found).alias("pos", "m"))
+    text = F.col("text")
+    digit = text.rlike("[0-9]")
+    kinds = [(EMAIL, F.contains(text, F.lit("@"))), (IP, text.rlike(r"[0-9]\.[0-9]")), (CARD, digit), (PHONE, text.rlike(r"\+[0-9]")), (CANDIDATE, digit)]
+    d = documents(docs).select("doc_id", F.xxhash64("text").alias("row"), "text", *(may.alias(f"may{k}") for k, (_, may) in enumerate(kinds, 1)))
+    cut = [x for k, (p, _) in enumerate(kinds, 1) for x in (F.when(F.col(f"may{k}"), F.split(text, p, -1)).alias(f"g{k}"), F.when(F.col(f"may{k}"), F.regexp_extract_all(text, F.lit(p), 0)).alias(f"m{k}"))]
+    d = d.select("*", *cut)
+    found = F.concat(*(_found(k, F.col(f"may{k}")) for k in range(1, 6)))
+    rows = d.select("doc_id", "row", F.posexplode_outer(found).alias("pos", "m"))
     rows = rows.groupBy("doc_id", "row", "pos").agg(F.first("m").alias("m"), F.count(F.lit(1)).alias("copies"))
     along = Window.partitionBy("doc_id", "row", "m.kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("m.gap") + F.coalesce(F.length("m.match"), F.lit(0))).over(along)
-    rows = rows.select("doc_id", "row", "copies", "pos", "m.kind", "m.match", "m.context", end.alias("end"))
+    rows = rows.select("doc_id", "row", "copies", "pos", "m.kind", "m.match", "m.contexts", end.alias("end"))
     # a candidate is the token without punctuation at its ends
     core = F.regexp_replace(F.regexp_replace("match", r"^[^\p{L}\p{N}]++", ""), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
     lead = F.length(F.regexp_extract("match", r"^[^\p{L}\p{N}]*+", 0))
     start = F.col("end") - F.length("match")
     is_candidate = F.col("kind") == 5
     rows = rows.select(
-        "doc_id", "row", "copies", "pos", "kind", "context",
+        "doc_id", "row", "copies", "pos", "kind", "contexts",
         F.when(is_candidate, start + lead).otherwise(start).alias("start"),
         F.when(is_candidate, core).otherwise(F.col("match")).alias("match"),
     )
-    rows = rows.select("doc_id", "row", "copies", "pos", "kind", "context", "start", (F.col("start") + F.length("match")).alias("end"), "match", _valid(F.col("kind"), F.col("match")).alias("valid"))
+    rows = rows.select("doc_id", "row", "copies", "pos", "kind", "contexts", "start", (F.col("start") + F.length("match")).alias("end"), "match", _valid(F.col("kind"), F.col("match")).alias("valid"))
     # candidates must not overlap a base span
     base = F.col("valid") & F.col("match").isNotNull() & (F.col("kind") < 5)
     up = Window.partitionBy("doc_id", "row").orderBy("start", "kind", "pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,32 +128,55 @@ def marks(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("use", F.coalesce(F.col("valid") & F.col("match").isNotNull() & ((F.col("kind") < 5) | clear), F.lit(False)))
     return rows.filter(F.col("use") | (F.col("pos").isNull()) | (F.col("pos") == 0)).select(
-        "doc_id", "row", "copies", *(F.when(F.col("use"), F.col(c)).alias(c) for c in ("kind", "start", "end", "match", "context"))
+        "doc_id", "row", "copies", *(F.when(F.col("use"), F.col(c)).alias(c) for c in ("kind", "start", "end", "match", "contexts"))
     )
 
 
-def confident_patterns(found: DataFrame) -> DataFrame:
+def confident_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     """``context`` of the patterns that the bootstrap trusts."""
-    edge = found.filter("match is not null and context <> ''").select("context", F.xxhash64(F.lower("match")).alias("instance"), (F.col("kind") < 5).alias("seed"))
-    edges = materialize(edge.groupBy("context", "instance").agg(F.max("seed").alias("seed")))
+    edge = found.filter("match is not null").select(F.explode("contexts").alias("context"), F.xxhash64(F.lower("match")).alias("instance"), (F.col("kind") < 5).alias("seed"))
+    members = edge.groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
+    members = materialize(members)
+    useful = members.groupBy("context").agg(F.count_if(~F.col("seed")).alias("open"), F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
+    useful = materialize(useful.filter((F.col("open") > 0) & (F.col("n") >= LEAST_SEEDS)).select("context", "times"))
+    n_useful = useful.count()
+    edges = materialize(members.drop("times").join(small(useful.select("context"), n_useful, BROADCAST_PATTERNS), "context", "left_semi"))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     patterns = None
     for _ in range(ROUNDS):
         patterns = scored.groupBy("context").agg(
             (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count_if(F.col("score") > 0.5).alias("seeds")
         )
-        good = patterns.filter(F.col("seeds") >= LEAST_SEEDS).select("context", "confidence")
+        good = small(patterns.filter(F.col("seeds") >= LEAST_SEEDS).select("context", "confidence"), n_useful, BROADCAST_PATTERNS)
         lifted = edges.filter(~F.col("seed")).join(good, "context").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - 0.95 * F.col("confidence"))))).alias("lift"))
         scored = edges.join(lifted, "instance", "left").select("context", "instance", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score"))
-    return patterns.filter((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("context")
+    good = materialize(patterns.filter((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("context"))
+
+    # patterns of one word: how often is the word beside an identifier?
+    word = F.when(F.col("context").startswith("_ "), F.substr("context", F.lit(3))).otherwise(F.regexp_replace("context", " _$", ""))
+    one = materialize(good.filter(F.size(F.split("context", " ")) == 2).join(useful, "context").select("context", "times", word.alias("word")))
+    n_one = one.count()
+    if not n_one:
+        return good
+    words = documents(docs).select(F.explode(F.split(_plain(F.col("text")), " ")).alias("word"))
+    seen = words.join(small(one.select("word").distinct(), n_one, BROADCAST_PATTERNS), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
+    rare = one.join(seen, "word", "left").filter(F.col("times") < LEAST_SHARE * F.coalesce("seen", F.lit(0))).select("context")
+    return good.join(rare, "context", "left_anti")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """One row per text: doc_id, row, copies, ``spans`` array<struct<kind, start, end>> by kind and start; kind 5 is discovered."""
     found = materialize(marks(docs))
-    trusted = confident_patterns(found).withColumn("trusted", F.lit(True))
-    kept = found.join(trusted, "context", "left").withColumn("keep", F.coalesce((F.col("kind") < 5) | F.col("trusted"), F.lit(False)))
-    span = F.when(F.col("keep"), F.struct("kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
+    trusted = materialize(confident_patterns(found, docs))
+    open_ = found.filter("kind = 5").select("doc_id", "row", "start", F.explode("contexts").alias("context"))
+    ids = open_.join(small(trusted, trusted.count(), BROADCAST_PATTERNS), "context", "left_semi").groupBy("doc_id", "row", "start").agg(F.lit(True).alias("trusted"))
+    span = F.struct("kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    same = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("row") == F.col("r"), F.col("start") == F.col("s")]
+    ids = ids.toDF("d", "r", "s", "trusted")
+    tested = found.filter("kind = 5").join(ids, same).select(*found.columns)
+    kept = found.filter("kind is null or kind < 5").unionByName(tested)
+    kept = kept.unionByName(found.filter("kind = 5").select("doc_id", "row", "copies").withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in ("kind", "start", "end", "match", "contexts")}))
+    span = F.when(F.col("kind").isNotNull(), span)
     return kept.groupBy("doc_id", "row").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_set(span)).alias("spans"))
 
 
