@@ -359,14 +359,25 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` for each component (that of the smallest doc_id), with all columns; rows without a doc_id stay."""
-    linked = materialize(link(docs, words, percent))
-    keep = linked.filter("kept and doc_id is not null").select("doc_id")
-    ids = materialize(keep.distinct())
-    out = docs.join(small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    if keep.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated ids
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One row of ``docs`` for each component (that of the smallest doc_id), with all columns; rows without a doc_id stay.
+
+    Rows that share a doc_id and differ in text are documents of their own: each
+    is numbered by a negative hash of both, so that a clean text is not lost to
+    another of its id. Rows with equal id and text are one.
+    """
+    many = materialize(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("doc_id"))
+    n_many = many.count()
+    rows = docs.withColumn("__uid", F.col("doc_id").cast("long"))
+    if n_many:
+        own = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 1)
+        marked = docs.join(small(many.withColumn("__many", F.lit(True)), n_many, BROADCAST_IDS), "doc_id", "left")
+        rows = marked.withColumn("__uid", F.when(F.col("__many"), own).otherwise(F.col("doc_id").cast("long"))).select(*docs.columns, "__uid")
+    linked = materialize(link(rows.select(F.col("__uid").alias("doc_id"), "text"), words, percent))
+    ids = materialize(linked.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__uid")).distinct())
+    out = rows.join(small(ids, ids.count(), BROADCAST_IDS), "__uid", "left_semi")
+    if n_many:
+        out = out.dropDuplicates(["__uid"])
+    return out.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def exact_components(texts: dict[int, str], words: int, percent: int) -> dict[int, int]:

@@ -6,12 +6,15 @@ programming over it picks the bucket boundaries that minimise the total
 padding; its cost is Monge, so each layer is solved by divide and conquer.
 
 Batches: rows of a bucket are numbered without gathering the bucket anywhere.
-Rows are dealt to shards by hash, numbered inside (bucket, shard), and shifted
-by the number of rows that the bucket has in earlier shards.
+Rows are dealt to shards by their place in the input table, so that rows with
+one id do not meet in one shard, numbered inside (bucket, shard), and shifted by
+the number of rows that the bucket has in earlier shards.
 
-Defined results: a null or negative length counts as 0; a row longer than the
-budget is a batch of its own; repeated rows are packed each for itself; an
-empty table gives no rows.
+Defined results: a null or negative length counts as 0, and a very long one is
+exact; a row longer than the budget is a batch of its own; a null id is kept as
+null; repeated rows are packed each for itself; rows of one length stand in
+order of their id, and those with equal ids too are interchangeable; other
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from phredloom.llm.common import materialize
 
+
 def boundaries(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, n_buckets: int) -> list[int]:
     """Upper bounds of at most ``n_buckets`` buckets with the least total padding.
 
@@ -61,7 +65,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, n_bu
 def pack(df: DataFrame, id_col: str, length_col: str, n_buckets: int = 16, token_budget: int = 16384, rows_per_shard: int = 100_000) -> DataFrame:
     """Per row: id, n_tokens, bucket (from 0), bucket_len, capacity, batch_no (in its bucket), slot, padding."""
     length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long")
-    rows = materialize(df.select(F.col(id_col).alias("id"), length.alias("n_tokens")))
+    rows = materialize(df.select(F.col(id_col).alias("id"), length.alias("n_tokens"), F.monotonically_increasing_id().alias("place")))
     hist = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"), (F.col("n_tokens") * F.count(F.lit(1))).alias("t")).orderBy("n_tokens").collect()
     bounds = boundaries(*(np.array([r[i] for r in hist], dtype=np.int64) for i in range(3)), n_buckets)
     total = sum(r["n"] for r in hist)
@@ -70,7 +74,7 @@ def pack(df: DataFrame, id_col: str, length_col: str, n_buckets: int = 16, token
     for b in bounds[:-1]:
         bucket = bucket + (F.col("n_tokens") > b).cast("int")
     dealt = rows.select(
-        "id", "n_tokens", bucket.alias("bucket"), F.pmod(F.xxhash64("id", "n_tokens"), F.lit(shards)).cast("int").alias("shard")
+        "id", "n_tokens", bucket.alias("bucket"), F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard")
     )
     counts = dealt.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

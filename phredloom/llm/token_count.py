@@ -11,8 +11,10 @@ pieces at a word's start carry. A word that the vocabulary cannot spell counts
 as one unknown token. Counts of repeated words are remembered per task, in a
 table of bounded size.
 
-Defined results: null and empty texts have 0 tokens; repeated rows are counted
-each for itself; an empty table gives no rows.
+Defined results: null and empty texts have 0 tokens; a null doc_id is kept as
+null; a very long text or word is one pass over its characters; repeated rows
+are counted each for itself; other columns, whatever their names, are not read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,11 +6,12 @@ strictly earlier, then the validators of both are compared (ETag weakly, else
 Last-Modified), and the headers that a 304 answer may update are merged into
 those of the full response.
 
-The as-of join keeps no URL in one task: time is cut into buckets, the last
-response of each (URL, bucket) is found by a partial-aggregated maximum, these
-few rows are carried forward over the buckets, and only inside (URL, bucket)
-are rows ordered. Captures of one URL at the same instant collapse first, since
-"strictly earlier" gives them one answer.
+The as-of join keeps no URL in one task: time is cut into buckets of about as
+many records each (quantiles, so that a stray date does not widen them), the
+last response of each (URL, bucket) is found by a partial-aggregated maximum,
+these few rows are carried forward over the buckets, and only inside (URL,
+bucket) are rows ordered. Captures of one URL at the same instant collapse
+first, since "strictly earlier" gives them one answer.
 
 Record columns: record_id long, record_type string, uri string, ts timestamp,
 etag string, last_modified string, headers map<string,string> (lower-case
@@ -20,7 +21,8 @@ Defined results: status is ``resolved`` (validators agree), ``unverified`` (no
 validator on both sides), ``mismatch`` (they differ), ``orphan`` (no earlier
 response, or a null URI or time). Of several responses of one URL at one
 instant the largest record_id counts. Null headers act as none. Repeated
-revisits are resolved each for itself; an empty table gives no rows.
+revisits are resolved each for itself; URLs of any length count in whole; other
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,6 +52,23 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
+def time_bucket(ts: Column, records: DataFrame) -> Column:
+    """Number of the quantile edges of ``records`` (at most ``TIME_BUCKETS``) up to a time, by bisection."""
+    at = [i / TIME_BUCKETS for i in range(1, TIME_BUCKETS)]
+    edges = records.agg(F.percentile_approx(F.unix_micros("ts"), F.array(*map(F.lit, at)), 10 * TIME_BUCKETS).alias("e")).first()["e"]  # one row
+    edges = F.array(*(F.lit(x) for x in sorted(set(edges or [0]))))
+    us, n = F.unix_micros(ts), F.size(edges)
+    steps = F.sequence(F.lit(1), F.lit(TIME_BUCKETS.bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.get(edges, mid) <= us)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit: its ids, the response it stands for, status and merged headers."""
     r = records.select(
@@ -57,9 +76,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest",
     )
     usable = F.col("url").isNotNull() & F.col("ts").isNotNull()
-    span = r.filter(usable).agg(F.min("ts").cast("long").alias("lo"), F.max("ts").cast("long").alias("hi")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    bucket = F.floor((F.col("ts").cast("long") - lo) / F.lit(max(1, (hi - lo) // TIME_BUCKETS + 1))).cast("int")
+    bucket = time_bucket(F.col("ts"), r.filter(usable))
 
     full = F.struct("ts", "record_id", "etag", "last_modified", "headers", "digest")
     responses = (
