@@ -2,7 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read back as the next stage's docs. All but the last return the
-columns of ``documents``.
+columns of ``docs``, further ones with any names included.
+
+In every stage null texts count as empty, very long texts are read in whole,
+repeated rows are judged alike, and an empty table gives an empty table.
 
 1. quality: documents scored under 0.3 go (model fitted on ``labels``);
 2. near_duplicates: one document of each group stays (five-word shingles, 0.8);
@@ -21,23 +24,30 @@ from phredloom.llm.common import materialize, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of the labels table train the model: those of ``docs``, the stage's own input."""
+    """Texts of the labels table train the model: those of ``docs``, the stage's own input.
+
+    Every row is judged by its own text: rows without a doc_id too, and repeats stay repeats.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of the smallest doc_id of each group stays; of rows with that id, one. Rows without a doc_id are in no group and stay."""
     return near_dedup.keep_first(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose doc_id has a contaminated text go, all rows of that id; rows without a doc_id stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, null texts null; ``n_chars`` changes only where the text does."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each row of ``docs``, without its text: bucket, batch and slot; equal lengths stand in order of doc_id, null first."""
     return packing.pack(docs.select("doc_id", packing.word_tokens(F.col("text")).alias("n")), "doc_id", "n")
 
 
