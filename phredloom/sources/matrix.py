@@ -1,7 +1,9 @@
-"""Row-major float64 matrices with a one-line description, as a Spark data source and a writer.
+"""Row-major float64 matrices with a one-line description: read in parallel from any file system of Spark, written locally.
 
 ``<prefix>.meta`` holds ``col,...,col,rows``; ``<prefix>.npy`` holds the rows
-as native doubles without a header. Each partition reads one range of rows.
+as native doubles without a header, so a row is a record of fixed length and a
+file splits at any row. New tables are Parquet; this format is for exchange
+with tools that know no other, which is why only reading is distributed.
 """
 
 from __future__ import annotations
@@ -10,64 +12,46 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from phredloom.session import exists
 
 MAX_ROWS = 250_000
 
 
-def read_meta(prefix: str) -> tuple[list[str], int]:
-    with open(prefix + ".meta") as f:
-        *cols, rows = f.readline().strip().split(",")
+def _described(line: str) -> tuple[list[str], int]:
+    *cols, rows = line.strip().split(",")
     return cols, int(rows)
 
 
-class RowRange(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
-
-
-class MatrixReader(DataSourceReader):
-    def __init__(self, prefix: str, max_rows: int):
-        self.prefix, self.max_rows = prefix, max_rows
-        self.cols, self.rows = read_meta(prefix)
-
-    def partitions(self) -> list[RowRange]:
-        step = self.max_rows if self.max_rows > 0 else max(1, self.rows)
-        return [RowRange(a, min(self.rows, a + step)) for a in range(0, self.rows, step)] or [RowRange(0, 0)]
-
-    def read(self, partition: RowRange) -> Iterator[tuple]:
-        width = len(self.cols)
-        with open(self.prefix + ".npy", "rb") as f:
-            f.seek(partition.start * width * 8)
-            data = np.fromfile(f, dtype=np.float64, count=(partition.end - partition.start) * width).reshape(-1, width)
-        for row in data:
-            yield tuple(None if np.isnan(x) else float(x) for x in row)
+def read_meta(spark: SparkSession, prefix: str) -> tuple[list[str], int]:
+    return _described(spark.read.text(prefix + ".meta").first()["value"])
 
 
-class MatrixSource(DataSource):
-    """Options: ``path`` (the prefix), ``max_rows`` (rows per partition; 0: all in one)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "float64matrix"
-
-    def schema(self) -> StructType:
-        return StructType([StructField(c, DoubleType()) for c in read_meta(self.options["path"])[0]])
-
-    def reader(self, schema: StructType) -> MatrixReader:
-        return MatrixReader(self.options["path"], int(self.options.get("max_rows", MAX_ROWS)))
+def read_matrix(spark: SparkSession, prefix: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The matrix as columns of doubles, NaN as null, at most about ``max_rows`` rows a partition (0: as the file splits)."""
+    cols, rows = read_meta(spark, prefix)
+    width = len(cols)
+    records = spark.sparkContext.binaryRecords(prefix + ".npy", 8 * width)
+    if max_rows and rows > max_rows * records.getNumPartitions():
+        records = records.repartition(-(-rows // max_rows))
 
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = np.frombuffer(b"".join(b.column("r").to_pylist()), np.float64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([pa.array(data[:, i], from_pandas=True) for i in range(width)], cols)
 
-def read_matrix(spark: SparkSession, prefix: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    spark.dataSource.register(MatrixSource)
-    return spark.read.format("float64matrix").option("max_rows", max_rows).load(prefix)
+    raw = records.map(lambda r: (bytearray(r),)).toDF("r binary")
+    return raw.mapInArrow(decode, ", ".join(f"`{x}` double" for x in cols))
 
 
 def write_matrix(prefix: str, columns: list[str], rows: np.ndarray, append: bool = False) -> None:
-    """Write or append rows; the row count of the description follows."""
-    before = read_meta(prefix)[1] if append and os.path.exists(prefix + ".meta") else 0
+    """Write or append rows to local files; the row count of the description follows."""
+    before = 0
+    if append and os.path.exists(prefix + ".meta"):
+        with open(prefix + ".meta") as f:
+            before = _described(f.readline())[1]
     with open(prefix + ".npy", "ab" if append else "wb") as f:
         np.ascontiguousarray(rows, dtype=np.float64).tofile(f)
     with open(prefix + ".meta", "w") as f:
@@ -79,7 +63,7 @@ def read_tables(spark: SparkSession, prefix: str, max_rows: int = MAX_ROWS) -> d
     out = {}
     for c in "udcb":
         p = f"{prefix}_rec_{c}"
-        if os.path.exists(p + ".meta") and read_meta(p)[1]:
+        if exists(spark, p + ".meta") and read_meta(spark, p)[1]:
             out[c] = read_matrix(spark, p, max_rows)
     if not out:
         raise ValueError(f"no rows in any feature table under {prefix}")
