@@ -1,7 +1,8 @@
 """Extremely randomised regression trees with a leaf cap, and their out-of-bag score.
 
-MLlib has neither random thresholds nor a cap on leaves, so one category's
-training rows (bounded by the simulation targets) are fitted in one task.
+MLlib has neither random thresholds nor a cap on leaves. Each tree has its own
+seed and bootstrap, so trees are fitted in tasks of their own over one bounded
+table of training rows, and a lost tree is grown again as it was.
 """
 
 from __future__ import annotations
@@ -66,23 +67,25 @@ def predict_tree(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
         at[inner] = np.where(x[inner, f[here]] <= cut[here], left[here], right[here])
 
 
-def fit_forest(x: np.ndarray, y: np.ndarray, w: np.ndarray | None, trees: int, max_features: float, max_leaves: int | None, seed: int, extra: bool) -> tuple[list, float]:
-    """(trees, out-of-bag R squared): bootstrap rows, random cuts if ``extra``."""
-    w = np.ones(len(y)) if w is None else w
-    rng = np.random.default_rng(seed)
-    k = max(1, int(max_features * x.shape[1]))
-    out, total, seen = [], np.zeros(len(y)), np.zeros(len(y))
-    for _ in range(trees):
-        rows = rng.integers(0, len(y), len(y))
-        out.append(grow(x[rows], y[rows], w[rows], rng, k, max_leaves, extra))
-        left_out = np.setdiff1d(np.arange(len(y)), rows)
-        if len(left_out):
-            total[left_out] += predict_tree(out[-1], x[left_out])
-            seen[left_out] += 1
+def fit_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray | None, number: int, max_features: float, max_leaves: int | None, seed: int, extra: bool) -> tuple[list[tuple], np.ndarray]:
+    """Tree ``number`` over its bootstrap (random cuts if ``extra``), and its predictions of the rows left out (else NaN)."""
+    rng = np.random.default_rng([seed, number])
+    rows = rng.integers(0, len(y), len(y))
+    nodes = grow(x[rows], y[rows], (np.ones(len(y)) if w is None else w)[rows], rng, max(1, int(max_features * x.shape[1])), max_leaves, extra)
+    out = np.full(len(y), np.nan)
+    left_out = np.setdiff1d(np.arange(len(y)), rows)
+    if len(left_out):
+        out[left_out] = predict_tree(nodes, x[left_out])
+    return nodes, out
+
+
+def out_of_bag(y: np.ndarray, left_out: list[np.ndarray]) -> float:
+    """R squared of each row's mean prediction by the trees that did not see it."""
+    seen = sum((~np.isnan(p)).astype(int) for p in left_out)
+    total = sum(np.nan_to_num(p) for p in left_out)
     ok = seen > 0
     spread = ((y[ok] - y[ok].mean()) ** 2).sum() if ok.any() else 0.0
-    score = 1 - ((y[ok] - total[ok] / seen[ok]) ** 2).sum() / spread if spread > 0 else 0.0
-    return out, float(score)
+    return float(1 - ((y[ok] - total[ok] / seen[ok]) ** 2).sum() / spread) if spread > 0 else 0.0
 
 
 def predict_forest(trees: list, x: np.ndarray) -> np.ndarray:

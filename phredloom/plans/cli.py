@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--subsampling-series", type=numbers(float), default=[1.0])
     p.add_argument("--trials", type=int, default=1)
     p.add_argument("--max-rows", type=int, default=0, help="rows that share imputation constants (0: all of a category)")
+    p.add_argument("--most-rows", type=int, default=200_000, help="training rows of a category that extra trees see")
     p.add_argument("--temp-directory", default=None, help="root of intermediate tables")
     p.add_argument("--vanilla-output", default=None, help="write only the rewritten SAM, here")
     p.add_argument("--sim-function", default="sqrt", choices=["sqrt", "linear", "const"])

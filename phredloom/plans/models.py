@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,43 +20,33 @@ from phredloom.schemas import FIT_ORDER
 from phredloom.session import Scratch
 
 
-class HillClimb:
-    """Search on a lattice of parameter positions from its middle.
+def climb(axes: list[list], score: Callable[[list], float], tolerance: float = 0.01, from_middle: bool = True) -> tuple[list, float]:
+    """The best parameters of a lattice, and their score, by hill climbing from its middle.
 
-    A point that beats the base score by the relative tolerance becomes the
-    base and offers its neighbours; any better score is remembered as best.
-    Points are taken in sorted order, so a search repeats.
+    ``scored`` holds every point tried, ``open_`` the frontier: the start and
+    the lattice neighbours of every point that was a new height, that is beat
+    the last height by the relative tolerance. The frontier is tried in sorted
+    order, so a search repeats.
     """
 
-    def __init__(self, axes: list[list], tolerance: float = 0.01, from_middle: bool = True):
-        self.axes, self.tolerance = axes, tolerance
-        middle = tuple(min(len(a) - 1, round(len(a) / 2)) if from_middle else 0 for a in axes)
-        self.todo, self.offered = {middle}, {middle}
-        self.best = self.base = float("-inf")
-        self.best_params: list | None = None
-        self._offer_neighbours(middle)
-
-    def _offer_neighbours(self, at: tuple[int, ...]) -> None:
-        for i, axis in enumerate(self.axes):
-            for to in (at[i] - 1, at[i] + 1):
-                near = (*at[:i], to, *at[i + 1 :])
-                if 0 <= to < len(axis) and near not in self.offered:
-                    self.offered.add(near)
-                    self.todo.add(near)
-
-    def run(self, score: Callable[[list], float]) -> tuple[list, float]:
-        while self.todo:
-            at = min(self.todo)
-            self.todo.remove(at)
-            params = [a[i] for a, i in zip(self.axes, at, strict=True)]
-            got = score(params)
-            if self.best == float("-inf") or got > self.base * (1 + self.tolerance):
-                self.best = self.base = got
-                self.best_params = params
-                self._offer_neighbours(at)
-            elif got > self.best:
-                self.best, self.best_params = got, params
-        return self.best_params, self.best
+    def around(at: tuple[int, ...]) -> set[tuple[int, ...]]:
+        moved = ((i, at[i] + step) for i in range(len(axes)) for step in (-1, 1))
+        return {(*at[:i], to, *at[i + 1 :]) for i, to in moved if 0 <= to < len(axes[i])}
+
+    def values(at: tuple[int, ...]) -> list:
+        return [axis[i] for axis, i in zip(axes, at, strict=True)]
+
+    start = tuple(min(len(axis) - 1, round(len(axis) / 2)) if from_middle else 0 for axis in axes)
+    scored: dict[tuple[int, ...], float] = {}
+    open_, height = {start} | around(start), None
+    while left := open_ - scored.keys():
+        at = min(left)
+        scored[at] = score(values(at))
+        if height is None or scored[at] > height * (1 + tolerance):
+            height = scored[at]
+            open_ |= around(at)
+    best = max(scored, key=scored.__getitem__)
+    return values(best), scored[best]
 
 
 @dataclass
@@ -75,6 +65,7 @@ class Settings:
     no_oob: bool = False
     try_include_mapq: bool = False
     subsample: float = 1.0
+    most_rows: int = 200_000  # training rows of one category that extra trees see
     seed: int = 99099
 
     def axes(self) -> list[list]:
@@ -110,7 +101,11 @@ class MllibModel:
 
 
 class ExtraTreesModel:
-    """Randomised trees fitted in one task from one category's rows; scores itself out of bag."""
+    """Randomised trees, each fitted in a task of its own; scores itself out of bag.
+
+    All see one table of at most ``most_rows`` rows of the category (those of
+    the smallest hash, if it has more), which every executor holds once.
+    """
 
     def __init__(self, s: Settings, params: list, cols: list[str]):
         self.s, self.params, self.cols, self.forest, self.oob = s, params, cols, None, None
@@ -118,16 +113,20 @@ class ExtraTreesModel:
     def fit(self, df: DataFrame, weight: str | None = None) -> ExtraTreesModel:
         cols, (n, features, leaves), seed = self.cols, self.params, self.s.seed
         key = [x for x in ("file", "id") if x in df.columns]
-
-        def one(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(key, kind="stable")
-            w = g["w"].to_numpy() if weight else None
-            forest, oob = trees.fit_forest(g[cols].to_numpy(dtype=float), g["correct"].to_numpy(dtype=float), w, n, features, leaves, seed, True)
-            return pd.DataFrame({"model": [pickle.dumps(forest)], "oob": [oob]})
-
         rows = df.select(*key, *cols, "correct", (F.col(weight) if weight else F.lit(1.0)).alias("w"))
-        got = rows.groupBy(F.lit(1).alias("all")).applyInPandas(one, "model binary, oob double").first()
-        self.forest, self.oob = pickle.loads(bytes(got["model"])), got["oob"]
+        g = rows.orderBy(prep.sample_order(seed, *key), *key).limit(self.s.most_rows).toPandas()
+        data = df.sparkSession.sparkContext.broadcast((g[cols].to_numpy(dtype=float), g["correct"].to_numpy(dtype=float), g["w"].to_numpy(dtype=float)))
+
+        def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for i in b["id"].tolist():
+                    nodes, left_out = trees.fit_tree(*data.value, i, features, leaves, seed, True)
+                    yield pd.DataFrame({"id": [i], "nodes": [pickle.dumps(nodes)], "left_out": [left_out.tobytes()]})
+
+        got = df.sparkSession.range(0, n, 1, n).mapInPandas(grown, "id long, nodes binary, left_out binary").orderBy("id").collect()  # a row a tree
+        self.forest = [pickle.loads(bytes(r["nodes"])) for r in got]
+        self.oob = trees.out_of_bag(data.value[1], [np.frombuffer(r["left_out"]) for r in got])
+        data.unpersist()
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -209,7 +208,7 @@ def fit(features: DataFrame, s: Settings, chunk_rows: int = 0) -> dict[str, Fitt
         if all(len(a) == 1 for a in lattice):
             params, best = [a[0] for a in lattice], float("nan")
         else:
-            params, best = HillClimb(lattice, s.optimization_tolerance).run(score)
+            params, best = climb(lattice, score, s.optimization_tolerance)
         out[c] = Fitted(c, fit_reweighted(s, params, cols, df), cols, params, best, df.count())
         df.unpersist()
     return out

@@ -206,7 +206,7 @@ def test_hill_climb_visits_neighbours():
         seen.append(tuple(p))
         return 10.0 - abs(p[0] - 6) - abs(p[1] - 1)
 
-    params, best = models.HillClimb([[1, 2, 3, 4, 5, 6, 7], [1, 2, 3]]).run(score)
+    params, best = models.climb([[1, 2, 3, 4, 5, 6, 7], [1, 2, 3]], score)
     assert params == [6, 1] and best == 10 and len(seen) == len(set(seen))
     assert seen[0][0] in (4, 5, 6)
 
@@ -216,7 +216,8 @@ def test_forest_learns_and_scores_itself():
     x = rng.normal(size=(600, 4))
     y = (x[:, 0] + 0.2 * rng.normal(size=600) > 0).astype(float)
     for extra in (True, False):
-        forest, oob = trees.fit_forest(x, y, None, 20, 1.0, 20, 1, extra)
+        forest, left_out = zip(*(trees.fit_tree(x, y, None, i, 1.0, 20, 1, extra) for i in range(20)), strict=True)
+        oob = trees.out_of_bag(y, left_out)
         assert oob > 0.5 and np.corrcoef(trees.predict_forest(forest, x), y)[0, 1] > 0.85
         assert all(sum(n[0] < 0 for n in t) <= 20 for t in forest)
 
