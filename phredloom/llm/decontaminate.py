@@ -65,16 +65,16 @@ def _fold(s: Column) -> Column:
 
 
 def raw_tokens(text: Column) -> Column:
-    """The lower-case words that ``template`` describes, position by position."""
+    """The lower-case words that a template describes, position by position."""
     return _tokens(_fold(_clean(text)))
 
 
-def template(text: Column) -> Column:
-    """Lower-case tokens with numbers, units and names (capitalised words inside a sentence) replaced by placeholders."""
+def _marked(text: Column) -> Column:
+    """The text with numbers, units and names (capitalised words inside a sentence) replaced by placeholders."""
     named = F.regexp_replace(_clean(text), r"(?<=[\p{Ll},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
     numbered = F.regexp_replace(named, r"[+-]?\p{Nd}[\p{Nd}.,:/]*", NUMBER)
     unit = F.regexp_replace(numbered, rf"({NUMBER}\s?)(?i:{'|'.join(UNITS)})(?!\p{{L}})", f"$1{UNIT}")
-    return _tokens(_fold(F.when(text.rlike(r"\p{Nd}"), unit).otherwise(named)))
+    return F.when(text.rlike(r"\p{Nd}"), unit).otherwise(named)
 
 
 def _hashes(tokens: Column) -> Column:
@@ -83,7 +83,9 @@ def _hashes(tokens: Column) -> Column:
 
 def _with_hashes(df: DataFrame, *keys: str) -> DataFrame:
     """``keys``, tokens ``t`` (template), ``r`` (words), ``u`` (template with names as words), and their hashes th, rh, uh."""
-    df = df.select(*keys, template(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("r"))
+    df = df.select(*keys, _marked(F.col("text")).alias("marked"), _clean(F.col("text")).alias("clean"))
+    df = df.select(*keys, "marked", "clean", _tokens(_fold(F.col("marked"))).alias("t"))
+    df = df.select(*keys, "t", F.when(F.col("marked") == F.col("clean"), F.col("t")).otherwise(_tokens(_fold(F.col("clean")))).alias("r"))
     df = df.withColumn("th", _hashes(F.col("t"))).withColumn("rh", F.when(F.col("t") == F.col("r"), F.col("th")).otherwise(_hashes(F.col("r"))))
     named, numbered = F.array_contains("t", NAME), F.array_contains("t", NUMBER)
     u = F.when(~named, F.col("t")).when(~numbered, F.col("r")).otherwise(F.zip_with("t", "r", lambda t, r: F.when(t == NAME, r).otherwise(t)))
