@@ -66,7 +66,7 @@ def q_sam_fields(spark: SparkSession, d: str) -> DataFrame:
     return t.select(file_number().alias("f"), "line", "qname", "flag", "pos", "mapq", "len", F.size("tags").alias("n_tags"))
 
 
-@query("""SELECT count(*) + 8 + count(*) FILTER (o_orderkey % 4 <> 0) AS n_lines, 8 AS n_headers, count(*) FILTER (o_orderkey % 28 = 0) AS n_secondary, 0 AS n_supplementary,
+@query("""SELECT count(*) + 8 + count(*) FILTER (o_orderkey % 4 <> 0) AS n_lines, 8::BIGINT AS n_headers, count(*) FILTER (o_orderkey % 28 = 0) AS n_secondary, 0::BIGINT AS n_supplementary,
   count(*) FILTER (o_orderkey % 4 = 1) AS n_unaligned, true AS any_record FROM orders""")
 def q_sam_counters(spark: SparkSession, d: str) -> DataFrame:
     lines = sam.read_sam(spark, _sam(spark, d))
