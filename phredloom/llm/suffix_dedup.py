@@ -337,7 +337,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     twice = segments.filter("w > 1").select("core", "seg")
     marks = shared.join(small(twice, twice.count(), BROADCAST_KEYS), ["core", "seg"], "left_semi").select("doc_id", "row", "a", "b")
     mixed = segments.groupBy("core").agg(F.count(F.lit(1)).alias("d"), F.min("w").alias("least")).filter("d > 1 and least = 1")
-    need = segments.join(mixed.select("core"), "core", "left_semi").select("one.*", "core", "w")
+    mixed = materialize(mixed.select("core"))  # plain on both sides again
+    need = segments.join(small(mixed, mixed.count(), BROADCAST_KEYS), "core", "left_semi").select("one.*", "core", "w")
     rows = materialize(_with_bytes(need, docs))
     lo = F.when(F.col("p") - F.col("b") >= _HALF, F.lit(_HALF)).otherwise(F.lit(0))
     rows = rows.withColumn("lo", lo).withColumn("hi", lo + _HALF - 1)
