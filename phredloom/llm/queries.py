@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phredloom.llm import decontaminate, html_extract, near_dedup, packing, pii, quality, suffix_dedup, token_count, topk, warc
+from phredloom.llm import decontaminate, divergence, html_extract, importance, mixing, near_dedup, packing, pii, quality, suffix_dedup, token_count, topk, warc
 from phredloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,10 +168,89 @@ SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, g.doc_id =
 """
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The checksum of a word is worked out byte by byte from a table of 256 remainders, which is made bit by bit.
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws,
+    row_number() OVER () AS r FROM documents),
+k AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+c AS (SELECT r, unnest(ws) AS w FROM d),
+u AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM c UNION SELECT w FROM k)),
+y AS (SELECT w, list_transform(range(1, len(h) + 1, 2), lambda i: CAST(('0x' || h[i : i + 1]) AS BIGINT)) AS bytes FROM u),
+b AS (SELECT w, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc.t[xor(c, x) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM y, crc),
+s AS (SELECT bucket, count(*) AS n FROM c JOIN b USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM k JOIN b USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) AS DOUBLE)
+    / CAST((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT r, sum(gain) AS weight FROM c JOIN b USING (w) JOIN g USING (bucket) GROUP BY r),
+z AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h FROM d LEFT JOIN m USING (r)),
+o AS (SELECT doc_id, n_features, weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM z),
+p AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n FROM o WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN CAST(place AS BIGINT) END AS rank FROM p
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM o WHERE n_features < 20
+"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(t.total, 0) + v.v) AS p,
+    1 + 1000000000 * (k.n + 1) // (v.n + v.v) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1]))
+
+
+# Equal rows stand in parts of 1,000; the order of a source's stream is that of md5.
+OP13_SQL = r"""
+WITH r AS (SELECT source, doc_id, md5(coalesce(text, '')) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS size FROM documents),
+e AS (SELECT *, (row_number() OVER (PARTITION BY source, doc_id, digest) - 1) AS copy FROM r),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight, 2 * source_size AS cap FROM z),
+c AS (SELECT *, cap / weight AS ratio, CAST(sum(cap) OVER o AS DOUBLE) AS caps, sum(weight) OVER o AS weights, CAST(sum(source_size) OVER () AS DOUBLE) AS all_size, sum(weight) OVER () AS all_weight
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, (all_size * 150 / 100.0::DOUBLE - caps + cap) / (all_weight - weights + weight) AS factor FROM c),
+l AS (SELECT max(factor) AS level FROM f WHERE factor <= ratio),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL OR ratio <= level THEN CAST(cap AS DOUBLE) ELSE weight * level END AS target FROM f, l),
+s AS (SELECT e.doc_id, e.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS want,
+    sum(e.size) OVER (PARTITION BY e.source ORDER BY md5(concat_ws(':', '2024', coalesce(CAST(e.doc_id AS VARCHAR), ''), e.digest, CAST(e.copy // 1000 AS VARCHAR))), e.copy ROWS UNBOUNDED PRECEDING) - e.size AS pos
+  FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(pos + size, want) - pos) + greatest(0, least(source_size + pos + size, want) - (source_size + pos)) AS BIGINT) AS taken FROM s
+"""
+
+
 def queries() -> dict[str, Query]:
     own = globals()
     return {name: own[name] for name in sorted(own) if name.startswith("op") and "_" in name and callable(own[name])}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_packing": OP3_SQL, "op7_revisits": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_topk": OP9_SQL, "op10_near_dedup": OP10_SQL}
+    return {"op3_packing": OP3_SQL, "op7_revisits": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_topk": OP9_SQL, "op10_near_dedup": OP10_SQL, "op11_importance": OP11_SQL, "op12_divergence": OP12_SQL, "op13_mixing": OP13_SQL}
