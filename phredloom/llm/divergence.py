@@ -28,19 +28,20 @@ columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phredloom.llm.common import materialize, small
+from phredloom.llm.common import materialize, slices, small, tidy
 
 UNIT = 1_000_000_000  # = 32,000 * 31,250
 BROADCAST_SOURCES = 100_000  # about 5 MB of names and totals
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def terms(text: Column) -> Column:
-    """Runs of letters A-Z, lower-cased, and characters from 0x80 on."""
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), r"[\x00-\x60\x7B-\x7F]+"), lambda w: w != "")
+HELD_TERMS = 200_000  # counts that a task holds: some 40 MB
+#: A-Z lower-cased, other ASCII than letters a space; bytes of longer characters stay.
+_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def share(count: str, total: str) -> str:
@@ -49,12 +50,46 @@ def share(count: str, total: str) -> str:
     return f"(1 + 31250 * (({x}) div {d}) + (31250 * (({x}) % {d})) div {d})"
 
 
+def terms(text: bytes | None) -> list[bytes]:
+    """Runs of letters A-Z, lower-cased, and characters from 0x80 on."""
+    return (text or b"").translate(_TERMS).split()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang``, ``source``, ``term``, ``n`` occurrences, ``docs`` that hold it."""
-    ws = docs.select("lang", "source", terms(F.col("text")).alias("w"))
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
-    seen = F.concat(F.transform("w", one(1, 0)), F.transform(F.array_distinct("w"), one(0, 1)))
-    flat = ws.select("lang", "source", F.inline(seen))
+    """``lang``, ``source``, ``term``, ``n`` occurrences, ``docs`` that hold it.
+
+    A task adds up its own documents first and gives its counts away whenever it
+    holds ``HELD_TERMS`` of them.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        size = 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, seen) in held.items():
+                words = list(n)
+                for i in range(0, len(words), 50_000):
+                    part = words[i : i + 50_000]
+                    texts = pa.array(part, pa.binary()).cast(pa.string())
+                    numbers = (pa.array([c[w] for w in part], pa.int64()) for c in (n, seen))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), texts, *numbers], names=names)
+            held.clear()
+
+        for part in slices(batches):
+            for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                n, seen = held.setdefault((lang, source), (Counter(), Counter()))
+                words, before = terms(text), len(n)
+                n.update(words)
+                seen.update(set(words))
+                size += len(n) - before
+                if size > HELD_TERMS:
+                    yield from give()
+                    size = 0
+        yield from give()
+
+    names = ["lang", "source", "term", "n", "docs"]
+    flat = docs.select("lang", "source", "text").mapInArrow(tidy(count), "lang string, source string, term string, n long, docs long")
     return flat.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 

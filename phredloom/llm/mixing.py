@@ -38,7 +38,7 @@ from phredloom.llm.common import materialize, small
 from phredloom.operators.running import numbered, totals
 
 COPIES = 1000  # equal rows that stand together in a stream
-CELL_ROWS = 50_000  # rows of a hash cell
+CELL_ROWS = 10_000  # rows of a hash cell
 BROADCAST_CELLS = 50_000
 _PRIMES = (1_000_003, 2_000_003, 4_000_037)  # a number of blocks that all three divide is over 8e18
 
