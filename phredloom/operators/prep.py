@@ -4,26 +4,35 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phredloom.operators.running import numbered
+
 NOT_FEATURES = ["id", "file", "correct", "rname", "category"]
+BROADCAST_CHUNKS = 20_000  # rows of imputation constants that are broadcast: some MB
 
 
 def impute(df: DataFrame, cols: list[str], by: str = "category", chunk_rows: int = 0) -> DataFrame:
     """Null becomes the column's maximum + 1 (0 if all are null), per ``by``.
 
-    One partial aggregate gives the constants; they come back by a join whose
-    side has a row per category (or, with ``chunk_rows``, per chunk of so many
-    rows in order of id).
+    One partial aggregate gives the constants, a row per category, which are
+    broadcast. With ``chunk_rows`` there is a row per chunk of so many rows in
+    order of id; places come from ranges, not from a window over a category, and
+    the constants are broadcast only if there are at most ``BROADCAST_CHUNKS``.
     """
-    keys = [by]
+    keys, rest, near = [by], df.columns, True
     if chunk_rows:
-        df = df.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy("id")) - 1) / chunk_rows))
+        df = numbered(df, [F.asc(by), F.asc("id")], "_place")
+        start = df.groupBy(by).agg(F.min("_place").alias("_start"), F.max("_place").alias("_end")).collect()  # a row a category
+        near = sum((r["_end"] - r["_start"]) // chunk_rows + 1 for r in start) <= BROADCAST_CHUNKS
+        first = F.lit(0).cast("long")
+        for r in start:
+            first = F.when(F.col(by).eqNullSafe(F.lit(r[by])), F.lit(r["_start"])).otherwise(first)
+        df = df.withColumn("_chunk", F.floor((F.col("_place") - first) / chunk_rows))
         keys.append("_chunk")
     fill = df.groupBy(*keys).agg(*(F.coalesce(F.max(c) + 1, F.lit(0.0)).alias(f"_f_{c}") for c in cols))
-    rest = [c for c in df.columns if c != "_chunk"]
-    return df.join(fill, keys).select(*(F.coalesce(c, f"_f_{c}").alias(c) if c in cols else F.col(c) for c in rest))
+    return df.join(F.broadcast(fill) if near else fill, keys).select(*(F.coalesce(c, f"_f_{c}").alias(c) if c in cols else F.col(c) for c in rest))
 
 
 def varying_columns(df: DataFrame, cols: list[str]) -> list[str]:
@@ -57,13 +66,14 @@ def feature_columns(df: DataFrame, include_mapq: bool = False) -> list[str]:
     return out
 
 
-def check_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``df`` with an error on a missing column, or at run time on a null, NaN or infinite feature."""
+def check_columns(df: DataFrame, cols: list[str], rows: Column | None = None) -> DataFrame:
+    """``df`` with an error on a missing column, or at run time on a null, NaN or infinite feature (of ``rows``, by default all)."""
     if missing := [c for c in cols if c not in df.columns]:
         raise ValueError(f"columns in training data, but not here: {missing}")
     bad = F.lit(False)
     for c in cols:
         bad = bad | F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    bad = bad if rows is None else rows & bad
     return df.filter(F.when(bad, F.raise_error(F.lit("a feature is missing or not finite")).cast("boolean")).otherwise(F.lit(True)))
 
 

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phredloom.functions.confidence import MOST, clamp, pcor_to_mapq
-from phredloom.operators import prep, trees
+from phredloom.operators import forest, prep, trees
 from phredloom.schemas import FIT_ORDER
 from phredloom.session import Scratch
 
@@ -73,86 +72,130 @@ class Settings:
         return [*out, self.learning_rate] if self.model_family == "GradientBoosting" else out
 
 
-def _depth(leaves: int | None) -> int:
-    """Depth whose full tree has at least so many leaves (MLlib caps depth, not leaves)."""
-    return 10 if leaves is None else max(1, min(30, int(np.ceil(np.log2(leaves)))))
+MOST_NODES = 4000  # of a model that is predicted as an expression; larger ones are predicted batch by batch
 
 
-class MllibModel:
+class TreesModel:
+    """Trees as nodes (feature, cut, left, right, value): ``start`` plus ``factor`` times the sum of their values."""
+
     def __init__(self, s: Settings, params: list, cols: list[str]):
-        n, features, leaves, *rate = params
-        common = {"featuresCol": "features", "labelCol": "label", "predictionCol": "pcor", "seed": s.seed, "maxDepth": _depth(leaves), "featureSubsetStrategy": str(features)}
-        self.estimator = GBTRegressor(maxIter=n, stepSize=rate[0], **common) if rate else RandomForestRegressor(numTrees=n, subsamplingRate=1.0, bootstrap=True, **common)
-        self.cols, self.vector, self.model = cols, VectorAssembler(inputCols=cols, outputCol="features"), None
+        self.s, self.params, self.cols = s, params, cols
+        self.trees: list[list[tuple]] = []
+        self.gains: list[list[float]] = []
+        self.start, self.factor = 0.0, 1.0
+
+    @property
+    def native(self) -> bool:
+        return sum(len(t) for t in self.trees) <= MOST_NODES
+
+    def predicted(self) -> Column:
+        """The prediction as an expression over the feature columns, or by a function of whole batches if it is too large for one."""
+        if self.native:
+            total = " + ".join(forest.tree_sql(t, self.cols) for t in self.trees)
+            return F.expr(f"{self.start!r}D + {self.factor!r}D * ({total or '0D'})")
+        grown, start, factor = self.trees, self.start, self.factor
 
-    def _prepared(self, df: DataFrame) -> DataFrame:
-        return self.vector.transform(df)
+        @F.pandas_udf("double")
+        def run(*x: pd.Series) -> pd.Series:
+            return pd.Series(start + factor * len(grown) * trees.predict_forest(grown, np.column_stack([c.to_numpy(dtype=float) for c in x])))
 
-    def fit(self, df: DataFrame, weight: str | None = None) -> MllibModel:
-        d = self._prepared(df.withColumn("label", F.col("correct").cast("double")))
-        self.model = (self.estimator.copy().setWeightCol(weight) if weight else self.estimator).fit(d)
-        return self
+        return run(*(F.col(c).cast("double") for c in self.cols))
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self._prepared(df)).drop("features")
+        return df.withColumn("pcor", self.predicted())
 
     def importances(self, df: DataFrame) -> list[float]:
-        return self.model.featureImportances.toArray().tolist()
+        """Each tree's gains by feature as shares, averaged over the trees that split."""
+        shares = [np.array(g) / sum(g) for g in self.gains if sum(g) > 0]
+        return np.mean(shares, axis=0).tolist() if shares else [0.0] * len(self.cols)
+
+    def features_at_once(self, share: float) -> int:
+        return max(1, int(share * len(self.cols)))
+
+
+def row_key(df: DataFrame) -> list[str]:
+    return [x for x in ("file", "id") if x in df.columns]
+
+
+def binned(s: Settings, df: DataFrame, cols: list[str], n_trees: int, weight: str | None = None) -> forest.Data:
+    """The table that trees grow on; boosting (``n_trees`` 0) takes no bootstrap."""
+    boot = forest.boots(n_trees, s.seed, row_key(df)) if n_trees else F.array().cast("array<tinyint>")
+    return forest.binned(df, cols, F.col("correct"), F.col(weight) if weight else F.lit(1.0), boot)
+
 
+class ForestModel(TreesModel):
+    """A random forest with a leaf cap; scores itself out of bag."""
 
-class ExtraTreesModel:
+    def fit(self, df: DataFrame, weight: str | None = None, data: forest.Data | None = None) -> ForestModel:
+        n, share, leaves = self.params
+        data = data or binned(self.s, df, self.cols, n, weight)
+        grown = forest.grow(data, n, self.features_at_once(share), leaves, self.s.seed)
+        self.trees, self.gains, self.factor = [t.nodes for t in grown], [t.gains for t in grown], 1.0 / n
+        return self
+
+    def out_of_bag(self, df: DataFrame) -> float:
+        """R squared of each training row's mean prediction by the trees that have not seen it."""
+        with_boot = df.withColumn("_boot", forest.boots(len(self.trees), self.s.seed, row_key(df)))
+        return forest.r_squared(with_boot, F.col("correct"), forest.mean_unseen(self.trees, self.cols, "_boot"))
+
+
+class BoostedModel(TreesModel):
+    def fit(self, df: DataFrame, weight: str | None = None, data: forest.Data | None = None) -> BoostedModel:
+        n, share, leaves, self.factor = self.params
+        data = data or binned(self.s, df, self.cols, 0, weight)
+        self.start, grown = forest.boosted(data, n, self.features_at_once(share), leaves, self.factor, self.s.seed)
+        self.trees, self.gains = [t.nodes for t in grown], [t.gains for t in grown]
+        return self
+
+
+class ExtraTreesModel(TreesModel):
     """Randomised trees, each fitted in a task of its own; scores itself out of bag.
 
     All see one table of at most ``most_rows`` rows of the category (those of
     the smallest hash, if it has more), which every executor holds once.
     """
 
-    def __init__(self, s: Settings, params: list, cols: list[str]):
-        self.s, self.params, self.cols, self.forest, self.oob = s, params, cols, None, None
-
-    def fit(self, df: DataFrame, weight: str | None = None) -> ExtraTreesModel:
+    def fit(self, df: DataFrame, weight: str | None = None, data: forest.Data | None = None) -> ExtraTreesModel:
         cols, (n, features, leaves), seed = self.cols, self.params, self.s.seed
-        key = [x for x in ("file", "id") if x in df.columns]
+        key = row_key(df)
         rows = df.select(*key, *cols, "correct", (F.col(weight) if weight else F.lit(1.0)).alias("w"))
         g = rows.orderBy(prep.sample_order(seed, *key), *key).limit(self.s.most_rows).toPandas()
-        data = df.sparkSession.sparkContext.broadcast((g[cols].to_numpy(dtype=float), g["correct"].to_numpy(dtype=float), g["w"].to_numpy(dtype=float)))
+        table = df.sparkSession.sparkContext.broadcast((g[cols].to_numpy(dtype=float), g["correct"].to_numpy(dtype=float), g["w"].to_numpy(dtype=float)))
 
         def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for i in b["id"].tolist():
-                    nodes, left_out = trees.fit_tree(*data.value, i, features, leaves, seed, True)
+                    nodes, left_out = trees.fit_tree(*table.value, i, features, leaves, seed, True)
                     yield pd.DataFrame({"id": [i], "nodes": [pickle.dumps(nodes)], "left_out": [left_out.tobytes()]})
 
         got = df.sparkSession.range(0, n, 1, n).mapInPandas(grown, "id long, nodes binary, left_out binary").orderBy("id").collect()  # a row a tree
-        self.forest = [pickle.loads(bytes(r["nodes"])) for r in got]
-        self.oob = trees.out_of_bag(data.value[1], [np.frombuffer(r["left_out"]) for r in got])
-        data.unpersist()
+        self.trees, self.factor = [pickle.loads(bytes(r["nodes"])) for r in got], 1.0 / n
+        self.oob = trees.out_of_bag(table.value[1], [np.frombuffer(r["left_out"]) for r in got])
+        table.unpersist()
         return self
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        cols, forest = self.cols, self.forest
-
-        @F.pandas_udf("double")
-        def run(*x: pd.Series) -> pd.Series:
-            return pd.Series(trees.predict_forest(forest, np.column_stack([c.to_numpy(dtype=float) for c in x])))
-
-        return df.withColumn("pcor", run(*(F.col(c) for c in cols)))
+    def out_of_bag(self, df: DataFrame) -> float:
+        return self.oob
 
     def importances(self, df: DataFrame) -> list[float]:
         used = np.zeros(len(self.cols))
-        for t in self.forest:
+        for t in self.trees:
             for f, *_ in t:
                 if f >= 0:
                     used[f] += 1
         return (used / max(1.0, used.sum())).tolist()
 
 
+FAMILIES = {"RandomForest": ForestModel, "ExtraTrees": ExtraTreesModel, "GradientBoosting": BoostedModel}
+
+
 def new_model(s: Settings, params: list, cols: list[str]):
-    return (ExtraTreesModel if s.model_family == "ExtraTrees" else MllibModel)(s, params, cols)
+    return FAMILIES[s.model_family](s, params, cols)
 
 
-def fold(n: int = 3):
-    return F.pmod(F.xxhash64("id"), F.lit(n))
+def fold(n: int = 3) -> Column:
+    """The fold of a row: the md5 of its id, modulo ``n``."""
+    return F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") % n
 
 
 def cross_validated(s: Settings, params: list, cols: list[str], df: DataFrame, folds: int = 3) -> float:
@@ -160,8 +203,7 @@ def cross_validated(s: Settings, params: list, cols: list[str], df: DataFrame, f
     scores = []
     for k in range(folds):
         m = new_model(s, params, cols).fit(df.filter(fold(folds) != k))
-        p = m.predict(df.filter(fold(folds) == k)).withColumn("label", F.col("correct").cast("double"))
-        scores.append(RegressionEvaluator(labelCol="label", predictionCol="pcor", metricName="r2").evaluate(p))
+        scores.append(forest.r_squared(df.filter(fold(folds) == k), F.col("correct"), m.predicted()))
     return float(np.mean(scores))
 
 
@@ -186,34 +228,51 @@ class Fitted:
     rows: int
 
 
-def fit(features: DataFrame, s: Settings, chunk_rows: int = 0) -> dict[str, Fitted]:
-    """A model for each category that has rows; ``features`` holds category, id, features, mapq, correct (and file)."""
-    out = {}
-    for c in FIT_ORDER:
-        df = features.filter(F.col("category") == c)
-        df = prep.subsample(df, s.subsample, s.seed)
-        if df.isEmpty():
-            continue
-        present = [x for x in df.columns if x not in (*prep.NOT_FEATURES, "mapq")]
-        df = prep.impute(df, present, chunk_rows=chunk_rows)
-        cols = prep.feature_columns(df, s.try_include_mapq)
-        df = prep.check_columns(df, cols).cache()
+def fit_category(features: DataFrame, c: str, s: Settings, chunk_rows: int = 0) -> Fitted | None:
+    """The model of one category, or None if it has no rows."""
+    df = prep.subsample(features.filter(F.col("category") == c), s.subsample, s.seed)
+    if df.isEmpty():
+        return None
+    present = [x for x in df.columns if x not in (*prep.NOT_FEATURES, "mapq")]
+    df = prep.impute(df, present, chunk_rows=chunk_rows)
+    cols = prep.feature_columns(df, s.try_include_mapq)
+    df = prep.check_columns(df, cols).cache()
+    shared: dict[int, forest.Data] = {}  # one binned table for all points of a search with as many trees
 
-        def score(params: list, df: DataFrame = df, cols: list[str] = cols) -> float:
-            if s.model_family == "ExtraTrees" and not s.no_oob:
-                return new_model(s, params, cols).fit(df).oob
+    def score(params: list) -> float:
+        if s.model_family == "GradientBoosting" or s.no_oob:
             return cross_validated(s, params, cols, df)
-
-        lattice = s.axes()
-        if all(len(a) == 1 for a in lattice):
-            params, best = [a[0] for a in lattice], float("nan")
-        else:
-            params, best = climb(lattice, score, s.optimization_tolerance)
-        out[c] = Fitted(c, fit_reweighted(s, params, cols, df), cols, params, best, df.count())
-        df.unpersist()
+        if s.model_family == "RandomForest" and params[0] not in shared:
+            shared[params[0]] = binned(s, df, cols, params[0])
+        return new_model(s, params, cols).fit(df, data=shared.get(params[0])).out_of_bag(df)
+
+    lattice = s.axes()
+    if all(len(a) == 1 for a in lattice):
+        params, best = [a[0] for a in lattice], float("nan")
+    else:
+        params, best = climb(lattice, score, s.optimization_tolerance)
+    out = Fitted(c, fit_reweighted(s, params, cols, df), cols, params, best, df.count())
+    df.unpersist()
     return out
 
 
+def fit(features: DataFrame, s: Settings, chunk_rows: int = 0) -> dict[str, Fitted]:
+    """A model for each category that has rows; ``features`` holds category, id, features, mapq, correct (and file).
+
+    The categories are fitted at the same time, each in a scheduler pool of its
+    own, so that the small jobs of one fill the cores that the others leave.
+    """
+    sc = features.sparkSession.sparkContext
+
+    def one(c: str) -> Fitted | None:
+        sc.setLocalProperty("spark.scheduler.pool", f"fit-{c}")
+        return fit_category(features, c, s, chunk_rows)
+
+    with ThreadPoolExecutor(len(FIT_ORDER)) as pool:
+        done = [pool.submit(inheritable_thread_target(features.sparkSession)(one), c) for c in FIT_ORDER]
+        return {c: f.result() for c, f in zip(FIT_ORDER, done, strict=True) if f.result() is not None}
+
+
 def postprocess(df: DataFrame) -> DataFrame:
     """By category: certain predictions drop to just above the largest uncertain one (all certain: the cap), then all are clamped."""
     by = ["category"] if "category" in df.columns else []
@@ -223,15 +282,27 @@ def postprocess(df: DataFrame) -> DataFrame:
 
 
 def raw_predictions(features: DataFrame, models: dict[str, Fitted], collapse: bool = False, chunk_rows: int = 0) -> DataFrame:
-    """``category``, ``file`` (if known), ``id``, ``pcor`` as the models give it, ``mapq``, ``correct``."""
-    out = None
+    """``category``, ``file`` (if known), ``id``, ``pcor`` as the models give it, ``mapq``, ``correct``.
+
+    One scan predicts every category: each row by the expression of its own model.
+    With ``collapse`` each category's distinct feature rows are predicted once.
+    """
+    out = [*(x for x in ("category", "file") if x in features.columns), "id", "pcor", "mapq", "correct"]
+    df = features.filter(F.col("category").isin(list(models)))
+    present = [x for x in df.columns if x not in (*prep.NOT_FEATURES, "mapq")]
+    if not collapse:
+        df = prep.impute(df, present, chunk_rows=chunk_rows)
+        pcor = F.lit(None).cast("double")
+        for c, m in models.items():
+            df = prep.check_columns(df, m.cols, F.col("category") == c)
+            pcor = F.when(F.col("category") == c, m.model.predicted()).otherwise(pcor)
+        return df.withColumn("pcor", pcor).select(*out)
+    parts = None
     for c, m in models.items():
-        df = features.filter(F.col("category") == c)
-        df = prep.check_columns(prep.impute(df, [x for x in df.columns if x not in (*prep.NOT_FEATURES, "mapq")], chunk_rows=chunk_rows), m.cols)
-        df = prep.expand(df, m.model.predict(prep.collapse(df, m.cols)), m.cols) if collapse else m.model.predict(df)
-        p = df.select("category", *(x for x in ("file",) if x in df.columns), "id", "pcor", "mapq", "correct")
-        out = p if out is None else out.unionByName(p)
-    return out
+        one = prep.check_columns(prep.impute(df.filter(F.col("category") == c), present, chunk_rows=chunk_rows), m.cols)
+        p = prep.expand(one, m.model.predict(prep.collapse(one, m.cols)), m.cols).select(*out)
+        parts = p if parts is None else parts.unionByName(p)
+    return df.withColumn("pcor", F.lit(None).cast("double")).select(*out) if parts is None else parts
 
 
 def predict(features: DataFrame, models: dict[str, Fitted], collapse: bool = False, chunk_rows: int = 0, scratch: Scratch | None = None) -> DataFrame:

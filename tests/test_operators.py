@@ -141,6 +141,40 @@ def test_matrix_round_trip(spark, tmp_path):
     assert list(matrix.read_tables(spark, p)) == ["u"]
 
 
+def test_matrix_sink(spark, tmp_path):
+    p = f"file://{tmp_path}/m"
+    df = spark.range(1000).repartitionByRange(7, "id").selectExpr("id as `a.b`", "id / 3 as x", "if(id % 5 = 0, null, cast(id as float)) as y")
+    matrix.save_matrix(df, p)
+    assert matrix.read_meta(p) == (["a.b", "x", "y"], 1000)
+    got = matrix.read_matrix(spark, p, 64)
+    assert got.rdd.getNumPartitions() >= 16
+    assert list(map(tuple, got.collect())) == [(float(i), i / 3, None if i % 5 == 0 else float(i)) for i in range(1000)]  # in order
+    matrix.save_matrix(df.filter("id < 10"), p, append=True)
+    assert matrix.read_matrix(spark, p).count() == 1010
+    assert not [f for f in os.listdir(tmp_path) if "writing" in f]
+    with pytest.raises(Exception, match="cannot follow"):
+        matrix.save_matrix(df.select("x"), p, append=True)
+    matrix.single_file(spark, p)
+    raw = np.fromfile(f"{tmp_path}/m.npy").reshape(1010, 3)
+    assert raw[999].tolist() == [999.0, 333.0, 999.0] and raw[1001].tolist() == [1.0, 1 / 3, 1.0] and np.isnan(raw[5, 2])
+    matrix.save_matrix(df.filter("id < 3"), p, append=True)  # after one file
+    assert [r["a.b"] for r in matrix.read_matrix(spark, p, 0).collect()][-4:] == [9.0, 0.0, 1.0, 2.0]
+    matrix.save_matrix(df.limit(0), p)
+    assert matrix.read_meta(p)[1] == 0 and matrix.read_matrix(spark, p).count() == 0
+    feats = spark.createDataFrame([("u", 1.0, None), ("u", 2.0, 3.0), ("c", 4.0, 5.0)], "category string, a double, b double")
+    matrix.save_tables(feats, f"{tmp_path}/t", {"u": ["a"], "c": ["a", "b"], "d": ["b"]})
+    assert {k: v.count() for k, v in matrix.read_tables(spark, f"{tmp_path}/t").items()} == {"u": 2, "c": 1}
+
+
+def test_a_short_matrix_file_is_an_error(spark, tmp_path):
+    p = str(tmp_path / "m")
+    matrix.write_matrix(p, ["a", "b"], np.ones((5, 2)))
+    with open(p + ".npy", "r+b") as f:
+        f.truncate(8 * 7)
+    with pytest.raises(Exception, match="ends before"):
+        matrix.read_matrix(spark, p).collect()
+
+
 def test_fastq_and_interleave(spark, tmp_path):
     import gzip
 
