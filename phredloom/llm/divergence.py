@@ -1,23 +1,28 @@
 """Source divergence audit: how far each source of a language strays from each other and from the whole.
 
-Every kept term of a language is one wide row: a map from source to count is
-pivoted into an array indexed by the language's sources, each value a smoothed
+Every kept term of a language is one wide row, an array indexed by the
+language's sources (places without the term are left out), each value a smoothed
 share in thousand-millionths (p). Higher-order functions turn the row into
 contributions of source pairs, which are added up inside tasks first.
 
-Only pairs that the term tells apart are emitted: where neither source has the
-term, every such term contributes the same amount (both shares are then those of
-a count of 0), so that amount is added once, times the number of such terms.
-The result is the sum over all kept terms, exactly.
+With p0 the share of a count of 0, a pair's contribution f(p, q) is taken apart:
+
+    f(p, q) = f(p0, q0) + [f(p, q0) - f(p0, q0)] + [f(p0, q) - f(p0, q0)]
+            + [f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)]
+
+The first is a constant, the second and third depend on one source's count alone
+(so on a small table of how many terms have which count in which source), and the
+last is 0 unless both sources have the term: only those pairs are emitted. The
+result is the sum over all kept terms, exactly.
 
 All arithmetic is on integers. A share is worked out as 32,000 * 31,250 parts in
 two divisions, exact for languages of up to 2.9e14 counted terms; beyond, Spark
 raises an overflow error and gives no wrong figure.
 
-What grows: a wide row and the result have the sources of one language squared;
-a language's row (its sources, their totals) is broadcast only up to
-``BROADCAST_SOURCES`` sources. A hot source or language is pre-aggregated by
-(language, source, term) and spread by term.
+What grows: a wide row's pairs and the result have the sources of one language
+squared; a language's row (its sources, their totals) is broadcast only up to
+``BROADCAST_SOURCES`` sources. A hot source or language is counted inside tasks
+and spread by term.
 
 Defined results: null text, lang and source count as ''; a group without terms is
 kept, with p of counts of 0; a language without kept terms gives pairs of value 0
@@ -39,7 +44,7 @@ from phredloom.llm.common import materialize, slices, small, tidy
 
 UNIT = 1_000_000_000  # = 32,000 * 31,250
 BROADCAST_SOURCES = 100_000  # about 5 MB of names and totals
-HELD_TERMS = 200_000  # counts that a task holds: some 40 MB
+HELD_TERMS = 500_000  # counts that a task holds: some 120 MB
 #: A-Z lower-cased, other ASCII than letters a space; bytes of longer characters stay.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -56,7 +61,7 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang``, ``source``, ``term``, ``n`` occurrences, ``docs`` that hold it.
+    """``lang``, ``source``, ``term``, ``n`` occurrences, ``docs`` that hold it; all rows of a term in one partition.
 
     A task adds up its own documents first and gives its counts away whenever it
     holds ``HELD_TERMS`` of them.
@@ -90,20 +95,17 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     names = ["lang", "source", "term", "n", "docs"]
     flat = docs.select("lang", "source", "text").mapInArrow(tidy(count), "lang string, source string, term string, n long, docs long")
-    return flat.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return flat.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def audit(docs: DataFrame, least_docs: int = 3, top_terms: int = 200) -> DataFrame:
     """``lang``, ``source``, ``part`` ('pair' or 'term'), ``item``, ``value``, ``rank`` for every (lang, source) of ``docs``."""
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    counts = term_counts(docs)
-    per_term = counts.groupBy("lang", "term").agg(
-        F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("n_of"), F.sum("n").alias("n"), F.sum("docs").alias("docs")
-    )
+    per_term = term_counts(docs).groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("s"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = materialize(per_term.filter(F.col("docs") >= least_docs).drop("docs"))
 
     groups = docs.select("lang", "source").distinct()
-    used = kept.select("lang", F.explode("n_of").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    used = kept.select("lang", F.inline("s")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     known = materialize(
         groups.join(used, ["lang", "source"], "left").join(size, "lang", "left")
@@ -111,34 +113,43 @@ def audit(docs: DataFrame, least_docs: int = 3, top_terms: int = 200) -> DataFra
     )
     ordered = F.array_sort(F.collect_list(F.struct("source", "total")))
     langs = known.groupBy("lang").agg(ordered.alias("s"), F.sum("total").alias("total"), F.first("v").alias("v"))
-    none = share("0", "total + v")
+    nothing = share("0", "total + v")
     langs = langs.select(
         "lang", "v", (F.col("total") + F.col("v")).alias("all_d"), F.col("s.source").alias("names"), F.expr("transform(s, x -> x.total + v)").alias("d"),
-        F.when(F.col("v") > 0, F.expr(f"transform(s, x -> {none.replace('total', 'x.total')})")).alias("p0"),
+        F.when(F.col("v") > 0, F.expr(f"transform(s, x -> {nothing.replace('total', 'x.total')})")).alias("p0"),
     )
-    n_groups = known.count()
-    wide = kept.join(small(langs, n_groups, BROADCAST_SOURCES), "lang").withColumn("c", F.expr("transform(names, s -> coalesce(try_element_at(n_of, s), 0L))"))
-    wide = wide.withColumn("p", F.expr(f"transform(c, (n, i) -> if(n = 0, p0[i], {share('n', 'd[i]')}))"))
-
-    gap = "(p[{i}] - p[{j}]) * (p[{i}] - p[{j}]) div p[{j}]"
-    both = f"named_struct('i', i, 'j', j, 'f', {gap.format(i='i', j='j')}, 'g', {gap.format(i='j', j='i')})"
-    emitted = wide.withColumn("at", F.expr("sequence(0, size(c) - 1)")).select(
-        "lang", F.expr(f"inline(flatten(transform(filter(at, i -> c[i] > 0), i -> transform(filter(at, j -> j > i or c[j] = 0), j -> {both}))))")
+    near = known.count()
+    at = "cast(array_position(names, e.source) - 1 as int)"
+    wide = kept.withColumnRenamed("n", "all_n").join(small(langs, near, BROADCAST_SOURCES), "lang")
+    wide = wide.withColumn("x", F.expr(f"array_sort(transform(s, e -> struct({at} as i, e.n as n)))"))
+    wide = wide.withColumn("x", F.expr(f"transform(x, e -> struct(e.i as i, e.n as n, {share('e.n', 'd[e.i]')} as p))"))
+
+    def gap(p: str, q: str) -> str:
+        return f"(({p}) - ({q})) * (({p}) - ({q})) div ({q})"
+
+    def both(a: str, b: str) -> str:
+        zero_a, zero_b = f"p0[{a}.i]", f"p0[{b}.i]"
+        return f"{gap(f'{a}.p', f'{b}.p')} - {gap(f'{a}.p', zero_b)} - {gap(zero_a, f'{b}.p')} + {gap(zero_a, zero_b)}"
+
+    met = wide.filter("size(x) > 1").select(
+        "lang", F.expr(f"inline(flatten(transform(x, (a, u) -> transform(slice(x, u + 2, size(x)), b -> struct(a.i as i, b.i as j, {both('a', 'b')} as f, {both('b', 'a')} as g)))))")
     )
-    # f with j as q, g with i as q; a pair that the term tells apart comes once, as (i, j) or (j, i)
-    swapped = F.col("i") > F.col("j")
-    low, high = F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")
-    emitted = emitted.select("lang", low, high, F.when(swapped, F.col("g")).otherwise(F.col("f")).alias("f"), F.when(swapped, F.col("f")).otherwise(F.col("g")).alias("g"))
-    summed = emitted.groupBy("lang", "i", "j").agg(F.sum("f").alias("f"), F.sum("g").alias("g"), F.count(F.lit(1)).alias("told"))
-    summed = summed.select("lang", F.explode(F.array(*(F.struct(F.col(a).alias("i"), F.col(b).alias("j"), F.col(f).alias("f"), "told") for a, b, f in (("i", "j", "f"), ("j", "i", "g"))))).alias("x")).select("lang", "x.*")
+    summed = met.groupBy("lang", "i", "j").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
+    ways = (F.struct(F.col(a).alias("i"), F.col(b).alias("j"), F.col(f).alias("f")) for a, b, f in (("i", "j", "f"), ("j", "i", "g")))
+    parts = summed.select("lang", F.inline(F.array(*ways)))
+    held = wide.select("lang", F.inline("x")).groupBy("lang", "i", "p").agg(F.count(F.lit(1)).alias("terms"))
+    held = held.join(small(langs.select("lang", "p0"), near, BROADCAST_SOURCES), "lang").withColumn("o", F.explode(F.expr("sequence(0, size(p0) - 1)"))).filter("o != i")
+    ours = held.select("lang", "i", F.col("o").alias("j"), F.expr(f"terms * ({gap('p', 'p0[o]')} - {gap('p0[i]', 'p0[o]')})").alias("f"))
+    theirs = held.select("lang", F.col("o").alias("i"), F.col("i").alias("j"), F.expr(f"terms * ({gap('p0[o]', 'p')} - {gap('p0[o]', 'p0[i]')})").alias("f"))
+    summed = parts.unionByName(ours).unionByName(theirs).groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
 
     pairs = langs.select("lang", "v", "names", "p0", F.posexplode("names").alias("i", "source")).select("lang", "v", "p0", "i", "source", F.posexplode("names").alias("j", "item")).filter("i != j")
-    rest = F.expr("(v - coalesce(told, 0)) * coalesce((p0[i] - p0[j]) * (p0[i] - p0[j]) div p0[j], 0)")
-    pairs = pairs.join(summed, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", (F.coalesce("f", F.lit(0)) + rest).cast("long").alias("value"))
+    none = F.expr(f"v * coalesce({gap('p0[i]', 'p0[j]')}, 0)")
+    pairs = pairs.join(summed, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", (F.coalesce("f", F.lit(0)) + none).cast("long").alias("value"))
 
-    q = wide.withColumn("q", F.expr(share("n", "all_d")))
-    strays = q.select("lang", "term", "q", F.expr("inline(filter(transform(names, (s, i) -> named_struct('source', s, 'n', c[i], 'p', p[i])), x -> x.n > 0 and x.p > q))"))
-    strays = strays.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("(p - q) * (p - q) div q").alias("value"))
+    q = wide.withColumn("q", F.expr(share("all_n", "all_d")))
+    strays = q.select("lang", "term", "q", F.expr("inline(transform(filter(x, e -> e.p > q), e -> struct(names[e.i] as source, e.p as p)))"))
+    strays = strays.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(gap("p", "q")).alias("value"))
 
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     return pairs.withColumn("rank", rank).unionByName(strays.withColumn("rank", rank).filter(F.col("rank") <= top_terms))
