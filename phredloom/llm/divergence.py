@@ -122,18 +122,17 @@ def audit(docs: DataFrame, least_docs: int = 3, top_terms: int = 200) -> DataFra
     at = "cast(array_position(names, e.source) - 1 as int)"
     wide = kept.withColumnRenamed("n", "all_n").join(small(langs, near, BROADCAST_SOURCES), "lang")
     wide = wide.withColumn("x", F.expr(f"array_sort(transform(s, e -> struct({at} as i, e.n as n)))"))
-    wide = wide.withColumn("x", F.expr(f"transform(x, e -> struct(e.i as i, e.n as n, {share('e.n', 'd[e.i]')} as p))"))
+    wide = wide.withColumn("x", F.expr(f"transform(x, e -> struct(e.i as i, {share('e.n', 'd[e.i]')} as p, p0[e.i] as z))"))
 
     def gap(p: str, q: str) -> str:
         return f"(({p}) - ({q})) * (({p}) - ({q})) div ({q})"
 
-    def both(a: str, b: str) -> str:
-        zero_a, zero_b = f"p0[{a}.i]", f"p0[{b}.i]"
-        return f"{gap(f'{a}.p', f'{b}.p')} - {gap(f'{a}.p', zero_b)} - {gap(zero_a, f'{b}.p')} + {gap(zero_a, zero_b)}"
+    def beyond(p: str, q: str, p_none: str, q_none: str) -> str:
+        return f"{gap(p, q)} - {gap(p, q_none)} - {gap(p_none, q)} + {gap(p_none, q_none)}"
 
-    met = wide.filter("size(x) > 1").select(
-        "lang", F.expr(f"inline(flatten(transform(x, (a, u) -> transform(slice(x, u + 2, size(x)), b -> struct(a.i as i, b.i as j, {both('a', 'b')} as f, {both('b', 'a')} as g)))))")
-    )
+    pair = "struct(a.i as i, b.i as j, a.p as p, b.p as q, a.z as y, b.z as z)"
+    met = wide.filter("size(x) > 1").select("lang", F.expr(f"inline(flatten(transform(x, (a, u) -> transform(slice(x, u + 2, size(x)), b -> {pair}))))"))
+    met = met.selectExpr("lang", "i", "j", f"{beyond('p', 'q', 'y', 'z')} as f", f"{beyond('q', 'p', 'z', 'y')} as g")
     summed = met.groupBy("lang", "i", "j").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
     ways = (F.struct(F.col(a).alias("i"), F.col(b).alias("j"), F.col(f).alias("f")) for a, b, f in (("i", "j", "f"), ("j", "i", "g")))
     parts = summed.select("lang", F.inline(F.array(*ways)))
