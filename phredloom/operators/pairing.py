@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,10 @@ def pair_mates(records: DataFrame, key: list[str] | None = None, order: str = "l
     """
     key = key or ["file", "qname"]
     nth = F.row_number().over(Window.partitionBy(*key, mate).orderBy(order))
-    r = records.filter(F.col(mate).isin("1", "2")).withColumn("_nth", nth)
+    r = records.filter(F.col(mate).isin("1", "2")).repartition(*key).withColumn("_nth", nth)  # one shuffle, for the ordinals and for the pairs
     whole = F.struct(*records.columns)
-    one = r.filter(F.col(mate) == "1").select(*key, "_nth", whole.alias("a1"))
-    two = r.filter(F.col(mate) == "2").select(*key, "_nth", whole.alias("a2"))
-    out = one.join(two, [*key, "_nth"]).select("a1", "a2")
+    ends = (F.first(F.when(F.col(mate) == m, whole), ignorenulls=True).alias(f"a{m}") for m in ("1", "2"))
+    out = r.groupBy(*key, "_nth").agg(*ends).filter("a1 is not null and a2 is not null").select("a1", "a2")
     if strict_adjacent:
         gap = F.abs(F.col(f"a1.{order}") - F.col(f"a2.{order}"))
         out = out.withColumn("a1", F.when(gap == 1, F.col("a1")).otherwise(F.raise_error(F.lit("mates are not adjacent")).cast(out.schema["a1"].dataType)))
@@ -34,14 +35,16 @@ def category_of_pair(flag1: Column, flag2: Column) -> Column:
     return F.when(x & y, F.when(flags.is_concordant(flag1), "c").otherwise("d")).when(x | y, "b")
 
 
-def classify(records: DataFrame, **pairing) -> tuple[DataFrame, DataFrame]:
+def classify(records: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df, **pairing) -> tuple[DataFrame, DataFrame]:
     """(unpaired and bad-end alignments, pairs): each with ``category``; unaligned records go.
 
     A bad-end row is the aligned mate with ``opp_len``, the length of the other.
+    ``keep`` may write the pairs as a table, since both results read them.
     """
     r = records.filter(~flags.is_paired(F.col("flag")) & flags.is_aligned(F.col("flag"))).withColumn("category", F.lit("u")).withColumn("opp_len", F.lit(0))
     pairs = pair_mates(records.filter(flags.is_paired(F.col("flag"))), **pairing)
     pairs = pairs.withColumn("category", category_of_pair(F.col("a1.flag"), F.col("a2.flag"))).filter("category is not null")
+    pairs = keep(pairs)
     first = flags.is_aligned(F.col("a1.flag"))
     bad = pairs.filter("category = 'b'").select(F.when(first, F.col("a1")).otherwise(F.col("a2")).alias("a"), F.when(first, F.col("a2.len")).otherwise(F.col("a1.len")).alias("opp_len"))
     bad = bad.select("a.*", F.lit("b").alias("category"), "opp_len")

@@ -77,10 +77,14 @@ class Timers:
         spark.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def parsed(spark: SparkSession, paths: list[str], o: Options) -> tuple[DataFrame, DataFrame]:
-    """(single alignments, pairs) with categories, after the simulated-type filter."""
-    a = sam.alignments(sam.fields(sam.read_sam(spark, paths)), o.wiggle, o.prefix)
-    single, pairs, _ = pairing.split_by_type(*pairing.classify(a))
+def parsed(spark: SparkSession, paths: list[str], o: Options, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(single alignments, pairs) with categories, after the simulated-type filter.
+
+    The text is parsed once and the mates meet once: what comes after reads tables.
+    """
+    keep = (scratch or Scratch(spark, o.temp_directory)).keep
+    a = keep(sam.alignments(sam.fields(sam.read_sam(spark, paths)), o.wiggle, o.prefix))
+    single, pairs, _ = pairing.split_by_type(*pairing.classify(a, keep))
     return single, pairs
 
 
@@ -138,11 +142,11 @@ def finish(spark: SparkSession, input_sam: list[str], training_sam: list[str], o
     inner = out if (o.keep_intermediates or o.resume) and not o.vanilla_output else scratch.path("features")
     with timers.step("parsing tandem alignments"):
         if not done(spark, f"{inner}/training_features", o):
-            rewrite.write_features(features(*parsed(spark, training_sam, o), o), f"{inner}/training_features")
+            rewrite.write_features(features(*parsed(spark, training_sam, o, scratch), o), f"{inner}/training_features")
         training = spark.read.parquet(f"{inner}/training_features")
     with timers.step("parsing input alignments"):
         if not done(spark, f"{inner}/input_features", o):
-            rewrite.write_features(features(*parsed(spark, input_sam, o), o), f"{inner}/input_features")
+            rewrite.write_features(features(*parsed(spark, input_sam, o, scratch), o), f"{inner}/input_features")
         test = spark.read.parquet(f"{inner}/input_features")
     with timers.step("predictions"):
         fitted = models.fit(training, o.models, o.max_rows)

@@ -7,23 +7,46 @@ from pyspark.sql import functions as F
 
 from phredloom.functions import cigar as C
 from phredloom.functions import flags, readnames, tags
+from phredloom.session import size
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str], with_block: bool = False) -> DataFrame:
-    """``file``, ``line`` (from 1 in each file), ``raw`` (and ``block``, the start of the file block): without gathering a file anywhere.
+BROADCAST_BLOCKS = 500_000  # rows of file blocks that are broadcast: a path, two numbers
+
+
+def text_blocks(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, bool]:
+    """``file``, ``block`` (where the file block starts), ``m`` (a row id that grows along a block), ``raw``; and whether a row a block may be broadcast.
+
+    Rows of a block are consecutive in one task. The number of blocks follows
+    from the sizes of the files and how Spark splits them.
+    """
+    text = spark.read.text(paths)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    sizes = []
+    for name in [paths] if isinstance(paths, str) else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        sizes += [f.getLen() for f in at.getFileSystem(conf).globStatus(at) or [] if f.isFile()] or [size(spark, name)]
+    split = min(_bytes(spark, "spark.sql.files.maxPartitionBytes"), max(_bytes(spark, "spark.sql.files.openCostInBytes"), sum(sizes) // spark.sparkContext.defaultParallelism))
+    blocks = len(text.inputFiles()) + sum(sizes) // max(1, split)
+    cols = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.regexp_replace("value", "\r$", "").alias("raw")]
+    return text.select(*cols), blocks <= BROADCAST_BLOCKS
+
+
+def _bytes(spark: SparkSession, key: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file``, ``line`` (from 1 in each file), ``raw``: without gathering a file anywhere, and without moving text.
 
     Lines are counted per file block; a block's offset is the running sum of the
-    counts before it. Rows of a block are consecutive in one task, so the row id
+    counts before it, and comes back by a broadcast of one row a block. The row id
     minus the block's smallest row id is the place within the block.
     """
-    raw = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.regexp_replace("value", "\r$", "").alias("raw")
-    )
+    raw, near = text_blocks(spark, paths)
     blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    kept = ["file", "block"] if with_block else ["file"]
-    return raw.join(offsets, ["file", "block"]).select(*kept, (F.col("m") - F.col("first") + F.col("offset") + 1).alias("line"), "raw")
+    return raw.join(F.broadcast(offsets) if near else offsets, ["file", "block"]).select("file", (F.col("m") - F.col("first") + F.col("offset") + 1).alias("line"), "raw")
 
 
 def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
