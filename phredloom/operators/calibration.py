@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phredloom.functions.confidence import mapq_to_pcor, pcor_to_mapq
+from phredloom.operators.running import totals
 
 RANKS = 100_000  # ranks that one row expands to
 
@@ -18,20 +19,24 @@ def tally(df: DataFrame, mapq: Column, correct: Column, decimals: int | None = N
     )
 
 
-def roc(counts: DataFrame, pcor_strata: bool = False) -> DataFrame:
+def roc(counts: DataFrame, pcor_strata: bool = False, many: bool = False) -> DataFrame:
     """Running totals from the highest stratum down.
 
-    The window is global: its input has one row a stratum (at most 60,001 for
-    qualities at three decimals).
+    Rounded qualities have at most 60,001 strata at three decimals, and a window
+    over them is one small task. ``many`` is for values that are not rounded: as
+    many strata as rows, so totals are kept by ranges of the order.
     """
     mapq = pcor_to_mapq(F.col("stratum")) if pcor_strata else F.col("stratum")
     pcor = F.col("stratum") if pcor_strata else mapq_to_pcor(F.col("stratum"))
     t = counts.select(mapq.cast("double").alias("mapq"), pcor.cast("double").alias("pcor"), "cor", "incor", "stratum")
     t = t.withColumn("n", F.col("cor") + F.col("incor")).withColumn("se", F.col("incor") * F.col("pcor") * F.col("pcor") + F.col("cor") * (1 - F.col("pcor")) * (1 - F.col("pcor")))
-    w = Window.orderBy(F.desc("stratum")).rowsBetween(Window.unboundedPreceding, 0)
-    return t.select(
-        "mapq", "pcor", "cor", "incor", F.sum("cor").over(w).alias("cum_cor"), F.sum("incor").over(w).alias("cum_incor"), "n", F.sum("n").over(w).alias("cum"), "se", F.sum("se").over(w).alias("cum_se"),
-    )
+    sums = {"cum_cor": "cor", "cum_incor": "incor", "cum": "n", "cum_se": "se"}
+    if many:
+        t = totals(t, [F.desc("stratum")], {k: F.col(v) for k, v in sums.items()})
+    else:
+        w = Window.orderBy(F.desc("stratum")).rowsBetween(Window.unboundedPreceding, 0)
+        t = t.select("*", *(F.sum(v).over(w).alias(k) for k, v in sums.items()))
+    return t.select("mapq", "pcor", "cor", "incor", "cum_cor", "cum_incor", "n", "cum", "se", "cum_se")
 
 
 def auc_and_sse(table: DataFrame) -> DataFrame:

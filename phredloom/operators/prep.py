@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phredloom.operators.running import numbered
 
@@ -116,18 +118,64 @@ def subsample(df: DataFrame, fraction: float, seed: int, ids: tuple[str, ...] =
     return d.filter(F.col("_p") < edge).unionByName(d.filter(F.col("_p") == edge).orderBy("_h", *ids).limit(left)).select(*df.columns)
 
 
-def reservoir(df: DataFrame, k: int, seed: int, by: str = "category", ids: tuple[str, ...] = ("id",)) -> DataFrame:
-    """A uniform sample of at most ``k`` rows for each ``by`` (the k smallest seeded hashes).
+PREFIX_DIGITS = 3  # of the hash: 4,096 counts a group; what is sorted is the rows of the few prefixes where a sample ends
+
 
-    Rows are ranked inside hash shards first, so only k rows a shard meet in
-    the final ranking of a category.
+def _smallest(d: DataFrame, groups: list[str], ids: tuple[str, ...], wanted: Callable[[int], list[tuple[float, int]]]) -> DataFrame:
+    """Rows of ``d`` (with ``_h``, their hash) that are among the smallest of their group, with ``_tag`` of the first sample that holds them.
+
+    ``wanted`` gives a group's samples, smallest first, as (tag, rows) for its
+    number of rows. Counts by hash prefix say in which prefix a sample ends; the
+    rows of those prefixes alone are ranked, and give the last hash that is in. All
+    else is a comparison with it: rows are neither shuffled nor sorted.
+    """
+    spark, cols = d.sparkSession, d.columns
+    d = d.withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS)).withColumn("_g", F.to_json(F.struct(*groups)))  # text: null groups join too
+    d = d.withColumn("_k", F.struct("_h", *ids))
+    counts: dict[str, list[tuple[str, int]]] = {}
+    for g, p, n in d.groupBy("_g", "_p").count().collect():
+        counts.setdefault(g, []).append((p, n))
+    ends, limits = [], []
+    for g, parts in counts.items():
+        total = sum(n for _, n in parts)
+        for tag, rows in wanted(total):
+            left = rows
+            for p, n in sorted(parts):
+                if left <= n:
+                    break
+                left -= n
+            if rows >= total:
+                limits.append((g, float(tag), None))
+            elif left > 0:
+                ends.append((g, p, left, float(tag)))
+    at = spark.createDataFrame(ends, "_g string, _p string, _rank long, _tag double")
+    ranked = d.select("_g", "_p", "_k").join(F.broadcast(at.select("_g", "_p").distinct()), ["_g", "_p"])
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_g", "_p").orderBy("_k")).cast("long"))
+    limits += [tuple(r) for r in ranked.join(F.broadcast(at), ["_g", "_p", "_rank"]).select("_g", "_tag", "_k").collect()]  # a row a sample and group
+    kind = T.StructType([T.StructField("_g", T.StringType()), T.StructField("_tag", T.DoubleType()), T.StructField("_last", d.schema["_k"].dataType)])
+    table = spark.createDataFrame(limits, kind).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_tag", "_last"))).alias("_limits"))
+    first = F.get(F.filter("_limits", lambda x: x["_last"].isNull() | (F.col("_k") <= x["_last"])), F.lit(0))["_tag"]
+    return d.join(F.broadcast(table), "_g").select(*cols, first.alias("_tag")).filter("_tag is not null")
+
+
+def nested_samples(df: DataFrame, fractions: list[float], seeds: list[int], ids: tuple[str, ...] = ("id",), by: str | None = None) -> DataFrame:
+    """Rows of ``df`` for each seed with ``seed`` and ``fraction``, the smallest of ``fractions`` whose sample holds the row.
+
+    The sample of a fraction is exactly that of ``subsample`` (with ``by``: of each
+    group), so samples of one seed are nested: rows with ``fraction <= f`` are that of
+    f. One table serves a whole series of trials.
     """
-    order = [sample_order(seed, *ids), *(F.col(i) for i in ids)]
-    shard = F.pmod(F.xxhash64(*ids), F.lit(64))
-    first = F.row_number().over(Window.partitionBy(by, shard).orderBy(*order))
-    final = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    kept = df.withColumn("_r", first).filter(F.col("_r") <= k).withColumn("_r", final).filter(F.col("_r") <= k)
-    return kept.drop("_r")
+    some = sorted(set(fractions))
+    d = df.withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in seeds))))
+    d = d.withColumn("_h", F.md5(F.concat_ws(":", F.col("seed").cast("string"), *(F.col(i).cast("string") for i in ids))))
+    out = _smallest(d, [*([by] if by else []), "seed"], ids, lambda n: [(f, round(n * f) if f < 1 else n) for f in some])
+    return out.select(*df.columns, "seed", F.col("_tag").alias("fraction"))
+
+
+def reservoir(df: DataFrame, k: int, seed: int, by: str = "category", ids: tuple[str, ...] = ("id",)) -> DataFrame:
+    """A uniform sample of at most ``k`` rows for each ``by`` (the k smallest seeded hashes), whatever ``k`` and the number of rows."""
+    d = df.withColumn("_h", sample_order(seed, *ids))
+    return _smallest(d, [by], ids, lambda n: [(1.0, k)]).select(*df.columns)
 
 
 def union_chunks(chunks: list[DataFrame]) -> DataFrame:

@@ -336,6 +336,15 @@ def q_reservoir(spark: SparkSession, d: str) -> DataFrame:
     return prep.reservoir(read(spark, d, "events").select("event_id", "event_type"), 100, 99099, "event_type", ("event_id",))
 
 
+@query("""WITH r AS (SELECT event_id, event_type, seed, row_number() OVER (PARTITION BY event_type, seed ORDER BY md5(seed || ':' || event_id), event_id) AS r, count(*) OVER (PARTITION BY event_type, seed) AS n
+  FROM events, (SELECT unnest([7, 11]::BIGINT[]) AS seed)),
+t AS (SELECT event_id, event_type, seed, CASE WHEN r <= round_even(n * 0.05::DOUBLE, 0) THEN 0.05::DOUBLE WHEN r <= round_even(n * 0.2::DOUBLE, 0) THEN 0.2::DOUBLE WHEN r <= round_even(n * 0.5::DOUBLE, 0) THEN 0.5::DOUBLE END AS fraction FROM r)
+SELECT * FROM t WHERE fraction IS NOT NULL""")
+def q_sample_series(spark: SparkSession, d: str) -> DataFrame:
+    """Three nested samples of each event type for two trials."""
+    return prep.nested_samples(read(spark, d, "events").select("event_id", "event_type"), [0.5, 0.05, 0.2], [7, 11], ("event_id",), "event_type")
+
+
 # ---------------------------------------------------------------- simulation
 @query("""SELECT o_orderpriority AS category, count(*) AS n, round(avg(o_orderkey % 500), 6) AS avg_len, max(o_orderkey % 500) AS max_len,
 CAST(greatest(floor(45.0::DOUBLE * sqrt(count(*))), 3000) AS BIGINT) AS target FROM orders GROUP BY 1""")

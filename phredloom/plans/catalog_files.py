@@ -260,7 +260,7 @@ SELECT round(abs(-10 * log10(1 - p)), 6) AS mapq, round(p, 6) AS pcor, cor, inco
 FROM e WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)""")
 def q_roc_pcor(spark: SparkSession, d: str) -> DataFrame:
     k = c("o_orderkey")
-    return rounded(calibration.roc(calibration.tally(read(spark, d, "orders"), k % 97 / 100.0, k % 3 != 0), pcor_strata=True))
+    return rounded(calibration.roc(calibration.tally(read(spark, d, "orders"), k % 97 / 100.0, k % 3 != 0), pcor_strata=True, many=True))
 
 
 @query("SELECT count(*) AS n, true AS known, false AS unknown, true AS over, true AS mixed FROM orders")

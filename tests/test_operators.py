@@ -1,5 +1,6 @@
 """Sources, operators, models and the whole run on small inputs."""
 
+import hashlib
 import os
 
 import numpy as np
@@ -11,6 +12,10 @@ from phredloom.plans import cli, models, run
 from phredloom.sources import aligners, fasta, fastq, matrix, sam
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def test_no_module_outside_imports_the_training_data_operators():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for folder, _, names in os.walk(os.path.join(root, "phredloom")):
@@ -230,6 +235,23 @@ def test_sampling_is_exact_and_repeatable(spark):
     assert prep.subsample(df, 0.123, 5).count() == 123
     a, b = (sorted(r["id"] for r in prep.reservoir(df.repartition(n), 60, 5).collect()) for n in (2, 7))
     assert a == b and len(a) == 120
+    want = {c: sorted((md5(f"5:{i}"), i) for i in range(1000) if (i % 10 == 0) == (c == "b"))[:60] for c in "bu"}
+    assert a == sorted(i for rows in want.values() for _, i in rows)
+    assert prep.reservoir(df, 10**6, 5).count() == 1000 and prep.reservoir(df, 0, 5).count() == 0
+    with_null = df.withColumn("category", F.when(F.col("category") == "u", "u"))
+    assert sorted((r["category"] or "", r["count"]) for r in prep.reservoir(with_null, 40, 5).groupBy("category").count().collect()) == [("", 40), ("u", 40)]
+
+
+def test_nested_samples_are_those_of_each_fraction(spark):
+    df = spark.range(900).withColumn("category", F.when(F.col("id") % 10 == 0, "b").otherwise("u")).repartition(4)
+    got = prep.nested_samples(df, [0.5, 0.01, 0.1, 1.0, 0.0], [3, 4], by="category").collect()
+    assert len(got) == 1800  # the sample of 1.0 holds every row
+    for seed in (3, 4):
+        for f in (0.01, 0.1, 0.5):
+            for c in "bu":
+                mine = sorted(r["id"] for r in got if r["seed"] == seed and r["category"] == c and r["fraction"] <= f)
+                assert mine == sorted(r["id"] for r in prep.subsample(df.filter(F.col("category") == c), f, seed).collect())
+    assert prep.nested_samples(df.limit(0), [0.5], [1]).count() == 0
 
 
 # ------------------------------------------------------------ models
