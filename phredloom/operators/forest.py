@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phredloom.session import Scratch
@@ -44,7 +44,8 @@ def boots(trees: int, seed: int, key: list[str]) -> Column:
         steps.append(f"{total!r}D")
     name = f"concat_ws(':', '{seed}', t, {', '.join(f'`{c}`' for c in key)})"
     u = f"conv(substring(md5({name}), 1, 12), 16, 10) / 281474976710656D"
-    return F.expr(f"transform(sequence(0, {trees - 1}), t -> cast(size(filter(array({', '.join(steps)}), x -> x <= {u})) as tinyint))")
+    uniform = f"transform(sequence(0, {trees - 1}), t -> {u})"  # first of all, so that a hash is made once
+    return F.expr(f"transform({uniform}, u -> cast(size(filter(array({', '.join(steps)}), x -> x <= u)) as tinyint))")
 
 
 def edges(df: DataFrame, cols: list[str], bins: int = BINS) -> list[np.ndarray]:
@@ -174,22 +175,30 @@ def _best(data: Data, asked: dict[int, list[Node]], roots: dict[int, Node], k: i
             yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cols), pa.array(s[0][full]), pa.array(s[1][full])], names=["tree", "node", "feature", "turn", "bin", "w", "g"])
 
     cells = data.table.mapInArrow(add, "tree int, node int, feature int, turn int, bin int, w long, g long").repartition("tree", "node")
-    cells = cells.groupBy("tree", "node", "feature", "turn", "bin").agg(F.sum("w").alias("w"), F.sum("g").alias("g"))
-    below = Window.partitionBy("tree", "node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("tree", "node", "feature")
-    c = cells.select("tree", "node", "feature", "turn", "bin", F.sum("w").over(below).alias("wl"), F.sum("g").over(below).alias("gl"), F.sum("w").over(whole).alias("w"), F.sum("g").over(whole).alias("g"))
-    square = lambda g, w: g.cast("double") * g / w
-    wr, gr = F.col("w") - F.col("wl"), F.col("g") - F.col("gl")
-    gain = square(F.col("gl"), F.col("wl")) + square(gr, wr) - square(F.col("g"), F.col("w"))
-    cut = F.when(wr > 0, F.struct(gain.alias("gain"), (-F.col("bin")).alias("bin"), "wl", "gl"))
-    per_feature = c.groupBy("tree", "node", "feature", "turn").agg(F.max(cut).alias("cut"), F.first("w").alias("w"), F.first("g").alias("g"))
-    seen = F.slice(F.array_sort(F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("turn", "feature", "cut")))), 1, k)
-    best = F.array_max(F.transform(seen, lambda s: F.struct(s["cut"]["gain"].alias("gain"), (-s["turn"]).alias("turn"), s["feature"].alias("feature"), s["cut"].alias("cut"))))
-    return per_feature.groupBy("tree", "node").agg(best.alias("best"), F.first("w").alias("w"), F.first("g").alias("g")).collect()  # a row a node asked for
+    return data.table.sparkSession.sql(_BEST_SQL, {"k": k}, cells=cells).collect()  # a row a node asked for
+
+
+# The cells of a node are in one partition, so there is one shuffle. The gain of a cut is what it takes off the sum of squares.
+_BEST_SQL = """
+SELECT tree, node, first(w) AS w, first(g) AS g,
+  array_max(transform(slice(array_sort(collect_list(if(cut IS NULL, NULL, struct(turn, feature, cut)))), 1, :k), s -> struct(s.cut.gain AS gain, -s.turn AS turn, s.feature AS feature, s.cut AS cut))) AS best
+FROM (
+  SELECT tree, node, feature, turn, first(w) AS w, first(g) AS g,
+    max(if(w > wl, struct(double(gl) * gl / wl + double(g - gl) * (g - gl) / (w - wl) - double(g) * g / w AS gain, -bin AS bin, wl, gl), NULL)) AS cut
+  FROM (
+    SELECT tree, node, feature, turn, bin, sum(w) OVER below AS wl, sum(g) OVER below AS gl, sum(w) OVER whole AS w, sum(g) OVER whole AS g
+    FROM (SELECT tree, node, feature, turn, bin, sum(w) AS w, sum(g) AS g FROM {cells} GROUP BY tree, node, feature, turn, bin)
+    WINDOW whole AS (PARTITION BY tree, node, feature), below AS (PARTITION BY tree, node, feature ORDER BY bin ROWS UNBOUNDED PRECEDING))
+  GROUP BY tree, node, feature, turn)
+GROUP BY tree, node"""
 
 
 def _pops(root: Node, cap: int | None, least: float) -> tuple[list[Node], list[Node]]:
-    """Nodes split by the heap as far as is known, and the new children whose best splits must be asked for."""
+    """Nodes split by the heap as far as is known, and the new children whose best splits must be asked for.
+
+    If any must, those of the best splits left on the heap are asked for as well,
+    up to the cap: they are likely next, and a round costs a job whatever is asked.
+    """
     heap, split, new = [], [], []
 
     def push(n: Node) -> None:
@@ -205,6 +214,9 @@ def _pops(root: Node, cap: int | None, least: float) -> tuple[list[Node], list[N
             new += [k for k in n.kids if not k.known]
         for kid in n.kids:
             push(kid)
+    if new:
+        for _, _, n in heapq.nsmallest(cap or len(heap), heap):
+            new += [k for k in n.kids if not k.known]
     return split, new
 
 
