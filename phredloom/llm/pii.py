@@ -4,16 +4,15 @@ Base spans are regular-expression matches that pass their kind's test. They
 seed the bootstrap: the words around a span make its lexical patterns (``a b _``,
 ``a _ c``, ``a _``, ``_ c``; lower case, digits as 0, of any length). Other
 identifier-like tokens (long, with many digits, not overlapping a base span) are
-candidate instances. On the graph of patterns and instances, a pattern's
-confidence is the scored share of its instances, an instance's score grows with
-its patterns' confidences, and both are worked out in turn ``ROUNDS`` times. A
-pattern of one word is trusted only if identifiers follow (or precede) at least
-``LEAST_SHARE`` of all occurrences of that word in the corpus, so that ``the _``
-proves nothing. Candidates in the context of a trusted pattern become spans of
-the kind ``id``.
-
-Only patterns with a candidate and ``LEAST_SEEDS`` different instances enter the
-graph: no other can be trusted or lift an instance.
+candidate instances. Two tests come before any scoring: a pattern needs
+``LEAST_SEEDS`` different seeds (base spans; what the bootstrap finds does not
+count) and a candidate, and identifiers must be in at least ``LEAST_SHARE`` of all
+places of the corpus where its words stand so, whether it has one word or two:
+``the _`` and ``the _ the`` prove nothing. On the graph of the patterns that are
+left and their instances, a pattern's confidence is the scored share of its
+instances, an instance's score grows with its patterns' confidences, and both are
+worked out in turn ``ROUNDS`` times. Candidates in the context of a trusted pattern
+become spans of the kind ``id``.
 
 Matching once gives the matches and the gaps between them; running sums of
 their lengths give the positions, so no text is searched twice for a position.
@@ -21,7 +20,8 @@ Expressions are possessive or anchored so that long texts cost linear time.
 
 Offsets are code points, end exclusive. Defined results: a null or empty text
 has no spans; repeated rows get the same result each; a null doc_id is kept;
-the empty table gives no rows.
+other columns are not read (``redact`` returns them as they are, whatever their
+names); the empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])?"
 ROUNDS = 3
 LEAST_CONFIDENCE = 0.7
 LEAST_SEEDS = 3
@@ -132,42 +131,45 @@ def marks(docs: DataFrame) -> DataFrame:
     )
 
 
+def _occurrences(docs: DataFrame, contexts: DataFrame, n: int) -> DataFrame:
+    """``context``, ``seen``: the places of the corpus where the words of each pattern stand as it says, whatever stands between them."""
+    head = F.regexp_extract("context", r"^(?:_ )?+(\S++)", 1)
+    heads = contexts.select(head.alias("w")).distinct()
+    words = documents(docs).select(F.split(_plain(F.col("text")), " ").alias("words"))
+    places = words.select(F.inline(F.expr("transform(words, (w, i) -> struct(w as w, get(words, i + 1) as next, get(words, i + 2) as last))"))).join(small(heads, n, BROADCAST_PATTERNS), "w", "left_semi")
+    here = F.lit(" _")
+    forms = F.array(
+        F.concat(F.lit("_ "), "w"), F.concat("w", here), F.when(F.col("next").isNotNull(), F.concat("w", F.lit(" "), "next", here)), F.when(F.col("last").isNotNull(), F.concat("w", here, F.lit(" "), "last"))
+    )
+    return places.select(F.explode(forms).alias("context")).join(small(contexts, n, BROADCAST_PATTERNS), "context", "left_semi").groupBy("context").agg(F.count(F.lit(1)).alias("seen"))
+
+
 def confident_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """``context`` of the patterns that the bootstrap trusts."""
+    """``context``, ``seeds`` and ``confidence`` of the patterns that the bootstrap trusts."""
     edge = found.filter("match is not null").select(F.explode("contexts").alias("context"), F.xxhash64(F.lower("match")).alias("instance"), (F.col("kind") < 5).alias("seed"))
-    members = edge.groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
-    members = materialize(members)
-    useful = members.groupBy("context").agg(F.count_if(~F.col("seed")).alias("open"), F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
-    useful = materialize(useful.filter((F.col("open") > 0) & (F.col("n") >= LEAST_SEEDS)).select("context", "times"))
-    n_useful = useful.count()
+    members = materialize(edge.groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times")))
+    useful = members.groupBy("context").agg(F.count_if(~F.col("seed")).alias("open"), F.count_if("seed").alias("seeds"), F.sum("times").alias("times"))
+    useful = materialize(useful.filter((F.col("open") > 0) & (F.col("seeds") >= LEAST_SEEDS)).select("context", "seeds", "times"))
+    if n_useful := useful.count():
+        seen = _occurrences(docs, useful.select("context"), n_useful)
+        useful = materialize(useful.join(seen, "context", "left").filter(F.col("times") >= LEAST_SHARE * F.coalesce("seen", F.lit(0))).select("context", "seeds"))
+        n_useful = useful.count()
+    if not n_useful:  # nothing is left to score
+        return useful.select("context", "seeds", F.lit(0.0).alias("confidence")).limit(0)
     edges = materialize(members.drop("times").join(small(useful.select("context"), n_useful, BROADCAST_PATTERNS), "context", "left_semi"))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     patterns = None
     for _ in range(ROUNDS):
-        patterns = scored.groupBy("context").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count_if(F.col("score") > 0.5).alias("seeds")
-        )
-        good = small(patterns.filter(F.col("seeds") >= LEAST_SEEDS).select("context", "confidence"), n_useful, BROADCAST_PATTERNS)
-        lifted = edges.filter(~F.col("seed")).join(good, "context").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - 0.95 * F.col("confidence"))))).alias("lift"))
+        patterns = scored.groupBy("context").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"))
+        lifted = edges.filter(~F.col("seed")).join(small(patterns, n_useful, BROADCAST_PATTERNS), "context").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - 0.95 * F.col("confidence"))))).alias("lift"))
         scored = edges.join(lifted, "instance", "left").select("context", "instance", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score"))
-    good = materialize(patterns.filter((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("context"))
-
-    # patterns of one word: how often is the word beside an identifier?
-    word = F.when(F.col("context").startswith("_ "), F.substr("context", F.lit(3))).otherwise(F.regexp_replace("context", " _$", ""))
-    one = materialize(good.filter(F.size(F.split("context", " ")) == 2).join(useful, "context").select("context", "times", word.alias("word")))
-    n_one = one.count()
-    if not n_one:
-        return good
-    words = documents(docs).select(F.explode(F.split(_plain(F.col("text")), " ")).alias("word"))
-    seen = words.join(small(one.select("word").distinct(), n_one, BROADCAST_PATTERNS), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
-    rare = one.join(seen, "word", "left").filter(F.col("times") < LEAST_SHARE * F.coalesce("seen", F.lit(0))).select("context")
-    return good.join(rare, "context", "left_anti")
+    return patterns.filter(F.col("confidence") >= LEAST_CONFIDENCE).join(useful, "context").select("context", "seeds", "confidence")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """One row per text: doc_id, row, copies, ``spans`` array<struct<kind, start, end>> by kind and start; kind 5 is discovered."""
     found = materialize(marks(docs))
-    trusted = materialize(confident_patterns(found, docs))
+    trusted = materialize(confident_patterns(found, docs).select("context"))
     open_ = found.filter("kind = 5").select("doc_id", "row", "start", F.explode("contexts").alias("context"))
     ids = open_.join(small(trusted, trusted.count(), BROADCAST_PATTERNS), "context", "left_semi").groupBy("doc_id", "row", "start").agg(F.lit(True).alias("trusted"))
     span = F.struct("kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))

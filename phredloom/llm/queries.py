@@ -31,7 +31,6 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", packing.word_tokens(F.col("text")).alias("n")), "doc_id", "n")
 
 
-# For tables of at most 100,000 rows, which are one shard; more shards are dealt by a hash that SQL does not have.
 OP3_SQL = r"""
 WITH RECURSIVE r AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS n_tokens FROM documents),
 h AS (SELECT n_tokens AS len, row_number() OVER (ORDER BY n_tokens) AS j, sum(count(*)) OVER (ORDER BY n_tokens) AS c, sum(n_tokens * count(*)) OVER (ORDER BY n_tokens) AS s FROM r GROUP BY n_tokens),

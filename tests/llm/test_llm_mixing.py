@@ -271,3 +271,48 @@ def test_hot_text_is_spread(spark):
     taken = mixing.taken(mixed, kept).collect()
     assert len(taken) == len(rows)
     check_mix(rows, mixed.collect(), taken, [5, 2, 1], 150, 2)
+
+
+# ------------------------------------------------------------ packing and personal data
+def test_packing_does_not_depend_on_the_layout(spark):
+    import pandas as pd
+
+    from phredloom.llm import packing
+
+    n = [(i * 7919) % 97 if i % 3 else 40 for i in range(3000)]
+    rows = [(i if i % 4 else i // 4 * 4 % 50, x) for i, x in enumerate(n)]
+    df = spark.createDataFrame(rows, "doc_id long, n long")
+    a, b = (packing.pack(df.repartition(k, "n"), "doc_id", "n", 4, 600, ranges).collect() for k, ranges in ((1, 2), (7, 31)))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    got = pd.DataFrame([r.asDict() for r in a])
+    for _, g in got.sort_values(["bucket", "batch_no", "slot"]).groupby("bucket"):
+        assert (g.batch_no * g.capacity + g.slot).tolist() == list(range(len(g)))
+        assert list(zip(g.n_tokens, g.doc_id, strict=True)) == sorted(zip(g.n_tokens, g.doc_id, strict=True))
+
+
+def test_boundaries_are_exact_beyond_doubles():
+    import numpy as np
+
+    from phredloom.llm import packing
+
+    v = np.array([1, 2, 3, 10**6], dtype=np.int64)
+    for n in (np.array([10**12 + 1, 5, 10**12, 3]), np.array([10**13 + 1, 10**13, 1, 10**13])):
+        got = packing.boundaries(v, n, v * n, 2)
+        cost = {b: sum(int(c) * ((b if x <= b else 10**6) - int(x)) for x, c in zip(v, n, strict=True)) for b in (1, 2, 3)}
+        assert got == [min(cost, key=cost.get), 10**6]
+
+
+def test_contexts_need_true_seeds_and_a_share_of_their_places(spark):
+    from phredloom.llm import pii
+
+    def trusted(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit("clash"))
+        found = pii.marks(docs)
+        return {r["context"]: r["seeds"] for r in pii.confident_patterns(found, docs).collect()}
+
+    seeds = [f"please write to user{i}@mail.example.org today" for i in range(6)]
+    assert trusted([*seeds, "please write to AB123456X today"])["write to _"] == 6
+    # two base seeds only, however many candidates share the context
+    assert trusted([*seeds[:2], *(f"please write to AB12345{i}X today" for i in range(9))]) == {}
+    # the words stand elsewhere too often
+    assert trusted([*seeds, "please write to AB123456X today", *["write to me today and write to us please"] * 20]) == {}

@@ -175,7 +175,7 @@ def test_dual_descent_solves_the_dual():
 # ------------------------------------------------------------ packing
 def test_packing_is_whole_and_within_budget(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([None, 0, 5, 5, 9000, 120, 3, -2, 40] * 50)], "doc_id long, n long").withColumn("bucket", F.lit(1))
-    got = packing.pack(df, "doc_id", "n", n_buckets=4, token_budget=500, rows_per_shard=20).toPandas()
+    got = packing.pack(df, "doc_id", "n", n_buckets=4, token_budget=500, ranges=20).toPandas()
     assert sorted(got.doc_id) == list(range(450)) and (got.padding >= 0).all()
     for (b, k), g in got.groupby(["bucket", "batch_no"]):
         assert len(g) <= g.capacity.iloc[0] and sorted(g.slot) == list(range(len(g)))
