@@ -1,23 +1,26 @@
 """Main-text extraction from HTML by line-block distribution.
 
 Markup is stripped into lines (one per block element), each line gets an
-effective length (its text without link text), lengths are summed over a
-sliding window of lines, and the text between a surge and the following dive
-of these sums is kept.
+effective length (its text without link text, and 0 if all that stands outside of
+its links are separators), lengths are summed over a sliding window of lines, and
+the text between a surge and the following dive of these sums is kept.
 
 The surge level is ``SURGE`` characters, or the page's highest sum where no sum
-is that high, so that a page of short paragraphs keeps them; a dive is a sum of
-zero.
+is that high, so that a page of short paragraphs keeps them; a dive is a sum under
+the surge level's ``DIVE``th part. Lines without length at the ends of what is kept
+go. So a menu of three lines or more parts the text, and one or two linked lines
+inside a text stay.
 
-Two kinds of markup knowledge enter before the sums. Elements that never hold
+Three kinds of knowledge enter before the sums. Elements that never hold
 article text (scripts, menus, forms, footers, adverts, comment lists, ...) give
-no lines at all. Where the page marks its article (``article``, ``main`` or
-``itemprop=articleBody``), the mark is a weight of the line lengths: a line
-inside counts ``SURGE`` more, and one outside counts the less, the more of the
-page's text the mark holds. So the surge and the dive fall on the article's own
-edges and its short first or last lines stay, while a mark around a teaser does
-not hide a long text beside it: a line outside stays if it still counts
-``OUTSIDE`` and lies between surge and dive.
+no lines at all, and neither do short lines that are notices by their words
+(cookies, headings of teasers; outside of a marked article copyright lines too). Where the page marks its article
+(``article``, ``main`` or ``itemprop=articleBody``), the mark is a weight of the line
+lengths: a line inside counts ``INSIDE``-fold (a heading its links too), and one
+outside counts the less, the more of the page's text the mark holds. So the surge and
+the dive fall on the article's own edges, while a mark around a teaser does not hide
+a long text beside it: a line outside stays if it still counts ``OUTSIDE`` and lies
+between surge and dive.
 
 A class or id names such an element by its head word (``site-header``,
 ``related-posts``; not ``has-sidebar`` or ``related-work``). ``main`` or
@@ -49,7 +52,10 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 86
+DIVE = 32
+INSIDE = 2
 OUTSIDE = SURGE // 2
+NOTICE_CHARS = 200  # a longer line is no notice
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -74,6 +80,9 @@ _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)
 _WORDS = re.compile(r"[A-Za-z]+")
 # Headings above readers' comments.
 _COMMENTS = re.compile(r"(?:[0-9]+ |(?:the |all |reader |readers[’'] |reader[’']s |user )?)comments?(?: ?\([0-9]+\))?:?|(?:leave|post|write|add) (?:a|your) (?:comment|reply)", re.I)
+# Short lines that are notices or stand above teasers; those of page feet, which an article may quote.
+_NOTICE = re.compile(r"(?:we|this (?:site|website|page)) uses? cookies\b.*|(?:related|recommended|more) (?:stories|articles|posts|links|news|reading):?|you (?:may|might) also like:?|share this(?: (?:article|story|page|post))?:?|advertisement|sponsored content", re.I)
+_FOOT = re.compile(r"(?:©|\(c\) ?[0-9]{4}|copyright\b).*|.*\ball rights reserved\.?|contact us\b.{0,60}", re.I)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
@@ -163,20 +172,21 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     stack: list[str] = []  # open elements
     n_open: Counter[str] = Counter()
     parts: list[str] = []
-    linked = 0
+    linked, loose = 0, False  # characters of link text; whether letters or digits stand outside of links
     skip_at = main_at = link_at = mute_at = -1  # stack depth at which such an element opened
     why, outer, kind, place = "", (-1, ""), 1, 2  # of the skipped element, of the one around the article, of the article, of the layout
     deep = -1, ""  # an element in a skipped one that goes for a stronger reason
 
-    def flush() -> str:
-        nonlocal linked
+    def flush(heading: bool = False) -> str:
+        nonlocal linked, loose
         text = ""
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
-                out.append((text, linked, kind if main_at >= 0 else place if skip_at >= 0 else 0))
+            if text and not (len(text) <= NOTICE_CHARS and (_NOTICE.fullmatch(text) or main_at < 0 and _FOOT.fullmatch(text))):
+                without = 0 if heading and main_at >= 0 else linked if loose else len(text)
+                out.append((text, without if linked else 0, kind if main_at >= 0 else place if skip_at >= 0 else 0))
             parts.clear()
-        linked = 0
+        linked, loose = 0, False
         return text
 
     def close_to(depth: int) -> None:
@@ -204,6 +214,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             parts.append(text)
             if link_at >= 0:
                 linked += len(" ".join(text.split()))
+            else:
+                loose = loose or any(map(str.isalnum, text))
         if not found:
             break
         start, at, tag, closing, attrs = found
@@ -213,7 +225,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 at = n if at < 0 else at + 3
             continue
         tag = tag.lower()
-        line = "" if tag in INLINE else flush()
+        line = "" if tag in INLINE else flush(closing and tag in _HEADINGS)
         if closing:
             if not n_open[tag]:
                 continue
@@ -222,7 +234,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 depth -= 1
             close_to(depth)
             if tag in _HEADINGS and line and skip_at < 0 and _COMMENTS.fullmatch(line):
-                out.pop()
+                out.pop()  # a line that announces comments is no notice
                 skip_at, why = max(0, depth - 1), "others"
             continue
         if n_open["p"]:
@@ -285,13 +297,13 @@ def main_text(page: str | None) -> str:
 
 
 def effective_lengths(lines: list[tuple[str, int, int]]) -> list[int]:
-    """What each line counts: its text without link text, weighted by the mark."""
+    """What each line counts: its text without link text and separators, weighted by the mark."""
     raw = [max(0, len(t) - linked) for t, linked, _ in lines]
     inside = sum(n for n, (_, _, m) in zip(raw, lines, strict=True) if m)
     if not any(m for _, _, m in lines):
         return raw
     weight = (1 - inside / max(1, sum(raw))) ** 4
-    return [n + SURGE if m else int(n * weight) for n, (_, _, m) in zip(raw, lines, strict=True)]
+    return [n * INSIDE if m else int(n * weight) for n, (_, _, m) in zip(raw, lines, strict=True)]
 
 
 def _between(lines: list[tuple[str, int, int]]) -> str:
@@ -299,14 +311,15 @@ def _between(lines: list[tuple[str, int, int]]) -> str:
     n, half = len(lines), WINDOW // 2
     block = [sum(length[max(0, i - half) : i + half + 1]) for i in range(n)]
     surge = min(SURGE, max(block, default=0))
+    low = [not b or b * DIVE < surge for b in block]
     keep: list[str] = []
     i = 0
     while i < n:
-        if not block[i]:
+        if low[i]:
             i += 1
             continue
         dive = i
-        while dive < n and block[dive]:
+        while dive < n and not low[dive]:
             dive += 1
         if max(block[i:dive]) >= surge:
             first, last = i, dive - 1

@@ -224,9 +224,10 @@ def by_windows(lines):
     mark = [m for _, _, m in lines]
     if any(mark):
         share = sum(r for r, m in zip(raw, mark, strict=True) if m) / max(1, sum(raw))
-        raw = [r + html_extract.SURGE if m else int(r * (1 - share) ** 4) for r, m in zip(raw, mark, strict=True)]
+        raw = [r * html_extract.INSIDE if m else int(r * (1 - share) ** 4) for r, m in zip(raw, mark, strict=True)]
     sums = [sum(raw[max(0, i - 1) : i + 2]) for i in range(len(raw))]
     level = min(html_extract.SURGE, max(sums, default=0))
+    sums = [x if x * html_extract.DIVE >= level else 0 for x in sums]
     out = []
     for i, (t, _, m) in enumerate(lines):
         left = right = i
@@ -257,6 +258,35 @@ def test_main_text_equals_windows_on_marked_and_unmarked_pages():
         assert html_extract.main_text(page) == by_windows([(t, len(t) * linked, m) for t, linked, m in lines])
 
 
+def test_windows_decide_with_and_without_marks():
+    long, menu = "<p>" + "word " * 30 + "end</p>", "".join(f"<li><a href=#>section {i}</a></li>" for i in range(5))
+    text = "word " * 30 + "end"
+    for open_, close in (("<article>", "</article>"), ("<div>", "</div>")):
+        # a menu between paragraphs is a dive; a linked line or two are part of the text
+        assert html_extract.main_text(f"{open_}{long}<ul>{menu}</ul>{long}{close}") == f"{text}\n{text}"
+        assert html_extract.main_text(f"{open_}{long}<p><a href=#>see also</a></p>{long}{close}") == f"{text}\nsee also\n{text}"
+        assert html_extract.main_text(f"{open_}<ul>{menu}</ul>{long}{close}<ul>{menu}</ul>") == text
+    # without the window rule both pages would keep every line
+    assert len(html_extract.lines_of(f"<article>{long}<ul>{menu}</ul>{long}</article>")) == 7
+    assert html_extract.main_text("<article><h1><a href=#>A linked title</a></h1><p>Some text.</p></article>") == "A linked title\nSome text."
+
+
+def test_menus_and_notices_around_and_inside_articles():
+    long = "<p>" + "word " * 30 + "end</p>"
+    text = "word " * 30 + "end"
+    links = "<a href=#>Home</a> | <a href=#>News</a> | <a href=#>Sport</a>"
+    assert html_extract.main_text(f"<p>{links}</p>{long}") == text
+    assert html_extract.main_text(f"<p>{links.replace(' | ', ' ')}</p>{long}{long}") == f"{text}\n{text}"
+    assert html_extract.main_text("<p><a>only</a> <a>links</a></p>") == ""
+    assert html_extract.main_text("<p><a>only</a> · <a>links</a> »</p>") == ""
+    for notice in ("Copyright 2024 Example Ltd. All rights reserved.", "© 2024 Example", "Contact us by phone", "We use cookies on this site.", "Related stories", "You might also like"):
+        assert html_extract.main_text(f"{long}<p>{notice}</p>") == text, notice
+    for notice in ("We use cookies on this site.", "Related stories", "You might also like"):
+        assert html_extract.main_text(f"<article>{long}<p>{notice}</p>{long}</article>") == f"{text}\n{text}", notice
+    assert html_extract.main_text(f"<article>{long}<p>All rights reserved.</p></article>") == f"{text}\nAll rights reserved."
+    assert html_extract.main_text(f"<article><p>Copyright law {'is old ' * 40}</p></article>").startswith("Copyright law")
+
+
 def test_scans_are_linear():
     import time
 
