@@ -90,9 +90,13 @@ def top_incorrect(predictions: DataFrame, n: int = 100, lowest_first: bool = Fal
     return predictions.filter("correct = 0").orderBy(order, "id").limit(n).select("category", "id", "mapq", "mapq_orig", "correct")
 
 
-def assessable(predictions: DataFrame, limit: int = 100_000_000) -> bool:
-    """Whether labels are known; an error if there are more rows than ``limit``, or known and unknown labels mix."""
-    r = predictions.agg(F.count(F.lit(1)).alias("n"), F.min("correct").alias("lo"), F.max("correct").alias("hi")).first()
+def label_range() -> list[Column]:
+    """Aggregates that tell whether labels are known: for ``assessable``, or for ``observe`` of predictions while they are written."""
+    return [F.count(F.lit(1)).alias("n"), F.min("correct").alias("lo"), F.max("correct").alias("hi")]
+
+
+def labels_known(r: dict, limit: int = 100_000_000) -> bool:
+    """Of the values of ``label_range``: whether there are rows and labels; an error if there are more rows than ``limit``, or known and unknown labels mix."""
     if r["n"] > limit:
         raise ValueError(f"{r['n']} rows are more than the limit {limit}")
     if r["n"] and r["lo"] == -1 and r["hi"] > -1:
@@ -100,6 +104,11 @@ def assessable(predictions: DataFrame, limit: int = 100_000_000) -> bool:
     return bool(r["n"]) and r["lo"] > -1
 
 
+def assessable(predictions: DataFrame, limit: int = 100_000_000) -> bool:
+    """``labels_known`` of a table."""
+    return labels_known(predictions.agg(*label_range()).first().asDict(), limit)
+
+
 def write_tables(predictions: DataFrame, folder: str, n_top: int = 100) -> None:
     """roc, roc_round, roc_orig, top_incorrect and summary as CSV folders; all are small tables."""
     tables = {

@@ -106,15 +106,16 @@ def main(argv: list[str]) -> int:
         return 0
     spark = session()
     base = options(a)
-    for i, seed in enumerate(run.trials(a.trials, a.seed)):
-        for part in a.subsampling_series:
-            o = dataclasses.replace(base, seed=seed, models=dataclasses.replace(base.models, seed=seed, subsample=part))
-            if a.trials > 1 or len(a.subsampling_series) > 1:
-                o.output_directory = f"{base.output_directory}/trial{i}/sample{part}"
-            if a.tandem_sam:
-                run.finish(spark, a.input_sam, a.tandem_sam, o)
-            else:
-                run.run_simulation(spark, a.input_sam, o)
+    seeds = run.trials(a.trials, a.seed)
+    several = len(seeds) * len(a.subsampling_series) > 1
+    if a.tandem_sam:
+        series = [(f"trial{i}/sample{part}", seed, part) for i, seed in enumerate(seeds) for part in a.subsampling_series] if several else None
+        o = dataclasses.replace(base, models=dataclasses.replace(base.models, subsample=a.subsampling_series[0]))
+        run.finish(spark, a.input_sam, a.tandem_sam, o, series)
+        return 0
+    for i, seed in enumerate(seeds):
+        folder = f"{base.output_directory}/trial{i}" if len(seeds) > 1 else base.output_directory
+        run.run_simulation(spark, a.input_sam, dataclasses.replace(base, seed=seed, output_directory=folder))
     return 0
 
 

@@ -230,7 +230,7 @@ class Fitted:
 
 def fit_category(features: DataFrame, c: str, s: Settings, chunk_rows: int = 0) -> Fitted | None:
     """The model of one category, or None if it has no rows."""
-    df = prep.subsample(features.filter(F.col("category") == c), s.subsample, s.seed)
+    df = prep.subsample(features.filter(F.col("category") == c), s.subsample, s.seed, tuple(row_key(features)))
     if df.isEmpty():
         return None
     present = [x for x in df.columns if x not in (*prep.NOT_FEATURES, "mapq")]

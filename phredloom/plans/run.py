@@ -8,12 +8,12 @@ Every path may be on any file system that Spark reads and writes.
 
 from __future__ import annotations
 
-import resource
 import time
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from phredloom.functions import readnames
@@ -61,29 +61,69 @@ class Options:
         return {"u": self.sim_unp_min, "c": self.sim_conc_min, "d": self.sim_disc_min, "b": self.sim_bad_end_min}[category]
 
 
+FIGURES = ["seconds", "tasks", "task_seconds", "peak_execution_mb", "shuffle_mb", "spill_mb", "input_mb"]
+
+
 class Timers:
-    def __init__(self) -> None:
-        self.rows: list[tuple[str, float]] = []
+    """Figures of each step: its time, and what the cluster's tasks took, from Spark's own record of the stages that ran in it.
+
+    Stages belong to the step in which they were submitted, so steps must not
+    overlap; a stage that Spark no longer keeps (see ``spark.ui.retainedStages``)
+    is not counted.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.rows = spark, []
+
+    def _next_stage(self) -> int:
+        sc = self.spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return int(sc.dagScheduler().nextStageId())
+
+    def _figures(self, stages: range) -> list[tuple[float, ...]]:
+        store, out = self.spark.sparkContext._jsc.sc().statusStore(), []
+        for i in stages:
+            try:
+                s = store.lastStageAttempt(i)
+            except Py4JJavaError:  # no longer kept
+                continue
+            if s.numCompleteTasks():
+                out.append((s.numCompleteTasks(), s.executorRunTime() / 1e3, s.peakExecutionMemory() / 1e6, s.shuffleWriteBytes() / 1e6, s.diskBytesSpilled() / 1e6, s.inputBytes() / 1e6))
+        return out
 
     @contextmanager
     def step(self, name: str):
-        t = time.time()
+        first, t = self._next_stage(), time.time()
         yield
-        self.rows.append((name, time.time() - t))
+        took = time.time() - t
+        new = self._figures(range(first, self._next_stage()))
+        total = [sum(v[i] for v in new) for i in range(6)]
+        total[2] = max((v[2] for v in new), default=0.0)
+        self.rows.append((name, took, int(total[0]), *map(float, total[1:])))
 
-    def write(self, spark: SparkSession, path: str, more: list[tuple[str, float]]) -> None:
-        """Seconds of each step, then ``more`` figures, as one text part."""
-        rows = [(f"{n}\t{v:.3f}",) for n, v in [*self.rows, *more]]
-        spark.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(path)
+    def table(self) -> DataFrame:
+        """One row a step: ``step`` and ``FIGURES``."""
+        return self.spark.createDataFrame(self.rows, f"step string, seconds double, tasks long, {', '.join(f'{f} double' for f in FIGURES[2:])}")
 
+    def write(self, path: str, more: list[tuple[str, float]]) -> None:
+        """The table as ``<path>`` (tab-separated, with a header), and ``more`` figures of the whole run as ``<path>.run``."""
+        self.table().coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+        self.spark.createDataFrame(more, "figure string, value double").coalesce(1).write.mode("overwrite").csv(f"{path}.run", sep="\t", header=True)
 
-def parsed(spark: SparkSession, paths: list[str], o: Options, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+
+def parsed(spark: SparkSession, paths: list[str], o: Options, scratch: Scratch | None = None, counted: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(single alignments, pairs) with categories, after the simulated-type filter.
 
     The text is parsed once and the mates meet once: what comes after reads tables.
+    ``counted`` gets the counters of ``sam.counters``, observed while the text is
+    parsed, so that no scan is made for them.
     """
     keep = (scratch or Scratch(spark, o.temp_directory)).keep
-    a = keep(sam.alignments(sam.fields(sam.read_sam(spark, paths)), o.wiggle, o.prefix))
+    seen = Observation()
+    lines = sam.read_sam(spark, paths).observe(seen, *sam.counts())
+    a = keep(sam.alignments(sam.fields(lines), o.wiggle, o.prefix))
+    if counted is not None:
+        counted |= seen.get
     single, pairs, _ = pairing.split_by_type(*pairing.classify(a, keep))
     return single, pairs
 
@@ -131,13 +171,40 @@ def done(spark: SparkSession, path: str, o: Options) -> bool:
     return o.resume and exists(spark, f"{path}/_SUCCESS")
 
 
-def finish(spark: SparkSession, input_sam: list[str], training_sam: list[str], o: Options) -> DataFrame:
+def fitted_and_predicted(spark: SparkSession, training: DataFrame, test: DataFrame, o: Options, out: str, scratch: Scratch) -> tuple[DataFrame, dict]:
+    """Fit, predict, report and assess under ``out``; (predictions, what the assessment was based on).
+
+    Whether labels are known is observed while predictions are written.
+    """
+    fitted = models.fit(training, o.models, o.max_rows)
+    if not done(spark, f"{out}/predictions", o):
+        seen = Observation()
+        models.predict(test, fitted, o.collapse, o.max_rows, scratch).observe(seen, *calibration.label_range()).write.mode("overwrite").parquet(f"{out}/predictions")
+        labels = seen.get
+    else:
+        labels = spark.read.parquet(f"{out}/predictions").agg(*calibration.label_range()).first().asDict()
+    predictions = spark.read.parquet(f"{out}/predictions")
+    models.parameters(fitted, spark).coalesce(1).write.mode("overwrite").csv(f"{out}/params.csv", header=True)
+    for c, f in fitted.items():
+        models.importances(f, training).coalesce(1).write.mode("overwrite").csv(f"{out}/featimport_{c}.csv", header=True)
+    if o.predict_for_training:
+        models.predict(training, fitted, o.collapse, o.max_rows, scratch).write.mode("overwrite").parquet(f"{out}/training_predictions")
+    if o.assess_accuracy and calibration.labels_known(labels, o.assess_limit):
+        calibration.write_tables(predictions, out)
+    return predictions, labels
+
+
+def finish(spark: SparkSession, input_sam: list[str], training_sam: list[str], o: Options, series: list[tuple[str, int, float]] | None = None) -> DataFrame:
     """Fit on the aligned simulated reads, predict for the input, assess and rewrite; returns the predictions.
 
+    ``series`` holds (folder, seed, fraction) of several fits: the text is parsed
+    once, one table holds the nested training samples of all of them, and each has its
+    results in its own folder; the last one's predictions are returned.
+
     With ``vanilla_output`` only the rewritten SAM stays, else features stay
     with ``keep_intermediates``, and the other results always do.
     """
-    timers, scratch = Timers(), Scratch(spark, o.temp_directory)
+    timers, scratch, counted = Timers(spark), Scratch(spark, o.temp_directory), {}
     out = scratch.path("out") if o.vanilla_output else o.output_directory
     inner = out if (o.keep_intermediates or o.resume) and not o.vanilla_output else scratch.path("features")
     with timers.step("parsing tandem alignments"):
@@ -146,34 +213,34 @@ def finish(spark: SparkSession, input_sam: list[str], training_sam: list[str], o
         training = spark.read.parquet(f"{inner}/training_features")
     with timers.step("parsing input alignments"):
         if not done(spark, f"{inner}/input_features", o):
-            rewrite.write_features(features(*parsed(spark, input_sam, o, scratch), o), f"{inner}/input_features")
+            rewrite.write_features(features(*parsed(spark, input_sam, o, scratch, counted), o), f"{inner}/input_features")
         test = spark.read.parquet(f"{inner}/input_features")
-    with timers.step("predictions"):
-        fitted = models.fit(training, o.models, o.max_rows)
-        if not done(spark, f"{out}/predictions", o):
-            models.predict(test, fitted, o.collapse, o.max_rows, scratch).write.mode("overwrite").parquet(f"{out}/predictions")
-        predictions = spark.read.parquet(f"{out}/predictions")
-        models.parameters(fitted, spark).coalesce(1).write.mode("overwrite").csv(f"{out}/params.csv", header=True)
-        for c, f in fitted.items():
-            models.importances(f, training).coalesce(1).write.mode("overwrite").csv(f"{out}/featimport_{c}.csv", header=True)
-        if o.predict_for_training:
-            models.predict(training, fitted, o.collapse, o.max_rows, scratch).write.mode("overwrite").parquet(f"{out}/training_predictions")
-        if o.assess_accuracy and calibration.assessable(predictions, o.assess_limit):
-            calibration.write_tables(predictions, out)
-    final = o.vanilla_output or f"{out}/final.sam"
-    if not o.skip_rewrite:
-        with timers.step("rewriting SAM"):
-            lines = sam.read_sam(spark, input_sam)
-            p = predictions.select("file", F.col("id").alias("line"), "mapq")
-            flags = {"keep_features": o.keep_ztz, "orig_flag": o.orig_mapq_flag if o.write_orig_mapq else None, "precise_flag": o.precise_mapq_flag if o.write_precise_mapq else None}
-            rewrite.write_sam(rewrite.rewrite(lines, p, **flags), final)
+    runs = series or [("", o.models.seed, o.models.subsample)]
+    samples = training
+    if series:
+        with timers.step("sampling training records"):
+            samples = scratch.keep(prep.nested_samples(training, sorted({f for _, _, f in runs}), sorted({s for _, s, _ in runs}), tuple(models.row_key(training)), "category"))
+    predictions = None
+    for folder, seed, fraction in runs:
+        to = f"{out}/{folder}" if folder else out
+        mine = samples.filter((F.col("seed") == seed) & (F.col("fraction") <= fraction)).drop("seed", "fraction") if series else training
+        own = replace(o, models=replace(o.models, seed=seed, subsample=1.0 if series else fraction))
+        with timers.step(f"predictions {folder}".strip()):
+            predictions, _ = fitted_and_predicted(spark, mine, test, own, to, scratch)
+        if not o.skip_rewrite:
+            with timers.step(f"rewriting SAM {folder}".strip()):
+                lines = sam.read_sam(spark, input_sam)
+                p = predictions.select("file", F.col("id").alias("line"), "mapq")
+                flags = {"keep_features": o.keep_ztz, "orig_flag": o.orig_mapq_flag if o.write_orig_mapq else None, "precise_flag": o.precise_mapq_flag if o.write_precise_mapq else None}
+                rewrite.write_sam(rewrite.rewrite(lines, p, **flags), o.vanilla_output or f"{to}/final.sam")
+    final = o.vanilla_output or f"{out}/{runs[-1][0]}/final.sam"
     if o.vanilla_output:
         predictions = spark.createDataFrame(predictions.limit(0).collect(), predictions.schema)
     else:
         used = max(scratch.peak, size(spark, scratch.root))
         written = size(spark, final)
-        peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
-        timers.write(spark, f"{out}/timing.tsv", [("peak temporary MB", used / 1e6), ("temporary % of output SAM", 100 * used / max(1, written)), ("peak MB of the driver's Python", peak)])
+        more = [("peak temporary MB", used / 1e6), ("temporary % of output SAM", 100 * used / max(1, written)), *((k, float(v)) for k, v in counted.items())]
+        timers.write(f"{out}/timing.tsv", more)
     scratch.purge()
     return predictions
 

@@ -100,11 +100,16 @@ def any_record(lines: DataFrame) -> bool:
     return not lines.filter(~F.col("is_header")).isEmpty()
 
 
-def counters(lines: DataFrame) -> DataFrame:
-    """One row: lines, headers, secondary, supplementary, unaligned."""
+def counts() -> list[Column]:
+    """Aggregates over lines: all, headers, secondary, supplementary, unaligned. For an aggregate, or for ``observe`` of lines that are read anyway."""
     flag: Column = F.get(F.split("raw", "\t"), F.lit(1)).try_cast("int")
     record = ~F.col("is_header")
-    return lines.agg(
+    return [
         F.count(F.lit(1)).alias("n_lines"), F.count_if("is_header").alias("n_headers"), F.count_if(record & flags.has(flag, flags.SECONDARY)).alias("n_secondary"),
         F.count_if(record & flags.has(flag, flags.SUPPLEMENTARY)).alias("n_supplementary"), F.count_if(record & flags.has(flag, flags.UNMAPPED)).alias("n_unaligned"),
-    )
+    ]
+
+
+def counters(lines: DataFrame) -> DataFrame:
+    """One row: ``counts`` of the lines."""
+    return lines.agg(*counts())

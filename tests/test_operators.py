@@ -1,5 +1,6 @@
 """Sources, operators, models and the whole run on small inputs."""
 
+import dataclasses
 import hashlib
 import os
 
@@ -411,6 +412,34 @@ def test_whole_run(spark, tmp_path):
     assert {"params.csv", "featimport_u.csv", "timing.tsv", "predictions"} <= set(os.listdir(o.output_directory))
 
 
+def test_series_of_fits_parses_once(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    genome = "".join(rng.choices("ACGT", k=4000))
+    lines, _ = write_sam(tmp_path / "in.sam", genome, rng, 60)
+    write_sam(tmp_path / "tandem.sam", genome, rng, 240, sim=True)
+    o = run.Options(output_directory=str(tmp_path / "out"), skip_rewrite=True)
+    o.models = models.Settings(num_trees=[2], max_features=[1.0], max_leaf_nodes=[3])
+    paths = [str(tmp_path / "in.sam")], [str(tmp_path / "tandem.sam")]
+    series = [("trial0/sample0.5", 99099, 0.5), ("trial0/sample1.0", 99099, 1.0), ("trial1/sample1.0", 5, 1.0)]
+    run.finish(spark, *paths, o, series)
+    rows = {f: spark.read.csv(f"{o.output_directory}/{f}/params.csv", header=True).agg(F.sum(F.col("n_rows").cast("long"))).first()[0] for f, _, _ in series}
+    assert rows["trial0/sample1.0"] == rows["trial1/sample1.0"] == 360 and rows["trial0/sample0.5"] == 180
+    one = dataclasses.replace(o, output_directory=str(tmp_path / "one"), models=dataclasses.replace(o.models, subsample=0.5))
+    run.finish(spark, *paths, one)
+    a, b = (sorted(map(tuple, spark.read.parquet(f"{x}/predictions").select("id", "category", "pcor").collect())) for x in (f"{o.output_directory}/trial0/sample0.5", one.output_directory))
+    assert a == b  # the nested sample is that of a fit by itself
+    t = spark.read.csv(f"{o.output_directory}/timing.tsv", sep="\t", header=True, inferSchema=True)
+    assert t.columns == ["step", *run.FIGURES]
+    by = {r["step"]: r for r in t.collect()}
+    assert set(by) == {"parsing tandem alignments", "parsing input alignments", "sampling training records", *(f"predictions {f}" for f, _, _ in series)}
+    assert all(r["tasks"] > 0 and r["task_seconds"] > 0 for r in by.values()) and by["parsing input alignments"]["shuffle_mb"] > 0
+    got = {r["figure"]: r["value"] for r in spark.read.csv(f"{o.output_directory}/timing.tsv.run", sep="\t", header=True, inferSchema=True).collect()}
+    want = sam.counters(sam.read_sam(spark, *paths[:1])).first().asDict()
+    assert {k: got[k] for k in want} == want and want["n_lines"] == len(lines)
+
+
 def test_strict_parsing(spark, tmp_path):
     (tmp_path / "x.sam").write_text("r\t0\tc\t5\t9\t4M\t*\t0\t0\tACGT\tIIII\tMD:Z:4\n")
     records = sam.fields(sam.read_sam(spark, str(tmp_path / "x.sam")))
