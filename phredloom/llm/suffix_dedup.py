@@ -365,7 +365,8 @@ def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
     characters that a cut runs through.
     """
     rows = documents(docs).withColumn("row", F.xxhash64("text"))
-    ranges = repeated(rows).groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    # a set: repeated rows of one id mark the same ranges, however many there are
+    ranges = repeated(rows).groupBy("doc_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     ranges = materialize(ranges).withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r")
     joined = rows.join(ranges, (F.col("row") == F.col("r")) & F.col("doc_id").cast("string").eqNullSafe(F.col("d")), "left")
     schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text

@@ -316,3 +316,15 @@ def test_contexts_need_true_seeds_and_a_share_of_their_places(spark):
     assert trusted([*seeds[:2], *(f"please write to AB12345{i}X today" for i in range(9))]) == {}
     # the words stand elsewhere too often
     assert trusted([*seeds, "please write to AB123456X today", *["write to me today and write to us please"] * 20]) == {}
+
+
+def test_many_repeated_rows_of_a_null_id_mark_each_range_once(spark):
+    from phredloom.llm import suffix_dedup
+
+    text = "".join(chr(97 + (i * i * 31 + i // 7) % 26) for i in range(900))
+    docs = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(8)
+    docs = docs.unionByName(spark.createDataFrame([(1, "x" + text[:500]), (2, "y" * 399)], "doc_id long, text string"))
+    got = suffix_dedup.remove(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert {tuple(r) for r in got} == {(None, 900, 900, 1, 30_000), (1, 501, 500, 1, 1), (2, 399, 0, 0, 1)}
+    rows = suffix_dedup.repeated(docs.withColumn("row", F.xxhash64("text"))).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set(F.struct("a", "b"))).alias("sets"))
+    assert all(r["sets"] < 10 for r in rows.collect())
