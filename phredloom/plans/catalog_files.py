@@ -10,7 +10,7 @@ from phredloom.operators import calibration, pairing, prep, rewrite, simulate, t
 from phredloom.plans import run
 from phredloom.plans.registry import file_number, query, read, rounded, text_files
 from phredloom.session import Scratch
-from phredloom.sources import fasta, fastq, sam
+from phredloom.sources import fasta, fastq, matrix, sam
 
 c = F.col
 
@@ -309,3 +309,15 @@ def q_convert_unpaired(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("m contig=c"), k % 3, F.lit(" orig_begin="), k % 100, F.lit(" orig_end="), k % 100 + 50, F.lit(" strand="), F.when(k % 2 == 1, "forward").otherwise("reverse"))
     reads = read(spark, d, "part").select(k.alias("ordinal"), name.alias("name"), F.substring("p_name", 1, 5).alias("seq"), F.lit("IIIII").alias("qual"))
     return truth.convert_unpaired(reads).select("idx", "name", "seq")
+
+
+# ---------------------------------------------------------------- matrices of the lineitem table
+@query("""SELECT CAST(l_orderkey AS DOUBLE) AS k, CAST(l_linenumber AS DOUBLE) AS n, l_quantity AS q, CASE WHEN l_returnflag <> 'R' THEN l_tax END AS tax FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_returnflag <> 'R' THEN l_tax END FROM lineitem WHERE l_linenumber = 1""")
+def q_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Columns through the matrix sink, some rows appended, and back; nulls included."""
+    t = read(spark, d, "lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").alias("n"), c("l_quantity").alias("q"), F.when(c("l_returnflag") != "R", c("l_tax")).alias("tax"))
+    to = Scratch(spark).path("matrix")
+    matrix.save_matrix(t, to)
+    matrix.save_matrix(t.filter("n = 1"), to, append=True)
+    return matrix.read_matrix(spark, to, 10_000)
