@@ -43,6 +43,32 @@ def rewrite(lines: DataFrame, predictions: DataFrame, **options) -> DataFrame:
     return j.select("file", "line", F.when(F.col("_mapq").isNull(), F.col("raw")).otherwise(rewritten(F.col("raw"), F.col("_mapq"), **options)).alias("raw"))
 
 
+def rewritten_in_order(lines: DataFrame, runs: list[DataFrame], ranges: int | None = None, **options) -> DataFrame:
+    """``file``, ``line``, ``raw`` as ``rewrite(lines, merge_runs(runs))`` gives them, in line order within range partitions that follow one another.
+
+    Lines and the predictions (file, line, mapq) of all runs are dealt together
+    by ranges of (file, line). A line's rows then lie side by side in one task,
+    so merging, joining and ordering share the one exchange of the text. A
+    prediction without a line is left out; a line twice among the predictions,
+    or a quality outside [0, 100], is an error.
+    """
+    both = lines.select("file", "line", "raw", F.lit(None).cast("double").alias("_mapq"))
+    for r in runs:
+        both = both.unionByName(r.select("file", "line", F.lit(None).cast("string").alias("raw"), F.col("mapq").cast("double").alias("_mapq")))
+    order = ["file", "line"]
+    dealt = both.repartitionByRange(ranges, *order) if ranges else both.repartitionByRange(*order)
+    one = dealt.groupBy(*order).agg(F.max("raw").alias("_raw"), F.max("_mapq").alias("_mapq"), F.count(F.when(F.col("raw").isNull(), 1)).alias("_n"))
+    bad = (F.col("_n") > 1) | ((F.col("_n") == 1) & ~F.coalesce(F.col("_mapq").between(0, 100), F.lit(False)))
+    raw = F.when(bad, F.raise_error(F.lit("a line twice, or a quality out of range")).cast("string"))
+    raw = raw.when(F.col("_mapq").isNull(), F.col("_raw")).otherwise(F.when(F.col("_raw").isNotNull(), rewritten(F.col("_raw"), F.col("_mapq"), **options)))
+    return one.select(*order, raw.alias("raw")).filter("raw is not null").sortWithinPartitions(*order)
+
+
+def write_rewritten(lines: DataFrame, runs: list[DataFrame], path: str, **options) -> None:
+    """Text parts whose names sort in line order: merged, joined and ordered in one exchange."""
+    rewritten_in_order(lines, runs, **options).select(F.col("raw").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_sam(lines: DataFrame, path: str) -> None:
     """Text parts whose names sort in line order (a range-partitioned sort, no single writer)."""
     lines.orderBy("file", "line").select(F.col("raw").alias("value")).write.mode("overwrite").text(path)

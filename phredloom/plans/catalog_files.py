@@ -127,16 +127,15 @@ def q_templates(spark: SparkSession, d: str) -> DataFrame:
 SELECT r.f, CASE WHEN r.aligned THEN CASE WHEN p.m IS NULL THEN r.mapq ELSE CAST(floor(p.m + 0.5) AS INTEGER) END ELSE 0 END AS mapq, 'r' || k AS qname, r.flag,
   CASE WHEN p.m IS NULL THEN NULL ELSE printf('Zp:Z:%.3f', p.m) END AS precise FROM r LEFT JOIN p ON r.f = p.f AND r.line = p.line""")
 def q_rewrite_files(spark: SparkSession, d: str) -> DataFrame:
-    """Eight files with as many equal line numbers: predictions of two runs merged, joined by file and line, written and read back."""
+    """Eight files with as many equal line numbers: predictions of two runs merged, joined by file and line and ordered in one exchange, written and read back."""
     paths = _sam(spark, d)
     lines = sam.read_sam(spark, paths)
     single, pairs = run.parsed(spark, paths, run.Options())
     every = single.select("file", "line", "qname").unionByName(pairing.unpivot_pairs(pairs.select("a1", "a2")).select("a.file", "a.line", "a.qname"))
     key = F.substring("qname", 2, 30).cast("long")
     p = every.select("file", "line", (((key + 13 * file_number()) % 600) / 10).alias("mapq"))
-    merged = rewrite.merge_runs([p.filter(c("line") % 2 == i) for i in (0, 1)])
     to = Scratch(spark).path("sam")
-    rewrite.write_sam(rewrite.rewrite(lines, merged, precise_flag="Zp:Z"), to)
+    rewrite.write_rewritten(lines, [p.filter(c("line") % 2 == i) for i in (0, 1)], to, precise_flag="Zp:Z")
     back = sam.fields(sam.read_sam(spark, to))
     number = F.substring("qname", 2, 30).cast("long") % 8
     return back.select(number.cast("int").alias("f"), "mapq", "qname", "flag", F.get(F.filter("tags", lambda t: t.startswith("Zp:Z:")), F.lit(0)).alias("precise"))

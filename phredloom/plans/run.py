@@ -232,7 +232,7 @@ def finish(spark: SparkSession, input_sam: list[str], training_sam: list[str], o
                 lines = sam.read_sam(spark, input_sam)
                 p = predictions.select("file", F.col("id").alias("line"), "mapq")
                 flags = {"keep_features": o.keep_ztz, "orig_flag": o.orig_mapq_flag if o.write_orig_mapq else None, "precise_flag": o.precise_mapq_flag if o.write_precise_mapq else None}
-                rewrite.write_sam(rewrite.rewrite(lines, p, **flags), o.vanilla_output or f"{to}/final.sam")
+                rewrite.write_rewritten(lines, [p], o.vanilla_output or f"{to}/final.sam", **flags)
     final = o.vanilla_output or f"{out}/{runs[-1][0]}/final.sam"
     if o.vanilla_output:
         predictions = spark.createDataFrame(predictions.limit(0).collect(), predictions.schema)

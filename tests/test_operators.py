@@ -3,6 +3,7 @@
 import dataclasses
 import hashlib
 import os
+import random
 
 import numpy as np
 import pytest
@@ -466,6 +467,32 @@ def test_merged_runs(spark):
         rewrite.merge_runs([a, a]).collect()
 
 
+def test_rewritten_in_order_moves_the_text_once(spark, tmp_path, capsys):
+    rng, paths = random.Random(12), []
+    for x in "ba":
+        n = 150 if x == "a" else 70
+        (tmp_path / f"{x}.sam").write_text("@HD\n" + "".join(f"r{i}\t0\tc\t{i}\t{i % 40}\t5M\t*\t0\t0\tACGTA\tIIIII\tZT:Z:1,NA\tNM:i:{i}\n" for i in range(n)))
+        paths.append(str(tmp_path / f"{x}.sam"))
+    lines = sam.read_sam(spark, paths)
+    keys = [(r["file"], r["line"]) for r in lines.collect() if not r["is_header"] and rng.random() < 0.7]
+    p = spark.createDataFrame([(f, n, rng.random() * 100) for f, n in keys] + [(keys[0][0], 9999, 5.0)], "file string, line long, mapq double")
+    runs = [p.filter(f"line % 3 = {i}") for i in range(3)]
+    want = [r["raw"] for r in rewrite.rewrite(lines, rewrite.merge_runs(runs), precise_flag="Zp:Z").orderBy("file", "line").collect()]
+    rewrite.write_rewritten(lines, runs, str(tmp_path / "out"), precise_flag="Zp:Z")
+    got = [x for part in sorted((tmp_path / "out").glob("part-*")) for x in part.read_text().splitlines()]
+    assert got == want and len(got) == 222
+    split = rewrite.rewritten_in_order(lines, runs, ranges=7, precise_flag="Zp:Z")
+    assert [r["raw"] for r in split.collect()] == want and split.rdd.getNumPartitions() == 7
+    capsys.readouterr()
+    rewrite.rewritten_in_order(lines, runs, ranges=7).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange rangepartitioning") == 1 and "SortMergeJoin" not in plan and "hashpartitioning(file#" not in plan.split("BroadcastExchange")[0]
+    assert rewrite.rewritten_in_order(lines, [p.limit(0)]).count() == 222
+    for wrong in ([p, p.limit(1)], [p.withColumn("mapq", F.lit(101.0))], [p.withColumn("mapq", F.lit(None).cast("double"))]):
+        with pytest.raises(Exception, match="a line twice"):
+            rewrite.rewritten_in_order(lines, wrong).collect()
+
+
 def test_names_of_unpaired_reads(spark):
     df = spark.createDataFrame([(i, f"x contig=c{i} orig_begin=4 orig_end=9 strand=reverse", "ACGTA", "IIIII") for i in range(3)], "ordinal long, name string, seq string, qual string")
     got = [r["name"] for r in truth.convert_unpaired(df).orderBy("idx").collect()]
