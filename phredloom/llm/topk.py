@@ -1,14 +1,23 @@
 """Exact top-k inner-product search over an impact-ordered index.
 
 Vectors are quantised to integers, dealt to blocks of bounded size, and each
-block is indexed: for every dimension, its rows form posting segments by
-quantised value. A query adds up segments score-at-a-time, those of the highest
-impact first, which gives a sum that a row's true score is not below. After
-certain shares of the segments, each row's score is bounded from above: a
-dimension whose segment was added can exceed its share by a level's
-width, any other by the highest segment of that dimension still left. A query
-is settled, and leaves its batch, when the rows whose bound reaches the k-th
-best sum are few, or no segment is left; just these rows are rescored exactly.
+block is indexed: for every dimension, its rows form posting segments by level
+of their value. A few queries at a time add up segments score-at-a-time, those
+of the highest impact on any of them first. From a tenth of the segments on, at
+set shares of them, each row still possible is bounded from both sides: what it has in segments
+already added lies between their edges, and what it has elsewhere lies between
+the edges of the segments left, and by Cauchy and Schwarz within the product of
+both rests' lengths. The likeliest rows are scored exactly, which gives a score
+that the k-th best is not below; rows whose upper bound is under it are out for
+good. A query stops when at most one row in a hundred is possible, or one in
+twenty and their exact scores take less than the postings left (copies closer
+than a level are not told apart by any segment), or no segment is left; just
+these rows are rescored exactly.
+
+A row with a component a thousand times larger than is usual in its block is
+kept beside the index and scored exactly for every query, so that it does not
+widen the levels of the others. Bounds are doubles with a margin for rounding;
+scores are integers, in wider arithmetic only for rows that could leave a long.
 
 Query blocks meet index blocks by an equi-join on both block numbers, each
 packed to one row a block, of the same size, so that a task's input is as small
@@ -34,9 +43,11 @@ from pyspark.sql import functions as F
 from phredloom.llm.common import materialize
 
 LEVELS = 64
-CHECKS = (0.9, 0.95, 0.975, 1.0)  # shares of the segments after which bounds are worked out
-FEW = 4  # a query is settled when one row in so many is possible: then exact scores cost less than more segments
-BATCH = 64
+CHECKS = (0.1, 0.3, 0.5, 0.7, 0.85, 0.95, 1.0)  # shares of the segments after which bounds are worked out
+BATCH = 64  # queries that share an order of segments
+FEW, SOME = 100, 20  # a query stops when one row in FEW is possible, or in SOME and rescoring them is less work than going on
+LIKELY = 32  # rows that a check scores exactly for its threshold
+OUTLIER = 1024.0  # a row with a component so many times the block's median largest one is not indexed
 BLOCK_ROWS = 8192
 QUERY_ROWS = 8192
 _MAX = np.iinfo(np.int64).max
@@ -64,59 +75,98 @@ class Block:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], np.ascontiguousarray(rows[order])
-        self.low, high = self.rows.min(axis=0), self.rows.max(axis=0)
-        self.peak = int(max(abs(int(self.low.min())), abs(int(high.max()))))
-        if self.peak >= 2**31:
-            return
-        self.width = (high - self.low) // LEVELS + 1
-        self.level = ((self.rows - self.low) // self.width).astype(np.int16)
-        self.docs = np.argsort(self.level, axis=0, kind="stable").T.astype(np.int32)
-        self.start = np.stack([np.searchsorted(np.sort(self.level[:, j]), np.arange(LEVELS + 1)) for j in range(self.level.shape[1])])
-        self.added: list[float] = []  # of each query settled: the share of segments added by then
-
-    def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (row numbers, exact scores) of a superset of the block's k best rows.
-
-        The queries share the order of segments (by the highest impact that any
-        of them gives a segment); bounds, possible members and the stop are each
-        query's own.
+        peak = np.abs(self.rows.astype(np.float64)).max(axis=1)
+        inside = peak <= OUTLIER * max(1.0, float(np.median(peak)))
+        self.beside, self.indexed = np.flatnonzero(~inside), np.flatnonzero(inside)
+        x = self.rows[self.indexed].astype(np.float64)
+        d = x.shape[1]
+        self.low, self.width = x.min(axis=0), np.maximum((x.max(axis=0) - x.min(axis=0)) / LEVELS, 1.0)
+        level = np.minimum(((x - self.low) / self.width).astype(np.int16), LEVELS - 1)
+        self.docs = np.argsort(level, axis=0, kind="stable").T.astype(np.int32)
+        self.start = np.stack([np.searchsorted(np.sort(level[:, j]), np.arange(LEVELS + 1)) for j in range(d)])
+        self.most, self.squares = np.abs(x).max(axis=0), np.ascontiguousarray((x * x).T)
+        self.added: list[float] = []  # of each query: the share of segments added when it stopped
+        self.rescored: list[int] = []  # and the rows that were possible then
+
+    def search(self, queries: np.ndarray, k: int | np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (row numbers, exact scores) of a superset of the block's k best rows; k may differ by query."""
+        q = np.zeros((len(queries), self.rows.shape[1]), dtype=np.int64)
+        width = min(q.shape[1], queries.shape[1])
+        q[:, :width] = queries[:, :width]
+        wanted, out = np.broadcast_to(k, len(q)), []
+        for i in range(0, len(q), BATCH):
+            part = q[i : i + BATCH]
+            for x, rows in zip(part, self._possible(part, wanted[i : i + BATCH]), strict=True):
+                at = np.sort(np.concatenate([self.beside, self.indexed[rows]]))
+                out.append((at, _scores(self.rows[at], x)))
+        return out
+    def _possible(self, exact: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
+        """For each query the indexed rows that may be among its best ones.
+
+        The queries share the order of segments; bounds, thresholds and stops are each query's own.
         """
-        n, d = self.rows.shape
-        q = np.zeros((len(queries), d), dtype=np.int64)
-        q[:, : min(d, queries.shape[1])] = queries[:, :d]
-        if self.peak >= 2**31 or self.peak * max(1, int(np.abs(q).max())) * d >= 2**50:
-            return [(np.arange(n), np.array([_saturated(row, x) for row in self.rows], dtype=np.int64)) for x in q]
+        n, x = len(self.indexed), exact.astype(np.float64)
+        d = x.shape[1]
         edge = self.low[:, None] + np.arange(LEVELS)[None, :] * self.width[:, None]
-        least = np.minimum(q[:, :, None] * edge, q[:, :, None] * (edge + self.width[:, None] - 1))
-        base = least.min(axis=2)
-        impact = np.ascontiguousarray((least - base[:, :, None]).transpose(1, 2, 0))
-        gap = (np.abs(q) * (self.width - 1)).sum(axis=1)
-        acc = np.tile(base.sum(axis=1), (n, 1))
-        order = np.argsort(-impact.max(axis=2).ravel(), kind="stable")
-        done = np.zeros((d, LEVELS), dtype=bool)
-        few, at = max(4 * k, 64, n // FEW), 0
-        alive, members = np.arange(len(q)), [np.empty(0, np.int64)] * len(q)
-        for share in CHECKS:
-            part = order[at : int(share * len(order))]
+        least = np.minimum(x[:, :, None] * edge, x[:, :, None] * (edge + self.width[:, None]))
+        impact = (least - least.min(axis=2)[:, :, None]).max(axis=0).ravel()
+        least = np.ascontiguousarray(least.transpose(1, 2, 0))
+        done = self.start[:, :-1] == self.start[:, 1:]  # nothing to add
+        order = np.argsort(-impact, kind="stable")
+        order = order[~done.ravel()[order]]
+        gap, x2 = np.abs(x).T * self.width[:, None], (x * x).T
+        margin = 1e-12 * (d * (np.abs(x) @ self.most + gap.sum(axis=0)) + 1.0)
+        acc, unseen, threshold = np.zeros((n, len(x))), np.ones((d, n)), np.full(len(x), -np.inf)
+        alive, out, few = np.arange(len(x)), [np.arange(n)] * len(x), np.maximum(4 * wanted, n // FEW)
+        at = 0
+        for share in CHECKS if n > few.min() else ():
+            part = order[at : int(np.ceil(share * len(order)))]
             at += len(part)
-            for j, level in zip(*(x.tolist() for x in np.divmod(part, LEVELS)), strict=True):
-                a, b = self.start[j, level], self.start[j, level + 1]
-                if a < b:
-                    acc[self.docs[j, a:b]] += impact[j, level]
+            for j, level in zip(*(v.tolist() for v in np.divmod(part, LEVELS)), strict=True):
+                docs = self.docs[j, self.start[j, level] : self.start[j, level + 1]]
+                acc[docs] += least[j, level]
+                unseen[j][docs] = 0.0
             done.ravel()[part] = True
-            left = np.where(done[:, :, None], 0, impact).max(axis=1).astype(np.float64)  # below 2**50: exact
-            seen = done[np.arange(d), self.level].astype(np.float64)
-            kth = np.partition(acc, max(0, n - k), axis=0)[max(0, n - k)]
-            possible = acc + (gap + left.sum(axis=0)) - seen @ left >= kth
-            settled = (possible.sum(axis=0) <= few) | (at == len(order))
-            for i in np.flatnonzero(settled).tolist():
-                members[alive[i]] = np.flatnonzero(possible[:, i])
-                self.added.append(share)
-            if settled.any():
-                alive, gap, acc, impact = alive[~settled], gap[~settled], np.ascontiguousarray(acc[:, ~settled]), np.ascontiguousarray(impact[:, :, ~settled])
-                if not len(alive):
-                    break
-        return [(m, self.rows[m] @ x) for m, x in zip(members, q, strict=True)]
+            bottom, top = np.where(done[:, :, None], np.inf, least).min(axis=1), np.where(done[:, :, None], -np.inf, least).max(axis=1) + gap
+            closed = done.all(axis=1)
+            bottom[closed] = top[closed] = 0.0
+            reach = x2.T @ unseen
+            reach *= np.einsum("ij,ij->j", unseen, self.squares)
+            np.sqrt(reach, out=reach)
+            seen = np.ascontiguousarray(acc.T)
+            middle = np.maximum(bottom.T @ unseen, -reach) + seen
+            upper = np.minimum(top.T @ unseen, reach)
+            upper += seen
+            middle += upper
+            upper += gap.sum(axis=0)[:, None]
+            np.maximum(upper, float(-_MAX - 1), out=upper)  # no score is lower
+            left = (np.diff(self.start, axis=1)[~done]).sum() // d  # in rows
+            stays = np.ones(len(alive), dtype=bool)
+            for i, query in enumerate(alive.tolist()):
+                m = min(n, max(LIKELY, int(wanted[query])))
+                likely = np.argpartition(middle[i], n - m)[n - m :]
+                if m >= wanted[query]:
+                    scores = _scores(self.rows[self.indexed[likely]], exact[query])
+                    threshold[i] = max(threshold[i], float(np.partition(scores, m - wanted[query])[m - wanted[query]]))
+                possible = np.flatnonzero(upper[i] + margin[i] >= threshold[i])
+                if len(possible) <= max(few[query], min(left, n // SOME)) or at == len(order):
+                    out[query], stays[i] = possible, False
+                    self.added.append(at / len(order))
+                    self.rescored.append(len(possible))
+            if not stays.all():
+                alive, x2, gap, margin, threshold = alive[stays], x2[:, stays], gap[:, stays], margin[stays], threshold[stays]
+                acc, least = np.ascontiguousarray(acc[:, stays]), np.ascontiguousarray(least[:, :, stays])
+            if not len(alive):
+                break
+        return out
+
+
+def _scores(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact integer products, saturated; rows whose products may leave a long are worked out one by one."""
+    out = rows @ x
+    for i in np.flatnonzero(np.abs(rows.astype(np.float64)) @ np.abs(x.astype(np.float64)) >= 2.0**62).tolist():
+        out[i] = _saturated(rows[i], x)
+    return out
 
 
 def _saturated(a: np.ndarray, b: np.ndarray) -> int:
@@ -150,12 +200,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
                 queries = np.frombuffer(r.y_rows, np.int64).reshape(-1, r.y_dim)
                 qids = np.frombuffer(r.y_ids, np.int64)
                 own = np.searchsorted(block.ids, qids, "right") - np.searchsorted(block.ids, qids, "left")
-                for x in range(0, len(qids), BATCH):
-                    wanted = min(k + int(own[x : x + BATCH].max()), len(block.ids))
-                    for qid, (at, scores) in zip(qids[x : x + BATCH].tolist(), block.search(queries[x : x + BATCH], wanted), strict=True):
-                        ids = block.ids[at]
-                        best = [i for i in np.lexsort((ids, ~scores)).tolist() if ids[i] != qid][:k]
-                        out += [(qid, int(ids[i]), int(scores[i])) for i in best]
+                for qid, (at, scores) in zip(qids.tolist(), block.search(queries, k + own), strict=True):
+                    ids = block.ids[at]
+                    best = [i for i in np.lexsort((ids, ~scores)).tolist() if ids[i] != qid][:k]
+                    out += [(qid, int(ids[i]), int(scores[i])) for i in best]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     x = packed(rows, blocks, "x").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))

@@ -321,3 +321,30 @@ def test_topk_stops_on_proof_before_the_last_segment():
         full = rows @ x
         assert (full[at] == scores).all() and set(np.flatnonzero(full >= np.sort(full)[-6])) <= set(at.tolist())
     assert len(block.added) == 70 and np.mean(block.added) < 1
+
+
+def test_topk_rows_far_larger_than_the_rest_stay_beside_the_index():
+    rng = np.random.default_rng(8)
+    rows = rng.integers(-200, 200, (900, 10))
+    rows[[3, 70]] = [[2**45] * 10, [-(2**58)] * 10]
+    rows[5] = 0
+    block = topk.Block(np.arange(900), rows)
+    assert set(block.beside.tolist()) == {3, 70} and np.abs(rows[block.indexed]).max() < 2**10
+    queries = np.concatenate([rng.integers(-200, 200, (70, 10)), [[2**40] * 10], np.zeros((1, 10), np.int64)])
+    many = np.arange(72) % 4 + 1
+    for k, q, (at, scores) in zip(many, queries, block.search(queries, many), strict=True):
+        full = [max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(r, q, strict=True)))) for r in rows]
+        assert scores.tolist() == [full[i] for i in at]
+        assert set(sorted(range(900), key=lambda i: (-full[i], i))[:k]) <= set(at.tolist())
+    assert np.mean(block.rescored[:70]) <= 900 // topk.SOME  # a query of ordinary size meets few rows again
+
+
+def test_topk_stops_early_on_clusters_and_rescores_few_rows():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(300, 24)) * 4
+    rows = np.floor(256 * (centres[rng.integers(0, 300, 6000)] + rng.normal(size=(6000, 24)) * 0.1)).astype(np.int64)
+    block = topk.Block(np.arange(6000), rows)
+    for x, (at, scores) in zip(rows[:8], block.search(rows[:8], 6), strict=True):
+        full = rows @ x
+        assert set(np.flatnonzero(full >= np.sort(full)[-6])) <= set(at.tolist())
+    assert max(block.added) < 1 and max(block.rescored) <= 60
