@@ -347,4 +347,4 @@ def test_topk_stops_early_on_clusters_and_rescores_few_rows():
     for x, (at, scores) in zip(rows[:8], block.search(rows[:8], 6), strict=True):
         full = rows @ x
         assert set(np.flatnonzero(full >= np.sort(full)[-6])) <= set(at.tolist())
-    assert max(block.added) < 1 and max(block.rescored) <= 60
+    assert max(block.added) < 0.75 and max(block.rescored) <= 6000 // topk.SOME
