@@ -6,10 +6,17 @@ higher-order functions, so no row leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out once; folds of arrays that an expression names twice are else worked out twice."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def runs(cigar: Column) -> Column:
     """array<struct<n int, op string>> of a CIGAR string."""
     return F.transform(
@@ -75,8 +82,9 @@ def transcript(ops: Column, md: Column) -> Column:
     return F.aggregate(ops, F.struct(start["at"].alias("at"), start["out"].alias("out"), bases.alias("md")), step, lambda s: s["out"])
 
 
-def edit_transcript(cigar: Column, md: Column) -> Column:
-    ops = runs(cigar)
+def edit_transcript(cigar: Column, md: Column, ops: Column | None = None) -> Column:
+    """``ops``: the runs of ``cigar``, if they are known."""
+    ops = runs(cigar) if ops is None else ops
     return F.when(is_extended(cigar), transcript_extended(ops)).otherwise(transcript(ops, md))
 
 
@@ -125,15 +133,22 @@ def quality_totals(qual: Column, left: Column, right: Column, exact: bool = Fals
     clipped base there is no clipping: total 0, average 100, both clips 0.
     """
     n = F.length(qual)
-    phred = F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.substring(qual, i, F.lit(1))) - 33)
+    phred = F.transform(F.split(qual, ""), lambda x: F.ascii(x) - 33)
     end = n - right - (0 if exact else 1)
-    inside = F.aggregate(F.slice(phred, left + 1, F.greatest(F.lit(0), end - left)), F.lit(0).cast("long"), lambda a, x: a + x)
-    total = F.aggregate(phred, F.lit(0).cast("long"), lambda a, x: a + x)
     clips = left + right
     clipped = clips > 1
     none = F.lit(0)
-    return F.struct(
-        inside.alias("aligned"), F.when(clipped, total - inside).otherwise(F.lit(0).cast("long")).alias("clipped"),
-        (inside / (n - clips)).alias("avg_aligned"), F.when(clipped, (total - inside) / clips).otherwise(100.0).alias("avg_clipped"),
-        F.when(clipped, left).otherwise(none).alias("left"), F.when(clipped, right).otherwise(none).alias("right"),
-    )
+
+    def sums(p: Column) -> Column:
+        inside = F.aggregate(F.slice(p, left + 1, F.greatest(F.lit(0), end - left)), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.struct(inside.alias("inside"), F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+    def totals(t: Column) -> Column:
+        inside, rest = t["inside"], t["total"] - t["inside"]
+        return F.struct(
+            inside.alias("aligned"), F.when(clipped, rest).otherwise(F.lit(0).cast("long")).alias("clipped"),
+            (inside / (n - clips)).alias("avg_aligned"), F.when(clipped, rest / clips).otherwise(100.0).alias("avg_clipped"),
+            F.when(clipped, left).otherwise(none).alias("left"), F.when(clipped, right).otherwise(none).alias("right"),
+        )
+
+    return _bound(phred, lambda p: _bound(sums(p), totals))

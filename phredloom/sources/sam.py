@@ -80,7 +80,7 @@ def alignments(records: DataFrame, wiggle: int = 30, prefix: str = readnames.PRE
     r = r.withColumn("ops", F.when(aligned, ops))
     described = F.col("mdz").isNotNull() | C.is_extended(F.col("cigar"))
     lost = F.raise_error(F.lit("aligned record with neither MD:Z nor = and X")).cast("string") if strict else F.lit(None).cast("string")
-    xscript = F.when(aligned, F.when(described, C.edit_transcript(F.col("cigar"), F.col("mdz"))).otherwise(lost))
+    xscript = F.when(aligned, F.when(described, C.edit_transcript(F.col("cigar"), F.col("mdz"), F.col("ops"))).otherwise(lost))
     r = r.select(
         "*", xscript.alias("edit_xscript"), tags.numbers(F.col("zt")).alias("ztz"), flags.mate_flag(F.col("flag")).alias("mate_flag"), readnames.simulated_type(F.col("qname"), prefix).alias("typ"),
         C.left_clip(F.col("ops")).alias("lclip0"), C.right_clip(F.col("ops")).alias("rclip0"),
