@@ -255,17 +255,28 @@ def _tree(root: Node, split: list[Node], data: Data, scale: float) -> Tree:
     return Tree(nodes, gains)
 
 
-def boosted(data: Data, trees: int, k: int, max_leaves: int | None, rate: float, seed: int) -> tuple[float, list[Tree]]:
-    """Least-squares boosting: the weighted mean, and trees over what the ones before leave, each counted ``rate`` times."""
+def boosted(data: Data, trees: int, k: int, max_leaves: int | None, rate: float, seed: int) -> tuple[float, list[Tree], list[tuple]]:
+    """Least-squares boosting: the weighted mean, trees over what the ones before leave, each counted ``rate`` times, and the nodes of the first with means of the labels.
+
+    The first tree is grown over the labels themselves: the mean, taken off all of
+    them, changes no gain, and sums of labels are exact where those of differences
+    are rounded. What trees leave has mean 0, so a later one without a split is 0.
+    """
     r = data.table.agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("mean")).first()
-    start, out = float(r["mean"] or 0.0), []
+    start, out, whole = float(r["mean"] or 0.0), [], []
     leaf = (np.array([-1]), np.array([0]), np.array([-1]), np.array([-1]))
-    shown: list[tuple] = [(leaf, np.array([start]), 1.0)]
+    shown: list[tuple] = []
     for t in range(trees):
         tree = grow(data, 1, k, max_leaves, seed, t, shown)[0]
+        if not t:
+            whole = tree.nodes
+            shown.append((leaf, np.array([(1 - rate) * start]), 1.0))
+            tree = Tree([(*n[:4], n[4] - start) for n in whole], tree.gains)
+        elif len(tree.nodes) == 1:
+            tree = Tree([(*tree.nodes[0][:4], 0.0)], tree.gains)
         out.append(tree)
-        shown.append((_route_of(tree, data), np.array([n[4] for n in tree.nodes]), rate))
-    return start, out
+        shown.append((_route_of(tree, data), np.array([n[4] for n in (tree.nodes if t else whole)]), rate))
+    return start, out, whole
 
 
 def _route_of(tree: Tree, data: Data) -> tuple[np.ndarray, ...]:

@@ -88,12 +88,16 @@ class TreesModel:
     def native(self) -> bool:
         return sum(len(t) for t in self.trees) <= MOST_NODES
 
+    def terms(self) -> tuple[float, list[list[tuple]], float]:
+        """What a prediction adds up: a start, and trees by a factor."""
+        return self.start, self.trees, self.factor
+
     def predicted(self) -> Column:
         """The prediction as an expression over the feature columns, or by a function of whole batches if it is too large for one."""
+        start, grown, factor = self.terms()
         if self.native:
-            total = " + ".join(forest.tree_sql(t, self.cols) for t in self.trees)
-            return F.expr(f"{self.start!r}D + {self.factor!r}D * ({total or '0D'})")
-        grown, start, factor = self.trees, self.start, self.factor
+            total = " + ".join(forest.tree_sql(t, self.cols) for t in grown)
+            return F.expr(f"{start!r}D + {factor!r}D * ({total or '0D'})")
 
         @F.pandas_udf("double")
         def run(*x: pd.Series) -> pd.Series:
@@ -140,13 +144,18 @@ class ForestModel(TreesModel):
 
 
 class BoostedModel(TreesModel):
+    """Least-squares boosting. Predictions take the first tree with the means of the labels: at rate 1 they are not the sum of two rounded numbers."""
+
     def fit(self, df: DataFrame, weight: str | None = None, data: forest.Data | None = None) -> BoostedModel:
         n, share, leaves, self.factor = self.params
         data = data or binned(self.s, df, self.cols, 0, weight)
-        self.start, grown = forest.boosted(data, n, self.features_at_once(share), leaves, self.factor, self.s.seed)
+        self.start, grown, self.whole = forest.boosted(data, n, self.features_at_once(share), leaves, self.factor, self.s.seed)
         self.trees, self.gains = [t.nodes for t in grown], [t.gains for t in grown]
         return self
 
+    def terms(self) -> tuple[float, list[list[tuple]], float]:
+        return (1 - self.factor) * self.start, [self.whole, *self.trees[1:]] if self.trees else [], self.factor
+
 
 class ExtraTreesModel(TreesModel):
     """Randomised trees, each fitted in a task of its own; scores itself out of bag.
