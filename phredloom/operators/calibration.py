@@ -11,9 +11,15 @@ from phredloom.operators.running import totals
 RANKS = 100_000  # ranks that one row expands to
 
 
+def half_even(x: Column, decimals: int) -> Column:
+    """A double rounded half to even in doubles, as SQL engines and numpy do: what is a half is told by the scaled double, not by the digits that it prints as."""
+    unit = float(10**decimals)
+    return F.rint(x.cast("double") * unit) / unit
+
+
 def tally(df: DataFrame, mapq: Column, correct: Column, decimals: int | None = None) -> DataFrame:
     """``stratum``, ``cor``, ``incor``; values are rounded half to even first. Partial sums: one row a value and task."""
-    stratum = mapq if decimals is None else F.bround(mapq, decimals)
+    stratum = mapq if decimals is None else half_even(mapq, decimals)
     return df.select((stratum + 0.0).alias("stratum"), correct.cast("int").alias("c")).groupBy("stratum").agg(
         F.sum("c").cast("long").alias("cor"), F.sum(1 - F.col("c")).cast("long").alias("incor")
     )

@@ -1,13 +1,26 @@
 """What shows only on larger or odd tables: halves, ties, folders of parts, memory of a task."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from phredloom.operators import calibration
 from phredloom.plans import models
 
 SHARES = (1, 2, 5, 6, 3, 2)
 
 
+def test_halves_are_judged_as_sql_judges_them(spark):
+    # prices whose 7,000th ends in half a thousandth (and its neighbours): 64.1595 is a half as printed, and less as a double
+    values = [(700 * i + 350 + j) / 100 for i in range(0, 66_000, 7) for j in (-1, 0, 1)] + [-449116.5, 3500.0, 10500.0, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select((F.col("v") / 7000).alias("m"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?::DOUBLE[]) / 7000 AS m", [values])
+    for places in (3, 0):
+        got = {r["stratum"]: r["cor"] for r in calibration.tally(df, F.col("m"), F.lit(True), places).collect()}
+        assert got == dict(con.execute(f"SELECT round_even(m, {places}) + 0.0, count(*) FROM t GROUP BY 1").fetchall())
+
+
 @pytest.mark.parametrize("params", [[1, 1.0, 3, 1.0], [3, 1.0, 8, 1.0]])
 def test_boosting_at_rate_one_gives_the_share_itself(spark, params):
     # 1,000,000 rows a value, so that (142,858 + 285,715) / 2,000,000 = 0.2142865 is a half at six places
