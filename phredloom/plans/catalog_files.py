@@ -41,9 +41,10 @@ def _mates(k: Column) -> Column:
 
 def _sam(spark: SparkSession, d: str) -> list[str]:
     k = c("o_orderkey")
-    rows = read(spark, d, "orders").select((k % 8).alias("f"), F.inline(_mates(k)))
+    orders = read(spark, d, "orders")
+    rows = orders.select((k % 8).alias("f"), F.inline(_mates(k)))
     head = spark.range(8).select(c("id").alias("f"), F.lit(-1).cast("long").alias("k"), F.lit("@SQ\tSN:chr1\tLN:2000").alias("value"))
-    return text_files(head.unionByName(rows))
+    return text_files(head.unionByName(rows), 2 * orders.count())
 
 
 # r: every record with its line; a: those that are parsed
@@ -154,7 +155,8 @@ def _fasta(spark: SparkSession, d: str) -> list[str]:
     k = c("p_partkey")
     seq = F.repeat(_bases(F.regexp_replace("p_name", " ", "")), (k % 5 + 1).cast("int"))
     wrapped = F.array_join(F.regexp_extract_all(seq, F.lit(".{1,17}"), 0), "\n")
-    return text_files(read(spark, d, "part").select((k % 8).alias("f"), k.alias("k"), F.concat(F.lit(">p"), k, F.lit(" part "), k, F.lit("\n"), wrapped).alias("value")))
+    part = read(spark, d, "part")
+    return text_files(part.select((k % 8).alias("f"), k.alias("k"), F.concat(F.lit(">p"), k, F.lit(" part "), k, F.lit("\n"), wrapped).alias("value")), part.count())
 
 
 _SEQUENCES = f"sq AS (SELECT p_partkey AS k, {_BASES.format(x="repeat(replace(p_name, ' ', ''), CAST(p_partkey % 5 + 1 AS INTEGER))")} AS s FROM part)"
@@ -174,8 +176,9 @@ def q_fasta_size(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT CAST(p_partkey % 8 AS INTEGER) AS f, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) - 1 AS ordinal, 'p' || p_partkey AS name, {_BASES.format(x='p_name')} AS seq, repeat('I', length(p_name)) AS qual FROM part""")
 def q_fastq_file(spark: SparkSession, d: str) -> DataFrame:
     k = c("p_partkey")
-    reads = read(spark, d, "part").select((k % 8).alias("f"), k.alias("k"), F.concat(F.lit("p"), k).alias("name"), bases.normalise(_bases(c("p_name"))).alias("seq"), F.repeat(F.lit("I"), F.length("p_name")).alias("qual"))
-    return fastq.read_fastq(spark, text_files(fastq.to_lines(reads))).select(file_number().alias("f"), "ordinal", "name", "seq", "qual")
+    part = read(spark, d, "part")
+    reads = part.select((k % 8).alias("f"), k.alias("k"), F.concat(F.lit("p"), k).alias("name"), bases.normalise(_bases(c("p_name"))).alias("seq"), F.repeat(F.lit("I"), F.length("p_name")).alias("qual"))
+    return fastq.read_fastq(spark, text_files(fastq.to_lines(reads), part.count())).select(file_number().alias("f"), "ordinal", "name", "seq", "qual")
 
 
 # ---------------------------------------------------------------- simulation
@@ -247,7 +250,7 @@ def q_concat_reads(spark: SparkSession, d: str) -> DataFrame:
         return o.filter(k % 2 == rest).select((k % 8).alias("f"), k.alias("k"), F.concat(F.lit("r"), k).alias("name"), F.concat(F.lit(category + "_"), k).alias("seq"), F.lit("I").alias("qual"))
 
     both = prep.union_chunks([reads(0, "u"), reads(1, "c")])
-    back = fastq.read_fastq(spark, text_files(fastq.to_lines(both)))
+    back = fastq.read_fastq(spark, text_files(fastq.to_lines(both), o.count()))
     return back.select(F.substring("name", 2, 30).cast("long").alias("k"), "name", "seq")
 
 

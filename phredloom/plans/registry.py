@@ -32,16 +32,20 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def text_files(df: DataFrame, files: int = 8) -> list[str]:
-    """``df`` (f, k, value) written as one text file for each ``f`` from 0, its lines in order of ``k``; the paths.
+TASK_ROWS = 250_000  # rows of text that one task sorts and writes
 
-    The text of tables, for the queries that read files: a file is written by one task, and there are more where tables grow.
+
+def text_files(df: DataFrame, rows: int, files: int = 8) -> list[str]:
+    """``df`` (f, k, value; about so many rows) written as one text file for each ``f`` from 0, its lines in order of ``k``; the paths.
+
+    A file is a folder of parts whose names sort in line order, which the sources
+    read as one file: tasks take ranges of (f, k), more where tables grow.
     """
     to = Scratch(df.sparkSession).path("text")
-    df.repartition(files, "f").sortWithinPartitions("f", "k").select("f", "value").write.partitionBy("f").text(to)
+    df.repartitionByRange(max(files, -(-rows // TASK_ROWS)), "f", "k").sortWithinPartitions("f", "k").select("f", "value").write.partitionBy("f").text(to)
     return [f"{to}/f={i}" for i in range(files)]
 
 
 def file_number(file: str = "file"):
     """The ``f`` of a path that ``text_files`` has made."""
-    return F.regexp_extract(file, "/f=([0-9]+)/", 1).cast("int")
+    return F.regexp_extract(file, "/f=([0-9]+)(/|$)", 1).cast("int")

@@ -43,6 +43,11 @@ class Scratch:
         fs.delete(at, True)
 
 
+def partitions(spark: SparkSession, wanted: int) -> list[int]:
+    """What goes before the columns of a repartition: nothing while the session's own number, which adaptive execution may lower, is enough, else ``wanted``."""
+    return [wanted] if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def _hadoop(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())

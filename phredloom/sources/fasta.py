@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phredloom.functions.bases import normalise
-from phredloom.sources.sam import text_blocks
+from phredloom.sources.sam import before, text_blocks, with_file
 
 CHUNK = 131_072
 
@@ -31,7 +31,7 @@ def chunks_of(records: DataFrame, chunk: int = CHUNK, overlap: int = 0) -> DataF
     return rows.select("refid", "refid_full", "refoff", F.length("piece").alias("retsz"), normalise(F.col("piece")).alias("seq"))
 
 
-_ALONG = "file string, block long, m long, raw string, header boolean, end long, record long, refid_full string, at long"
+_ALONG = "path string, block long, m long, raw string, header boolean, end long, record long, refid_full string, at long"
 
 
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,12 +70,11 @@ def lines_with_offsets(spark: SparkSession, paths: str | list[str]) -> DataFrame
     raw, near = text_blocks(spark, paths)
     inside = raw.withColumn("raw", F.trim("raw")).filter("raw <> ''").mapInArrow(_along, _ALONG)
     opened = F.when(F.col("record").isNotNull(), F.struct("record", "refid_full", "at"))
-    last = inside.groupBy("file", "block").agg(F.max("end").alias("total"), F.max_by(opened, "m").alias("open"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    last = with_file(inside.groupBy("path", "block").agg(F.max("end").alias("total"), F.max_by(opened, "m").alias("open")))
+    last = last.withColumn("start", F.coalesce(F.sum("total").over(before()), F.lit(0)))
     placed = F.when(F.col("open").isNotNull(), F.struct("open.record", "open.refid_full", (F.col("start") + F.col("open.at")).alias("at")))
-    carried = last.withColumn("placed", placed).select("file", "block", "start", F.last("placed", ignorenulls=True).over(before).alias("carry"))
-    out = inside.filter(~F.col("header")).join(F.broadcast(carried) if near else carried, ["file", "block"])
+    carried = last.withColumn("placed", placed).select("path", "block", "file", "start", F.last("placed", ignorenulls=True).over(before()).alias("carry"))
+    out = inside.filter(~F.col("header")).join(F.broadcast(carried) if near else carried, ["path", "block"])
     own = F.when(F.col("record").isNotNull(), F.struct("record", "refid_full", (F.col("start") + F.col("at")).alias("at"))).otherwise(F.col("carry"))
     out = out.withColumn("r", own).filter("r is not null")
     return out.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from phredloom.functions import cigar as C
@@ -13,21 +13,25 @@ from phredloom.session import size
 BROADCAST_BLOCKS = 500_000  # rows of file blocks that are broadcast: a path, two numbers
 
 
+def text_size(spark: SparkSession, paths: str | list[str]) -> int:
+    """Bytes of the files, or of what is in the folders, as they are stored."""
+    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for name in [paths] if isinstance(paths, str) else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += sum(f.getLen() for f in at.getFileSystem(conf).globStatus(at) or [] if f.isFile()) or size(spark, name)
+    return total
+
+
 def text_blocks(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, bool]:
-    """``file``, ``block`` (where the file block starts), ``m`` (a row id that grows along a block), ``raw``; and whether a row a block may be broadcast.
+    """``path``, ``block`` (where the file block starts), ``m`` (a row id that grows along a block), ``raw``; and whether a row a block may be broadcast.
 
     Rows of a block are consecutive in one task. The number of blocks follows
     from the sizes of the files and how Spark splits them.
     """
-    text = spark.read.text(paths)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    sizes = []
-    for name in [paths] if isinstance(paths, str) else paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(name)
-        sizes += [f.getLen() for f in at.getFileSystem(conf).globStatus(at) or [] if f.isFile()] or [size(spark, name)]
-    split = min(_bytes(spark, "spark.sql.files.maxPartitionBytes"), max(_bytes(spark, "spark.sql.files.openCostInBytes"), sum(sizes) // spark.sparkContext.defaultParallelism))
-    blocks = len(text.inputFiles()) + sum(sizes) // max(1, split)
-    cols = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.regexp_replace("value", "\r$", "").alias("raw")]
+    text, total = spark.read.text(paths), text_size(spark, paths)
+    split = min(_bytes(spark, "spark.sql.files.maxPartitionBytes"), max(_bytes(spark, "spark.sql.files.openCostInBytes"), total // spark.sparkContext.defaultParallelism))
+    blocks = len(text.inputFiles()) + total // max(1, split)
+    cols = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.regexp_replace("value", "\r$", "").alias("raw")]
     return text.select(*cols), blocks <= BROADCAST_BLOCKS
 
 
@@ -35,6 +39,19 @@ def _bytes(spark: SparkSession, key: str) -> int:
     return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
 
 
+PART = "/part-([0-9]+)[^/]*$"
+
+
+def before() -> WindowSpec:
+    """The blocks of the file that come before one."""
+    return Window.partitionBy("file").orderBy("part", "path", "block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_file(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``file`` and ``part``: the parts that Spark wrote to one folder (part-00000 and so on) are one file, in order of their numbers; any other path is a file by itself."""
+    return blocks.withColumn("file", F.regexp_replace("path", PART, "")).withColumn("part", F.regexp_extract("path", PART, 1).try_cast("long"))
+
+
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``file``, ``line`` (from 1 in each file), ``raw``: without gathering a file anywhere, and without moving text.
 
@@ -43,10 +60,9 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     minus the block's smallest row id is the place within the block.
     """
     raw, near = text_blocks(spark, paths)
-    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return raw.join(F.broadcast(offsets) if near else offsets, ["file", "block"]).select("file", (F.col("m") - F.col("first") + F.col("offset") + 1).alias("line"), "raw")
+    blocks = with_file(raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first")))
+    offsets = blocks.select("path", "block", "file", "first", F.coalesce(F.sum("n").over(before()), F.lit(0)).alias("offset"))
+    return raw.join(F.broadcast(offsets) if near else offsets, ["path", "block"]).select("file", (F.col("m") - F.col("first") + F.col("offset") + 1).alias("line"), "raw")
 
 
 def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:

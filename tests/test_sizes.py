@@ -32,3 +32,39 @@ def test_boosting_at_rate_one_gives_the_share_itself(spark, params):
     share = {a: sum(i % 7 < s for i in range(n // 6)) for a, s in enumerate(SHARES)}
     groups = [(0, 1), (2, 3), (4, 5)] if params[2] == 3 else [(a,) for a in range(6)]
     assert got == {a: sum(share[x] for x in g) / (len(g) * (n // 6)) for g in groups for a in g}
+
+
+def test_parts_of_a_folder_are_one_file(spark, tmp_path):
+    from phredloom.sources import fasta, fastq, sam
+
+    lines = [f"r{i}" for i in range(5000)]
+    for name, n in (("a", 13), ("b", 3)):
+        spark.range(0, 5000, 1, n).select(F.concat(F.lit("r"), "id")).write.text(str(tmp_path / name))
+    (tmp_path / "c.sam").write_text("".join(f"{x}\n" for x in lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = sam.numbered_lines(spark, [str(tmp_path / x) for x in ("a", "b", "c.sam")]).collect()
+        reads = fastq.read_fastq(spark, str(tmp_path / "a")).collect()
+        text = [">one x", *(["ACGTA"] * 700), ">two", *(["CC"] * 301)]
+        spark.createDataFrame([(i, x) for i, x in enumerate(text)], "i int, x string").repartitionByRange(9, "i").sortWithinPartitions("i").select("x").write.text(str(tmp_path / "fa"))
+        whole = {r["refid"]: r["seq"] for r in fasta.read_fasta(spark, str(tmp_path / "fa"), chunk=10_000).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 15_000 and all(r["raw"] == lines[r["line"] - 1] for r in got)
+    assert sorted(r["file"].rpartition("/")[2] for r in got)[::5000] == ["a", "b", "c.sam"]
+    assert len(reads) == 1250 and all((r["name"], r["qual"]) == (f"r{4 * r['ordinal']}", f"r{4 * r['ordinal'] + 3}") for r in reads)
+    assert whole == {"one": "ACGTA" * 700, "two": "CC" * 301}
+
+
+def test_text_is_dealt_to_more_tasks_where_there_are_more(spark, monkeypatch):
+    from phredloom.plans import registry
+    from phredloom.sources import sam
+
+    monkeypatch.setattr(registry, "TASK_ROWS", 1000)
+    df = spark.range(40_000).select((F.col("id") % 8).alias("f"), F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("value"))
+    paths = registry.text_files(df, 40_000)
+    got = sam.numbered_lines(spark, paths).select(registry.file_number().alias("f"), "line", "raw").collect()
+    assert len(got) == 40_000 and all(r["raw"] == f"v{8 * (r['line'] - 1) + r['f']}" for r in got)
+    sizes = [r[0] for r in spark.read.text(paths).groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(sizes) >= 40 and max(sizes) < 3000  # one task wrote a whole file before
