@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from phredloom.functions import cigar as C
 from phredloom.functions import flags
+from phredloom.session import partitions
+
+TASK_ROWS = 250_000  # records whose mates one task looks up: a row takes about a kilobyte there
 
 
 def pair_mates(records: DataFrame, key: list[str] | None = None, order: str = "line", mate: str = "mate_flag", strict_adjacent: bool = False) -> DataFrame:
@@ -19,7 +22,8 @@ def pair_mates(records: DataFrame, key: list[str] | None = None, order: str = "l
     """
     key = key or ["file", "qname"]
     nth = F.row_number().over(Window.partitionBy(*key, mate).orderBy(order))
-    r = records.filter(F.col(mate).isin("1", "2")).repartition(*key).withColumn("_nth", nth)  # one shuffle, for the ordinals and for the pairs
+    n = partitions(records.sparkSession, -(-records.count() // TASK_ROWS))
+    r = records.filter(F.col(mate).isin("1", "2")).repartition(*n, *key).withColumn("_nth", nth)  # one shuffle, for the ordinals and for the pairs
     whole = F.struct(*records.columns)
     ends = (F.first(F.when(F.col(mate) == m, whole), ignorenulls=True).alias(f"a{m}") for m in ("1", "2"))
     out = r.groupBy(*key, "_nth").agg(*ends).filter("a1 is not null and a2 is not null").select("a1", "a2")

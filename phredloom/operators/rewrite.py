@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from phredloom.functions import tags
 from phredloom.operators.pairing import template_rows
+from phredloom.session import partitions
+
+TASK_ROWS = 250_000  # lines that one task orders
 
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
@@ -56,7 +59,8 @@ def rewritten_in_order(lines: DataFrame, runs: list[DataFrame], ranges: int | No
     for r in runs:
         both = both.unionByName(r.select("file", "line", F.lit(None).cast("string").alias("raw"), F.col("mapq").cast("double").alias("_mapq")))
     order = ["file", "line"]
-    dealt = both.repartitionByRange(ranges, *order) if ranges else both.repartitionByRange(*order)
+    n = [ranges] if ranges else partitions(lines.sparkSession, -(-lines.count() // TASK_ROWS))
+    dealt = both.repartitionByRange(*n, *order)
     one = dealt.groupBy(*order).agg(F.max("raw").alias("_raw"), F.max("_mapq").alias("_mapq"), F.count(F.when(F.col("raw").isNull(), 1)).alias("_n"))
     bad = (F.col("_n") > 1) | ((F.col("_n") == 1) & ~F.coalesce(F.col("_mapq").between(0, 100), F.lit(False)))
     raw = F.when(bad, F.raise_error(F.lit("a line twice, or a quality out of range")).cast("string"))

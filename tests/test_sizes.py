@@ -57,7 +57,8 @@ def test_parts_of_a_folder_are_one_file(spark, tmp_path):
     assert whole == {"one": "ACGTA" * 700, "two": "CC" * 301}
 
 
-def test_text_is_dealt_to_more_tasks_where_there_are_more(spark, monkeypatch):
+def test_text_and_mates_are_dealt_to_more_tasks_where_there_are_more(spark, monkeypatch):
+    from phredloom.operators import pairing, rewrite
     from phredloom.plans import registry
     from phredloom.sources import sam
 
@@ -68,3 +69,11 @@ def test_text_is_dealt_to_more_tasks_where_there_are_more(spark, monkeypatch):
     assert len(got) == 40_000 and all(r["raw"] == f"v{8 * (r['line'] - 1) + r['f']}" for r in got)
     sizes = [r[0] for r in spark.read.text(paths).groupBy(F.input_file_name()).count().select("count").collect()]
     assert len(sizes) >= 40 and max(sizes) < 3000  # one task wrote a whole file before
+    monkeypatch.setattr(pairing, "TASK_ROWS", 1000)
+    records = df.select(F.concat(F.lit("x"), (F.col("k") / 2).cast("long") % 3).alias("file"), (F.col("k") / 2).cast("long").alias("qname"), F.col("k").alias("line"), (F.col("k") % 2 + 1).cast("string").alias("mate_flag"))
+    pairs = pairing.pair_mates(records)
+    assert pairs.rdd.getNumPartitions() == 40 and pairs.filter("a1.qname = a2.qname and a1.line + 1 = a2.line").count() == 20_000
+    monkeypatch.setattr(rewrite, "TASK_ROWS", 1000)
+    lines = sam.numbered_lines(spark, paths)
+    back = rewrite.rewritten_in_order(lines, [lines.limit(0).select("file", "line", F.lit(1.0).alias("mapq"))])
+    assert back.rdd.getNumPartitions() == 40 and back.count() == 40_000
