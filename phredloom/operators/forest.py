@@ -71,6 +71,7 @@ class Data:
     table: DataFrame
     cuts: list[np.ndarray]
     bits: int  # of the fixed point of sums
+    firsts: dict[tuple, Tree] = field(default_factory=dict)  # first trees of boosting, which no learning rate changes
 
 
 def binned(df: DataFrame, cols: list[str], label: Column, weight: Column, boot: Column, scratch: Scratch | None = None) -> Data:
@@ -267,8 +268,10 @@ def boosted(data: Data, trees: int, k: int, max_leaves: int | None, rate: float,
     leaf = (np.array([-1]), np.array([0]), np.array([-1]), np.array([-1]))
     shown: list[tuple] = []
     for t in range(trees):
-        tree = grow(data, 1, k, max_leaves, seed, t, shown)[0]
+        tree = data.firsts.get((k, max_leaves, seed)) if not t else None
+        tree = tree or grow(data, 1, k, max_leaves, seed, t, shown)[0]
         if not t:
+            data.firsts[k, max_leaves, seed] = tree
             whole = tree.nodes
             shown.append((leaf, np.array([(1 - rate) * start]), 1.0))
             tree = Tree([(*n[:4], n[4] - start) for n in whole], tree.gains)

@@ -207,13 +207,26 @@ def fold(n: int = 3) -> Column:
     return F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") % n
 
 
-def cross_validated(s: Settings, params: list, cols: list[str], df: DataFrame, folds: int = 3) -> float:
-    """Mean R squared over folds fixed by a hash of the id."""
-    scores = []
-    for k in range(folds):
-        m = new_model(s, params, cols).fit(df.filter(fold(folds) != k))
-        scores.append(forest.r_squared(df.filter(fold(folds) == k), F.col("correct"), m.predicted()))
-    return float(np.mean(scores))
+def cross_validated(s: Settings, params: list, cols: list[str], df: DataFrame, folds: int = 3, shared: dict | None = None) -> float:
+    """Mean R squared over folds fixed by a hash of the id.
+
+    The folds are fitted at the same time, since a round of a tree is a short job
+    at most sizes. ``shared`` keeps the binned table of each fold's training rows
+    for the other points of a search: they depend on no parameter but a forest's
+    number of trees.
+    """
+    shared = {} if shared is None else shared
+    kept = s.model_family != "ExtraTrees"
+
+    def one(k: int) -> float:
+        rows, at = df.filter(fold(folds) != k), (k, params[0] if s.model_family == "RandomForest" else 0)
+        if kept and at not in shared:
+            shared[at] = binned(s, rows, cols, at[1])
+        m = new_model(s, params, cols).fit(rows, data=shared.get(at))
+        return forest.r_squared(df.filter(fold(folds) == k), F.col("correct"), m.predicted())
+
+    with ThreadPoolExecutor(folds) as pool:
+        return float(np.mean([f.result() for f in [pool.submit(inheritable_thread_target(df.sparkSession)(one), k) for k in range(folds)]]))
 
 
 def fit_reweighted(s: Settings, params: list, cols: list[str], df: DataFrame):
@@ -247,10 +260,11 @@ def fit_category(features: DataFrame, c: str, s: Settings, chunk_rows: int = 0)
     cols = prep.feature_columns(df, s.try_include_mapq)
     df = prep.check_columns(df, cols).cache()
     shared: dict[int, forest.Data] = {}  # one binned table for all points of a search with as many trees
+    of_folds: dict[tuple[int, int], forest.Data] = {}  # and one for each fold
 
     def score(params: list) -> float:
         if s.model_family == "GradientBoosting" or s.no_oob:
-            return cross_validated(s, params, cols, df)
+            return cross_validated(s, params, cols, df, shared=of_folds)
         if s.model_family == "RandomForest" and params[0] not in shared:
             shared[params[0]] = binned(s, df, cols, params[0])
         return new_model(s, params, cols).fit(df, data=shared.get(params[0])).out_of_bag(df)

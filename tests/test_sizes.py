@@ -77,3 +77,20 @@ def test_text_and_mates_are_dealt_to_more_tasks_where_there_are_more(spark, monk
     lines = sam.numbered_lines(spark, paths)
     back = rewrite.rewritten_in_order(lines, [lines.limit(0).select("file", "line", F.lit(1.0).alias("mapq"))])
     assert back.rdd.getNumPartitions() == 40 and back.count() == 40_000
+
+
+def test_a_search_bins_each_fold_once_and_grows_its_first_tree_once(spark, monkeypatch):
+    from phredloom.operators import forest
+
+    t = spark.range(600).select(F.lit("u").alias("category"), "id", (F.col("id") % 3).cast("double").alias("a"), F.lit(0).alias("mapq"), ((F.col("id") / 3).cast("long") % 4 < F.col("id") % 3 + 1).cast("int").alias("correct"))
+    calls, grown = [], []
+    bin_, grow = forest.binned, forest.grow
+    monkeypatch.setattr(forest, "binned", lambda *a, **b: calls.append(1) or bin_(*a, **b))
+    monkeypatch.setattr(forest, "grow", lambda *a, **b: grown.append(a[5]) or grow(*a, **b))
+    s = models.Settings(model_family="GradientBoosting", num_trees=[2], max_features=[1.0], max_leaf_nodes=[8], learning_rate=[0.2, 0.6, 1.0])
+    got = models.fit_category(t, "u", s)
+    assert got.params == [2, 1.0, 8, 1.0] and len(calls) == 4 and grown.count(0) == 4  # three folds, and the last fit
+    for rate in (0.2, 1.0):
+        alone = models.cross_validated(s, [2, 1.0, 8, rate], ["a"], t)
+        shared: dict = {}
+        assert {models.cross_validated(s, [2, 1.0, 8, r], ["a"], t, shared=shared) for r in (0.6, rate, rate)} >= {alone}
