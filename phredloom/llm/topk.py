@@ -19,10 +19,13 @@ kept beside the index and scored exactly for every query, so that it does not
 widen the levels of the others. Bounds are doubles with a margin for rounding;
 scores are integers, in wider arithmetic only for rows that could leave a long.
 
-Query blocks meet index blocks by an equi-join on both block numbers, each
-packed to one row a block, of the same size, so that a task's input is as small
-as its work allows; while the queries fill one block, nothing is copied. The k
-best of each pair of blocks go to a final ranking.
+Each block is packed to one row, of the narrowest integers that hold it, and both
+sets of blocks are tables. Query blocks meet index blocks in a Cartesian product
+of their partitions: a task reads its own partition of either side, nothing is
+copied or broadcast, and what the driver holds does not grow with the vectors. A
+pair of blocks is a task until that makes more than TASKS of them; from there on
+a task has several pairs, one after the other. The k best of each pair of blocks
+go to a final ranking.
 
 Defined results: a vector that is null, empty, or holds a null or non-finite
 component takes no part; rows with equal vec_id and vector count once; a null
@@ -50,6 +53,7 @@ LIKELY = 32  # rows that a check scores exactly for its threshold
 OUTLIER = 1024.0  # a row with a component so many times the block's median largest one is not indexed
 BLOCK_ROWS = 8192
 QUERY_ROWS = 8192
+TASKS, ACROSS = 4096, 64  # pairs of blocks are dealt to at most so many tasks, query blocks to at most so many partitions
 _MAX = np.iinfo(np.int64).max
 
 
@@ -69,6 +73,12 @@ def _quantise(vectors: list, scale: float) -> np.ndarray:
     return np.clip(q, -big, big).astype(np.int64)
 
 
+def _narrow(m: np.ndarray) -> np.ndarray:
+    """``m`` in the narrowest integers that hold it."""
+    fits = (t for t in (np.int16, np.int32) if m.min() >= np.iinfo(t).min and m.max() <= np.iinfo(t).max)
+    return m.astype(next(fits, np.int64))
+
+
 class Block:
     """The impact index of one block: per dimension, rows grouped by level of their value."""
 
@@ -184,20 +194,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
 
     def packed(df: DataFrame, n: int, name: str) -> DataFrame:
         def one(g: pd.DataFrame) -> pd.DataFrame:
-            m = _quantise(g["v"].tolist(), scale)
-            return pd.DataFrame({name: [int(g["b"].iloc[0])], f"{name}_dim": [m.shape[1]], f"{name}_ids": [g["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_rows": [m.tobytes()]})
+            m = _narrow(_quantise(g["v"].tolist(), scale))
+            return pd.DataFrame({name: [int(g["b"].iloc[0])], f"{name}_dim": [m.shape[1]], f"{name}_type": [m.dtype.str], f"{name}_ids": [g["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_rows": [m.tobytes()]})
 
         dealt = df.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int").alias("b"))
-        return dealt.groupBy("b").applyInPandas(one, f"{name} int, {name}_dim int, {name}_ids binary, {name}_rows binary")
+        return materialize(dealt.groupBy("b").applyInPandas(one, f"{name} int, {name}_dim int, {name}_type string, {name}_ids binary, {name}_rows binary"))
+
+    def unpacked(rows: bytes, kind: str, dim: int) -> np.ndarray:
+        return np.frombuffer(rows, kind).reshape(-1, dim).astype(np.int64)
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index: dict[int, Block] = {}
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if r.x not in index:
-                    index = {r.x: Block(np.frombuffer(r.x_ids, np.int64), np.frombuffer(r.x_rows, np.int64).reshape(-1, r.x_dim))}
+                    index = {r.x: Block(np.frombuffer(r.x_ids, np.int64), unpacked(r.x_rows, r.x_type, r.x_dim))}
                 block, out = index[r.x], []
-                queries = np.frombuffer(r.y_rows, np.int64).reshape(-1, r.y_dim)
+                queries = unpacked(r.y_rows, r.y_type, r.y_dim)
                 qids = np.frombuffer(r.y_ids, np.int64)
                 own = np.searchsorted(block.ids, qids, "right") - np.searchsorted(block.ids, qids, "left")
                 for qid, (at, scores) in zip(qids.tolist(), block.search(queries, k + own), strict=True):
@@ -206,9 +219,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
                     out += [(qid, int(ids[i]), int(scores[i])) for i in best]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
-    x = packed(rows, blocks, "x").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
-    y = packed(rows.filter("q"), asks, "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = x.repartition(4 * blocks * asks, "x", "y").join(F.broadcast(y) if asks == 1 else y, ["x", "y"])  # one block of queries: bounded
+    across = min(asks, ACROSS)
+    x = packed(rows, blocks, "x").repartitionByRange(min(blocks, TASKS // across), "x")
+    y = packed(rows.filter("q"), asks, "y").repartition(across)
+    pairs = x.crossJoin(y.hint("shuffle_replicate_nl"))
     best = pairs.mapInPandas(pair, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -571,6 +571,27 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("query_rows, tasks, across", [(8192, 4096, 64), (3, 4096, 64), (3, 6, 2)])
+def test_topk_broadcasts_nothing_and_bounds_its_tasks(spark, monkeypatch, query_rows, tasks, across):
+    rng = np.random.default_rng(4)
+    scale = {0: 300.0, 1: 1e8}  # blocks of 16, 32 and 64 bits
+    rows = [(i, [float(x) for x in scale.get(i, 1.0) * rng.normal(size=6)]) for i in range(500)]
+    for name, value in (("BLOCK_ROWS", 64), ("QUERY_ROWS", query_rows), ("TASKS", tasks), ("ACROSS", across)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    out = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    got = sorted(tuple(r) for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    x, y = (int((re.findall(f"{kind}partitioning\\([^()]*?(\\d+)\\)", plan, re.I) or [1])[0]) for kind in ("range", "roundrobin"))
+    assert (x, y) == {8192: (8, 1), 3: (8, 4)}[query_rows] if tasks == 4096 else (x, y) == (3, 2)
+    good = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 500, 50):
+        scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert got == sorted(want)
+
+
 # ------------------------------------------------------------ near duplicates
 def test_links_equal_brute_force(spark):
     for words in (4, 5):
