@@ -9,10 +9,11 @@ asks for the children of what it popped, and repeats until every popped node's
 children are known, so the result is that of growing one split at a time; there
 are about as many rounds as the deepest tree has levels.
 
-Sums are of integers (weights and labels in steps of 2**-bits), so they do not
-depend on the order of tasks. A row's bootstrap weight in a tree is a Poisson(1)
-count drawn from the md5 of (seed, tree, row): any plan can say which trees have
-not seen a row.
+Sums are of integers (weights and labels in steps of 2**-bits, and what is left
+of them in steps FINE times as small), so they do not depend on the order of
+tasks, and what a step cannot hold is not lost once for each row of a cell. A
+row's bootstrap weight in a tree is a Poisson(1) count drawn from the md5 of
+(seed, tree, row): any plan can say which trees have not seen a row.
 
 Splits need a gain above 0. A node looks at the first ``k`` features, in an order
 of its own, that are not constant in it.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from phredloom.session import Scratch
 
 BINS = 64
+FINE = 1 << 22
 MOST_DRAWN = 12  # Poisson(1) is above 12 once in 6e10 draws
 
 
@@ -147,7 +149,7 @@ def _best(data: Data, asked: dict[int, list[Node]], roots: dict[int, Node], k: i
     names = {t: [nd.path for nd in nodes] for t, nodes in asked.items()}
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {t: np.zeros((2, len(nodes) * n * BINS), dtype=np.int64) for t, nodes in names.items()}
+        sums = {t: np.zeros((4, len(nodes) * n * BINS), dtype=np.int64) for t, nodes in names.items()}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -160,36 +162,42 @@ def _best(data: Data, asked: dict[int, list[Node]], roots: dict[int, Node], k: i
                 at = _land(route, x)
                 times = boot[:, t - first] if boot.shape[1] else np.ones(len(x))
                 used = np.flatnonzero((at >= 0) & (times > 0))
-                wt = times[used] * np.rint(w[used] * scale)
-                gt = times[used] * np.rint(w[used] * y[used] * scale)
                 cell = (at[used, None] * n + np.arange(n)) * BINS + x[used]
-                for row, v in zip(sums[t], (wt, gt), strict=True):
+                for i, v in enumerate((w[used] * scale, w[used] * y[used] * scale)):
+                    whole = np.rint(v)
+                    fine = times[used] * np.rint((v - whole) * FINE)
+                    whole = times[used] * whole
                     # doubles hold a batch's integers exactly up to 2**53; beyond, halves are added apart
-                    high = np.floor(v / 1048576.0)
-                    for part, unit in ((high, 1048576), (v - high * 1048576.0, 1)):
-                        row += np.bincount(cell.ravel(), np.repeat(part, n), len(row)).astype(np.int64) * unit
+                    high = np.floor(whole / 1048576.0)
+                    for row, part, unit in ((i, high, 1048576), (i, whole - high * 1048576.0, 1), (i + 2, fine, 1)):
+                        if part.any():
+                            sums[t][row] += np.bincount(cell.ravel(), np.repeat(part, n), sums[t].shape[1]).astype(np.int64) * unit
         for t, s in sums.items():
             full = np.flatnonzero(s[0])
             node, feature, bin_ = full // (n * BINS), full // BINS % n, full % BINS
             order = np.array([np.argsort(np.random.default_rng([seed, t, p]).permutation(n)) for p in names[t]]).reshape(-1, n)
             cols = [np.full(len(full), t), node, feature, order[node, feature], bin_]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cols), pa.array(s[0][full]), pa.array(s[1][full])], names=["tree", "node", "feature", "turn", "bin", "w", "g"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cols), *(pa.array(row[full]) for row in s)], names=["tree", "node", "feature", "turn", "bin", "w", "g", "wf", "gf"])
 
-    cells = data.table.mapInArrow(add, "tree int, node int, feature int, turn int, bin int, w long, g long").repartition("tree", "node")
+    cells = data.table.mapInArrow(add, "tree int, node int, feature int, turn int, bin int, w long, g long, wf long, gf long").repartition("tree", "node")
     return data.table.sparkSession.sql(_BEST_SQL, {"k": k}, cells=cells).collect()  # a row a node asked for
 
 
 # The cells of a node are in one partition, so there is one shuffle. The gain of a cut is what it takes off the sum of squares.
-_BEST_SQL = """
+_BEST_SQL = f"""
 SELECT tree, node, first(w) AS w, first(g) AS g,
   array_max(transform(slice(array_sort(collect_list(if(cut IS NULL, NULL, struct(turn, feature, cut)))), 1, :k), s -> struct(s.cut.gain AS gain, -s.turn AS turn, s.feature AS feature, s.cut AS cut))) AS best
 FROM (
   SELECT tree, node, feature, turn, first(w) AS w, first(g) AS g,
-    max(if(w > wl, struct(double(gl) * gl / wl + double(g - gl) * (g - gl) / (w - wl) - double(g) * g / w AS gain, -bin AS bin, wl, gl), NULL)) AS cut
+    max(if(parts, struct(gl * gl / wl + gr * gr / wr - g * g / w AS gain, -bin AS bin, wl, gl, wr, gr), NULL)) AS cut
   FROM (
-    SELECT tree, node, feature, turn, bin, sum(w) OVER below AS wl, sum(g) OVER below AS gl, sum(w) OVER whole AS w, sum(g) OVER whole AS g
-    FROM (SELECT tree, node, feature, turn, bin, sum(w) AS w, sum(g) AS g FROM {cells} GROUP BY tree, node, feature, turn, bin)
-    WINDOW whole AS (PARTITION BY tree, node, feature), below AS (PARTITION BY tree, node, feature ORDER BY bin ROWS UNBOUNDED PRECEDING))
+    SELECT tree, node, feature, turn, bin, w1 > w0 AS parts, w0 + wf0 / {FINE} AS wl, g0 + gf0 / {FINE} AS gl,
+      w1 - w0 + (wf1 - wf0) / {FINE} AS wr, g1 - g0 + (gf1 - gf0) / {FINE} AS gr, w1 + wf1 / {FINE} AS w, g1 + gf1 / {FINE} AS g
+    FROM (
+      SELECT tree, node, feature, turn, bin, sum(w) OVER below AS w0, sum(g) OVER below AS g0, sum(wf) OVER below AS wf0, sum(gf) OVER below AS gf0,
+        sum(w) OVER whole AS w1, sum(g) OVER whole AS g1, sum(wf) OVER whole AS wf1, sum(gf) OVER whole AS gf1
+      FROM (SELECT tree, node, feature, turn, bin, sum(w) AS w, sum(g) AS g, sum(wf) AS wf, sum(gf) AS gf FROM {{cells}} GROUP BY tree, node, feature, turn, bin)
+      WINDOW whole AS (PARTITION BY tree, node, feature), below AS (PARTITION BY tree, node, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)))
   GROUP BY tree, node, feature, turn)
 GROUP BY tree, node"""
 
@@ -230,12 +238,11 @@ def grow(data: Data, trees: int, k: int, max_leaves: int | None, seed: int, firs
         for r in _best(data, asked, roots, k, seed, first, list(shown)):
             n = asked[r["tree"]][r["node"]]
             if n.path == 1:
-                n.w, n.g = float(r["w"]), float(r["g"])
+                n.w, n.g = r["w"], r["g"]
             if r["best"]:
                 b = r["best"]
-                wl, gl = float(b["cut"]["wl"]), float(b["cut"]["gl"])
                 n.gain, n.feature, n.bin = b["gain"], b["feature"], -b["cut"]["bin"]
-                n.kids = [Node(2 * n.path, wl, gl), Node(2 * n.path + 1, n.w - wl, n.g - gl)]
+                n.kids = [Node(2 * n.path, b["cut"]["wl"], b["cut"]["gl"]), Node(2 * n.path + 1, b["cut"]["wr"], b["cut"]["gr"])]
         for nodes in asked.values():
             for n in nodes:
                 n.known = True

@@ -1,5 +1,7 @@
 """What shows only on larger or odd tables: halves, ties, folders of parts, memory of a task."""
 
+from fractions import Fraction
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +36,45 @@ def test_boosting_at_rate_one_gives_the_share_itself(spark, params):
     assert got == {a: sum(share[x] for x in g) / (len(g) * (n // 6)) for g in groups for a in g}
 
 
+@pytest.mark.parametrize("counts", [(25000, 50001, 75000), (24998, 49999, 75002), (25002, 50002, 74999)])
+def test_later_trees_are_as_exact_as_doubles(spark, counts):
+    # 100,000 rows a cell: the stumps' sum is a half at six places, and stood 1e-12 beside it while each row's residual was cut to a step
+    i = F.col("id")
+    t = spark.range(300_000).select("id", (i % 3).cast("double").alias("a"), ((i / 3).cast("long") < F.get(F.array(*map(F.lit, counts)), (i % 3).cast("int"))).cast("int").alias("correct"))
+    got = {}
+    for name, how in (("first", {}), ("second", {"reweight_ratio": 10.0})):
+        m = models.fit_reweighted(models.Settings(model_family="GradientBoosting", **how), [2, 1.0, 2, 1.0], ["a"], t)
+        got[name] = {int(r["a"]): r["p"] for r in spark.range(3).select(i.cast("double").alias("a")).select("a", m.predicted().alias("p")).collect()}
+
+    def stumps(cells):  # (weight, label sum) of each cell, exactly
+        p = [Fraction(0)] * 3
+        for _ in range(2):
+            left = [g - w * x for (w, g), x in zip(cells, p, strict=True)]
+            sides = [[(sum(left[a:b]) / sum(w for w, _ in cells[a:b]), a, b) for a, b in ((0, cut), (cut, 3))] for cut in (1, 2)]
+            best = max(sides, key=lambda s: sum(v * v * sum(w for w, _ in cells[a:b]) for v, a, b in s))
+            for v, a, b in best:
+                p[a:b] = [x + v for x in p[a:b]]
+        return p
+
+    cells = [(Fraction(100_000), Fraction(c)) for c in counts]
+    first = stumps(cells)
+    second = stumps([(w * (Fraction(1, 10) + x * Fraction(9, 10)), g * (Fraction(1, 10) + x * Fraction(9, 10))) for (w, g), x in zip(cells, first, strict=True)])
+    for name, want in (("first", first), ("second", second)):
+        assert all(abs(Fraction(got[name][a]) - want[a]) < Fraction(1, 10**15) for a in range(3)), (name, got[name])
+
+
+@pytest.mark.parametrize("name", ["q_reweight_ratio", "q_reweight_mapq"])
+@pytest.mark.parametrize("shift", [100_022, 100_030])
+def test_reweighted_halves_equal_the_sql(spark, tmp_path, name, shift):
+    from phredloom.plans import catalog_models, registry
+
+    spark.range(600_000, numPartitions=4).select((F.col("id") % 100_000 + (F.col("id") / 100_000).cast("long") * shift).alias("event_id")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in getattr(catalog_models, name)(spark, str(tmp_path)).groupBy("pcor", "first_pcor").count().collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == set(con.execute(f"SELECT pcor, first_pcor, count(*) FROM ({registry.SQL[name]}) GROUP BY ALL").fetchall())
+
+
 def test_parts_of_a_folder_are_one_file(spark, tmp_path):
     from phredloom.sources import fasta, fastq, sam
 
